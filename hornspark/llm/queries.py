@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hornspark.llm import bpe, token_counts
+from hornspark.llm import bpe, containment, simhash, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,13 +16,48 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_contained_benchmark_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return containment.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP7_SQL = """
+WITH item AS (
+  SELECT item_id, w, least(5, len(w)) AS m
+  FROM (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark)
+  WHERE len(w) > 0
+), item_shingle AS (
+  SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS s
+  FROM item, unnest(range(1, len(w) - m + 2)) AS u(i)
+), item_size AS (
+  SELECT item_id, count(*) AS n FROM item_shingle GROUP BY item_id
+), doc AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents
+), size AS (
+  SELECT DISTINCT m FROM item
+), doc_shingle AS (
+  SELECT DISTINCT doc_id, m, array_to_string(w[i:i + m - 1], ' ') AS s
+  FROM doc, size, unnest(range(1, len(w) - m + 2)) AS u(i)
+)
+SELECT doc_id, item_id, n AS n_shingles, count(*) AS n_shared, count(*) / n AS containment
+FROM doc_shingle JOIN item_shingle USING (m, s) JOIN item_size USING (item_id)
+GROUP BY doc_id, item_id, n HAVING count(*) >= ceil(0.8 * n - 1e-9)
+"""
+
+
+def op8_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=2)
+    return found.select("doc_id", "fingerprint", "component_id")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
 QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
+    "op7_contained_benchmark_items": op7_contained_benchmark_items,
+    "op8_simhash_near_duplicates": op8_simhash_near_duplicates,
     "op9_token_counts": op9_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_contained_benchmark_items": OP7_SQL}
