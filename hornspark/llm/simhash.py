@@ -107,7 +107,7 @@ def linked(tree: np.ndarray, queries: np.ndarray, radius: int) -> tuple[np.ndarr
                 b.append(both[other])
             label[label == label[other]] = label[node]
             differ = differ[label[differ] != label[node]]
-    return np.array(a, np.int64), np.array(b, np.int64)
+    return np.array(a, np.uint64).view(np.int64), np.array(b, np.uint64).view(np.int64)
 
 
 def block_keys(radius: int) -> list[tuple[int, list[tuple[int, int]]]]:
