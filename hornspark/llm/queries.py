@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hornspark.llm import bpe, containment, html, html_training, langid, simhash, token_counts
+from hornspark.llm import bpe, containment, flac, html, html_training, langid, sharding, simhash, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,12 +16,42 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+#: Bytes of text in a shard of op4.
+SHARD_BYTES = 1 << 20
+
+
+def op4_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.extendible_shards(table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
+OP4_SQL = f"""
+WITH sized AS (
+  SELECT doc_id, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS h, coalesce(strlen(text), 0) AS n_bytes
+  FROM documents
+), bucket AS (
+  SELECT depth, h >> (60 - depth) AS prefix, sum(n_bytes) AS bytes, count(*) AS n, count(DISTINCT h) = 1 AS one_key
+  FROM sized, range(0, 60) AS u(depth) GROUP BY ALL
+), leaf AS (
+  SELECT doc_id, n_bytes, min(depth) AS depth
+  FROM sized, range(0, 60) AS u(depth) JOIN bucket b USING (depth)
+  WHERE b.prefix = h >> (60 - depth) AND (bytes <= {SHARD_BYTES} OR one_key) GROUP BY ALL
+)
+SELECT doc_id, leaf.n_bytes, CASE WHEN depth = 0 THEN '' ELSE right(lpad(bin(prefix), 60, '0'), CAST(depth AS INTEGER)) END AS shard,
+  CAST(0 AS BIGINT) AS page, CAST(bytes AS BIGINT) AS shard_bytes, n AS shard_rows
+FROM leaf JOIN sized USING (doc_id) JOIN bucket USING (depth) WHERE prefix = h >> (60 - depth)
+"""
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.predict(docs, langid.train(docs))
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op6_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.media_digests(table(spark, sf_dir, "documents"))
+
+
 def op7_contained_benchmark_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containment.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -65,11 +95,13 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
+    "op4_extendible_shards": op4_extendible_shards,
     "op5_language_id": op5_language_id,
+    "op6_flac_media": op6_flac_media,
     "op7_contained_benchmark_items": op7_contained_benchmark_items,
     "op8_simhash_near_duplicates": op8_simhash_near_duplicates,
     "op9_token_counts": op9_token_counts,
     "op10_main_text": op10_main_text,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_contained_benchmark_items": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_extendible_shards": OP4_SQL, "op7_contained_benchmark_items": OP7_SQL}
