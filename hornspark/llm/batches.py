@@ -41,29 +41,37 @@ def map_texts(
     text_col: str,
     keep: list[str],
     limit: int = SLICE_CHARS,
+    prefix: str = "",
 ) -> DataFrame:
     """``keep`` columns of ``df`` as they are, and ``fields`` computed from ``text_col``.
 
     ``make()`` is called once in each task and returns a function from a list of texts (None
-    for null) to one list for each field. Only ``keep`` and the text travel to Python; other
-    columns of ``df`` are pruned, so their names can't clash with ``fields``. No shuffle.
+    for null) to one list for each field. Only ``keep`` and the text travel to Python (the
+    text once, if it is kept and a string); other columns of ``df`` are pruned, so their names
+    can't clash with ``fields``. ``prefix`` goes before the names of the fields, for callers
+    that keep columns of any name. No shuffle.
     """
     kept = [f for c in keep for f in df.schema.fields if f.name == c]
-    schema = T.StructType([*kept, *T._parse_datatype_string(", ".join(f"`{n}` {t}" for n, t in fields.items())).fields])
+    schema = T.StructType([*kept, *T._parse_datatype_string(", ".join(f"`{prefix}{n}` {t}" for n, t in fields.items())).fields])
     types = {n: arrow_type(t) for n, t in fields.items()}
+    columns = [F.col(f"`{c}`") for c in keep]
+    if text_col in keep and df.schema[text_col].dataType == T.StringType():
+        at = list(keep).index(text_col)
+    else:
+        at = len(columns)
+        columns.append(F.col(f"`{text_col}`").cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for b in batches:
-            texts = b.column(b.num_columns - 1).to_pylist()
-            own = [b.column(i) for i in range(b.num_columns - 1)]
+            texts = b.column(at).to_pylist()
+            own = [b.column(i) for i in range(len(kept))]
             for lo, hi in slices(texts, limit):
                 out = f(texts[lo:hi])
                 arrays = [c.slice(lo, hi - lo) for c in own] + [x if isinstance(x := out[n], pa.Array) else pa.array(x, t) for n, t in types.items()]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    # the text column travels under a name of its own, so that a kept column may be the text itself
-    return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("__text")).mapInArrow(run, schema)
+    return df.select(*columns).mapInArrow(run, schema)
 
 
 def as_documents(df: DataFrame, like: DataFrame) -> DataFrame:

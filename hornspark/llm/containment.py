@@ -91,6 +91,29 @@ class Sketches:
         return found
 
 
+def _blocks(items: DataFrame, item_text: str, item_id: str, block_shingles: int) -> tuple[DataFrame, list]:
+    """Items with their normalised words and key, and a function that reads each block of distinct ones."""
+    item_type = items.schema[item_id].dataType.simpleString()
+
+    def normal(batches):
+        for b in batches:
+            words = [words_of(t) for t in b.column(1).to_pylist()]
+            arrays = [b.column(0), pa.array([" ".join(w) for w in words], pa.string()), pa.array([len(w) for w in words], pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["item", "words", "n"])
+
+    normalized = items.select(F.col(f"`{item_id}`"), F.col(f"`{item_text}`").cast("string")).mapInArrow(normal, f"item {item_type}, words string, n bigint").where("n > 0")
+    normalized = materialize(normalized.withColumn("key", F.md5("words")), "items")
+    distinct = materialize(normalized.groupBy("key").agg(F.first("words").alias("words"), F.max("n").alias("n")), "distinct-items")
+    total = distinct.agg(F.sum("n")).first()[0] or 0
+    count = max(1, math.ceil(total / (block_shingles / 2)))  # half full on average, so that chance overfills none
+
+    def read(k: int) -> list[tuple[str, list[str]]]:
+        block = distinct.where(F.pmod(F.xxhash64("key"), F.lit(count)) == k).select("key", "words")
+        return [(r["key"], r["words"].split(" ")) for r in block.collect()]
+
+    return normalized, [(lambda k=k: read(k)) for k in range(count)]
+
+
 def contained(
     docs: DataFrame,
     items: DataFrame,
@@ -109,26 +132,15 @@ def contained(
     null or have no word contain and are contained in nothing. Items of the same words are
     searched for once; repeated rows on either side give repeated results. Items are broadcast
     in blocks of ``block_shingles`` shingles, and each block is one pass over the documents,
-    which aren't shuffled.
+    which aren't shuffled. Other columns are dropped.
     """
     spark = docs.sparkSession
-    item_type, id_type = items.schema[item_id].dataType.simpleString(), docs.schema[id_col].dataType.simpleString()
-
-    def normal(batches):
-        for b in batches:
-            words = [words_of(t) for t in b.column(1).to_pylist()]
-            arrays = [b.column(0), pa.array([" ".join(w) for w in words], pa.string()), pa.array([len(w) for w in words], pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["item", "words", "n"])
-
-    normalized = items.select(item_id, F.col(item_text).cast("string")).mapInArrow(normal, f"item {item_type}, words string, n bigint").where("n > 0")
-    normalized = materialize(normalized.withColumn("key", F.md5("words")), "items")
-    distinct = materialize(normalized.groupBy("key").agg(F.first("words").alias("words"), F.max("n").alias("n")), "distinct-items")
-    total = distinct.agg(F.sum("n")).first()[0] or 0
-    blocks = max(1, math.ceil(total / (block_shingles / 2)))  # half full on average, so that chance fills none
-    found = None
-    for k in range(blocks):
-        rows = [(r["key"], r["words"].split(" ")) for r in distinct.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == k).select("key", "words").toLocalIterator()]
-        if not rows:
+    id_type = docs.schema[id_col].dataType.simpleString()
+    normalized, blocks = _blocks(items, item_text, item_id, block_shingles)
+    schema = f"id {id_type}, key string, n_shingles bigint, n_shared bigint"
+    found = spark.createDataFrame([], schema)
+    for read in blocks:
+        if not (rows := read()):
             continue
         shared = spark.sparkContext.broadcast(rows)
 
@@ -144,10 +156,25 @@ def contained(
                         names=["id", "key", "n_shingles", "n_shared"],
                     )
 
-        part = docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"id {id_type}, key string, n_shingles bigint, n_shared bigint")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], f"id {id_type}, key string, n_shingles bigint, n_shared bigint")
+        found = found.unionByName(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")).mapInArrow(run, schema))
     return found.join(normalized.select("key", "item"), "key").select(
         F.col("id").alias(id_col), F.col("item").alias(item_id), "n_shingles", "n_shared", (F.col("n_shared") / F.col("n_shingles")).alias("containment")
     )
+
+
+def without_contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, text_col: str = "text", item_text: str = "text", item_id: str = "item_id", block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """The rows of ``docs``, as they are, whose text contains no item; see ``contained``. No shuffle."""
+    spark = docs.sparkSession
+    at = docs.columns.index(text_col)
+    for read in _blocks(items, item_text, item_id, block_shingles)[1]:
+        if not (rows := read()):
+            continue
+        shared = spark.sparkContext.broadcast(rows)
+
+        def run(batches, shared=shared):
+            sketches = Sketches(shared.value, threshold)
+            for b in batches:
+                yield b.filter(pa.array([not sketches.find(t) for t in b.column(at).to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -290,7 +290,7 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     return fit(training_rows(df, text_col, lang_col, id_col, docs_per_lang))
 
 
-def predict(df: DataFrame, model: Model, text_col: str = "text", keep: tuple = ("doc_id",)) -> DataFrame:
+def predict(df: DataFrame, model: Model, text_col: str = "text", keep: tuple = ("doc_id",), prefix: str = "") -> DataFrame:
     """``keep`` columns, ``lang_pred`` and ``score`` (its share of the words) of every whole text.
 
     A null text, or one without a letter, gives ``und`` with score 0; so does every text if the
@@ -298,4 +298,4 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", keep: tuple = (
     columns are dropped. Null ids pass through and count as not held out.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded: hashed weights and lexicon of at most MAX_LANGS languages
-    return map_texts(df, lambda: Tagger(shared.value), {"lang_pred": "string", "score": "double"}, text_col, list(keep))
+    return map_texts(df, lambda: Tagger(shared.value), {"lang_pred": "string", "score": "double"}, text_col, list(keep), prefix=prefix)

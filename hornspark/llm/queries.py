@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hornspark.llm import bpe, containment, flac, html, html_training, langid, sharding, simhash, token_counts
+from hornspark.llm import bpe, containment, flac, html, html_training, langid, pii, secrets, sharding, simhash, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,14 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"), pii.train())
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"), secrets.train())
+
+
 #: Bytes of text in a shard of op4.
 SHARD_BYTES = 1 << 20
 
@@ -95,6 +103,8 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
+    "op2_personal_data": op2_personal_data,
+    "op3_secrets": op3_secrets,
     "op4_extendible_shards": op4_extendible_shards,
     "op5_language_id": op5_language_id,
     "op6_flac_media": op6_flac_media,

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
@@ -202,6 +201,29 @@ def near_duplicates(df: DataFrame, radius: int = 2, text_col: str = "text", id_c
     return rows.join(labels, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "root")
 
 
-def expected_shards(radius: int) -> int:
-    """Copies of each distinct fingerprint that the sharding makes."""
-    return math.comb(radius + 2, 2)
+#: Ids up to which the list of documents to drop is broadcast; a longer one is joined by a shuffle.
+BROADCAST_IDS = 1 << 20
+
+
+def one_of_each(df: DataFrame, radius: int = 2, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``df`` that stand for their near-duplicate component: those with its smallest id.
+
+    Rows that repeat an id are one document, of which any one row stays. A row without an id
+    stays only if no row of its component has one, and then one row of the component does.
+    """
+    found = materialize(near_duplicates(df, radius, text_col, id_col), "duplicates")
+    key = F.col(f"`{id_col}`")
+    keep = found.where(key == F.col("component_id")).groupBy(key.alias("__id")).agg(F.count("*").alias("n"))
+    drop = materialize(found.where(key.isNotNull()).select(key.alias("__id")).distinct().join(keep, "__id", "left_anti"), "drop")
+    listed = F.broadcast(drop) if drop.count() <= BROADCAST_IDS else drop
+    kept = df.where(key.isNotNull()).join(listed, key == F.col("__id"), "left_anti")
+    repeated = keep.where("n > 1").select("__id")
+    if not repeated.isEmpty():
+        again = kept.join(repeated, key == F.col("__id"), "left_semi").dropDuplicates([id_col])
+        kept = kept.join(repeated, key == F.col("__id"), "left_anti").unionByName(again)
+    nameless = found.where(key.isNull() & F.col("component_id").isNull()).select("fingerprint", "root").distinct()
+    if not nameless.isEmpty():
+        rows = fingerprints(df.where(key.isNull()).withColumnRenamed(text_col, "text"), "text", tuple("text" if c == text_col else c for c in df.columns))
+        rows = rows.withColumnRenamed("fp", "__fp").join(nameless.select(F.conv("fingerprint", 16, -10).cast("bigint").alias("__fp"), F.col("root").alias("__root")), "__fp")
+        kept = kept.unionByName(rows.dropDuplicates(["__root"]).withColumnRenamed("text", text_col).select(*df.columns))
+    return kept
