@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from hornspark.functions.terms import ATOM, STEP, all_ground, atom, canonical_variables, shift_variables
 from hornspark.functions.unify import Bindings, Unifier
 from hornspark.operators import filters
-from hornspark.operators.lookups import matches, rules_for
+from hornspark.operators.lookups import kinds, matches, rules_for
 from hornspark.plans.kb import KnowledgeBase
 from hornspark.plans.materialize import Materialized
-from hornspark.plans.rules import variables_per_rule
+from hornspark.plans.rules import rule_table, variables_per_rule
 
 Hook = Callable[[DataFrame], DataFrame]
 
@@ -74,9 +74,9 @@ def _bind_to_fact(found: DataFrame) -> DataFrame:
     return found.select("qid", b.atoms(F.col("rest")).alias("goals"), b.steps(F.col("steps")).alias("steps"), "excluded")
 
 
-def fact_children(opened: DataFrame, facts: DataFrame) -> DataFrame:
+def fact_children(opened: DataFrame, facts: DataFrame, present: set | None = None) -> DataFrame:
     """One child per fact that the selected goal unifies with, but not a query's own atom."""
-    found = matches(opened, facts)
+    found = matches(opened, facts, present=present)
     e = F.col("excluded")
     return _bind_to_fact(found.where(~F.coalesce((F.col("pred") == e["pred"]) & (F.col("fs") == e["a0"]) & (F.col("fo") == e["a1"]), F.lit(False))))
 
@@ -118,17 +118,23 @@ def _filtered(children: DataFrame, kb: KnowledgeBase, o: Options) -> DataFrame:
 def expand(states: DataFrame, kb: KnowledgeBase, o: Options, depth: int) -> DataFrame:
     """All children of the states."""
     opened = _open(states.where(F.size("goals") > 0))
+    present = kinds(opened)
     shift = variables_per_rule(kb.rules) * (depth + 1)
-    ruled = _filtered(rule_children(opened, kb.rule_frame(), shift, depth, o.keep_evidence), kb, o).drop("new")
+    heads = {p for p, _, _ in present}
+    usable = [r for r in kb.rules if r.head.pred in heads]
+    if not usable and o.resolution != "rtf":
+        ruled = None
+    else:
+        ruled = _filtered(rule_children(opened, rule_table(kb.spark, usable), shift, depth, o.keep_evidence), kb, o).drop("new")
     if o.resolution == "rtf":  # a rule, then a fact for the first atom of its body
         facts = fact_children(_open(ruled), kb.facts)
         for hook in o.fact_hooks:
             facts = hook(facts)
         return facts
-    facts = fact_children(opened, kb.facts)
+    facts = fact_children(opened, kb.facts, present)
     for hook in o.fact_hooks:
         facts = hook(facts)
-    return ruled.unionByName(facts)
+    return facts if ruled is None else ruled.unionByName(facts)
 
 
 def ordered(states: DataFrame, partition: str, most: int | None, order: list) -> DataFrame:
@@ -149,7 +155,6 @@ def ground_queries(kb: KnowledgeBase, queries: DataFrame, o: Options | None = No
     facts and of partitions has no influence. An answer that is itself a fact has no steps.
     """
     o = o or Options()
-    kb = kb if not kb.rules else kb
     states = Materialized(initial(queries), "states").df
     found = None
     for depth in range(o.depth):

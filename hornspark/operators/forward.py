@@ -15,14 +15,28 @@ from hornspark.plans.rules import by_shape, shape_table
 KEY = ["pred", "s", "o"]
 
 
-def apply_rules(kb: KnowledgeBase, known: DataFrame, delta: DataFrame | None = None) -> DataFrame:
-    """Heads that follow in one step from ``known``; with ``delta``, from at least one of its atoms."""
+def only(source: DataFrame, predicates: set[int]) -> DataFrame:
+    """Rows of some predicates; the filter reaches the scan."""
+    return source.where(F.col("pred").isin(sorted(predicates)))
+
+
+def apply_rules(kb: KnowledgeBase, known: DataFrame, delta: DataFrame | None = None, fresh: set[int] | None = None) -> DataFrame:
+    """Heads that follow in one step from ``known``; with ``delta``, from at least one of its atoms.
+
+    ``fresh``: the predicates of ``delta``, if they are known; rules that can't meet them are
+    left out of the plan. Each body position reads only its rules' predicates.
+    """
     parts = []
     for shape, group in by_shape(kb.rules).items():
-        rules = shape_table(kb.spark, shape, group, kb.heads)
         for k in range(len(shape.body)) if delta is not None else [None]:
-            sources = [delta if j == k else known for j in range(len(shape.body))]
+            some = [x for x in group if k is None or fresh is None or x[0].body[k].pred in fresh]
+            if not some:
+                continue
+            rules = shape_table(kb.spark, shape, some, kb.heads)
+            sources = [only(delta if j == k else known, {r.body[j].pred for r, _ in some}) for j in range(len(shape.body))]
             parts.append(chain(rules, shape, sources, shape.order(k)).select(*head_of(shape)))
+    if not parts:
+        return known.select(*KEY).limit(0)
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
@@ -36,21 +50,23 @@ def forward_chain(kb: KnowledgeBase, depth: int = 10, most_new: int | None = Non
     """
     facts = materialize(kb.facts, "facts")
     base = facts.withColumn("is_base", F.lit(True))
-    found, delta = None, None
+    found, delta, fresh = None, None, None
     for step in range(depth):
         known = facts if found is None else facts.unionByName(found.where("not is_base").select(*KEY))
-        new = apply_rules(kb, known, delta)
+        new = apply_rules(kb, known, delta, fresh)
         if found is not None:
             new = new.join(found, KEY, "left_anti")
         new = new.join(base, KEY, "left").select(*KEY, F.lit(step).alias("step"), F.coalesce("is_base", F.lit(False)).alias("is_base"))
         rows = Materialized(new, f"delta-{step}")
-        n = rows.df.count()
+        counts = rows.df.groupBy("pred").agg(F.count("*").alias("n"), F.count_if(~F.col("is_base")).alias("new")).collect()  # one row per predicate
+        n = sum(r["n"] for r in counts)
         if most_new is not None and n > most_new:
             raise RuntimeError(f"step {step} derived {n} atoms, more than {most_new}")
         if not n:
             break
         found = rows.df if found is None else found.unionByName(rows.df)
         delta = rows.df.where("not is_base").select(*KEY)
+        fresh = {r["pred"] for r in counts if r["new"]}
     if found is None:
         return kb.spark.createDataFrame([], "pred int, s bigint, o bigint, step int, is_base boolean")
     return found
@@ -61,7 +77,8 @@ def instances(kb: KnowledgeBase, goals: DataFrame, source: DataFrame) -> DataFra
     parts = []
     for shape, group in by_shape(kb.rules).items():
         rules = shape_table(kb.spark, shape, group, kb.heads)
-        full = chain(rules, shape, [source] * len(shape.body), shape.order(None), semi=False)
+        sources = [only(source, {r.body[i].pred for r, _ in group}) for i in range(len(shape.body))]
+        full = chain(rules, shape, sources, shape.order(None), semi=False)
         parts.append(full.select("rule_id", *head_of(shape), body_of(shape).alias("body")))
     return reduce(DataFrame.unionByName, parts).join(goals.select(*KEY), KEY, "left_semi")
 
@@ -77,7 +94,7 @@ def witnesses(kb: KnowledgeBase, closure: DataFrame) -> DataFrame:
     parts = []
     for shape, group in by_shape(kb.rules).items():
         rules = shape_table(kb.spark, shape, group, kb.heads)
-        sources = [known.withColumnRenamed("step", f"t{i}") for i in range(len(shape.body))]
+        sources = [only(known, {r.body[i].pred for r, _ in group}).withColumnRenamed("step", f"t{i}") for i in range(len(shape.body))]
         full = chain(rules, shape, sources, shape.order(None), semi=False)
         latest = F.greatest(*[F.col(f"t{i}") for i in range(len(shape.body))]) if len(shape.body) > 1 else F.col("t0")
         parts.append(full.select("rule_id", *head_of(shape), body_of(shape).alias("body"), latest.alias("latest")))

@@ -13,21 +13,38 @@ def contains(atoms: DataFrame, facts: DataFrame, flag: str = "known") -> DataFra
     return atoms.join(facts.select("pred", "s", "o").withColumn(flag, F.lit(True)), ["pred", "s", "o"], "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
-def matches(goals: DataFrame, facts: DataFrame, pred: str = "pred", a0: str = "a0", a1: str = "a1") -> DataFrame:
+def kinds(goals: DataFrame) -> set[tuple[int, bool, bool]]:
+    """The predicates of (pred, a0, a1) with which arguments are bound: few, whatever the data."""
+    return {tuple(r) for r in goals.select("pred", F.col("a0") >= 0, F.col("a1") >= 0).distinct().collect()}
+
+
+def matches(goals: DataFrame, facts: DataFrame, pred: str = "pred", a0: str = "a0", a1: str = "a1", present: set[tuple[int, bool, bool]] | None = None) -> DataFrame:
     """Each goal with the facts that it unifies with, as columns fs and fo.
 
+    ``present``: the ``kinds`` of the goals, if they are known; joins for others are left out,
+    and each reads only its predicates.
+
     Goals are parted by which arguments are bound, so that each part is a pure equi-join on
     all bound columns; in goals with one variable twice, subject and object are equal.
     """
-    f = facts.select(F.col("pred").alias("_p"), F.col("s").alias("fs"), F.col("o").alias("fo"))
     p, x, y = F.col(pred), F.col(a0), F.col(a1)
-    on = p == F.col("_p")
-    parts = [
-        goals.where((x >= 0) & (y >= 0)).join(f, on & (x == F.col("fs")) & (y == F.col("fo"))),
-        goals.where((x >= 0) & (y < 0)).join(f, on & (x == F.col("fs"))),
-        goals.where((x < 0) & (y >= 0)).join(f, on & (y == F.col("fo"))),
-        goals.where((x < 0) & (y < 0)).join(f, on).where((x != y) | (F.col("fs") == F.col("fo"))),
-    ]
+    parts = []
+    for bound0 in (True, False):
+        for bound1 in (True, False):
+            f = facts
+            if present is not None:
+                own = sorted(k[0] for k in present if k[1:] == (bound0, bound1))
+                if not own:
+                    continue
+                f = f.where(F.col("pred").isin(own))
+            f = f.select(F.col("pred").alias("_p"), F.col("s").alias("fs"), F.col("o").alias("fo"))
+            on = p == F.col("_p")
+            on = on & (x == F.col("fs")) if bound0 else on
+            on = on & (y == F.col("fo")) if bound1 else on
+            part = goals.where(((x >= 0) == bound0) & ((y >= 0) == bound1)).join(f, on)
+            parts.append(part if bound0 or bound1 else part.where((x != y) | (F.col("fs") == F.col("fo"))))
+    if not parts:
+        return goals.limit(0).withColumn("fs", F.lit(0).cast("bigint")).withColumn("fo", F.lit(0).cast("bigint"))
     return reduce(DataFrame.unionByName, parts).drop("_p")
 
 
