@@ -65,6 +65,7 @@ def forward_backward(psi: np.ndarray, starts: np.ndarray, move: np.ndarray, begi
     p[:n] = psi
     s = np.zeros(blocks * block, bool)
     s[:n] = starts
+    s[n:] = True  # what fills the last block is no part of the last chain
     p, s = p.reshape(blocks, block, k).swapaxes(0, 1), s.reshape(blocks, block).T
     at = [np.flatnonzero(x) for x in s]
     # the matrix of each block

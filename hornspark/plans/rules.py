@@ -6,7 +6,10 @@ import re
 from collections import defaultdict
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from hornspark.functions.terms import ATOM
 
@@ -144,6 +147,17 @@ def by_shape(rules: list[Rule]) -> dict[Shape, list[tuple[Rule, list[int]]]]:
     return dict(out)
 
 
+def local_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows as a local relation: the plan holds them, so no job and no Python worker reads them."""
+    fields = T._parse_datatype_string(schema)
+    arrow = to_arrow_schema(fields)
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    if any(isinstance(f.dataType, T.ArrayType) for f in fields):
+        names = ("pred", "a0", "a1")
+        columns = [[[dict(zip(names, a, strict=True)) for a in x] for x in c] if isinstance(f.dataType, T.ArrayType) else c for f, c in zip(fields, columns, strict=True)]
+    return spark.createDataFrame(pa.table([pa.array(list(c), t.type) for c, t in zip(columns, arrow, strict=True)], schema=arrow), fields)
+
+
 def shape_table(spark: SparkSession, shape: Shape, group: list[tuple[Rule, list[int]]], heads: set[int]) -> DataFrame:
     """The rules of a shape: rule_id, head predicate hp, body predicates p0.., constants c1.., and
     whether each body predicate heads a rule (d0..). As large as the program, so it is broadcast."""
@@ -151,13 +165,13 @@ def shape_table(spark: SparkSession, shape: Shape, group: list[tuple[Rule, list[
     n = len(group[0][1])
     schema = "rule_id int, hp int, " + ", ".join([*(f"p{i} int" for i in range(m)), *(f"d{i} boolean" for i in range(m)), *(f"c{k + 1} bigint" for k in range(n))])
     rows = [(r.rule_id, r.head.pred, *(b.pred for b in r.body), *(b.pred in heads for b in r.body), *c) for r, c in group]
-    return spark.createDataFrame(rows, schema)
+    return local_frame(spark, rows, schema)
 
 
 def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
     """One row per rule: rule_id, hp, h0, h1, body, weight."""
     rows = [(r.rule_id, r.head.pred, r.head.a0, r.head.a1, [(b.pred, b.a0, b.a1) for b in r.body], float(r.weight)) for r in rules]
-    return spark.createDataFrame(rows, f"rule_id int, hp int, h0 bigint, h1 bigint, body array<{ATOM}>, weight double")
+    return local_frame(spark, rows, f"rule_id int, hp int, h0 bigint, h1 bigint, body array<{ATOM}>, weight double")
 
 
 def variables_per_rule(rules: list[Rule]) -> int:
