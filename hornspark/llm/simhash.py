@@ -38,13 +38,13 @@ def fingerprints_of(texts: list) -> np.ndarray:
     return out.astype(np.uint64)
 
 
-def fingerprints(df: DataFrame, text_col: str = "text", keep: tuple = ("doc_id",)) -> DataFrame:
-    """``keep`` columns and ``fp``, the fingerprint as a (signed) long.
+def fingerprints(df: DataFrame, text_col: str = "text", keep: tuple = ("doc_id",), prefix: str = "") -> DataFrame:
+    """``keep`` columns and ``fp``, the fingerprint as a (signed) long; ``prefix`` goes before its name.
 
     Words are lower-cased (A-Z) runs without ASCII white space; shingles of three words keep
     their repeats; fewer words give one shingle; none, or a null text, give fingerprint zero.
     """
-    return map_texts(df, lambda: lambda texts: {"fp": pa.array(fingerprints_of(texts).view(np.int64))}, {"fp": "bigint"}, text_col, list(keep))
+    return map_texts(df, lambda: lambda texts: {"fp": pa.array(fingerprints_of(texts).view(np.int64))}, {"fp": "bigint"}, text_col, list(keep), prefix=prefix)
 
 
 class BKTree:
@@ -223,7 +223,7 @@ def one_of_each(df: DataFrame, radius: int = 2, text_col: str = "text", id_col:
         kept = kept.join(repeated, key == F.col("__id"), "left_anti").unionByName(again)
     nameless = found.where(key.isNull() & F.col("component_id").isNull()).select("fingerprint", "root").distinct()
     if not nameless.isEmpty():
-        rows = fingerprints(df.where(key.isNull()).withColumnRenamed(text_col, "text"), "text", tuple("text" if c == text_col else c for c in df.columns))
-        rows = rows.withColumnRenamed("fp", "__fp").join(nameless.select(F.conv("fingerprint", 16, -10).cast("bigint").alias("__fp"), F.col("root").alias("__root")), "__fp")
-        kept = kept.unionByName(rows.dropDuplicates(["__root"]).withColumnRenamed("text", text_col).select(*df.columns))
+        rows = fingerprints(df.where(key.isNull()), text_col, tuple(df.columns), prefix="__")
+        rows = rows.join(nameless.select(F.conv("fingerprint", 16, -10).cast("bigint").alias("__fp"), F.col("root").alias("__root")), "__fp")
+        kept = kept.unionByName(rows.dropDuplicates(["__root"]).select(*[F.col(f"`{c}`") for c in df.columns]))
     return kept

@@ -279,7 +279,7 @@ def test_pages(spark):
     rows = [(1, "u", page), (2, None, None), (3, "v", ""), (4, "w", "<p>" * 3000 + "deep"), (None, "x", "<!-- only --><script>x()</script>"), (5, "y", "<" * 1000), (6, "z", "<div>" * 3000 + "deep text")]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("text", F.lit("clash")).withColumn("n_chars", F.lit(1))
     got = {r["url"]: r for r in html.extract(df, model).collect()}
-    assert got["u"]["text"] == "A & B\nOne two three.\nFour five." and got["u"]["n_chars"] == 32
+    assert got["u"]["text"] == "A & B\nOne two three.\nFour five." and got["u"]["n_chars"] == 31
     assert got[None]["text"] == "" and got["v"]["n_chars"] == 0 and got["x"]["text"] == ""
     assert html.extract(df.limit(0), model).count() == 0
 
