@@ -26,8 +26,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near-duplicates."""
-    return simhash.one_of_each(docs, radius=2)
+    """Keeps the document with the smallest id of each group of documents that share 80 % of their shingles of five words."""
+    return simhash.one_of_each(docs, similar=True)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -321,3 +321,50 @@ def test_pipeline_stages_take_awkward_rows(spark, awkward, none):
                 assert docs.columns == before.columns
                 docs = docs.cache()
         assert docs.count() <= rows.count()
+
+
+def edited_copies(seed=0):
+    r = random.Random(seed)
+    vocabulary = [f"w{k}" for k in range(500)]
+    texts = []
+    for n in [5, 8, 20, 21, 40, 80, 150, 300, 900] * 3:
+        w = r.choices(vocabulary, k=n)
+        texts.append(" ".join(w))
+        for edits in (1, 1, 2, 3, 6, n // 50, n // 40):
+            copy = list(w)
+            for at in r.sample(range(n), min(edits, n)):
+                copy[at] = r.choice(vocabulary)
+            texts.append(" ".join(copy if r.random() < 0.7 else copy[: n - n // 12]))
+            if r.random() < 0.4:
+                w = copy  # a chain of edits
+    return [*texts, *texts[:20], texts[0].upper(), "", " ", None]
+
+
+def shingle_set(text):
+    w = (text or "").lower().split()
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def least_of_similar(texts):
+    sets = [shingle_set(t) for t in texts]
+    least = list(range(len(sets)))
+    for b, y in enumerate(sets):
+        for a, x in enumerate(sets[:b]):
+            if x == y or len(x & y) >= 0.8 * len(x | y):
+                p, q = sorted((least[a], least[b]))
+                least = [p if z == q else z for z in least]
+    return least
+
+
+def test_similar_documents_are_those_of_brute_force(spark):
+    texts = edited_copies()
+    expected = least_of_similar(texts)
+    assert len(set(expected)) < len({shingle_set(t) for t in texts}) - 40
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {r["doc_id"] for r in corpus_pipeline.one_of_near_duplicates(spark, df, SF).collect()} == set(expected)
+
+
+def test_candidates_of_split_bands_are_the_same(spark):
+    nodes = simhash.sketches(spark.createDataFrame(list(enumerate(edited_copies(1))), "doc_id long, text string")).dropDuplicates(["fp"]).drop("doc_id").withColumn("label", F.col("fp")).cache()
+    found = [{tuple(r) for r in simhash.candidate_pairs(nodes, forest=False, tree_nodes=n).collect()} for n in (1 << 14, 7)]
+    assert found[0] == found[1] and found[0]
