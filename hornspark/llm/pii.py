@@ -24,7 +24,7 @@ BASE = ("email", "ip", "card", "phone")
 #: Kinds that only the field finds.
 ADDED = ("obfuscated_email", "local_phone", "iban", "national_id")
 KINDS = BASE + ADDED
-#: Tokens of a run of digit groups that may hold an entity, and characters around a place that
+#: Tokens of digit groups and their separators that an entity may have, and characters around a place that
 #: may hold one: more than any entity has on one side of it, with its cue words.
 LONGEST, REACH = 14, 120
 
@@ -110,8 +110,8 @@ class Island:
         """Candidate entities as token ranges; pattern spans are not among them.
 
         They are parts of a run of digit groups that stand one character apart (7 to 13
-        digits; such a run of over LONGEST tokens is a table of numbers and holds none),
-        IBAN-like runs, and addresses in words.
+        digits in LONGEST tokens at most, anywhere in a run of any length), IBAN-like runs,
+        and addresses in words.
         """
         out = []
         text, tokens = self.text, self.tokens
@@ -125,17 +125,16 @@ class Island:
             while end < len(tokens) and not tokens[end][2] and tokens[end][0] - tokens[end - 1][1] <= 1 and (numeric[end] or text[tokens[end][0]] in "()-./"):
                 end += 1
             opened = i > 0 and text[tokens[i - 1][0]] == "("
-            if end - i <= LONGEST:
-                for lo in range(i - opened, end):
-                    if not (numeric[lo] or text[tokens[lo][0]] == "("):
-                        continue
-                    digits = 0
-                    for hi in range(lo, end):
-                        digits += (tokens[hi][1] - tokens[hi][0]) * numeric[hi]
-                        if digits > 13:
-                            break
-                        if digits >= 7 and numeric[hi]:
-                            out.append((lo, hi + 1))
+            for lo in range(i - opened, end):
+                if not (numeric[lo] or text[tokens[lo][0]] == "("):
+                    continue
+                digits = 0
+                for hi in range(lo, min(end, lo + LONGEST)):
+                    digits += (tokens[hi][1] - tokens[hi][0]) * numeric[hi]
+                    if digits > 13:
+                        break
+                    if digits >= 7 and numeric[hi]:
+                        out.append((lo, hi + 1))
             i = end
         if tokens:
             first = {t[0]: k for k, t in enumerate(tokens)}
@@ -192,11 +191,13 @@ class Island:
             before.isalnum() or before in tuple("-./#_=+$€\"'"),
             after.isalnum() or after in tuple("-/_=%") or after in tuple(".,:") and beyond.isdigit(),
             s.startswith("0"),
+            before.isspace() and self.text[max(0, lo - 2) : lo - 1].isdigit(),
+            after.isspace() and beyond.isdigit(),
         ]
         return [k for k, f in enumerate(flags) if f]
 
 
-FEATURES = 34
+FEATURES = 36
 
 
 @dataclass
@@ -337,14 +338,40 @@ class Maker:
             text += r.choice([" ", ", ", ". ", "; "]) + self.words(r.randint(1, 5))
         return text, spans
 
+    def listing(self) -> tuple[str, list]:
+        """A list of entities of one form, or a table of numbers that holds none."""
+        r, d = self.r, self.d
+        text, spans = self.words(r.randint(1, 3)) + r.choice(["\n", " ", ": "]), []
+        entities, form, columns = r.random() < 0.5, r.randrange(7), r.randint(2, 6)
+        kind = r.choice(["local_phone", "national_id"])
+        gap = r.choice([" ", "\n"])
+        for k in range(r.randint(3, 9)):
+            if k:
+                text += gap
+            if entities:
+                s = self.entity(kind)
+                spans.append((kind, len(text), len(text) + len(s)))
+            else:
+                s = [
+                    lambda: f"{r.choice(['19', '20'])}{d(2)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}",
+                    lambda: f"{r.randint(1, 28):02d}.{r.randint(1, 12):02d}.{r.choice(['19', '20'])}{d(2)}",
+                    lambda: " ".join(f"{d(r.randint(1, 3))}.{d(2)}" for _ in range(columns)),
+                    lambda: " ".join(str(int(d(4))) for _ in range(columns)),
+                    lambda: " ".join(d(3) for _ in range(columns)),
+                    lambda: f"{d(2)}:{d(2)}:{d(2)} " + d(r.randint(1, 5)),
+                    lambda: " ".join(d(columns) for _ in range(columns)),
+                ][form]()
+            text += s
+        return text + r.choice([" ", "\n", ". "]) + self.words(2), spans
+
 
 @lru_cache(maxsize=2)
-def train(sentences: int = 260, epochs: int = 9, seed: int = 5) -> Model:
+def train(sentences: int = 260, epochs: int = 9, seed: int = 5, lists: int = 120) -> Model:
     """Fit the field by its conditional likelihood on made-up sentences; some seconds on the driver."""
     maker = Maker(seed)
     data = []
-    for _ in range(sentences):
-        text, spans = maker.sentence()
+    for k in range(sentences + lists):
+        text, spans = maker.sentence() if k < sentences else maker.listing()
         base = base_spans(text)
         if any(a < hi and lo < b for _, a, b in base for _, lo, hi in spans):
             continue

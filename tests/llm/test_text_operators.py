@@ -289,3 +289,23 @@ def test_secrets(awkward, none):
         found, p = model([t], [path])
         right += secret == any(q >= 0.5 for (a, b), q in zip(found[0], p[0], strict=True) if a < hi and lo < b)
     assert right >= 285
+
+
+@pytest.mark.parametrize("gap", [" ", "\n"])
+@pytest.mark.parametrize("n", [3, 10, 1000])
+def test_lists_of_numbers_are_personal_data(gap, n):
+    for form in (lambda k: f"212-555-{1234 + k}", lambda k: f"({212 + k % 700}) 555-{1234 + k}", lambda k: f"{123 + k % 600}-45-{6789 - k}"):
+        items = [form(k) for k in range(n)]
+        text = "list " + gap.join(items) + " end"
+        starts = np.cumsum([5] + [len(s) + len(gap) for s in items[:-1]]).tolist()
+        found = {(lo, hi) for _, lo, hi in pii.all_spans(pii.train(), text)[1]}
+        assert found == {(lo, lo + len(s)) for lo, s in zip(starts, items, strict=True)}
+
+
+def test_tables_of_numbers_hold_no_personal_data():
+    r = random.Random(0)
+    days = "\n".join(f"20{r.randint(10, 25)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}" for _ in range(100))
+    shares = " ".join(f"{r.random() * 100:.2f}" for _ in range(300))
+    for text in (days, shares):
+        base, spans = pii.all_spans(pii.train(), text)
+        assert spans == base
