@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +15,8 @@ from hornspark.plans.materialize import Materialized, materialize
 from hornspark.plans.rules import by_shape, shape_table
 
 KEY = ["pred", "s", "o"]
+#: Rounds after which the atoms found so far are written out as one table, so that plans stay short.
+MERGE_ROUNDS = 8
 
 
 def only(source: DataFrame, predicates: set[int]) -> DataFrame:
@@ -40,8 +44,11 @@ def apply_rules(kb: KnowledgeBase, known: DataFrame, delta: DataFrame | None = N
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
-def forward_chain(kb: KnowledgeBase, depth: int = 10, most_new: int | None = None) -> DataFrame:
-    """Derived atoms (pred, s, o) with the ``step`` of their first derivation, at most ``depth`` steps.
+def forward_chain(kb: KnowledgeBase, depth: int | None = None, most_new: int | None = None) -> DataFrame:
+    """Derived atoms (pred, s, o) with the ``step`` of their first derivation.
+
+    The rounds go on to the fixpoint. With a ``depth`` there are at most so many, and a warning
+    says if the last one still had new atoms, so that the closure may be incomplete.
 
     Base facts are among them only if a rule derives them again, marked ``is_base``. A round
     joins the atoms that are new in the last one with all known ones, drops the known by an
@@ -51,7 +58,9 @@ def forward_chain(kb: KnowledgeBase, depth: int = 10, most_new: int | None = Non
     facts = materialize(kb.facts, "facts")
     base = facts.withColumn("is_base", F.lit(True))
     found, delta, fresh = None, None, None
-    for step in range(depth):
+    for step in count() if depth is None else range(depth):
+        if step and step % MERGE_ROUNDS == 0:
+            found = materialize(found, f"found-{step}")
         known = facts if found is None else facts.unionByName(found.where("not is_base").select(*KEY))
         new = apply_rules(kb, known, delta, fresh)
         if found is not None:
@@ -67,6 +76,9 @@ def forward_chain(kb: KnowledgeBase, depth: int = 10, most_new: int | None = Non
         found = rows.df if found is None else found.unionByName(rows.df)
         delta = rows.df.where("not is_base").select(*KEY)
         fresh = {r["pred"] for r in counts if r["new"]}
+    else:
+        if fresh:
+            warnings.warn(f"forward chaining ended after {depth} rounds, the last of which had new atoms", stacklevel=2)
     if found is None:
         return kb.spark.createDataFrame([], "pred int, s bigint, o bigint, step int, is_base boolean")
     return found

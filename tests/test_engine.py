@@ -294,3 +294,11 @@ def test_random_bases_agree(spark, seed):
     again, _ = ground_queries(shuffled, ask(spark, *goals).repartition(3), Options(depth=5, prune_facts=True))
     key = lambda df: {(x["qid"], x["body"]) for x in export.evidence_flat(df).collect()}
     assert key(again) == key(found)
+
+
+def test_closures_go_on_to_the_fixpoint_and_a_bound_is_reported(spark):
+    kb = base(spark, [(1, i, i + 1) for i in range(13)], ANCESTOR[1])
+    c = forward.forward_chain(kb).collect()
+    assert {(r["s"], r["o"], r["step"]) for r in c} == {(i, j, j - i - 1) for i in range(14) for j in range(i + 1, 14)}
+    with pytest.warns(UserWarning, match="ended after 2 rounds"):
+        assert {r["step"] for r in forward.forward_chain(kb, depth=2).collect()} == {0, 1}
