@@ -9,20 +9,23 @@ from pyspark.sql import functions as F
 from hornspark.llm import bpe, containment, langid, pii, simhash
 from hornspark.plans.materialize import materialize
 
-#: A document is rejected if no language has this share of its words.
-LEAST_SCORE = 0.3
+#: A document is rejected if its best language has no more than this part of the way from an even
+#: share of its words (one over the number of learned languages) to all of them.
+LEAST_LEAD = 0.1
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language can't be told: null or without letters, or a mixture of many.
+    """Drops documents whose language can't be told: null, without letters, or an even mixture of all languages.
 
     If no row has a language to learn from, documents with a letter can't be judged and stay.
     """
     model = langid.train(docs)
     if not model.labels:
         return docs.where(F.col("text").rlike(r"\p{L}"))
+    even = 1 / len(model.labels)
     found = langid.predict(docs, model, keep=tuple(docs.columns), prefix="__")
-    return found.where((F.col("__lang_pred") != langid.UNKNOWN) & (F.col("__score") >= LEAST_SCORE)).select(*docs.columns)
+    told = (F.col("__lang_pred") != langid.UNKNOWN) & (F.col("__score") >= even + LEAST_LEAD * (1 - even) - 1e-9)
+    return found.where(told).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,33 +22,40 @@ from pyspark.sql import functions as F
 from hornspark.llm.batches import map_texts
 
 UNKNOWN = "und"
-#: Bounds of the training sample: documents of a language, languages (the most frequent), and
-#: words of a document, in passages spread evenly over its whole text.
-DOCS_PER_LANG, MAX_LANGS, WORDS_PER_DOC, PASSAGE = 150, 64, 320, 40
-DIMENSIONS = 1 << 17
+#: Bounds of the training sample: documents of a language (about), and words of a document, in
+#: passages spread evenly over its whole text.
+DOCS_PER_LANG, WORDS_PER_DOC, PASSAGE = 150, 320, 40
+#: Hashed features, and weights at most: with over 64 languages there are fewer features.
+DIMENSIONS, WEIGHTS = 1 << 17, 1 << 23
+#: Letters of a chain position. A longer run, as in scripts without spaces, is cut into several.
+RUN = 32
 LEXICON = 200
 SEQUENCES, LENGTH, SWITCH, EPOCHS, BATCH, RATE = 1500, 64, 0.04, 3, 50, 0.3
 CACHE_WORDS = 300_000
 BLOCK = 128
 
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"[^\W\d_]{1,%d}" % RUN)
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-cased runs of letters; none if no character is a letter."""
+    """Lower-cased runs of letters, cut every RUN letters; none if no character is a letter."""
     words = _WORD.findall(text.lower()) if text else []
     return words if any(c.isalpha() for w in words for c in w) else []
 
 
-def features(word: str, lexicon: dict[str, int]) -> list[int]:
+def features(word: str, lexicon: dict[str, int], dimensions: int = DIMENSIONS) -> list[int]:
     """Hashed affix, n-gram and lexicon features of a word."""
-    w = word if len(word) <= 40 else word[:20] + word[-20:]  # n-grams of a very long word; affixes are the same
-    names = [f"p{w[:k]}" for k in (1, 2, 3)] + [f"s{w[-k:]}" for k in (1, 2, 3, 4)]
-    b = f"<{w}>"
+    names = [f"p{word[:k]}" for k in (1, 2, 3)] + [f"s{word[-k:]}" for k in (1, 2, 3, 4)]
+    b = f"<{word}>"
     names += [b[i : i + 2] for i in range(len(b) - 1)] + [b[i : i + 3] for i in range(len(b) - 2)]
     if word in lexicon:
         names += [f"w{word}", f"l{lexicon[word]}"]
-    return [zlib.crc32(n.encode("utf-8", "replace")) % DIMENSIONS for n in names]
+    return [zlib.crc32(n.encode("utf-8", "replace")) % dimensions for n in names]
+
+
+def dimensions_of(labels: int) -> int:
+    """The power of two of hashed features that keeps the weights of so many labels within WEIGHTS."""
+    return min(DIMENSIONS, 1 << max(12, (WEIGHTS // max(1, labels)).bit_length() - 1))
 
 
 def forward_backward(psi: np.ndarray, starts: np.ndarray, move: np.ndarray, begin: np.ndarray, block: int = BLOCK) -> np.ndarray:
@@ -120,7 +127,7 @@ class Model:
     begin: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     def emissions(self, words: list[str]) -> np.ndarray:
-        found = [features(w, self.lexicon) for w in words]
+        found = [features(w, self.lexicon, len(self.weights)) for w in words]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         rows = self.weights[np.fromiter((i for f in found for i in f), np.int64, int(sizes.sum()))]
         return np.add.reduceat(rows, np.r_[0, np.cumsum(sizes)[:-1]], axis=0) / np.sqrt(sizes)[:, None]
@@ -180,8 +187,8 @@ def fit(rows: list[tuple[str, list[str]]], seed: int = 7) -> Model:
     for c in counts:
         frequent.update(dict(sorted(c.items(), key=lambda x: (-x[1], x[0]))[:LEXICON]))
     lexicon = {w: max(range(len(labels)), key=lambda k: (counts[k][w] / max(1, counts[k].total()), -k)) for w in frequent}
-    k = len(labels)
-    model = Model(labels, lexicon, np.zeros((DIMENSIONS, k), np.float32), np.zeros((k, k)), np.zeros(k))
+    k, dimensions = len(labels), dimensions_of(len(labels))
+    model = Model(labels, lexicon, np.zeros((dimensions, k), np.float32), np.zeros((k, k)), np.zeros(k))
     words, gold = [], []
     for _ in range(SEQUENCES):
         w: list[str] = []
@@ -197,9 +204,9 @@ def fit(rows: list[tuple[str, list[str]]], seed: int = 7) -> Model:
         gold.append(g)
     types = sorted({x for w in words for x in w})
     index = {x: i for i, x in enumerate(types)}
-    found = [np.array(features(x, lexicon)) for x in types]
+    found = [np.array(features(x, lexicon, dimensions)) for x in types]
     tokens, gold = np.array([[index[x] for x in w] for w in words]), np.array(gold)
-    squares, move_squares, begin_squares = np.full((DIMENSIONS, k), 1e-6, np.float32), np.full((k, k), 1e-6), np.full(k, 1e-6)
+    squares, move_squares, begin_squares = np.full((dimensions, k), 1e-6, np.float32), np.full((k, k), 1e-6), np.full(k, 1e-6)
     for _ in range(EPOCHS):
         order = rng.permutation(SEQUENCES)
         for lo in range(0, SEQUENCES, BATCH):
@@ -255,26 +262,19 @@ def training_rows(df: DataFrame, text_col: str, lang_col: str, id_col: str, docs
     """A bounded sample of (language, words) of rows that may be learned from.
 
     About ``docs_per_lang`` rows of each language are picked by a hash of id and text, at a rate
-    from the language's row count; of each, words in passages spread over the whole text.
+    from the language's row count; of each, words in passages spread over the whole text. Rows
+    that repeat id and text count once. Every language is sampled.
     """
     may = df.where(~held_out(id_col) & F.col(f"`{lang_col}`").isNotNull()).select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{id_col}`").cast("string").alias("id"))
-    counts = may.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    if not counts:
-        return []
-    rate = F.lit(0)
-    for r in counts:
-        rate = F.when(F.col("lang") == r["lang"], F.lit(min(1 << 30, int((1 << 30) * docs_per_lang / r["count"]) + 1))).otherwise(rate)
-    picked = may.where(rate > 0).where(F.pmod(F.xxhash64("id", "lang"), F.lit(1 << 30)) < rate).select("lang", "text")
+    counts = may.groupBy("lang").agg((F.lit((1 << 30) * docs_per_lang) / F.count("*")).alias("rate"))  # one row per language
+    picked = may.join(counts, "lang").where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) <= F.col("rate")).dropDuplicates(["id", "text", "lang"]).select("lang", "text")
 
     def passages(batches):
         for b in batches:
-            out = []
-            for t in b.column(1).to_pylist():
-                words = words_of(t)
-                out.append([w[:40] for w in spread(words)])
+            out = [spread(words_of(t)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.string()))], names=["lang", "words"])
 
-    rows = picked.mapInArrow(passages, "lang string, words array<string>").limit(2 * docs_per_lang * len(counts) + 1000).collect()
+    rows = picked.mapInArrow(passages, "lang string, words array<string>").collect()
     return [(r["lang"], list(r["words"])) for r in rows if r["words"]]
 
 
@@ -298,5 +298,5 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", keep: tuple = (
     model has learned no language. Repeated rows stay; an empty table gives an empty one; other
     columns are dropped. Null ids pass through and count as not held out.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded: hashed weights and lexicon of at most MAX_LANGS languages
+    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded: hashed weights and a lexicon of the languages
     return map_texts(df, lambda: Tagger(shared.value), {"lang_pred": "string", "score": "double"}, text_col, list(keep), prefix=prefix)

@@ -17,7 +17,7 @@ from hornspark.plans.materialize import materialize
 
 WORDS, SEED, BITS = 3, 42, 64
 #: Fingerprints in one BK-tree; a larger shard is dealt over several trees, each searched by all.
-TREE_NODES = 8192
+TREE_NODES = 16384
 
 
 def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -131,14 +131,67 @@ def block_keys(radius: int) -> list[tuple[int, list[tuple[int, int]]]]:
     return [(k, list(pair)) for k, pair in enumerate(combinations(ranges, 2))]
 
 
+def dealt(keyed: DataFrame, keys: list[str], tree_nodes: int = TREE_NODES, texts: DataFrame | None = None) -> DataFrame:
+    """Rows of ``keyed`` (``keys``, ``fp``, ...) whose shard has another row, as tasks (``keys``, i, j).
+
+    Shards are counted before any row moves, so most rows never do, and a large shard is no
+    task of its own: one of over ``tree_nodes`` rows is dealt over several trees, and every
+    pair i, j of these is a task; ``own`` is the row's tree. With ``texts`` (fp, text) the rows
+    get them, trees hold TREE_BYTES of a column ``bytes``, and shards of one ``label`` are left out.
+    """
+    size = F.count("*") / F.lit(tree_nodes)
+    if texts is not None:
+        size = F.greatest(size, F.sum("bytes") / F.lit(TREE_BYTES))
+    counts = keyed.groupBy(*keys).agg(F.count("*").alias("__n"), F.ceil(size).cast("int").alias("__parts"), *([(F.min("label") < F.max("label")).alias("__several")] if texts is not None else []))
+    shared = materialize(counts.where("__n > 1" if texts is None else "__several").select(*keys, "__parts"), "shared")
+    own = F.pmod(F.xxhash64("fp"), F.col("__parts")).cast("int")
+    rest = [c for c in keyed.columns if c not in keys]
+    rows = (
+        keyed.join(shared, keys)
+        .select(*keys, *rest, own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)).alias("__other"))
+        .select(*keys, F.least("own", "__other").alias("i"), F.greatest("own", "__other").alias("j"), "own", *rest)
+    )
+    if texts is not None:
+        rows = rows.join(texts, "fp")
+    return rows.repartition(*keys, "i", "j").sortWithinPartitions(*keys, "i", "j", "fp")
+
+
+def shards(batches: Iterator[pa.RecordBatch], width: int, text: bool = False) -> Iterator[tuple[np.ndarray, list]]:
+    """The rows of each task, which are consecutive and have equal first ``width`` columns.
+
+    All columns are integers; with ``text`` the last is a string and comes as a list.
+    """
+    held: list[tuple[np.ndarray, list]] = []
+
+    def whole() -> tuple[np.ndarray, list]:
+        return (held[0] if len(held) == 1 else (np.concatenate([r for r, _ in held]), [t for _, ts in held for t in ts]))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = batch.columns[:-1] if text else batch.columns
+        rows = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in columns])
+        texts = batch.columns[-1].to_pylist() if text else []
+        cut = [0, *(np.flatnonzero((np.diff(rows[:, :width], axis=0) != 0).any(axis=1)) + 1), len(rows)]
+        for lo, hi in zip(cut, cut[1:], strict=False):
+            if held and (held[0][0][0, :width] != rows[lo, :width]).any():
+                yield whole()
+                held = []
+            held.append((rows[lo:hi], texts[lo:hi]))  # the last may go on in the next batch
+    if held:
+        yield whole()
+
+
+def edge_batch(a: list, b: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
 def links(nodes: DataFrame, radius: int = 2, tree_nodes: int = TREE_NODES) -> DataFrame:
     """Edges ``a``, ``b`` that connect the distinct ``fp`` of ``nodes`` within the radius.
 
     Every shard is a set of fingerprints that agree in two of the blocks, and has its own
     BK-trees; the trees travel to their tasks by a shuffle. (A broadcast of all shard trees
-    would grow with the corpus.) A shard of over ``tree_nodes`` fingerprints is dealt over
-    several trees, and every pair of these parts is a task of its own, so no task holds more
-    than two parts.
+    would grow with the corpus.) See ``dealt`` for shards of over ``tree_nodes`` fingerprints.
     """
 
     def bits(start: int, n: int):
@@ -150,40 +203,17 @@ def links(nodes: DataFrame, radius: int = 2, tree_nodes: int = TREE_NODES) -> Da
         for start, n in ranges:
             value = F.shiftleft(value, n).bitwiseOR(bits(start, n))
         keys.append(F.struct(F.lit(k).alias("k"), value.alias("key")))
-    keyed = nodes.select("fp", F.explode(F.array(*keys)).alias("x")).select("x.k", "x.key", "fp").repartition("k", "key")
-    shared = keyed.groupBy("k", "key").agg(F.count("*").alias("n")).where("n > 1")
-    parts = F.ceil(F.col("n") / tree_nodes).cast("int")
-    own = F.pmod(F.xxhash64("fp"), parts).cast("int")
-    tasks = (
-        keyed.join(shared, ["k", "key"])
-        .select("k", "key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-        .select("k", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp")
-        .repartition("k", "key", "i", "j")
-        .sortWithinPartitions("k", "key", "i", "j", "fp")
-    )
+    keyed = nodes.select("fp", F.explode(F.array(*keys)).alias("x")).select("x.k", "x.key", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def edges(group: np.ndarray):
-            i, j = group[0][2], group[0][3]
-            fp = group[:, 5]
-            tree = fp if i == j else fp[group[:, 4] == i]
-            queries = fp if i == j else fp[group[:, 4] == j]
-            a, b = linked(tree.view(np.uint64), queries.view(np.uint64), radius)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-        rest = np.zeros((0, 6), np.int64)
-        for batch in batches:
-            rows = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
-            rows = np.concatenate([rest, rows])
-            cut = np.flatnonzero((np.diff(rows[:, :4], axis=0) != 0).any(axis=1)) + 1
-            groups = np.split(rows, cut)
-            rest = groups.pop()  # may go on in the next batch
-            for g in groups:
-                yield edges(g)
-        if len(rest):
-            yield edges(rest)
+        for rows, _ in shards(batches, 4):
+            i, j = rows[0, 2], rows[0, 3]
+            fp = rows[:, 5]
+            tree = fp if i == j else fp[rows[:, 4] == i]
+            queries = fp if i == j else fp[rows[:, 4] == j]
+            yield edge_batch(*linked(tree.view(np.uint64), queries.view(np.uint64), radius))
 
-    return tasks.mapInArrow(run, "a bigint, b bigint").distinct()
+    return dealt(keyed, ["k", "key"], tree_nodes).mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(df: DataFrame, radius: int = 2, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -218,167 +248,183 @@ def labelled(rows: DataFrame, nodes: DataFrame, edges: DataFrame, id_col: str) -
 
 #: Words of a shingle, and least Jaccard similarity of linked documents, of ``similar_documents``.
 SIMILAR_WORDS, SIMILAR = 5, 0.8
-#: Documents of similarity 0.8 differ in 15 % of their SimHash bits on average, in 19 % if they
-#: are so short that sums tie. Both bounds lie four standard deviations above 19 %, of 64 and 256 bits.
-SIMILAR_RADIUS, SKETCH_RADIUS = 24, 73
-SKETCH = ("fp0", "fp1", "fp2", "fp3")
-#: As TREE_NODES, for shards of documents of about one length.
-BAND_NODES = 16384
-
-
-def sketch_of(text: str | None) -> tuple[int, int, list[int]]:
-    """Digest and size of a text's set of shingles, and four independent SimHashes of the set."""
-    u = np.unique(shingle_hashes(text, SIMILAR_WORDS).astype(np.uint64))
-    if not len(u):
-        return 0, 0, [0] * len(SKETCH)
-    out = []
-    for k in range(len(SKETCH)):
-        h = u
-        if k:  # the finalizer of splitmix64
-            h = u + np.uint64((k * 0x9E3779B97F4A7C15) & (2**64 - 1))
-            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            h = h ^ (h >> np.uint64(31))
-        out.append(int(simhash_of(h.astype(">u8"))))
-    return xxhash.xxh64_intdigest(u.tobytes(), SEED), len(u), out
+#: Documents of similarity 0.8 differ in 15 % of their SimHash bits on average, in 19 % if they are
+#: so short that sums tie; the radius lies nearly four standard deviations above 19 % of 64 bits.
+SIMILAR_RADIUS = 24
+#: A shard is a set of documents with equal least hashes in one band of permutations. Two of
+#: similarity s are together in none of the bands with probability (1 - s^BAND_ROWS)^BANDS:
+#: 3 in a million at 0.8.
+BANDS, BAND_ROWS = 24, 4
+BAND_COLUMNS = [f"b{k}" for k in range(BANDS)]
+#: Bytes of texts in one tree of the second round.
+TREE_BYTES = 32 << 20
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """The finalizer of splitmix64."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+#: Odd multipliers of the permutations of 64-bit integers.
+PERMUTATIONS = mixed(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles of SIMILAR_WORDS words; fewer words are one shingle."""
+    w = text.encode().lower().split() if text else []
+    if not w:
+        return np.zeros(0, np.uint64)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, w, repeat(SEED)), np.uint64, len(w))
+    n = max(1, len(w) - SIMILAR_WORDS + 1)
+    s = np.full(n, min(len(w), SIMILAR_WORDS), np.uint64)
+    for k in range(min(len(w), SIMILAR_WORDS)):
+        s = mixed(s * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n])
+    return np.unique(s)
+
+
+def bands_of(u: np.ndarray) -> np.ndarray:
+    """The shard keys of a set of hashes: one for each band, from its least hashes."""
+    least = np.full(len(PERMUTATIONS), 2**64 - 1, np.uint64)
+    for lo in range(0, len(u), 1024):
+        np.minimum(least, (u[lo : lo + 1024] * PERMUTATIONS[:, None]).min(axis=1), out=least)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, BAND_ROWS).T:
+        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + column)
+    return key
 
 
 def sketches(df: DataFrame, text_col: str = "text", keep: tuple = ("doc_id",), prefix: str = "") -> DataFrame:
-    """``keep`` columns, ``fp`` (digest of the set of shingles), ``n`` (its size) and its SimHashes."""
+    """``keep`` columns, ``fp`` (digest of the set of shingles), ``n`` (its size), ``sim`` (its SimHash) and the shard keys."""
 
     def f(texts):
-        found = [sketch_of(t) for t in texts]
-        longs = {"fp": [x[0] for x in found]} | {c: [x[2][k] for x in found] for k, c in enumerate(SKETCH)}
-        return {c: pa.array(np.array(v, np.uint64).view(np.int64)) for c, v in longs.items()} | {"n": pa.array([x[1] for x in found], pa.int64())}
+        out = np.zeros((len(texts), 3 + BANDS), np.uint64)
+        for i, t in enumerate(texts):
+            u = shingle_set(t)
+            if len(u):
+                out[i, 0], out[i, 1], out[i, 2] = xxhash.xxh64_intdigest(u.tobytes(), SEED), len(u), simhash_of(u.astype(">u8"))
+            out[i, 3:] = bands_of(u)
+        return {c: pa.array(out[:, k].copy().view(np.int64)) for k, c in enumerate(("fp", "n", "sim", *BAND_COLUMNS))}
 
-    return map_texts(df, lambda: f, {c: "bigint" for c in ("fp", "n", *SKETCH)}, text_col, list(keep), prefix=prefix)
+    return map_texts(df, lambda: f, {c: "bigint" for c in ("fp", "n", "sim", *BAND_COLUMNS)}, text_col, list(keep), prefix=prefix)
 
 
-def candidate_pairs(nodes: DataFrame, forest: bool, tree_nodes: int = BAND_NODES) -> DataFrame:
-    """Pairs ``a``, ``b`` of ``nodes`` (fp, n, SimHashes, label) that may be similar, of different labels.
+def forest(rows: np.ndarray, texts: list | None = None) -> tuple[list, list]:
+    """A spanning forest of the similar pairs of one task (rows: key, i, j, own, fp, label, n, sim).
 
-    Sets of similarity 0.8 differ in size by a factor of 1.25 at most, so they are in the same
-    or in neighbouring bands of sizes; a band is dealt over BK-trees, and each pair of these
-    is a task. With ``forest`` a spanning forest of the pairs found in each task.
+    Candidates are fingerprints within the radius of a BK-tree's node, of sets whose sizes allow
+    the similarity. With ``texts`` each is verified before it counts as a link. Pairs of one
+    label, given or by links found so far, are not looked at again.
     """
-    band = F.floor(F.log(F.greatest("n", F.lit(1))) / np.log(1 / SIMILAR) + 1e-9).cast("int")
-    nodes = nodes.withColumn("band", band)
-    sizes = {r["band"]: -(-r["count"] // tree_nodes) for r in nodes.groupBy("band").count().collect()}  # a few dozen bands
-    if not sizes:
-        return nodes.select(F.col("fp").alias("a"), F.col("fp").alias("b"))
-    parts = F.create_map(*[F.lit(x) for b in sizes for x in (b, sizes[b])])
-
-    def others(step: int):
-        at = F.coalesce(F.element_at(parts, F.col("band") + step), F.lit(0))
-        return F.when(at > 0, F.sequence(F.lit(0), at - 1)).otherwise(F.array().cast("array<int>"))
-
-    own = F.pmod(F.xxhash64("fp"), F.element_at(parts, F.col("band"))).cast("int")
-    nodes = nodes.withColumn("own", own)
-    places = F.concat(
-        F.transform(others(0), lambda x: F.struct(F.col("band").alias("low"), F.lit(0).alias("up"), F.least("own", x).alias("i"), F.greatest("own", x).alias("j"), (F.col("own") > x).cast("int").alias("side"))),
-        F.transform(others(1), lambda x: F.struct(F.col("band").alias("low"), F.lit(1).alias("up"), F.col("own").alias("i"), x.alias("j"), F.lit(0).alias("side"))),
-        F.transform(others(-1), lambda x: F.struct((F.col("band") - 1).alias("low"), F.lit(1).alias("up"), x.alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"))),
-    )
-    task = ["low", "up", "i", "j"]
-    tasks = nodes.select(F.explode(places).alias("x"), "fp", "label", "n", *SKETCH).select(*[f"x.{c}" for c in (*task, "side")], "fp", "label", "n", *SKETCH).repartition(*task).sortWithinPartitions(*task, "side", "fp")
-
-    def pairs(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        alone = rows[0, 1] == 0 and rows[0, 2] == rows[0, 3]
-        tree, queries = (rows, rows) if alone else (rows[rows[:, 4] == 0], rows[rows[:, 4] == 1])
-        words, asked = tree[:, 8:].astype(np.int64).view(np.uint64), queries[:, 8:].astype(np.int64).view(np.uint64)
-        names, label = np.unique(np.r_[tree[:, 6], queries[:, 6]], return_inverse=True)
-        mine, theirs = label[: len(tree)], label[len(tree) :]
-        a, b = [], []
-        for node, near in BKTree(np.ascontiguousarray(words[:, 0])).search(np.ascontiguousarray(asked[:, 0]), SIMILAR_RADIUS):
-            near = near[theirs[near] != mine[node]]
-            if alone and not forest:
-                near = near[near > node]
-            if not len(near):
-                continue
-            small, large = np.minimum(queries[near, 7], tree[node, 7]), np.maximum(queries[near, 7], tree[node, 7])
-            near = near[small >= SIMILAR * large - 1e-6]
-            near = near[np.bitwise_count(asked[near] ^ words[node]).sum(axis=1) <= SKETCH_RADIUS]
-            while len(near):
-                a.append(np.repeat(tree[node, 5], 1 if forest else len(near)))
-                b.append(queries[near[:1] if forest else near, 5])
-                if not forest:
-                    break
-                label[label == theirs[near[0]]] = mine[node]  # mine and theirs are views of it
-                near = near[theirs[near] != mine[node]]
-        return np.concatenate([np.zeros(0, np.int64), *a]), np.concatenate([np.zeros(0, np.int64), *b])
+    at = np.arange(len(rows))
+    alone = rows[0, 1] == rows[0, 2]
+    tree, asked = (at, at) if alone else (at[rows[:, 3] == rows[0, 1]], at[rows[:, 3] == rows[0, 2]])
+    label = np.unique(rows[:, 5], return_inverse=True)[1]
+    n, sim = rows[:, 6], np.ascontiguousarray(rows[:, 7]).view(np.uint64)
+    sets: dict[int, np.ndarray] = {}
+
+    def similar(x: int, y: int) -> bool:
+        for z in (x, y):
+            if z not in sets:
+                sets[z] = shingle_set(texts[z])
+        both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+        return both >= SIMILAR * (len(sets[x]) + len(sets[y]) - both) - 1e-9
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def edges(group: np.ndarray):
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs(group)], names=["a", "b"])
+    a, b = [], []
+    for node, near in BKTree(sim[tree]).search(sim[asked], SIMILAR_RADIUS):
+        node, near = tree[node], asked[near]
+        near = near[label[near] != label[node]]
+        near = near[np.minimum(n[near], n[node]) >= SIMILAR * np.maximum(n[near], n[node]) - 1e-6]
+        while len(near):
+            other, near = near[0], near[1:]
+            if texts is None or similar(node, other):
+                a.append(rows[node, 4])
+                b.append(rows[other, 4])
+                label[label == label[other]] = label[node]
+                near = near[label[near] != label[node]]
+    return a, b
+
+
+def candidates(nodes: DataFrame, tree_nodes: int = TREE_NODES, texts: DataFrame | None = None) -> DataFrame:
+    """Pairs ``a`` < ``b`` of ``nodes`` (fp, label, n, sim, shard keys) that connect those that may be similar.
+
+    With ``texts`` (fp, text, bytes) of all nodes the pairs are verified and connect those that are similar.
+    """
+    text = texts is not None
+    if text:
+        nodes = nodes.join(texts.select("fp", "bytes"), "fp")
+    keyed = nodes.select(F.explode(F.array(*BAND_COLUMNS)).alias("key"), "fp", "label", "n", "sim", *(["bytes"] if text else []))
+    tasks = dealt(keyed, ["key"], tree_nodes, texts.select("fp", "text") if text else None)
+    tasks = tasks.select("key", "i", "j", "own", "fp", "label", "n", "sim", *(["text"] if text else []))
 
-        held: list = []
-        for batch in batches:
-            rows = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
-            if not len(rows):
-                continue
-            cut = np.flatnonzero((np.diff(rows[:, :4], axis=0) != 0).any(axis=1)) + 1
-            for k, group in enumerate(np.split(rows, cut)):
-                if held and (k or (held[0][0, :4] != group[0, :4]).any()):
-                    yield edges(np.concatenate(held))
-                    held = []
-                held.append(group)  # the last may go on in the next batch
-        if held:
-            yield edges(np.concatenate(held))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in shards(batches, 3, text):
+            yield edge_batch(*forest(rows, texts if text else None))
 
-    return tasks.mapInArrow(run, "a bigint, b bigint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    return tasks.mapInArrow(run, "a bigint, b bigint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The ``pairs`` whose sets of shingles (``fp``, ``text``) have a Jaccard similarity of SIMILAR at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, x = None, None
         for batch in batches:
-            good, before, x = [], None, None
+            good = []
             texts = batch.column(2), batch.column(3)
             for k, a in enumerate(batch.column(0).to_pylist()):
                 if a != before:
-                    before, x = a, np.unique(shingle_hashes(texts[0][k].as_py(), SIMILAR_WORDS))
-                y = np.unique(shingle_hashes(texts[1][k].as_py(), SIMILAR_WORDS))
+                    before, x = a, shingle_set(texts[0][k].as_py())
+                y = shingle_set(texts[1][k].as_py())
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(both >= SIMILAR * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    first = materialize(pairs.join(sets.select(F.col("fp").alias("a"), F.col("text").alias("x")), "a"), "pairs")
-    both = first.join(sets.select(F.col("fp").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(run, "a bigint, b bigint")
+    both = pairs.join(sets.select(F.col("fp").alias("b"), F.col("text").alias("y")), "b").join(sets.select(F.col("fp").alias("a"), F.col("text").alias("x")), "a")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+
+
+def similar_links(nodes: DataFrame, texts: DataFrame, tree_nodes: int = TREE_NODES) -> DataFrame:
+    """Edges ``a``, ``b`` that connect the ``nodes`` whose ``texts`` (fp, text) are similar.
+
+    The first round takes a spanning forest of the candidates, so a large group of near copies
+    gives no square of pairs, and verifies its edges. Groups of candidates in which an edge
+    fails go through their shards once more, now with their texts, and each pair is verified
+    where it is found.
+    """
+    nodes = nodes.withColumn("label", F.col("fp"))
+
+    def texts_of(ends: DataFrame) -> DataFrame:
+        return texts.join(ends.select("fp").distinct(), "fp", "left_semi").dropDuplicates(["fp"])
+
+    tried = materialize(candidates(nodes, tree_nodes), "tried")
+    ends = tried.select(F.explode(F.array("a", "b")).alias("fp"))
+    good = materialize(verified(tried, materialize(texts_of(ends), "texts")), "verified")
+    failed = tried.join(good, ["a", "b"], "left_anti")
+    if failed.isEmpty():
+        return good
+    groups = components(tried)
+    open_ = groups.join(failed.select(F.col("a").alias("node")).distinct(), "node").select("root").distinct()
+    again = groups.join(open_, "root", "left_semi").select(F.col("node").alias("fp"))
+    known = components(good).select(F.col("node").alias("fp"), F.col("root").alias("known"))
+    left = nodes.join(again, "fp", "left_semi").join(known, "fp", "left").withColumn("label", F.coalesce("known", "fp")).drop("known")
+    own = materialize(texts_of(again).withColumn("bytes", F.octet_length("text").cast("bigint")), "texts")
+    return good.unionByName(materialize(candidates(materialize(left, "again"), tree_nodes, own), "more"))
 
 
 def similar_documents(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """As ``near_duplicates``, but links are pairs of documents whose sets of shingles of five
     words have a Jaccard similarity of 0.8 at least; ``fingerprint`` and ``root`` are of the digests of the sets.
 
-    Candidates are those whose SimHashes differ in few bits (a pair of similarity 0.8 is missed
-    about once in ten thousand); each is verified over the whole texts. The first round takes a
-    spanning forest of the candidates, so a large group of near copies gives no square of pairs.
-    Where a link of it fails, a second round tries all candidates between groups that the
-    verified links leave apart.
+    Equal sets are one node. Candidates share a shard and have close SimHashes, found by the
+    shard's BK-trees; all are verified over the whole texts. A pair of similarity 0.8 is missed
+    about once in some thousands, one of 0.85 or more hardly ever.
     """
     rows = materialize(sketches(df, text_col, (id_col, text_col)).withColumnsRenamed({id_col: "id", text_col: "text"}), "sketches")
-    nodes = materialize(rows.groupBy("fp").agg(F.min("id").alias("least"), *[F.first(c).alias(c) for c in ("n", *SKETCH)]), "nodes").withColumn("label", F.col("fp"))
-
-    def check(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-        sets = materialize(rows.select("fp", F.col("text").cast("string").alias("text")).join(ends, "fp", "left_semi").dropDuplicates(["fp"]), "sets")
-        return materialize(verified(pairs, sets), "verified")
-
-    tried = materialize(candidate_pairs(nodes, forest=True), "tried")
-    good = check(tried)
-    if good.count() < tried.count():
-        ends = tried.select(F.col("a").alias("fp")).unionByName(tried.select(F.col("b").alias("fp"))).distinct()
-        groups = components(good).select(F.col("node").alias("fp"), "root")
-        apart = nodes.join(ends, "fp", "left_semi").join(groups, "fp", "left").withColumn("label", F.coalesce("root", "fp"))
-        more = materialize(candidate_pairs(materialize(apart, "apart"), forest=False).join(tried, ["a", "b"], "left_anti"), "more")
-        good = good.unionByName(check(more))
-    return labelled(rows.select("id", "fp"), nodes.select("fp", "least"), good, id_col)
-
-
-#: Ids up to which the list of documents to drop is broadcast; a longer one is joined by a shuffle.
-BROADCAST_IDS = 1 << 20
+    nodes = materialize(rows.groupBy("fp").agg(F.min("id").alias("least"), *[F.first(c).alias(c) for c in ("n", "sim", *BAND_COLUMNS)]), "nodes")
+    edges = similar_links(nodes.drop("least"), rows.select("fp", F.col("text").cast("string").alias("text")))
+    return labelled(rows.select("id", "fp"), nodes.select("fp", "least"), edges, id_col)
 
 
 def one_of_each(df: DataFrame, radius: int = 2, text_col: str = "text", id_col: str = "doc_id", similar: bool = False) -> DataFrame:
@@ -392,8 +438,8 @@ def one_of_each(df: DataFrame, radius: int = 2, text_col: str = "text", id_col:
     key = F.col(f"`{id_col}`")
     keep = found.where(key == F.col("component_id")).groupBy(key.alias("__id")).agg(F.count("*").alias("n"))
     drop = materialize(found.where(key.isNotNull()).select(key.alias("__id")).distinct().join(keep, "__id", "left_anti"), "drop")
-    listed = F.broadcast(drop) if drop.count() <= BROADCAST_IDS else drop
-    kept = df.where(key.isNotNull()).join(listed, key == F.col("__id"), "left_anti")
+    # broadcast by Spark while the written list is small, shuffled beyond that
+    kept = df.where(key.isNotNull()).join(drop, key == F.col("__id"), "left_anti")
     repeated = keep.where("n > 1").select("__id")
     if not repeated.isEmpty():
         again = kept.join(repeated, key == F.col("__id"), "left_semi").dropDuplicates([id_col])

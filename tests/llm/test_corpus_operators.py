@@ -1,6 +1,7 @@
 """Shards, languages, containment, near-duplicates, pages and the pipeline, against plain versions."""
 
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -106,6 +107,35 @@ def test_languages_of_awkward_rows(awkward, none):
     assert {r["lang_pred"] for r in langid.predict(awkward, model).collect()} == {"und"}
 
 
+def test_every_part_of_a_long_run_of_letters_counts():
+    ends = "a" * 40
+    one, other = (langid.words_of(f"{ends}{mid * 10}{ends}") for mid in ("bcd", "xyz"))
+    assert one != other and "".join(one) == ends + "bcd" * 10 + ends
+    assert [langid.features(w, {}) for w in one] != [langid.features(w, {}) for w in other]
+
+
+def test_every_language_is_sampled(spark):
+    r = random.Random(0)
+    rows = []
+    for lang in range(70):
+        letters = "".join(r.sample("abcdefghijklmnopqrstuvwxyz", 6))
+        rows += [(lang * 100 + k, " ".join("".join(r.choices(letters, k=5)) for _ in range(30)), f"l{lang}") for k in range(3)]
+    got = langid.training_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "text", "lang", "doc_id")
+    may = {lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 4 != 2}
+    assert {lang for lang, _ in got} == may and len(may) > 64
+    assert langid.dimensions_of(len(may)) < langid.DIMENSIONS
+
+
+def test_pipeline_drops_documents_of_no_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    by = {r["lang"]: langid.words_of(r["text"])[:400] for r in docs.where(F.length("text") > 4000).collect()}
+    even = " ".join(w for lang in ("de", "en", "es", "fr") for k in range(0, 400, 40) for w in by[lang][k : k + 40])
+    extra = spark.createDataFrame([(10**9 + 1, even), (10**9 + 2, "12 34 !?"), (10**9 + 3, None), (10**9 + 4, " ".join(by["es"]))], "doc_id long, text string")
+    kept = corpus_pipeline.known_language(spark, docs.unionByName(extra, allowMissingColumns=True), SF)
+    gone = {r["doc_id"] for r in docs.unionByName(extra, allowMissingColumns=True).select("doc_id").subtract(kept.select("doc_id")).collect()}
+    assert gone == {10**9 + 1, 10**9 + 2, 10**9 + 3}
+
+
 def plain_contained(docs, items, threshold=0.8):
     out = set()
     for i, t in items:
@@ -299,15 +329,10 @@ def test_data_pages_give_their_articles(spark):
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     out = corpus_pipeline.run(spark, SF).collect()
-    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    rows = [(i, t) for i, t in rows if langid.words_of(t)]
-    fp = [plain_fingerprint(t) for _, t in rows]
-    comp = plain_components(fp)
-    least = {}
-    for (i, _), c in zip(rows, comp, strict=True):
-        least[c] = min(i, least.get(c, i))
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect() if langid.words_of(r["text"]))
+    least = least_of_similar([t for _, t in rows])
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    stay = {least[c] for c in comp}
+    stay = {rows[k][0] for k in least}
     stay -= {d for d, *_ in plain_contained([x for x in rows if x[0] in stay], items)}
     assert {r["doc_id"] for r in out} == stay and all(r["lossless"] and len(r["token_ids"]) == r["n_tokens"] for r in out)
 
@@ -364,7 +389,31 @@ def test_similar_documents_are_those_of_brute_force(spark):
     assert {r["doc_id"] for r in corpus_pipeline.one_of_near_duplicates(spark, df, SF).collect()} == set(expected)
 
 
-def test_candidates_of_split_bands_are_the_same(spark):
-    nodes = simhash.sketches(spark.createDataFrame(list(enumerate(edited_copies(1))), "doc_id long, text string")).dropDuplicates(["fp"]).drop("doc_id").withColumn("label", F.col("fp")).cache()
-    found = [{tuple(r) for r in simhash.candidate_pairs(nodes, forest=False, tree_nodes=n).collect()} for n in (1 << 14, 7)]
-    assert found[0] == found[1] and found[0]
+def test_split_shards_give_the_same_groups(spark):
+    """Shards dealt over many trees, and groups whose first links fail, end in the groups of brute force."""
+    texts = [t for t in dict.fromkeys(edited_copies(1)) if t and t.strip()]
+    rows = simhash.sketches(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), keep=("doc_id", "text")).dropDuplicates(["fp"]).cache()
+    ids = {r["fp"]: r["doc_id"] for r in rows.collect()}
+    expected = least_of_similar(texts)
+    for tree_nodes in (1 << 14, 3):
+        edges = simhash.similar_links(rows.drop("doc_id", "text"), rows.select("fp", "text"), tree_nodes)
+        root = {r["node"]: r["root"] for r in components(edges).collect()}
+        groups = defaultdict(set)
+        for fp, i in ids.items():
+            groups[root.get(fp, fp)].add(expected[i])
+        assert all(len(g) == 1 for g in groups.values()) and len(groups) == len({expected[i] for i in ids.values()})
+
+
+def test_near_misses_are_verified_in_their_shards():
+    """Texts just below the similarity are candidates but no links; the one link among them is found."""
+    r = random.Random(3)
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join(base[: 60 - k]) + " " + " ".join(f"x{i}y{k}" for i in range(9)) for k in range(4)]
+    texts.append(texts[2] + " tail")
+    r.shuffle(texts)
+    sets = [simhash.shingle_set(t) for t in texts]
+    rows = np.array([[1, 0, 0, 0, i, i, len(u), int(np.uint64(simhash.simhash_of(u.astype(">u8"))).view(np.int64))] for i, u in enumerate(sets)])
+    a, b = simhash.forest(rows, texts)
+    similar = {frozenset((i, j)) for i in range(5) for j in range(i) if len(set(sets[i]) & set(sets[j])) >= 0.8 * len(set(sets[i]) | set(sets[j]))}
+    assert {frozenset(x) for x in zip(a, b, strict=True)} == similar and len(similar) == 1
+    assert len(simhash.forest(rows)[0]) > 1
