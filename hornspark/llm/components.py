@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from hornspark.plans.materialize import Materialized
 
 
-def _state(edges: DataFrame) -> tuple:
-    h = F.xxhash64("u", "v")
-    row = edges.agg(F.count("*"), F.sum(F.shiftright(h, 32)), F.bit_xor(h)).first()
-    return tuple(row)
+def _stars(edges: DataFrame) -> bool:
+    """Whether every edge leads from a node without other edges to one without any further."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").isEmpty()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -32,17 +32,14 @@ def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``root``, the smallest node of its component, for every node of ``edges``.
 
     ``edges`` has columns ``a`` and ``b`` of one orderable type without nulls. The rounds
-    (large star, then small star) end when a round changes nothing: then every edge leads from
-    a node to the smallest of its component. Rounds grow with the logarithm of the longest
-    path. Minima are pre-aggregated before each shuffle, so a node with many edges is no hot
-    spot; each round is written to the shared folder, and the one before is deleted.
+    (large star, then small star) end when every edge leads from a node to the smallest of its
+    component. Rounds grow with the logarithm of the longest path. Minima are pre-aggregated
+    before each shuffle, so a node with many edges is no hot spot; each round is written to
+    the shared folder, and the one before is deleted.
     """
     now = Materialized(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state = _state(now.df)
-    while state[0]:
+    while not _stars(now.df):
         after = Materialized(_small_star(_large_star(now.df)), "edges")
         now.drop()
-        now, before, state = after, state, _state(after.df)
-        if state == before:
-            break
+        now = after
     return now.df.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.df.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

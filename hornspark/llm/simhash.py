@@ -137,13 +137,13 @@ def dealt(keyed: DataFrame, keys: list[str], tree_nodes: int = TREE_NODES, texts
     Shards are counted before any row moves, so most rows never do, and a large shard is no
     task of its own: one of over ``tree_nodes`` rows is dealt over several trees, and every
     pair i, j of these is a task; ``own`` is the row's tree. With ``texts`` (fp, text) the rows
-    get them, trees hold TREE_BYTES of a column ``bytes``, and shards of one ``label`` are left out.
+    get them, and trees hold TREE_BYTES of a column ``bytes``.
     """
     size = F.count("*") / F.lit(tree_nodes)
     if texts is not None:
         size = F.greatest(size, F.sum("bytes") / F.lit(TREE_BYTES))
-    counts = keyed.groupBy(*keys).agg(F.count("*").alias("__n"), F.ceil(size).cast("int").alias("__parts"), *([(F.min("label") < F.max("label")).alias("__several")] if texts is not None else []))
-    shared = materialize(counts.where("__n > 1" if texts is None else "__several").select(*keys, "__parts"), "shared")
+    counts = keyed.groupBy(*keys).agg(F.count("*").alias("__n"), F.ceil(size).cast("int").alias("__parts"))
+    shared = materialize(counts.where("__n > 1").drop("__n"), "shared")
     own = F.pmod(F.xxhash64("fp"), F.col("__parts")).cast("int")
     rest = [c for c in keyed.columns if c not in keys]
     rows = (
@@ -280,8 +280,11 @@ def shingle_set(text: str | None) -> np.ndarray:
     n = max(1, len(w) - SIMILAR_WORDS + 1)
     s = np.full(n, min(len(w), SIMILAR_WORDS), np.uint64)
     for k in range(min(len(w), SIMILAR_WORDS)):
-        s = mixed(s * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n])
-    return np.unique(s)
+        s *= np.uint64(0x9E3779B97F4A7C15)
+        s += h[k : k + n]
+    s = mixed(s)
+    s.sort()
+    return s[np.flatnonzero(np.diff(s, prepend=~s[:1]))]
 
 
 def bands_of(u: np.ndarray) -> np.ndarray:
@@ -311,17 +314,17 @@ def sketches(df: DataFrame, text_col: str = "text", keep: tuple = ("doc_id",), p
 
 
 def forest(rows: np.ndarray, texts: list | None = None) -> tuple[list, list]:
-    """A spanning forest of the similar pairs of one task (rows: key, i, j, own, fp, label, n, sim).
+    """A spanning forest of the similar pairs of one task (rows: key, i, j, own, fp, n, sim).
 
     Candidates are fingerprints within the radius of a BK-tree's node, of sets whose sizes allow
-    the similarity. With ``texts`` each is verified before it counts as a link. Pairs of one
-    label, given or by links found so far, are not looked at again.
+    the similarity. With ``texts`` each is verified before it counts as a link. Pairs that the
+    links found so far connect are not looked at again.
     """
     at = np.arange(len(rows))
     alone = rows[0, 1] == rows[0, 2]
     tree, asked = (at, at) if alone else (at[rows[:, 3] == rows[0, 1]], at[rows[:, 3] == rows[0, 2]])
-    label = np.unique(rows[:, 5], return_inverse=True)[1]
-    n, sim = rows[:, 6], np.ascontiguousarray(rows[:, 7]).view(np.uint64)
+    label = at.copy()
+    n, sim = rows[:, 5], np.ascontiguousarray(rows[:, 6]).view(np.uint64)
     sets: dict[int, np.ndarray] = {}
 
     def similar(x: int, y: int) -> bool:
@@ -346,23 +349,21 @@ def forest(rows: np.ndarray, texts: list | None = None) -> tuple[list, list]:
     return a, b
 
 
-def candidates(nodes: DataFrame, tree_nodes: int = TREE_NODES, texts: DataFrame | None = None) -> DataFrame:
-    """Pairs ``a`` < ``b`` of ``nodes`` (fp, label, n, sim, shard keys) that connect those that may be similar.
+def candidates(keyed: DataFrame, tree_nodes: int = TREE_NODES, texts: DataFrame | None = None) -> DataFrame:
+    """Pairs ``a``, ``b`` with their shard's ``key`` that connect those of ``keyed`` (key, fp, n, sim) that may be similar.
 
-    With ``texts`` (fp, text, bytes) of all nodes the pairs are verified and connect those that are similar.
+    With ``texts`` (fp, text) of all of them, and their ``bytes`` in ``keyed``, the pairs are
+    verified, and connect those that are similar.
     """
     text = texts is not None
-    if text:
-        nodes = nodes.join(texts.select("fp", "bytes"), "fp")
-    keyed = nodes.select(F.explode(F.array(*BAND_COLUMNS)).alias("key"), "fp", "label", "n", "sim", *(["bytes"] if text else []))
-    tasks = dealt(keyed, ["key"], tree_nodes, texts.select("fp", "text") if text else None)
-    tasks = tasks.select("key", "i", "j", "own", "fp", "label", "n", "sim", *(["text"] if text else []))
+    tasks = dealt(keyed, ["key"], tree_nodes, texts).select("key", "i", "j", "own", "fp", "n", "sim", *(["text"] if text else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in shards(batches, 3, text):
-            yield edge_batch(*forest(rows, texts if text else None))
+        for rows, found in shards(batches, 3, text):
+            a, b = forest(rows, found if text else None)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([rows[0, 0]] * len(a), map(min, a, b), map(max, a, b))], names=["key", "a", "b"])
 
-    return tasks.mapInArrow(run, "a bigint, b bigint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return tasks.mapInArrow(run, "key bigint, a bigint, b bigint")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -386,31 +387,27 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def similar_links(nodes: DataFrame, texts: DataFrame, tree_nodes: int = TREE_NODES) -> DataFrame:
-    """Edges ``a``, ``b`` that connect the ``nodes`` whose ``texts`` (fp, text) are similar.
+    """Edges ``a``, ``b`` that connect the ``nodes`` (fp, n, sim, shard keys) whose ``texts`` (fp, text) are similar.
 
-    The first round takes a spanning forest of the candidates, so a large group of near copies
-    gives no square of pairs, and verifies its edges. Groups of candidates in which an edge
-    fails go through their shards once more, now with their texts, and each pair is verified
-    where it is found.
+    The first round takes a spanning forest of the candidates of each shard, so a large group of
+    near copies gives no square of pairs, and verifies its edges. Shards in which an edge fails
+    are searched once more, now with their texts: each pair is verified where it is found.
     """
-    nodes = nodes.withColumn("label", F.col("fp"))
+    keyed = nodes.select(F.explode(F.array(*BAND_COLUMNS)).alias("key"), "fp", "n", "sim")
 
     def texts_of(ends: DataFrame) -> DataFrame:
         return texts.join(ends.select("fp").distinct(), "fp", "left_semi").dropDuplicates(["fp"])
 
-    tried = materialize(candidates(nodes, tree_nodes), "tried")
-    ends = tried.select(F.explode(F.array("a", "b")).alias("fp"))
-    good = materialize(verified(tried, materialize(texts_of(ends), "texts")), "verified")
-    failed = tried.join(good, ["a", "b"], "left_anti")
+    tried = materialize(candidates(keyed, tree_nodes), "tried")
+    pairs = tried.select("a", "b").distinct()
+    good = materialize(verified(pairs, materialize(texts_of(tried.select(F.explode(F.array("a", "b")).alias("fp"))), "texts")), "verified")
+    failed = materialize(tried.join(good, ["a", "b"], "left_anti").select("key").distinct(), "failed")
     if failed.isEmpty():
         return good
-    groups = components(tried)
-    open_ = groups.join(failed.select(F.col("a").alias("node")).distinct(), "node").select("root").distinct()
-    again = groups.join(open_, "root", "left_semi").select(F.col("node").alias("fp"))
-    known = components(good).select(F.col("node").alias("fp"), F.col("root").alias("known"))
-    left = nodes.join(again, "fp", "left_semi").join(known, "fp", "left").withColumn("label", F.coalesce("known", "fp")).drop("known")
-    own = materialize(texts_of(again).withColumn("bytes", F.octet_length("text").cast("bigint")), "texts")
-    return good.unionByName(materialize(candidates(materialize(left, "again"), tree_nodes, own), "more"))
+    again = materialize(keyed.join(failed, "key", "left_semi"), "again")
+    own = materialize(texts_of(again), "texts")
+    sized = again.join(own.select("fp", F.octet_length("text").cast("bigint").alias("bytes")), "fp").select("key", "fp", "n", "sim", "bytes")
+    return good.unionByName(materialize(candidates(sized, tree_nodes, own).select("a", "b").distinct(), "more"))
 
 
 def similar_documents(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
