@@ -23,11 +23,19 @@ from pyspark.sql import functions as F
 from hornspark.llm.batches import slices
 from hornspark.llm.trees import Forest, forest
 
-#: Least characters of a candidate.
-SHORTEST = 16
-FINDINGS = 2400
+#: Least characters of a candidate, and of one that is assigned to a name, quoted or part of a URL.
+SHORTEST, SHORTEST_ASSIGNED = 16, 6
+FINDINGS = 4000
 
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_~.-]{%d,}={0,2}" % SHORTEST)
+#: Values after = or : in quotes, or after a cue word with or without them; and passwords in URLs.
+_ASSIGNED = re.compile(
+    r"""[=:]\s{{0,4}}(?:"([^"\s]{{{n},}})"|'([^'\s]{{{n},}})')"""
+    r"""|(?:secret|token|passw(?:or)?d|pwd|passphrase|key|auth|credentials?|bearer|basic)["']?(?:\s{{0,4}}(?::=|=>|[=:])\s{{0,4}}|\s)["']?([^\s"'<>]{{{n},}})"""
+    r"""|://[^\s/:@"']{{0,64}}:([^\s/@"']{{{n},}})@""".format(n=SHORTEST_ASSIGNED),
+    re.I,
+)
+_TRAILING = ".,;:)]}"
 _WORDS = re.compile(r"[A-Za-z]+")
 # fixed values: cue words, common words of identifiers, token prefixes
 GOOD_CUES = frozenset("token secret key apikey api password passwd pwd auth bearer credential credentials private access authorization client signing webhook".split())
@@ -58,16 +66,33 @@ PAIRS = _letters()
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Strings long and mixed enough to be a secret: letters with digits, or both cases."""
+    """Spans that may be a secret, by start, without overlaps.
+
+    Runs of SHORTEST characters of one alphabet with a letter, but for plain words (all lower
+    case, all upper case, or a title); and whatever is assigned to a name, in quotes or after a
+    cue word, or is the password of a URL, from SHORTEST_ASSIGNED characters on.
+    """
     out = []
+    for m in _ASSIGNED.finditer(text):
+        k = m.lastindex
+        lo, hi = m.span(k)
+        if k == 3:  # not quoted: the end of a sentence is no part of it
+            hi = lo + len(text[lo:hi].rstrip(_TRAILING))
+        if hi - lo >= SHORTEST_ASSIGNED:
+            out.append((lo, hi))
+    at = 0
+    more = []
     for m in _CANDIDATE.finditer(text):
-        s = m[0]
-        if not s.islower() and not (s.isupper() and s.isalpha()) or any(map(str.isdigit, s)):
-            core = s.strip("./-_")
-            if len(core) >= SHORTEST and (any(map(str.isdigit, core)) and any(map(str.isalpha, core)) or core.isalpha() and not core.istitle() and not core.islower() and not core.isupper()):
-                lo = m.start() + len(s) - len(s.lstrip("./-_"))
-                out.append((lo, lo + len(core)))
-    return out
+        lo = m.start() + len(m[0]) - len(m[0].lstrip("./-_"))
+        hi = lo + len(m[0].strip("./-_"))
+        core = text[lo:hi]
+        if len(core) < SHORTEST or not any(map(str.isalpha, core)) or core.isalpha() and (core.istitle() or core.islower() or core.isupper()):
+            continue
+        while at < len(out) and out[at][1] <= lo:
+            at += 1
+        if at == len(out) or out[at][0] >= hi:
+            more.append((lo, hi))
+    return sorted(out + more)
 
 
 def features(text: str, lo: int, hi: int, path: str) -> list[float]:
@@ -140,49 +165,76 @@ class Maker:
         r = self.r
         return " ".join(r.choice([r.choice(DICTIONARY), "".join(r.choice(["an", "the", "er", "ou", "ti", "on", "re", "ung", "ción"]) for _ in range(r.randint(1, 4)))]) for _ in range(n))
 
+    def password(self) -> str:
+        r = self.r
+        return r.choice([
+            self.chars(string.ascii_letters + string.digits, r.randint(8, 15)),
+            self.chars(string.ascii_letters + string.digits + "!#$%&*+-.=?^_~", r.randint(8, 24)),
+            r.choice(DICTIONARY).title() + self.chars(string.digits, r.randint(2, 4)) + r.choice("!#$%&*"),
+            "".join(r.choice("4310$@" if r.random() < 0.25 else c) for c in r.choice(DICTIONARY) + r.choice(DICTIONARY)) + self.chars(string.digits, 2),
+            "-".join(r.choice(DICTIONARY) for _ in range(r.randint(4, 6))),
+        ])
+
     def finding(self) -> tuple[str, int, int, str, bool]:
         r = self.r
         hexes, mixed = "0123456789abcdef", string.ascii_letters + string.digits
         secret = r.random() < 0.5
+        paths = ["config/prod.env", "deploy.yaml", "app/settings.py", "notes", "", "docs/readme.md", "index.html", "app/main.py", "feed"]
         if secret:
-            kind = r.randrange(5)
+            kind = r.randrange(8)
             s = [
-                self.chars(hexes, r.choice([32, 40, 40, 40, 48, 64])),
-                self.chars(mixed, r.choice([20, 24, 32, 40])),
-                r.choice(PREFIXES) + self.chars(mixed, r.choice([16, 24, 36])),
-                self.chars(mixed + "+/", r.choice([40, 43, 64])),
-                "-".join(self.chars(mixed, 8) for _ in range(3)),
-            ][kind]
+                lambda: self.chars(hexes, r.choice([32, 40, 40, 40, 48, 64])),
+                lambda: self.chars(mixed, r.choice([20, 24, 32, 40])),
+                lambda: r.choice(PREFIXES) + self.chars(mixed, r.choice([16, 24, 36])),
+                lambda: self.chars(mixed + "+/", r.choice([40, 43, 64])),
+                lambda: "-".join(self.chars(mixed, 8) for _ in range(3)),
+                self.password,
+                self.password,
+                lambda: self.chars(mixed, r.randint(10, 24)) if r.random() < 0.5 else self.password().replace("@", "_").replace("/", "_"),
+            ][kind]()
             s = s.upper() if kind == 0 and r.random() < 0.2 else s
             cue = r.choice(["token", "api_key", "secret", "password", "auth_token", "access key", "client_secret", "TOKEN", "Bearer", "key"])
             if kind == 2 and r.random() < 0.3:
                 cue = self.words(1)
-            before = cue + r.choice([' = "', ": ", "=", " ", ' := "', "='"])
-            path = r.choice(["src0", "src7", "config/prod.env", "deploy.yaml", "app/settings.py", "notes", "", "docs/readme.md"])
+            if kind in (5, 6):
+                cue = r.choice(["password", "db_password", "PASSWORD", "passwd", "pwd", "secret", "passphrase", "admin_password"])
+            before = cue + r.choice([' = "', ": ", "=", " ", ' := "', "='"] if kind < 5 else [' = "', ": ", "=", ' := "', "='", '": "'])
+            if kind == 7:
+                before = r.choice(["postgres", "mysql", "amqp", "redis", "https", "mongodb"]) + "://" + r.choice(["admin", "root", "app", "user", ""]) + ":"
+            path = r.choice(paths)
         else:
-            kind = r.randrange(9)
+            kind = r.randrange(12)
             camel = "".join(w.title() for w in self.words(4).split() if w.isascii())
             s = [
-                self.chars(hexes, r.choice([32, 40, 64])),
-                "-".join(self.chars(hexes, n) for n in (8, 4, 4, 4, 12)),
-                camel + self.chars(string.digits, 2) + "Handler",
-                "/".join(r.choice(DICTIONARY) for _ in range(4)) + f"/v{r.randint(1, 9)}.{r.randint(0, 9)}",
-                f"{self.words(1).encode('ascii', 'ignore').decode() or 'x'}.{self.chars(string.digits, 2)}.mail{r.randint(0, 9)}.example.com",
-                f"20{self.chars(string.digits, 2)}-0{r.randint(1, 9)}-{r.randint(10, 28)}T{self.chars(string.digits, 2)}-00-00Z",
-                r.choice(["xxxxxxxxxxxxxxxx1234", "YOUR_API_KEY_HERE_0", "changeme-changeme-1", "1234567890abcdef1234567890abcdef", "EXAMPLEKEY0123456789"]),
-                "_".join(r.choice(DICTIONARY) for _ in range(4)) + f"_{r.randint(1, 99)}",
-                self.chars(mixed, 24),
-            ][kind]
-            s = s if len(s) >= SHORTEST else s + "-" + self.chars(string.digits, SHORTEST)
+                lambda: self.chars(hexes, r.choice([32, 40, 64])),
+                lambda: "-".join(self.chars(hexes, n) for n in (8, 4, 4, 4, 12)),
+                lambda: camel + self.chars(string.digits, 2) + "Handler",
+                lambda: "/".join(r.choice(DICTIONARY) for _ in range(4)) + f"/v{r.randint(1, 9)}.{r.randint(0, 9)}",
+                lambda: f"{self.words(1).encode('ascii', 'ignore').decode() or 'x'}.{self.chars(string.digits, 2)}.mail{r.randint(0, 9)}.example.com",
+                lambda: f"20{self.chars(string.digits, 2)}-0{r.randint(1, 9)}-{r.randint(10, 28)}T{self.chars(string.digits, 2)}-00-00Z",
+                lambda: r.choice(["xxxxxxxxxxxxxxxx1234", "YOUR_API_KEY_HERE_0", "changeme-changeme-1", "1234567890abcdef1234567890abcdef", "EXAMPLEKEY0123456789"]),
+                lambda: "_".join(r.choice(DICTIONARY) for _ in range(4)) + f"_{r.randint(1, 99)}",
+                lambda: self.chars(mixed, 24),
+                lambda: r.choice(["/", "-", "_", "."]).join(r.choice(DICTIONARY) for _ in range(r.randint(4, 6))),
+                lambda: r.choice([r.choice(DICTIONARY) * 2, r.choice(DICTIONARY) + "-" + r.choice(DICTIONARY), f"{r.randint(0, 9)}.{r.randint(0, 20)}.{r.randint(0, 20)}-beta", "#" + self.chars(hexes, 6), "os.environ", "required", "process.env." + self.chars(string.ascii_uppercase, 6), "${" + r.choice(DICTIONARY).upper() + "_KEY}", "********", "<redacted>", "undefined", "application/json", f"{r.randint(10, 99)}:{r.randint(10, 59)}:{r.randint(10, 59)}"]),
+                lambda: "".join(r.choice(["an", "the", "er", "ou", "ti", "on", "re", "ung"]) for _ in range(r.randint(3, 8))),
+            ][kind]()
+            s = s if kind >= 10 or len(s) >= SHORTEST else s + "-" + self.chars(string.digits, SHORTEST)
             if kind in (0, 8):
-                cue, path = r.choice(["commit", "sha256", "md5", "checksum", "integrity", "etag", "hash", "blob", "revision"]), r.choice(["yarn.lock", "src3", "package-lock.json", "", "tests/data.txt"])
+                cue, path = r.choice(["commit", "sha256", "md5", "checksum", "integrity", "etag", "hash", "blob", "revision"]), r.choice(["yarn.lock", "feed", "package-lock.json", "", "tests/data.txt"])
                 before = cue + r.choice([": ", " ", "=", ' = "', ":"])
+            elif kind == 10:
+                before = r.choice(["name", "password", "token", "color", "version", "type", "secret", "key", "title", "time"]) + r.choice([' = "', ": ", "=", '": "', "='"])
+                path = r.choice([*paths, "tests/test_x.py"])
+            elif kind == 11:
+                before = r.choice(["key ", "the token ", "name: \"", "basic ", "label = '", "a secret ", "Key: ", self.words(1) + ": "])
+                path = r.choice(paths)
             else:
                 before = r.choice([self.words(1) + " ", "id: ", 'href="', "see ", "key = ", "url=", "import "])
-                path = r.choice(["src0", "src1", "docs/readme.md", "index.html", "", "app/main.py", "tests/test_x.py"])
+                path = r.choice([*paths, "tests/test_x.py"])
         head = self.words(r.randint(1, 6)) + " " + before
-        quote = '"' if before.endswith('"') else "'" if before.endswith("'") else ""
-        return head + s + quote + r.choice([" ", ", ", ".\n", "; "]) + self.words(3), len(head), len(head) + len(s), path, secret
+        quote = '"' if before.endswith('"') else "'" if before.endswith("'") else "@db.example.org/main" if secret and kind == 7 else ""
+        return head + s + quote + r.choice([" ", ", ", ".\n", "; "] if not quote or quote[0] != "@" else [" ", "\n"]) + self.words(3), len(head), len(head) + len(s), path, secret
 
 
 @lru_cache(maxsize=2)
@@ -202,6 +254,9 @@ def train(findings: int = FINDINGS, seed: int = 3) -> Scanner:
 def scan(df: DataFrame, model: Scanner, text_col: str = "text", path_col: str | None = "source", id_col: str = "doc_id") -> DataFrame:
     """Per row: id, ``n_candidates``, ``n_secrets``, ``spans`` (start:end of each secret, by start).
 
+    What is no candidate (see ``candidates``) is never a secret: a bare plain word, a bare run
+    of under SHORTEST characters, digits alone.
+
     Offsets are code points, the end exclusive. A null text has no candidates, a null path is
     empty. Repeated rows stay; an empty table gives an empty one; other columns are dropped.
     """
