@@ -3,12 +3,14 @@
 Rows are hashed by their key; a bucket is the set of rows whose hashes share a prefix, and
 the directory, indexed by prefix bits, names the bucket of each prefix. Only a bucket over
 the byte limit is split on one more bit. The splits of many bits are planned at once from
-byte counts per prefix, which are aggregated before they are shuffled.
+byte counts per prefix, which are aggregated before they are shuffled; a pass plans a few bits
+more than shards of equal size need, and what is then still too large takes another.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +19,10 @@ from hornspark.plans.materialize import Materialized, materialize
 
 #: Bits of the hash, the first 15 hex digits of the key's MD5.
 HASH_BITS = 60
-#: Prefix bits that one pass over the sizes may plan; deeper buckets take further passes.
-PASS_BITS = 18
+#: Depths whose sizes one aggregation adds up.
+CHUNK = 8
+#: Bits that a pass plans beyond those that shards of equal size would need.
+SPARE_BITS = 3
 #: Directory entries up to which the directory is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ENTRIES = 1 << 18
 
@@ -34,16 +38,31 @@ def _prefix(bits):
     return F.shiftrightunsigned("h", HASH_BITS - bits) if bits else F.lit(0).cast("bigint")
 
 
+def _sizes(cells: DataFrame, low: int, high: int) -> list[DataFrame]:
+    """Sizes of the buckets of depths ``low`` to ``high``, from cells of ``high`` bits.
+
+    Some depths are added up at once, the deepest first; the next are added up from the
+    shallowest of these, so the work is a few times the cells, whatever their number of bits.
+    """
+    out, now, at, top = [], cells, high, high
+    while top >= low:
+        bottom = max(low, top - CHUNK + 1)
+        b = (
+            now.select(F.explode(F.sequence(F.lit(bottom), F.lit(top))).alias("depth"), "cell", "bytes", "n", "h_min", "h_max")
+            .select("depth", F.expr(f"shiftright(cell, {at} - depth)").alias("prefix"), "bytes", "n", "h_min", "h_max")
+            .groupBy("depth", "prefix")
+            .agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n"), F.min("h_min").alias("h_min"), F.max("h_max").alias("h_max"))
+        )
+        if bottom > low:
+            b = materialize(b, "buckets")
+        out.append(b)
+        now, at, top = b.where(F.col("depth") == bottom).withColumnRenamed("prefix", "cell"), bottom, bottom - 1
+    return out
+
+
 def _leaves(cells: DataFrame, low: int, high: int, limit: int) -> DataFrame:
     """Buckets that are not split further, and those of the last depth that would have to be."""
-    depth = F.explode(F.sequence(F.lit(low), F.lit(high))).alias("depth")
-    b = (
-        cells.select(depth, "cell", "bytes", "n", "h_min", "h_max")
-        .select("depth", F.expr(f"shiftright(cell, {high} - depth)").alias("prefix"), "bytes", "n", "h_min", "h_max")
-        .groupBy("depth", "prefix")
-        .agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n"), F.min("h_min").alias("h_min"), F.max("h_max").alias("h_max"))
-        .withColumn("fits", (F.col("bytes") <= limit) | (F.col("h_min") == F.col("h_max")))
-    )
+    b = reduce(DataFrame.unionByName, _sizes(cells, low, high)).withColumn("fits", (F.col("bytes") <= limit) | (F.col("h_min") == F.col("h_max")))
     split = b.where("not fits").select((F.col("depth") + 1).alias("depth"), "prefix")
     parent = F.shiftright("prefix", 1)
     child = b.where((F.col("depth") > low) & (F.col("fits") | (F.col("depth") == high))).withColumn("up", parent)
@@ -51,6 +70,11 @@ def _leaves(cells: DataFrame, low: int, high: int, limit: int) -> DataFrame:
     return b.where((F.col("depth") == low) & (F.col("fits") | F.lit(low == high))).unionByName(below)
 
 
+def _bits(total: int, limit: int) -> int:
+    """Bits that part so many bytes into shards of half the limit, and some more."""
+    return max(1, math.ceil(math.log2(max(1.0, 2 * total / limit)))) + SPARE_BITS
+
+
 def extendible_shards(df: DataFrame, limit: int, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The shard of every row, so that each shard's texts have at most ``limit`` UTF-8 bytes.
 
@@ -67,23 +91,29 @@ def extendible_shards(df: DataFrame, limit: int, key_col: str = "doc_id", text_c
     )
     rows = materialize(sized, "sizes")
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
-    low, high = 0, min(PASS_BITS, max(4, math.ceil(math.log2(max(1, total / limit))) + 5))
+    low, high = 0, min(HASH_BITS, _bits(total, limit))
     pending, done = rows, None
     while True:
         cells = Materialized(pending.groupBy(_prefix(high).alias("cell")).agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("n"), F.min("h").alias("h_min"), F.max("h").alias("h_max")), "cells")
         leaves = Materialized(_leaves(cells.df, low, high, limit), "leaves")
         # the directory: the bucket of every prefix of ``high`` bits that has rows
-        entries = F.explode(F.sequence(F.expr(f"shiftleft(prefix, {high} - depth)"), F.expr(f"shiftleft(prefix + 1, {high} - depth) - 1"))).alias("cell")
-        directory = leaves.df.select("*", entries).join(cells.df.select("cell"), "cell", "left_semi")
+        depths = sorted(r["depth"] for r in leaves.df.select("depth").distinct().collect())  # HASH_BITS at most
+        if not depths:
+            break
+        entries = cells.df.select("cell", F.explode(F.array(*map(F.lit, depths))).alias("depth")).withColumn("prefix", F.expr(f"shiftright(cell, {high} - depth)"))
+        directory = entries.join(leaves.df, ["depth", "prefix"])
         n_cells = cells.df.count()
         directory = F.broadcast(directory) if n_cells <= BROADCAST_ENTRIES else directory
         found = pending.withColumn("cell", _prefix(high)).join(directory, "cell")
         now = found.where("fits").select("key", "n_bytes", "seq", "h", "depth", "prefix", "bytes", "n")
         done = now if done is None else done.unionByName(now)
-        if high == HASH_BITS or leaves.df.where("not fits").isEmpty():
+        most = leaves.df.where("not fits").agg(F.max("bytes")).first()[0]
+        if high == HASH_BITS or most is None:
             break
         pending = materialize(found.where("not fits").select("key", "h", "n_bytes", "seq"), "pending")
-        low, high = high, min(HASH_BITS, high + PASS_BITS)
+        low, high = high, min(HASH_BITS, high + _bits(most, limit))
+    if done is None:
+        done = rows.select("key", "n_bytes", "seq", "h", F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("prefix"), F.lit(0).cast("bigint").alias("bytes"), F.lit(0).cast("bigint").alias("n")).limit(0)
     shard = F.when(F.col("depth") == 0, "").otherwise(F.expr("lpad(bin(prefix), depth, '0')"))
     one = done.where((F.col("bytes") <= limit) | (F.col("n") == 1)).withColumn("page", F.lit(0).cast("bigint"))
     over = done.where((F.col("bytes") > limit) & (F.col("n") > 1))
