@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ BLOCK = 192
 RATE = 8000
 #: A seek point for every so many frames.
 SEEK_FRAMES = 64
+#: Frames that are written or read side by side; a longer stream takes several turns.
+TURN = 1 << 13
 LPC_PRECISION, LPC_SHIFT = 12, 10
 
 # fixed values of the format
@@ -189,12 +192,16 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     frames = np.array([len(p) // BLOCK for p in payloads], np.int64)
     if any(len(p) % BLOCK or not p for p in payloads):
         raise ValueError(f"a payload's length must be a positive multiple of {BLOCK}")
-    x = (np.frombuffer(b"".join(payloads), np.uint8).astype(np.int16) - 128).reshape(-1, BLOCK)
+    signed = (np.frombuffer(b"".join(payloads), np.uint8) ^ 128).view(np.int8).reshape(-1, BLOCK)
     first = np.cumsum(frames) - frames
-    rows, lengths = encode_frames(x, np.arange(len(x)) - np.repeat(first, frames))
-    body = rows[np.arange(rows.shape[1]) < lengths[:, None]].tobytes()
+    numbers = np.arange(len(signed)) - np.repeat(first, frames)
+    body, sizes = bytearray(), []
+    for lo in range(0, len(signed), TURN):
+        rows, size = encode_frames(signed[lo : lo + TURN], numbers[lo : lo + TURN])
+        body += rows[np.arange(rows.shape[1]) < size[:, None]].tobytes()
+        sizes.append(size)
+    lengths = np.concatenate([*sizes, np.zeros(0, np.int64)])
     ends = np.cumsum(lengths)
-    signed = x.astype(np.int8)
     out = []
     for i, n in enumerate(frames.tolist()):
         own = slice(first[i], first[i] + n)
@@ -373,10 +380,12 @@ def decode(streams: list[bytes]) -> list[np.ndarray]:
         begin = np.cumsum(sizes) - sizes
         counts = np.array([-(-heads[i]["samples"] // shape) for i in some])
         starts, whose = boundaries(data, begin, sizes, counts, shape, max(heads[i]["widest"] for i in some))
-        samples, _, number, sound = decode_frames(data, starts, shape, max(heads[i]["widest"] for i in some))
-        if not sound.all():
-            raise ValueError(f"{(~sound).sum()} frames fail their checksums")
-        flat = samples.astype(np.int8)
+        flat = np.empty((len(starts), shape), np.int8)
+        for lo in range(0, len(starts), TURN):
+            samples, _, _, sound = decode_frames(data, starts[lo : lo + TURN], shape, max(heads[i]["widest"] for i in some))
+            if not sound.all():
+                raise ValueError(f"{(~sound).sum()} frames fail their checksums")
+            flat[lo : lo + TURN] = samples
         at = np.cumsum(counts) - counts
         for j, i in enumerate(some):
             out[i] = flat[at[j] : at[j] + counts[j]].reshape(-1)[: heads[i]["samples"]]
@@ -434,10 +443,35 @@ def payload(text: str | None) -> bytes:
     return b + b" " * (-len(b) % BLOCK or (BLOCK if not b else 0))
 
 
+def pcm_blocks(samples: np.ndarray, size: int = BLOCK * SEEK_FRAMES) -> Iterator[tuple[int, np.ndarray]]:
+    """Stretches of the samples with their offsets; they begin at the seek points."""
+    for at in range(0, len(samples), size):
+        yield at, samples[at : at + size]
+
+
+class Features:
+    """Energy, zero crossings, and least and most amplitude of PCM blocks, as exact integers."""
+
+    def __init__(self):
+        self.energy = self.crossings = 0
+        self.low, self.high, self.last = 127, -128, None
+
+    def add(self, block: np.ndarray) -> None:
+        x = block.astype(np.int64)
+        below = x < 0
+        self.energy += int((x * x).sum())
+        self.crossings += int((below[1:] != below[:-1]).sum()) + (self.last is not None and self.last != below[0])
+        self.low, self.high, self.last = min(self.low, int(x.min())), max(self.high, int(x.max())), below[-1]
+
+    def __str__(self) -> str:
+        return f"energy={self.energy};crossings={int(self.crossings)};min={self.low};max={self.high}"
+
+
 def features(samples: np.ndarray) -> str:
-    """Energy, zero crossings, and least and most amplitude, as exact integers."""
-    x = samples.astype(np.int64)
-    return f"energy={int((x * x).sum())};crossings={int(((x[1:] < 0) != (x[:-1] < 0)).sum())};min={int(x.min())};max={int(x.max())}"
+    f = Features()
+    for _, block in pcm_blocks(samples):
+        f.add(block)
+    return str(f)
 
 
 def to_flac(df: DataFrame, text_col: str = "text", keep: tuple = ("doc_id",)) -> DataFrame:
@@ -458,24 +492,23 @@ def to_pcm(df: DataFrame, flac_col: str = "flac", id_col: str = "doc_id", block_
             for i, s in enumerate(b.column(1).to_pylist()):
                 if s is None:
                     continue
-                x = decode([s])[0]
-                at = list(range(0, len(x), block_samples))
+                at, blocks = zip(*pcm_blocks(decode([s])[0], block_samples), strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array([i] * len(at), pa.int64())), pa.array(range(len(at)), pa.int64()), pa.array(at, pa.int64()), pa.array([x[j : j + block_samples].tobytes() for j in at], pa.binary())],
+                    [b.column(0).take(pa.array([i] * len(at), pa.int64())), pa.array(range(len(at)), pa.int64()), pa.array(at, pa.int64()), pa.array([x.tobytes() for x in blocks], pa.binary())],
                     names=["id", "block", "sample_offset", "pcm"],
                 )
 
     return df.select(id_col, flac_col).mapInArrow(run, f"id {id_type}, block bigint, sample_offset bigint, pcm binary").withColumnRenamed("id", id_col)
 
 
-DIGESTS = {"n_bytes": "bigint", "payload_bytes": "bigint", "payload_sha256": "string", "tail_crc32": "bigint", "media_bytes": "bigint", "media_sha256": "string", "feature": "string"}
+DIGESTS = {"n_bytes": "bigint", "payload_bytes": "bigint", "payload_sha256": "string", "tail_crc32": "bigint", "media_bytes": "bigint", "media_sha256": "string", "feature": "string", "n_blocks": "bigint"}
 
 
 def media_digests(df: DataFrame, text_col: str = "text", keep: tuple = ("doc_id",)) -> DataFrame:
     """Store every whole text as FLAC, read the stored bytes back, and describe both.
 
-    All digests of the payload and the features come from the samples that were read back. A
-    null text counts as empty (a payload of 192 spaces); equal texts give equal values. Other
+    All digests of the payload and the features come from the PCM blocks that were read back,
+    one by one; ``n_blocks`` is their number. A null text counts as empty (a payload of 192 spaces); equal texts give equal values. Other
     columns are dropped. No shuffle.
     """
 
@@ -483,8 +516,13 @@ def media_digests(df: DataFrame, text_col: str = "text", keep: tuple = ("doc_id"
         out = {n: [] for n in DIGESTS}
         stored = encode([payload(t) for t in texts])
         for t, s, x in zip(texts, stored, decode(stored), strict=True):
-            back = (x.astype(np.int16) + 128).astype(np.uint8).tobytes()
-            row = (len((t or "").encode()), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(s), hashlib.sha256(s).hexdigest(), features(x))
+            digest, feature, n, back = hashlib.sha256(), Features(), 0, b""
+            for at, block in pcm_blocks(x):
+                back = (block.view(np.uint8) ^ 128).tobytes()  # blocks hold whole frames, so the last has 16 bytes
+                digest.update(back)
+                feature.add(block)
+                n += 1
+            row = (len((t or "").encode()), at + len(back), digest.hexdigest(), zlib.crc32(back[-16:]), len(s), hashlib.sha256(s).hexdigest(), str(feature), n)
             for n, v in zip(DIGESTS, row, strict=True):
                 out[n].append(v)
         return out
