@@ -16,8 +16,9 @@ from hornspark.llm.trees import Boosted
 # fixed values: element names of the HTML standard
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style textarea title xmp iframe noembed noframes noscript template svg math canvas object audio video select option button input datalist map meter progress dialog".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
+MATH = frozenset("math semantics annotation annotation-xml maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover".split())
+UNSEEN = frozenset("head script style textarea title xmp iframe noembed noframes noscript template svg select option button input datalist annotation annotation-xml".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img meter progress".split()) | MATH
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 #: element -> (elements that its start tag closes, elements that this does not reach beyond)
 CLOSES = {
@@ -63,15 +64,20 @@ class Node:
             parent.items.append(self)
 
 
-def attributes(text: str) -> tuple[list[str], bool]:
-    """Words of class, id, role and the like, and whether the element is hidden."""
+def attributes(text: str, inline: bool = False) -> tuple[list[str], bool]:
+    """Words of class, id, role and the like, and whether the element is hidden.
+
+    ``aria-hidden`` hides inline parts, which repeat a formula or a label; of a block it is a word.
+    """
     tokens, hidden = [], False
     for name, a, b, c in _ATTR.findall(text):
         name, value = name.lower(), a or b or c
         if name in ("class", "id", "role", "itemprop", "itemtype", "aria-label", "data-role"):
             tokens += _NAME.findall(unescape(re.sub(r"([a-z])([A-Z])", r"\1 \2", value)).lower())
-        elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value):
+        elif name == "hidden" or inline and name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value):
             hidden = True
+        elif name == "aria-hidden" and value == "true":
+            tokens.append("aria-hidden")
     return tokens, hidden
 
 
@@ -79,6 +85,21 @@ def parse(html: str) -> list[Node]:
     """All block nodes in page order, the root first. Broken markup is read as browsers do, roughly."""
     root = Node("html", [], None, False, 0)
     nodes, stack, links, at = [root], [(root, "html")], 0, 0
+    #: tag -> places of its open elements in the stack; places of those that aren't inline, and that shelter a p
+    where: dict[str, list[int]] = {}
+    blocks: list[int] = []
+    scopes: list[int] = []
+
+    def push(node: Node, tag: str):
+        where.setdefault(tag, []).append(len(stack))
+        if tag not in INLINE:
+            blocks.append(len(stack))
+        if tag in P_SCOPE:
+            scopes.append(len(stack))
+        stack.append((node, tag))
+
+    def last(tags) -> int:
+        return max((where[t][-1] for t in tags if where.get(t)), default=0)
 
     def text(s: str):
         node = stack[-1][0]
@@ -93,7 +114,11 @@ def parse(html: str) -> list[Node]:
     def pop(to: int):
         nonlocal links
         while len(stack) > to:
-            links -= stack.pop()[1] == "a"
+            tag = stack.pop()[1]
+            links -= tag == "a"
+            for places in (where[tag], blocks, scopes):
+                if places and places[-1] == len(stack):
+                    places.pop()
 
     search = _TOKEN.search
     while m := search(html, at):
@@ -104,32 +129,22 @@ def parse(html: str) -> list[Node]:
             continue
         tag = tag.lower()
         if closing:
-            inline = tag in INLINE
-            if tag in ("br",):
+            if tag == "br":
                 text(" ")
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][1] == tag:
-                    pop(i)
-                    break
-                if inline and stack[i][1] not in INLINE:
-                    break
+            i = last((tag,))
+            if i and (tag not in INLINE or not blocks or i > blocks[-1]):
+                pop(i)
             continue
         if tag in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][1] == "p":
-                    pop(i)
-                    break
-                if stack[i][1] in P_SCOPE:
-                    break
+            i = last(("p",))
+            if i and (not scopes or i > scopes[-1]):
+                pop(i)
         if tag in CLOSES:
             shut, scope = CLOSES[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][1] in scope:
+            while (i := last(shut)) > last(scope):
+                pop(i)
+                if tag in ("li", "dt", "dd", "td", "th", "option"):
                     break
-                if stack[i][1] in shut:
-                    pop(i)
-                    if tag in ("li", "dt", "dd", "td", "th", "option"):
-                        break
         if tag in VOID:
             if tag == "br" or tag == "img":
                 text(" ")
@@ -147,17 +162,17 @@ def parse(html: str) -> list[Node]:
         unseen = top.unseen or tag in UNSEEN
         if tag in INLINE and not unseen:
             # hidden inline parts are nodes of their own, so that they can be left out
-            tokens, hidden = attributes(attrs) if attrs and ("hidden" in attrs or "none" in attrs) else ([], False)
+            tokens, hidden = attributes(attrs, inline=True) if attrs and ("hidden" in attrs or "none" in attrs) else ([], False)
             if hidden:
                 nodes.append(Node(tag, tokens, top, True, at))
-                stack.append((nodes[-1], tag))
+                push(nodes[-1], tag)
             else:
-                stack.append((top, tag))
+                push(top, tag)
             links += tag == "a"
             continue
         tokens, hidden = attributes(attrs) if attrs.strip() else ([], False)
         nodes.append(Node(tag, tokens, top, unseen or hidden, at))
-        stack.append((nodes[-1], tag))
+        push(nodes[-1], tag)
         links += tag == "a"
     text(html[at:])
     for n in reversed(nodes):

@@ -1,6 +1,7 @@
 """Shards, languages, containment, near-duplicates, pages and the pipeline, against plain versions."""
 
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -52,6 +53,38 @@ def test_only_oversized_buckets_split(spark):
             assert sum(v for k, v in size.items() if k.startswith(up)) > 20_000
 
 
+def plain_shards(rows, limit, bits=60):
+    """Each row's bucket by splitting oversized buckets one bit at a time."""
+    out, todo = {}, [(0, 0, rows)]
+    while todo:
+        depth, prefix, own = todo.pop()
+        if sum(n for *_, n in own) <= limit or len({h for _, h, _ in own}) < 2:
+            out |= {i: (depth, prefix) for i, *_ in own}
+            continue
+        for bit in (0, 1):
+            half = [x for x in own if x[1] >> (bits - 1 - depth) & 1 == bit]
+            if half:
+                todo.append((depth + 1, prefix << 1 | bit, half))
+    return out
+
+
+def test_shards_that_take_several_passes(spark, monkeypatch):
+    """One key holds a third of all bytes, and buckets need more bits than a pass plans."""
+    monkeypatch.setattr(sharding, "_bits", lambda total, limit: 3)
+    monkeypatch.setattr(sharding, "CHUNK", 2)
+    rows = [(k, "z" * (k % 50)) for k in range(700)] + [(7, "y" * 60)] * 150
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    hashes = {r["doc_id"]: r["h"] for r in df.select("doc_id", sharding.key_hash("doc_id").alias("h")).distinct().collect()}
+    for limit in (1000, 200):
+        want = plain_shards([(i, hashes[i], len(t)) for i, t in rows], limit)
+        got = sharding.extendible_shards(df, limit).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            depth, prefix = want[r["doc_id"]]
+            assert r["shard"] == (format(prefix, f"0{depth}b") if depth else "")
+        assert max(len(r["shard"]) for r in got) > 3
+
+
 def brute_marginals(psi, starts, move, begin):
     out = np.zeros_like(psi)
     bounds = [*np.flatnonzero(starts), len(psi)]
@@ -314,6 +347,22 @@ def test_pages(spark):
     assert html.extract(df.limit(0), model).count() == 0
 
 
+def test_broken_pages_take_linear_time():
+    n = 50_000
+    start = time.time()
+    for page in ("<div>" * n + "</section>" * n, "<b>" * n + "</i>" * n, "<i><div>" + "<b>" * n + "</i>" * n, "<div>" * n + "<p>" * 100, "<section><div>" * n + "<li>" * n):
+        html.parse(page)
+    assert time.time() - start < 30
+
+
+def test_formulas_are_part_of_the_text():
+    model = html_training.train()
+    words = "The sum of the first numbers, which is shown here, grows with their square, as has been known for long. "
+    formula = '<span class="katex"><math><semantics><mrow><mi>S</mi><mo>=</mo><mn>42</mn></mrow><annotation encoding="application/x-tex">S=42</annotation></semantics></math><span aria-hidden="true">S=42</span></span>'
+    page = f'<html><body><nav><a href="/">Home</a></nav><article><h1>Sums</h1><p>{words * 3}Here {formula} holds.</p><p>{words * 3}</p></article></body></html>'
+    assert "Here S=42 holds." in model([page])[0] and model([page])[0].count("42") == 1
+
+
 def test_data_pages_give_their_articles(spark):
     import re
     from html import unescape

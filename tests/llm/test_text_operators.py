@@ -291,6 +291,154 @@ def test_secrets(awkward, none):
     assert right >= 285
 
 
+def test_every_labelled_secret_is_a_candidate():
+    maker, secret = secrets.Maker(5), 0
+    for _ in range(1500):
+        text, lo, hi, _, is_secret = maker.finding()
+        secret += is_secret
+        assert not is_secret or any(a <= lo and hi <= b + 1 for a, b in secrets.candidates(text)), text
+    assert secret > 600
+
+
+def test_short_passwords_and_urls_are_found():
+    r, model = random.Random(2), secrets.train()
+    mixed = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"
+    word = lambda n: "".join(r.choice(mixed) for _ in range(n))
+    found = lambda t: [t[a:b] for (a, b), q in zip(*(x[0] for x in model([t], [""])), strict=True) if q >= 0.5]
+    for make in (lambda x: f'password = "{x}"', lambda x: f"DB_PASSWORD={x}\n", lambda x: f"postgres://admin:{x}@host/db"):
+        passwords = [word(12) for _ in range(40)]
+        assert sum(found("set " + make(x) + " here") == [x] for x in passwords) >= 38
+    assert not any(found(f"commit {''.join(r.choice('0123456789abcdef') for _ in range(40))} was merged") for _ in range(40))
+    assert found("the key thing is that tokens count and a secret ingredient matters") == []
+
+
+def test_the_forest_is_the_mean_of_its_trees():
+    model, maker = secrets.train(), secrets.Maker(8)
+    rows = []
+    for _ in range(60):
+        text, _, _, path, _ = maker.finding()
+        rows += [secrets.features(text, a, b, path) for a, b in secrets.candidates(text)]
+
+    def walk(tree, x):
+        k = 0
+        while tree.feature[k] >= 0:
+            k = tree.left[k] if x[tree.feature[k]] <= tree.cut[k] else tree.right[k]
+        return tree.value[k]
+
+    got = model.forest.probability(np.array(rows, float))
+    assert np.allclose(got, [np.mean([walk(t, x) for t in model.forest.trees]) for x in rows])
+
+
+def test_secrets_of_awkward_rows(awkward):
+    model = secrets.train()
+    rows = awkward.collect()
+    want = []
+    for r in rows:
+        found, p = model([r["text"]], [r["source"]])
+        good = [f"{a}:{b}" for (a, b), q in zip(found[0], p[0], strict=True) if q >= 0.5]
+        want.append((str(r["doc_id"]), len(found[0]), len(good), ",".join(good)))
+    got = secrets.scan(awkward, model)
+    assert got.columns == ["doc_id", "n_candidates", "n_secrets", "spans"]
+    assert sorted((str(r["doc_id"]), r["n_candidates"], r["n_secrets"], r["spans"]) for r in got.collect()) == sorted(want)
+
+
+class Bits:
+    """Bits of a stream, one after the other."""
+
+    def __init__(self, data, at):
+        self.data, self.at = data, at * 8
+
+    def take(self, n):
+        v = 0
+        for _ in range(n):
+            v = v << 1 | self.data[self.at >> 3] >> (7 - self.at % 8) & 1
+            self.at += 1
+        return v
+
+    def signed(self, n):
+        v = self.take(n)
+        return v - (1 << n) if n and v >> (n - 1) else v
+
+    def rice(self, k):
+        q = 0
+        while not self.take(1):
+            q += 1
+        u = q << k | self.take(k)
+        return u >> 1 if u % 2 == 0 else -(u >> 1) - 1
+
+
+def plain_crc(data, poly, width):
+    c = 0
+    for byte in data:
+        c ^= byte << (width - 8)
+        for _ in range(8):
+            c = (c << 1 ^ poly if c >> (width - 1) else c << 1) & ((1 << width) - 1)
+    return c
+
+
+def plain_flac(stream):
+    """A scalar decoder by the published format, for 8-bit mono streams of blocks of 192 samples."""
+    at, last = 4, False
+    while not last:
+        last, at = bool(stream[at] >> 7), at + 4 + int.from_bytes(stream[at + 1 : at + 4])
+    out = []
+    while at < len(stream):
+        b, start = Bits(stream, at), at
+        assert b.take(16) == 0xFFF8
+        code = b.take(8) >> 4
+        b.take(8)
+        first = b.take(8)
+        for _ in range(max(0, next(i for i in range(9) if not first << i & 128) - 1)):
+            b.take(8)
+        n = 192 if code == 1 else b.take(8) + 1 if code == 6 else b.take(16) + 1
+        assert plain_crc(stream[start : b.at >> 3], 7, 8) == b.take(8)
+        kind, x = b.take(8) >> 1, []
+        if kind == 0:
+            x = [b.signed(8)] * n
+        elif kind == 1:
+            x = [b.signed(8) for _ in range(n)]
+        else:
+            order = kind - 31 if kind >= 32 else kind - 8
+            x = [b.signed(8) for _ in range(order)]
+            if kind >= 32:
+                precision, shift = b.take(4) + 1, b.signed(5)
+                c = [b.signed(precision) for _ in range(order)]
+            else:
+                shift, c = 0, [[], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1]][order]
+            width, parts = (4, 5)[b.take(2)], b.take(4)
+            for part in range(1 << parts):
+                k = b.take(width)
+                raw = b.take(5) if k == (1 << width) - 1 else None
+                while len(x) < (part + 1) * n >> parts:
+                    e = b.rice(k) if raw is None else b.signed(raw)
+                    x.append(e + (sum(a * x[-1 - j] for j, a in enumerate(c)) >> shift))
+        b.at = (b.at + 7) // 8 * 8
+        assert plain_crc(stream[start : b.at >> 3], 0x8005, 16) == b.take(16)
+        out += x
+        at = b.at >> 3
+    return np.array(out, np.int8)
+
+
+def test_streams_are_read_by_a_plain_decoder():
+    r = random.Random(1)
+    texts = ["", "a" * 400, "The cat and the dog. " * 30, "".join(chr(r.randint(32, 0x2FF)) for _ in range(900)), "äöü 日本 " * 50]
+    for t in texts:
+        p = flac.payload(t)
+        stream = flac.encode([p])[0]
+        assert (plain_flac(stream).view(np.uint8) ^ 128).tobytes() == p
+
+
+def test_long_streams_take_several_turns(monkeypatch):
+    texts = ["one two three " * 5000, "", "x" * 192 * 7, "日本語" * 3000]
+    whole = flac.encode([flac.payload(t) for t in texts])
+    monkeypatch.setattr(flac, "TURN", 5)
+    assert flac.encode([flac.payload(t) for t in texts]) == whole
+    for t, x in zip(texts, flac.decode(whole), strict=True):
+        assert (x.view(np.uint8) ^ 128).tobytes() == flac.payload(t)
+        y = x.astype(np.int64)
+        assert flac.features(x) == f"energy={(y * y).sum()};crossings={((y[1:] < 0) != (y[:-1] < 0)).sum()};min={y.min()};max={y.max()}"
+
+
 @pytest.mark.parametrize("gap", [" ", "\n"])
 @pytest.mark.parametrize("n", [3, 10, 1000])
 def test_lists_of_numbers_are_personal_data(gap, n):
