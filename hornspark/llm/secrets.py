@@ -28,13 +28,18 @@ SHORTEST, SHORTEST_ASSIGNED = 16, 6
 FINDINGS = 4000
 
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_~.-]{%d,}={0,2}" % SHORTEST)
-#: Values after = or : in quotes, or after a cue word with or without them; and passwords in URLs.
-_ASSIGNED = re.compile(
-    r"""[=:]\s{{0,4}}(?:"([^"\s]{{{n},}})"|'([^'\s]{{{n},}})')"""
-    r"""|(?:secret|token|passw(?:or)?d|pwd|passphrase|key|auth|credentials?|bearer|basic)["']?(?:\s{{0,4}}(?::=|=>|[=:])\s{{0,4}}|\s)["']?([^\s"'<>]{{{n},}})"""
-    r"""|://[^\s/:@"']{{0,64}}:([^\s/@"']{{{n},}})@""".format(n=SHORTEST_ASSIGNED),
-    re.I,
-)
+# fixed values: names of secrets
+_NAMES = "secret token password passwd pwd passphrase key auth credential credentials bearer basic".split()
+_CUED = "|".join(sorted((f(w) for w in _NAMES for f in (str.lower, str.title, str.upper)), reverse=True))
+#: Values after = or : in quotes, passwords in URLs, and values after a name with or without = or :.
+_ASSIGNED = [
+    re.compile(p.replace("%d", str(SHORTEST_ASSIGNED)))
+    for p in (
+        r"""[=:]\s{0,4}(?:"([^"\s]{%d,})"|'([^'\s]{%d,})')""",
+        r"""://[^\s/:@"']{0,64}:([^\s/@"']{%d,})@""",
+        rf"""(?:{_CUED})["']?(?:\s{{0,4}}(?::=|=>|[=:])\s{{0,4}}|\s)["']?([^\s"'<>]{{%d,}})""",
+    )
+]
 _TRAILING = ".,;:)]}"
 _WORDS = re.compile(r"[A-Za-z]+")
 # fixed values: cue words, common words of identifiers, token prefixes
@@ -72,13 +77,17 @@ def candidates(text: str) -> list[tuple[int, int]]:
     case, all upper case, or a title); and whatever is assigned to a name, in quotes or after a
     cue word, or is the password of a URL, from SHORTEST_ASSIGNED characters on.
     """
-    out = []
-    for m in _ASSIGNED.finditer(text):
-        k = m.lastindex
-        lo, hi = m.span(k)
-        if k == 3:  # not quoted: the end of a sentence is no part of it
-            hi = lo + len(text[lo:hi].rstrip(_TRAILING))
-        if hi - lo >= SHORTEST_ASSIGNED:
+    found = []
+    for pattern in _ASSIGNED:
+        for m in pattern.finditer(text):
+            lo, hi = m.span(m.lastindex)
+            if pattern is _ASSIGNED[2]:  # not quoted: the end of a sentence is no part of it
+                hi = lo + len(text[lo:hi].rstrip(_TRAILING))
+            if hi - lo >= SHORTEST_ASSIGNED:
+                found.append((lo, hi))
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(found):
+        if not out or lo >= out[-1][1]:
             out.append((lo, hi))
     at = 0
     more = []
