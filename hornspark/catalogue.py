@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hornspark.functions.terms import atom, canonical_variables, show
+from hornspark.functions.terms import atom, body_flat, canonical_set, canonical_variables, show
 from hornspark.operators import analysis, backward, enumeration, export, filters, forward, lookups, scoring
 from hornspark.operators.backward import Options, ground_queries
 from hornspark.plans.kb import KnowledgeBase
@@ -15,8 +15,9 @@ from hornspark.plans.materialize import materialize, shared_dir
 from hornspark.plans.rules import parse_rule, reachable, encode_rule, rule_table
 from hornspark.plans.spec import Engine
 from hornspark.sources.tables import PREDICATES as P
-from hornspark.sources.tables import entity, facts, knowledge_base, rules
-from hornspark.streaming.ground import ground_stream
+from hornspark.sources.tables import TURNS, entity, facts, knowledge_base, rules, turn
+from hornspark.sources.text import Dataset, parse_triples, write_depths
+from hornspark.streaming.ground import extend_closure, ground_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -25,7 +26,7 @@ E = 10**12
 
 # the tables as facts, and what the rules derive from them, in SQL
 FACTS = f"""
-turn AS (SELECT DISTINCT conv_id * 1000 + turn AS k FROM conversations),
+turn AS (SELECT DISTINCT conv_id, turn FROM conversations),
 c_nation AS (SELECT DISTINCT {E} + c_custkey AS s, {3 * E} + c_nationkey AS o FROM customer),
 s_nation AS (SELECT DISTINCT {2 * E} + s_suppkey AS s, {3 * E} + s_nationkey AS o FROM supplier),
 in_region AS (SELECT DISTINCT {3 * E} + n_nationkey AS s, {4 * E} + n_regionkey AS o FROM nation),
@@ -33,7 +34,7 @@ placed AS (SELECT DISTINCT {E} + o_custkey AS s, {5 * E} + o_orderkey AS o FROM
 has_part AS (SELECT DISTINCT {5 * E} + l_orderkey AS s, {6 * E} + l_partkey AS o FROM lineitem),
 shipped_by AS (SELECT DISTINCT {5 * E} + l_orderkey AS s, {2 * E} + l_suppkey AS o FROM lineitem),
 supplies AS (SELECT DISTINCT {2 * E} + l_suppkey AS s, {6 * E} + l_partkey AS o FROM lineitem),
-next_turn AS (SELECT {7 * E} + a.k AS s, {7 * E} + b.k AS o FROM turn a JOIN turn b ON b.k = a.k + 1),
+next_turn AS (SELECT {7 * E} + a.conv_id * {TURNS} + a.turn AS s, {7 * E} + b.conv_id * {TURNS} + b.turn AS o FROM turn a JOIN turn b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1),
 facts AS (
   SELECT 1 AS pred, s, o FROM c_nation UNION ALL SELECT 2, s, o FROM s_nation UNION ALL SELECT 3, s, o FROM in_region UNION ALL SELECT 4, s, o FROM placed
   UNION ALL SELECT 5, s, o FROM has_part UNION ALL SELECT 6, s, o FROM shipped_by UNION ALL SELECT 7, s, o FROM supplies UNION ALL SELECT 8, s, o FROM next_turn
@@ -191,7 +192,7 @@ UNION ALL SELECT 15, f.s, f.o, 7, {sql_atom(8, 'f.s', 't.o')} || ';' || {sql_ato
 """)
 def witness(spark, sf_dir):
     kb = knowledge_base(spark, sf_dir, ("in_region_of", "bought_from", "local_buy", "follows"))
-    return forward.witnesses(kb, forward.forward_chain(kb)).select("pred", "s", "o", "rule_id", show(F.col("body")).alias("body"))
+    return forward.witnesses(kb).select("pred", "s", "o", "rule_id", show(F.col("body")).alias("body"))
 
 
 # backward chaining
@@ -207,7 +208,7 @@ def supplier_groundings(spark, sf_dir):
     return ground_queries(kb, q(customers(spark, sf_dir), P["bought_from"], F.col("c"), var(1), "c_custkey"), Options(depth=3))[0]
 
 
-SUPPLIER_SQL = f", proof AS (SELECT p.s - {E} AS qid, {sql_atom(4, 'p.s', 'p.o')} || ';' || {sql_atom(6, 'h.s', 'h.o')} AS body, p.s, p.o AS ord, h.o FROM placed p JOIN shipped_by h ON h.s = p.o)"
+SUPPLIER_SQL = f", proof AS MATERIALIZED (SELECT p.s - {E} AS qid, {sql_atom(4, 'p.s', 'p.o')} || ';' || {sql_atom(6, 'h.s', 'h.o')} AS body, p.s, p.o AS ord, h.o FROM placed p JOIN shipped_by h ON h.s = p.o)"
 
 
 @register("sld_evidence", f"SELECT c.s - {E} AS qid, '1' AS rules, {sql_atom(1, 'c.s', 'c.o')} || ';' || {sql_atom(3, 'r.s', 'r.o')} AS body, 2 AS n_atoms FROM c_nation c JOIN in_region r ON r.s = c.o")
@@ -238,6 +239,60 @@ def sld_conjunction(spark, sf_dir):
     return export.evidence_flat(ground_queries(kb, queries, Options(depth=4))[0]).select("qid", "body")
 
 
+def odd_conjunction(spark, sf_dir):
+    """The goals of sld_conjunction with variables of any number."""
+    v = -(F.col("c_custkey") % 12 + 1)
+    goals = F.array(atom(F.lit(P["bought_from"]), F.col("c"), v), atom(F.lit(P["s_nation"]), v, F.col("n")))
+    return customers(spark, sf_dir).select(F.col("c_custkey").cast("bigint").alias("qid"), goals.alias("goals"))
+
+
+LOCAL_PROOF_SQL = SUPPLIER_SQL + " SELECT DISTINCT qid, body FROM proof JOIN s_nation n ON n.s = proof.o JOIN c_nation c ON c.s = proof.s AND c.o = n.o"
+
+
+@register("sld_variables", LOCAL_PROOF_SQL)
+def sld_variables(spark, sf_dir):
+    kb = knowledge_base(spark, sf_dir, ("bought_from",), ("placed", "shipped_by", "s_nation"))
+    return export.evidence_flat(ground_queries(kb, odd_conjunction(spark, sf_dir), Options(depth=4))[0]).select("qid", "body")
+
+
+@register("sld_reentry", LOCAL_PROOF_SQL)
+def sld_reentry(spark, sf_dir):
+    """Two steps, and two more from the frontier that the first left."""
+    kb = knowledge_base(spark, sf_dir, ("bought_from",), ("placed", "shipped_by", "s_nation"))
+    early, left = ground_queries(kb, odd_conjunction(spark, sf_dir), Options(depth=2))
+    late, _ = ground_queries(kb, left, Options(depth=2), first=2)
+    return export.evidence_flat(early.unionByName(late)).select("qid", "body")
+
+
+def owned(spark, sf_dir):
+    """sold_to(C, O) :- placed(C, O), and the goals sold_to(c, V)."""
+    program = [encode_rule(parse_rule("sold_to(C,O) :- placed(C,O)", "x"), 1, P, {})]
+    return KnowledgeBase(facts(spark, sf_dir, ("placed",)), program, P), q(customers(spark, sf_dir), P["sold_to"], F.col("c"), var(1), "c_custkey")
+
+
+@register("sld_excluded", "SELECT 17 AS pred, s, o FROM placed p WHERE o <> (SELECT min(x.o) FROM placed x WHERE x.s = p.s)")
+def sld_excluded(spark, sf_dir):
+    """A query's excluded atom, here the first order of the customer, proves nothing."""
+    kb, queries = owned(spark, sf_dir)
+    first = kb.facts.groupBy(F.col("s").alias("a0")).agg(F.min("o").alias("o"))
+    queries = queries.join(first, "a0", "left").withColumn("excluded", F.when(F.col("o").isNotNull(), atom(F.lit(P["placed"]), F.col("a0"), F.col("o"))))
+    return backward.answers(ground_queries(kb, queries, Options(depth=2))[0]).select("pred", "s", "o")
+
+
+@register("cap_facts", "SELECT s, o FROM (SELECT s, o, row_number() OVER (PARTITION BY s ORDER BY o) AS r FROM placed) WHERE r <= 3")
+def cap_facts(spark, sf_dir):
+    """The first three facts of each query."""
+    kb, queries = owned(spark, sf_dir)
+    return backward.answers(ground_queries(kb, queries, Options(depth=2, most_facts=3))[0]).select("s", "o")
+
+
+@register("cap_batch", "SELECT c_custkey AS qid FROM customer ORDER BY 1 LIMIT 25")
+def cap_batch(spark, sf_dir):
+    """The first 25 states of the whole batch."""
+    kb, queries = owned(spark, sf_dir)
+    return ground_queries(kb, queries, Options(depth=1, most_frontier=25))[1].select("qid")
+
+
 @register("sld_prune_facts", f"SELECT c.s - {E} AS qid, 1 AS depth FROM c_nation c")
 def sld_prune_facts(spark, sf_dir):
     """in_region_of(c, the region of c) for every customer: a rule, one fact, and a fact for free."""
@@ -345,11 +400,16 @@ def filter_closure_step(spark, sf_dir):
     return filters.closure_step(filters.numbered(rows), F.col("goals"), kb).select("s", "o")
 
 
-def follow_evidence(spark, sf_dir):
-    """Ground queries follows(x, z) for all turns x before z, resolved two steps; open goals are kept as evidence."""
+def follow_queries(spark, sf_dir):
+    """Ground queries follows(x, z) for all turns x before z."""
     kb = knowledge_base(spark, sf_dir, ("follows",))
     known = materialize(forward.forward_chain(kb).select("s", "o"), "pairs")
-    queries = known.select(F.xxhash64("s", "o").alias("qid"), F.lit(P["follows"]).alias("pred"), F.col("s").alias("a0"), F.col("o").alias("a1"))
+    return kb, known.select(F.xxhash64("s", "o").alias("qid"), F.lit(P["follows"]).alias("pred"), F.col("s").alias("a0"), F.col("o").alias("a1"))
+
+
+def follow_evidence(spark, sf_dir):
+    """The queries of follow_queries resolved two steps; open goals are kept as evidence."""
+    kb, queries = follow_queries(spark, sf_dir)
     return kb, ground_queries(kb, queries, Options(depth=2, collect="grounded"))[0]
 
 
@@ -369,6 +429,16 @@ def fp_global(spark, sf_dir):
     return export.evidence_flat(filters.fp_global(found.where(F.size("steps") == 1), closed.known())).select("body")
 
 
+@register("witness_injection", f"SELECT '6' AS rules, {sql_atom(8, 's', 'o')} AS body FROM follows WHERE n = 0 UNION ALL SELECT '7', {sql_atom(8, 'f.s', 't.o')} || ';' || {sql_atom(15, 't.o', 'f.o')} FROM follows f JOIN next_turn t ON t.s = f.s WHERE n > 0")
+def witness_injection(spark, sf_dir):
+    """Queries that match an atom of the closure get its witness as their proof."""
+    kb, queries = follow_queries(spark, sf_dir)
+    proofs = forward.witnesses(kb)
+    closed = kb.with_closure(materialize(proofs.select("pred", "s", "o"), "closure"))
+    found = ground_queries(closed, queries, Options(depth=1))[0]
+    return export.evidence_flat(forward.inject_witnesses(found, queries, proofs)).select("rules", "body")
+
+
 # export, statistics, analysis
 
 
@@ -428,14 +498,19 @@ def turn_pairs(spark, sf_dir):
     """All ordered pairs of different turns of a conversation, about half of them provable."""
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn").distinct()
     both = c.join(c.withColumnRenamed("turn", "other"), "conv_id").where("turn <> other")
-    x, z = F.lit(7 * E) + F.col("conv_id") * 1000 + F.col("turn"), F.lit(7 * E) + F.col("conv_id") * 1000 + F.col("other")
-    qid = (F.col("conv_id") * 1000 + F.col("turn")) * 1000 + F.col("other")
-    return both.select(qid.alias("qid"), F.lit(P["follows"]).alias("pred"), x.alias("a0"), z.alias("a1"))
+    qid = (F.col("conv_id") * TURNS + F.col("turn")) * TURNS + F.col("other")
+    return both.select(qid.alias("qid"), F.lit(P["follows"]).alias("pred"), turn(F.col("turn")).alias("a0"), turn(F.col("other")).alias("a1"))
+
 
+def depth_sql(hops: int) -> str:
+    """Depths of turn_pairs if the search ends after so many hops."""
+    return f""", pd AS (
+  SELECT (a.conv_id * {TURNS} + a.turn) * {TURNS} + b.turn AS qid, CASE WHEN f.n < {hops} THEN 2 * (f.n + 1) ELSE -1 END AS depth
+  FROM turn a JOIN turn b ON a.conv_id = b.conv_id AND a.turn <> b.turn
+  LEFT JOIN follows f ON f.s = {7 * E} + a.conv_id * {TURNS} + a.turn AND f.o = {7 * E} + b.conv_id * {TURNS} + b.turn)"""
 
-DEPTH_SQL = """, c AS (SELECT DISTINCT conv_id, turn FROM conversations), pd AS (
-  SELECT (a.conv_id * 1000 + a.turn) * 1000 + b.turn AS qid, CASE WHEN f.n < 4 THEN 2 * (f.n + 1) ELSE -1 END AS depth
-  FROM c a JOIN c b ON a.conv_id = b.conv_id AND a.turn <> b.turn LEFT JOIN follows f ON f.s = 7000000000000 + a.conv_id * 1000 + a.turn AND f.o = 7000000000000 + b.conv_id * 1000 + b.turn)"""
+
+DEPTH_SQL = depth_sql(4)
 
 
 def turn_depths(spark, sf_dir):
@@ -452,11 +527,51 @@ def depth_histogram(spark, sf_dir):
     return analysis.depth_histogram(materialize(turn_depths(spark, sf_dir), "depths"))
 
 
-@register("compare_engines", "SELECT count(*) AS n_one, count(*) AS n_other, count(*) AS n_both, CAST(0 AS BIGINT) AS only_one, CAST(0 AS BIGINT) AS only_other, CAST(1 AS DOUBLE) AS jaccard FROM bought_from")
+def near_turns(spark, sf_dir):
+    """Answers of follows(x, V) for all turns x that a backward search of four steps finds, and the closure."""
+    kb = knowledge_base(spark, sf_dir, ("follows",))
+    x = kb.facts.select(F.explode(F.array("s", "o")).alias("x")).distinct()
+    queries = x.select(F.col("x").alias("qid"), F.lit(P["follows"]).alias("pred"), F.col("x").alias("a0"), F.lit(-1).cast("bigint").alias("a1"))
+    return kb, backward.answers(ground_queries(kb, queries, Options(depth=4))[0]), forward.forward_chain(kb)
+
+
+@register("compare_engines", """, a AS (SELECT s, o FROM next_turn UNION SELECT t.s, u.o FROM next_turn t JOIN next_turn u ON u.s = t.o), b AS (SELECT DISTINCT s, o FROM hops)
+SELECT count(a.s) AS n_one, count(b.s) AS n_other, count(*) FILTER (a.s = b.s) AS n_both, count(*) FILTER (b.s IS NULL) AS only_one, count(*) FILTER (a.s IS NULL) AS only_other, round(count(*) FILTER (a.s = b.s) / count(*), 6) AS jaccard FROM a FULL JOIN b ON a.s = b.s AND a.o = b.o""")
 def compare_engines(spark, sf_dir):
-    """Answers of backward search against the closure."""
-    kb = knowledge_base(spark, sf_dir, ("bought_from",))
-    return analysis.compare(backward.answers(supplier_groundings(spark, sf_dir)), forward.forward_chain(kb))
+    """Answers of a bounded backward search against the closure."""
+    _, one, other = near_turns(spark, sf_dir)
+    return analysis.compare(one, other)
+
+
+@register("compare_all_engines", """, tagged AS (SELECT s, o, 'backward' AS name FROM (SELECT s, o FROM next_turn UNION SELECT t.s, u.o FROM next_turn t JOIN next_turn u ON u.s = t.o) UNION ALL SELECT s, o, 'closure' FROM follows UNION ALL SELECT s, o, 'facts' FROM next_turn)
+SELECT engines, count(*) AS n FROM (SELECT string_agg(name, ',' ORDER BY name) AS engines FROM tagged GROUP BY s, o) GROUP BY engines""")
+def compare_all_engines(spark, sf_dir):
+    kb, one, other = near_turns(spark, sf_dir)
+    return analysis.compare_all({"closure": other, "backward": one, "facts": kb.facts.withColumn("pred", F.lit(P["follows"]))})
+
+
+def near_depths(spark, sf_dir):
+    return materialize(backward.proof_depth(knowledge_base(spark, sf_dir, ("follows",)), turn_pairs(spark, sf_dir), 2), "depths")
+
+
+@register("depth_file", depth_sql(1) + " SELECT qid, depth FROM pd")
+def depth_file(spark, sf_dir):
+    """Depths written as lines of text and read again."""
+    import uuid
+
+    path = f"{shared_dir(spark).rstrip('/')}/depth-file-{uuid.uuid4().hex}"
+    write_depths(near_depths(spark, sf_dir).select(F.col("qid").alias("atom"), "depth"), path)
+    part = F.split("value", " ")
+    return spark.read.text(path).select(F.get(part, F.lit(0)).cast("bigint").alias("qid"), F.get(part, F.lit(1)).cast("int").alias("depth"))
+
+
+@register("depth_report", depth_sql(1) + " SELECT 'sld' AS engine, count(*) AS n_queries, count(*) FILTER (depth >= 0) AS n_proved, round(count(*) FILTER (depth >= 0) / count(*), 6) AS prove_rate, count(DISTINCT depth) AS n_depths FROM pd")
+def depth_report(spark, sf_dir):
+    """The JSON report of a depth search, by some of its fields."""
+    depths = near_depths(spark, sf_dir)
+    text = analysis.report(depths.select("qid", (F.col("depth") >= 0).cast("bigint").alias("n_groundings")), depths, engine="sld")
+    x = F.from_json("report", "engine string, n_queries bigint, n_proved bigint, prove_rate double, depths array<struct<depth:int>>").alias("x")
+    return text.select(x).select("x.engine", "x.n_queries", "x.n_proved", "x.prove_rate", F.size("x.depths").cast("bigint").alias("n_depths"))
 
 
 # scores, ranks, samples
@@ -470,9 +585,9 @@ def vectors(spark, sf_dir, kb: KnowledgeBase):
 
 
 SCORE_SQL = SUPPLIER_SQL + f""", m AS (SELECT count(*) AS n FROM embeddings), ent AS (SELECT DISTINCT unnest([p.s, p.ord, p.o]) AS e FROM proof p),
-vec AS (SELECT e, CAST(embedding AS DOUBLE[]) AS v FROM ent, m JOIN embeddings ON vec_id = e % {E} % n),
-atom_score AS (SELECT DISTINCT a.s, a.o, 1 / (1 + exp(-list_dot_product(x.v, y.v))) AS p FROM (SELECT s, ord AS o FROM proof UNION SELECT ord, o FROM proof) a JOIN vec x ON x.e = a.s JOIN vec y ON y.e = a.o),
-scored AS (SELECT qid, body, least(a.p, b.p) AS low, a.p * b.p AS product FROM proof JOIN atom_score a ON a.s = proof.s AND a.o = ord JOIN atom_score b ON b.s = ord AND b.o = proof.o)"""
+vec AS MATERIALIZED (SELECT e, CAST(embedding AS DOUBLE[]) AS v FROM ent, m JOIN embeddings ON vec_id = e % {E} % n),
+atom_score AS MATERIALIZED (SELECT a.s, a.o, 1 / (1 + exp(-list_dot_product(x.v, y.v))) AS p FROM (SELECT s, ord AS o FROM proof UNION SELECT ord, o FROM proof) a JOIN vec x ON x.e = a.s JOIN vec y ON y.e = a.o),
+scored AS (SELECT qid, body, least(a.p, b.p) AS low, a.p * b.p AS product, b.p AS soft FROM proof JOIN atom_score a ON a.s = proof.s AND a.o = ord JOIN atom_score b ON b.s = ord AND b.o = proof.o)"""
 
 
 def scored(spark, sf_dir, how: str, known: DataFrame | None = None):
@@ -492,10 +607,80 @@ def score_product(spark, sf_dir):
     return scored(spark, sf_dir, "product").select("qid", "body", F.round("score", 6).alias("score"))
 
 
-@register("score_soft_known", SUPPLIER_SQL + " SELECT qid, body, CAST(1 AS DOUBLE) AS score FROM proof")
+@register("score_soft_known", SCORE_SQL + " SELECT qid, body, round(soft, 6) AS score FROM scored")
 def score_soft_known(spark, sf_dir):
-    """Soft provability: atoms that are facts count as 1."""
-    return scored(spark, sf_dir, "product", facts(spark, sf_dir, ("placed", "shipped_by"))).select("qid", "body", F.round("score", 6).alias("score"))
+    """Soft provability: atoms that are known, here placed(c, o), count as 1, others by their score."""
+    return scored(spark, sf_dir, "product", facts(spark, sf_dir, ("placed",))).select("qid", "body", F.round("score", 6).alias("score"))
+
+
+NEURAL_SQL = f""", m AS (SELECT count(*) AS n FROM embeddings), total AS MATERIALIZED (SELECT vec_id, list_sum(CAST(embedding AS DOUBLE[])) AS t FROM embeddings),
+flat AS (SELECT qid, body, a.t + b.t AS one, b.t + c.t AS two FROM proof, m JOIN total a ON a.vec_id = s % {E} % n JOIN total b ON b.vec_id = ord % {E} % n JOIN total c ON c.vec_id = o % {E} % n)"""
+
+
+@register("score_neural", SUPPLIER_SQL + NEURAL_SQL + " SELECT qid, body, round(1 / (1 + exp(-two)), 6) AS score FROM flat")
+def score_neural(spark, sf_dir):
+    """Soft provability with a network of one layer of ones for what isn't known."""
+    found = supplier_groundings(spark, sf_dir)
+    net = scoring.Neural(vectors(spark, sf_dir, knowledge_base(spark, sf_dir, ("bought_from",))), [[[1.0]] * 128], [[0.0]])
+    s = scoring.score_groundings(found, net, "product", facts(spark, sf_dir, ("placed",)))
+    return s.join(found.select("gid", show(body_flat(F.col("steps"))).alias("body")), "gid").select("qid", "body", F.round("score", 6).alias("score"))
+
+
+@register("score_attention", SUPPLIER_SQL + NEURAL_SQL + ", score AS (SELECT qid, body, (one + two) / 2 AS x FROM flat) SELECT qid, body, round(exp(x - max(x) OVER (PARTITION BY qid)) / sum(exp(x - top)) OVER (PARTITION BY qid), 6) AS attention FROM (SELECT *, max(x) OVER (PARTITION BY qid) AS top FROM score)")
+def score_attention(spark, sf_dir):
+    """Softmax over each query's groundings, of a network over the mean of their atoms' vectors."""
+    found = supplier_groundings(spark, sf_dir)
+    all_ = scoring.attend(found, vectors(spark, sf_dir, knowledge_base(spark, sf_dir, ("bought_from",))), [[[1.0]] * 128], [[0.0]], 1 << 30)
+    return all_.join(found.select("gid", show(body_flat(F.col("steps"))).alias("body")), "gid").select("qid", "body", F.round("attention", 6).alias("attention"))
+
+
+PLACED_VEC_SQL = f""", m AS (SELECT count(*) AS n FROM embeddings), vec AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"""
+
+
+@register("score_transe", PLACED_VEC_SQL + f" SELECT s, o, 0 - round(sqrt(list_sum(list_transform(list_zip(x.v, y.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))), 6) AS score FROM placed, m JOIN vec x ON x.vec_id = s % {E} % n JOIN vec y ON y.vec_id = o % {E} % n")
+def score_transe(spark, sf_dir):
+    kb = knowledge_base(spark, sf_dir, ("bought_from",), ("placed",))
+    relations = spark.range(1).select(F.lit(P["placed"]).alias("pred"), F.array_repeat(F.lit(0.0), 64).alias("w"))
+    return scoring.TransE(vectors(spark, sf_dir, kb), relations)(kb.facts).select("s", "o", F.round("score", 6).alias("score"))
+
+
+def rounded(spark, sf_dir, kb: KnowledgeBase):
+    """A bilinear score in steps that both engines agree on."""
+    model = scoring.DistMult(vectors(spark, sf_dir, kb))
+    return lambda atoms: model(atoms).withColumn("score", F.round("score", 6))
+
+
+DOT_SQL = SUPPLIER_SQL + f""", m AS (SELECT count(*) AS n FROM embeddings), vec AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+dot AS MATERIALIZED (SELECT proof.*, round(list_dot_product(x.v, y.v), 6) AS one, round(list_dot_product(y.v, z.v), 6) AS two FROM proof, m JOIN vec x ON x.vec_id = s % {E} % n JOIN vec y ON y.vec_id = ord % {E} % n JOIN vec z ON z.vec_id = o % {E} % n),
+best_order AS (SELECT DISTINCT qid, ord FROM (SELECT qid, ord, dense_rank() OVER (PARTITION BY qid ORDER BY one DESC, ord) AS r FROM dot) WHERE r <= 2)"""
+
+
+@register("kge_fact_filter", DOT_SQL + " SELECT qid, body FROM (SELECT qid, body, row_number() OVER (PARTITION BY qid ORDER BY two DESC, o, ord) AS r FROM dot JOIN best_order USING (qid, ord)) WHERE r <= 2")
+def kge_fact_filter(spark, sf_dir):
+    """bought_from(c, V), of whose matched facts the two that score best go on at each depth."""
+    kb = knowledge_base(spark, sf_dir, ("bought_from",))
+    score = rounded(spark, sf_dir, kb)
+    o = Options(depth=3, fact_hooks=[lambda c: scoring.top_k_children(c, score, 2, "fact")])
+    return export.evidence_flat(ground_queries(kb, q(customers(spark, sf_dir), P["bought_from"], F.col("c"), var(1), "c_custkey"), o)[0]).select("qid", "body")
+
+
+@register("kge_rule_filter", PLACED_VEC_SQL + f" SELECT f.s, f.o, CASE WHEN round(list_dot_product(x.v, y.v), 6) >= 0 THEN 6 ELSE 7 END AS rule_id FROM follows f, m JOIN vec x ON x.vec_id = f.s % {E} % n JOIN vec y ON y.vec_id = f.o % {E} % n")
+def kge_rule_filter(spark, sf_dir):
+    """follows(x, z) by its best rule: next_turn(x, z) has its score, next_turn(x, Y) zero."""
+    kb, queries = follow_queries(spark, sf_dir)
+    score = rounded(spark, sf_dir, kb)
+    left = ground_queries(kb, queries, Options(depth=1, rule_hooks=[lambda c: scoring.top_k_children(c, score, 1)]))[1]
+    step = F.element_at("steps", 1)
+    return left.select(step["head"]["a0"].alias("s"), step["head"]["a1"].alias("o"), step["rule_id"].alias("rule_id"))
+
+
+@register("kge_step_filter", DOT_SQL + " SELECT qid, body FROM (SELECT qid, body, row_number() OVER (PARTITION BY qid ORDER BY one DESC, o, ord) AS r FROM dot) WHERE r <= 3")
+def kge_step_filter(spark, sf_dir):
+    """bought_from(c, V): of the groundings collected the three whose first atom scores best."""
+    kb = knowledge_base(spark, sf_dir, ("bought_from",))
+    score = rounded(spark, sf_dir, kb)
+    o = Options(depth=3, step_hooks=[lambda g, _: scoring.top_k_steps(g, score, 3)])
+    return export.evidence_flat(ground_queries(kb, q(customers(spark, sf_dir), P["bought_from"], F.col("c"), var(1), "c_custkey"), o)[0]).select("qid", "body")
 
 
 @register("score_max", SCORE_SQL + " SELECT qid, round(max(low), 6) AS score FROM scored GROUP BY qid")
@@ -536,6 +721,50 @@ def canonical_states(spark, sf_dir):
     return own[0].unionByName(own[1]).select(canonical_variables(F.col("goals")).alias("goals")).distinct().select(show(F.col("goals")).alias("goals"))
 
 
+@register("canonical_sets", f"SELECT DISTINCT {sql_atom(4, 's', '-1')} || ';' || {sql_atom(6, '-1', '-2')} AS goals FROM c_nation")
+def canonical_sets(spark, sf_dir):
+    """States that differ in the names of variables and in the order of their goals are one."""
+    c = customers(spark, sf_dir)
+    one = c.select(F.array(atom(F.lit(4), F.col("c"), F.lit(-7)), atom(F.lit(6), F.lit(-7), F.lit(-3))).alias("goals"))
+    other = c.select(F.array(atom(F.lit(6), F.lit(-1), F.lit(-9)), atom(F.lit(4), F.col("c"), F.lit(-1))).alias("goals"))
+    return one.unionByName(other).select(canonical_set(F.col("goals")).alias("goals")).distinct().select(show(F.col("goals")).alias("goals"))
+
+
+@register("sample_counts", SUPPLIER_SQL + " SELECT qid, least(count(*), 2) AS n FROM proof GROUP BY qid")
+def sample_counts(spark, sf_dir):
+    """A seeded sample of two groundings of each query."""
+    return scoring.sample(supplier_groundings(spark, sf_dir), 2, seed=5).groupBy("qid").agg(F.count("*").alias("n"))
+
+
+@register("closure_extension", f"SELECT 8 AS pred, s, o FROM next_turn WHERE s % 2 = 1 UNION ALL SELECT 15, s, o FROM follows WHERE NOT (n = 0 AND s % 2 = 0)")
+def closure_extension(spark, sf_dir):
+    """The closure over the steps from even turns, extended by those from odd ones."""
+    kb = knowledge_base(spark, sf_dir, ("follows",))
+    even = KnowledgeBase(kb.facts.where("s % 2 = 0"), kb.rules, P)
+    closed = materialize(even.with_closure(forward.forward_chain(even)).facts, "closed")
+    return extend_closure(kb, closed, kb.facts.where("s % 2 = 1")).select("pred", "s", "o")
+
+
+def customer_lines(spark, sf_dir):
+    """Facts as lines of text, some of them noise."""
+    c, n = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "nation"))
+    calls = c.select(F.concat(F.lit("c_nation(c"), "c_custkey", F.lit(",n"), "c_nationkey", F.lit(").")).alias("value"))
+    tabs = n.select(F.concat_ws("\t", F.lit("in_region"), F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("r"), "n_regionkey")).alias("value"))
+    return calls.unionByName(tabs).unionByName(n.select(F.concat(F.lit("# "), "n_name").alias("value")))
+
+
+@register("text_facts", "SELECT 'c_nation' AS pred, 'c' || c_custkey AS s, 'n' || c_nationkey AS o FROM customer UNION ALL SELECT 'in_region', 'n' || n_nationkey, 'r' || n_regionkey FROM nation")
+def text_facts(spark, sf_dir):
+    return parse_triples(customer_lines(spark, sf_dir)).where("rejected is null").select("pred", "s", "o")
+
+
+@register("text_closure", "SELECT 'in_region_of(c' || c_custkey || ',r' || n_regionkey || ')' AS atom FROM customer JOIN nation ON n_nationkey = c_nationkey")
+def text_closure(spark, sf_dir):
+    """A dataset of text lines: encoded, closed under a rule in the arrow grammar, and decoded."""
+    d = Dataset.of(spark, parse_triples(customer_lines(spark, sf_dir)), ["r0:1.0:c_nation(X,W), in_region(W,Z) -> in_region_of(X,Z)"])
+    return d.decode(forward.forward_chain(d.kb)).select("atom")
+
+
 @register("stream_ground", f"SELECT s - {E} AS qid, o FROM in_region_of WHERE s < {2 * E}")
 def stream_ground(spark, sf_dir):
     """Customers arrive as a stream of queries; each micro-batch is grounded and written."""

@@ -51,6 +51,16 @@ def canonical_variables(atoms: Column) -> Column:
     return F.transform(atoms, lambda a: atom(a["pred"], new(a["a0"]), new(a["a1"])))
 
 
+def canonical_set(atoms: Column) -> Column:
+    """Atoms as a set, for the comparison of states: sorted with their variables' names hidden, then renamed.
+
+    States that differ only in order and in names get one form, unless two of their atoms are
+    alike but for variables; then forms may differ, so that a state is kept twice but none is lost.
+    """
+    hidden = F.transform(atoms, lambda a: F.struct(a["pred"].alias("pred"), F.greatest(a["a0"], F.lit(-1)).alias("h0"), F.greatest(a["a1"], F.lit(-1)).alias("h1"), (a["a0"] == a["a1"]).alias("same"), a["a0"].alias("a0"), a["a1"].alias("a1")))
+    return canonical_variables(F.transform(F.array_distinct(F.array_sort(hidden)), lambda a: atom(a["pred"], a["a0"], a["a1"])))
+
+
 def shift_variables(atoms: Column, by: Column | int) -> Column:
     """Atoms with every variable moved away from zero by ``by``."""
     by = F.lit(by) if isinstance(by, int) else by

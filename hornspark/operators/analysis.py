@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +45,16 @@ def compare(one: DataFrame, other: DataFrame) -> DataFrame:
     return counts.select("n_one", "n_other", "n_both", (F.col("n_one") - F.col("n_both")).alias("only_one"), (F.col("n_other") - F.col("n_both")).alias("only_other"), F.round(F.col("n_both") / F.col("n_any"), 6).alias("jaccard"))
 
 
-def report(per_query: DataFrame, depths: DataFrame) -> DataFrame:
-    """A JSON summary as one row."""
+def compare_all(engines: dict[str, DataFrame]) -> DataFrame:
+    """``compare`` for any number of engines' atoms: for each set of engines (their names, comma-joined)
+    the number of atoms that exactly these have."""
+    tagged = [df.select("pred", "s", "o").distinct().withColumn("name", F.lit(n)) for n, df in sorted(engines.items())]
+    owners = reduce(DataFrame.unionByName, tagged).groupBy("pred", "s", "o").agg(F.array_join(F.sort_array(F.collect_list("name")), ",").alias("engines"))  # one entry per engine
+    return owners.groupBy("engines").agg(F.count("*").alias("n"))
+
+
+def report(per_query: DataFrame, depths: DataFrame, **about: str) -> DataFrame:
+    """A JSON summary as one row: statistics of groundings, the depth histogram, and what it is ``about``."""
     histogram = depth_histogram(depths).agg(F.sort_array(F.collect_list(F.struct("depth", "n", "n_up_to"))).alias("depths"))  # one row per depth
-    return grounding_stats(per_query).crossJoin(histogram).select(F.to_json(F.struct("*")).alias("report"))
+    extra = [F.lit(v).alias(k) for k, v in sorted(about.items())]
+    return grounding_stats(per_query).crossJoin(histogram).select(F.to_json(F.struct(*extra, "*")).alias("report"))

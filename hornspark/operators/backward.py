@@ -8,7 +8,7 @@ DataFrame transformation, written to the shared folder, so plans stay short.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from hornspark.functions.terms import ATOM, STEP, all_ground, atom, canonical_variables, shift_variables
 from hornspark.functions.unify import Bindings, Unifier
 from hornspark.operators import filters
-from hornspark.operators.lookups import kinds, matches, rules_for
+from hornspark.operators.lookups import matches, rules_for
 from hornspark.plans.kb import KnowledgeBase
-from hornspark.plans.materialize import Materialized
-from hornspark.plans.rules import rule_table, variables_per_rule
+from hornspark.plans.materialize import Materialized, materialize
+from hornspark.plans.rules import rule_table
 
 Hook = Callable[[DataFrame], DataFrame]
 
@@ -29,7 +29,13 @@ class Options:
     """``width``: ground non-facts allowed in a new body (None: any). ``prune_facts``: goals that are
     facts vanish without a step. ``keep_evidence``: carry the proofs. ``collect``: ``terminal``
     (no goals left) or ``grounded`` (only ground goals left; such states also go on).
-    Caps are off; with one, states are kept in a total order and the rest is dropped."""
+    Caps are off; with one, states are kept in a total order and the rest is dropped:
+    ``most_facts`` of a query's fact children at a depth, ``most_states`` of a query,
+    ``most_frontier`` of the whole batch, ``most_groundings`` of a query.
+
+    Hooks run in this order at each depth: ``rule_hooks`` on rule children (with their new body
+    ``new``), ``fact_hooks`` on fact children (with the matched atom ``fact``), ``state_hooks``
+    on all children before they are collected, ``step_hooks`` on the groundings collected."""
 
     depth: int = 2
     resolution: str = "sld"
@@ -40,22 +46,30 @@ class Options:
     keep_evidence: bool = True
     collect: str = "terminal"
     canonical: bool = False
+    most_facts: int | None = None
     most_states: int | None = None
+    most_frontier: int | None = None
     most_groundings: int | None = None
     fact_hooks: list[Hook] = field(default_factory=list)
     rule_hooks: list[Hook] = field(default_factory=list)
+    state_hooks: list[Hook] = field(default_factory=list)
     step_hooks: list[Callable[[DataFrame, int], DataFrame]] = field(default_factory=list)
 
+    def __post_init__(self):
+        if self.canonical and self.keep_evidence:
+            raise ValueError("canonical names of variables need keep_evidence=False: proofs share the goals' variables")
+
 
 def initial(queries: DataFrame) -> DataFrame:
-    """States from ``queries`` (qid, and either pred, a0, a1 or goals; maybe active, excluded).
+    """States from ``queries`` (qid, and either pred, a0, a1 or goals; maybe active, excluded, steps).
 
-    Rows that aren't active are left out. A null argument is not a term, so such rows are too.
+    A frontier that an earlier search left can be given back as it is. Rows that aren't active are left out. A null argument is not a term, so such rows are too.
     """
     q = queries.where(F.coalesce("active", F.lit(True))) if "active" in queries.columns else queries
     goals = F.col("goals") if "goals" in q.columns else F.array(atom(F.col("pred"), F.col("a0"), F.col("a1")))
     excluded = F.col("excluded") if "excluded" in q.columns else F.lit(None).cast(ATOM)
-    rows = q.select("qid", goals.cast(f"array<{ATOM}>").alias("goals"), F.lit(None).cast(f"array<{STEP}>").alias("steps"), excluded.cast(ATOM).alias("excluded"))
+    steps = F.col("steps") if "steps" in q.columns else F.lit(None)
+    rows = q.select("qid", goals.cast(f"array<{ATOM}>").alias("goals"), steps.cast(f"array<{STEP}>").alias("steps"), excluded.cast(ATOM).alias("excluded"))
     return rows.withColumn("steps", F.coalesce("steps", F.array().cast(f"array<{STEP}>"))).where(F.forall("goals", lambda g: g["a0"].isNotNull() & g["a1"].isNotNull()))
 
 
@@ -71,18 +85,35 @@ def _bind_to_fact(found: DataFrame) -> DataFrame:
     """Substitute what a matched fact (fs, fo) binds into the remaining goals and the history."""
     none = F.lit(None).cast("bigint")
     b = Bindings(F.when(F.col("a0") < 0, F.col("a0")).otherwise(none), F.col("fs"), F.when(F.col("a1") < 0, F.col("a1")).otherwise(none), F.col("fo"))
-    return found.select("qid", b.atoms(F.col("rest")).alias("goals"), b.steps(F.col("steps")).alias("steps"), "excluded")
+    fact = F.struct("pred", F.col("fs").alias("a0"), F.col("fo").alias("a1")).cast(ATOM)
+    return found.select("qid", b.atoms(F.col("rest")).alias("goals"), b.steps(F.col("steps")).alias("steps"), "excluded", fact.alias("fact"))
 
 
 def fact_children(opened: DataFrame, facts: DataFrame, present: set | None = None) -> DataFrame:
-    """One child per fact that the selected goal unifies with, but not a query's own atom."""
+    """One child per fact (``fact``) that the selected goal unifies with, but not a query's own atom."""
     found = matches(opened, facts, present=present)
     e = F.col("excluded")
     return _bind_to_fact(found.where(~F.coalesce((F.col("pred") == e["pred"]) & (F.col("fs") == e["a0"]) & (F.col("fo") == e["a1"]), F.lit(False))))
 
 
+def survey(opened: DataFrame) -> tuple[set[tuple[int, bool, bool]], int]:
+    """The selected goals' predicates with which arguments are bound, and the least variable of the states (0: none)."""
+
+    def least(atoms: Column) -> Column:
+        return F.aggregate(atoms, F.lit(0).cast("bigint"), lambda m, a: F.least(m, a["a0"], a["a1"]))
+
+    steps = F.aggregate("steps", F.lit(0).cast("bigint"), lambda m, s: F.least(m, s["head"]["a0"], s["head"]["a1"], least(s["body"])))
+    excluded = F.least(F.coalesce(F.col("excluded")["a0"], F.lit(0)), F.coalesce(F.col("excluded")["a1"], F.lit(0)))
+    lowest = F.min(F.least(F.col("a0"), F.col("a1"), least(F.col("rest")), steps, excluded)).alias("lowest")
+    rows = opened.groupBy("pred", (F.col("a0") >= 0).alias("b0"), (F.col("a1") >= 0).alias("b1")).agg(lowest).collect()  # one row per kind of goal
+    return {(r["pred"], r["b0"], r["b1"]) for r in rows}, min([0, *(r["lowest"] for r in rows)])
+
+
 def rule_children(opened: DataFrame, rules: DataFrame, shift: int, depth: int, keep: bool) -> DataFrame:
-    """One child per rule whose renamed head unifies with the selected goal: body, then the rest."""
+    """One child per rule whose renamed head unifies with the selected goal: body, then the rest.
+
+    The rules' variables are moved below all those of the states: by ``shift`` away from zero.
+    """
 
     def renamed(t: Column) -> Column:
         return F.when(t < 0, t - shift).otherwise(t)
@@ -118,23 +149,19 @@ def _filtered(children: DataFrame, kb: KnowledgeBase, o: Options) -> DataFrame:
 def expand(states: DataFrame, kb: KnowledgeBase, o: Options, depth: int) -> DataFrame:
     """All children of the states."""
     opened = _open(states.where(F.size("goals") > 0))
-    present = kinds(opened)
-    shift = variables_per_rule(kb.rules) * (depth + 1)
+    present, lowest = survey(opened)
     heads = {p for p, _, _ in present}
     usable = [r for r in kb.rules if r.head.pred in heads]
     if not usable and o.resolution != "rtf":
         ruled = None
     else:
-        ruled = _filtered(rule_children(opened, rule_table(kb.spark, usable), shift, depth, o.keep_evidence), kb, o).drop("new")
-    if o.resolution == "rtf":  # a rule, then a fact for the first atom of its body
-        facts = fact_children(_open(ruled), kb.facts)
-        for hook in o.fact_hooks:
-            facts = hook(facts)
-        return facts
-    facts = fact_children(opened, kb.facts, present)
+        ruled = _filtered(rule_children(opened, rule_table(kb.spark, usable), -lowest, depth, o.keep_evidence), kb, o).drop("new")
+    # rtf: a rule, then a fact for the first atom of its body
+    facts = fact_children(_open(ruled), kb.facts) if o.resolution == "rtf" else fact_children(opened, kb.facts, present)
     for hook in o.fact_hooks:
         facts = hook(facts)
-    return facts if ruled is None else ruled.unionByName(facts)
+    facts = ordered(facts, "qid", o.most_facts, ["goals", "steps", "fact"]).drop("fact")
+    return facts if ruled is None or o.resolution == "rtf" else ruled.unionByName(facts)
 
 
 def ordered(states: DataFrame, partition: str, most: int | None, order: list) -> DataFrame:
@@ -143,30 +170,35 @@ def ordered(states: DataFrame, partition: str, most: int | None, order: list) ->
 
     if most is None:
         return states
-    w = Window.partitionBy(partition).orderBy(*order)
+    w = Window.partitionBy(partition).orderBy(*order)  # pre-limited within each task by Spark
     return states.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= most).drop("_rank")
 
 
-def ground_queries(kb: KnowledgeBase, queries: DataFrame, o: Options | None = None) -> tuple[DataFrame, DataFrame]:
-    """Resolve all queries for ``o.depth`` steps.
+def ground_queries(kb: KnowledgeBase, queries: DataFrame, o: Options | None = None, first: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Resolve all queries for ``o.depth`` steps; ``first`` is the number of the first, if a frontier is given back.
 
     Returns the groundings (qid, gid, steps, depth found) and the frontier that is left
     (qid, goals, steps, excluded). Groundings are distinct by query and steps; the order of
     facts and of partitions has no influence. An answer that is itself a fact has no steps.
     """
     o = o or Options()
+    kb = replace(kb, facts=materialize(kb.facts, "facts"))
     states = Materialized(initial(queries), "states").df
     found = None
-    for depth in range(o.depth):
+    for depth in range(first, first + o.depth):
         children = expand(states, kb, o, depth)
         if o.prune_facts:
             children = filters.prune_facts(filters.numbered(children, "children"), kb.facts, excluded="excluded").drop("_n")
-        if o.canonical and not o.keep_evidence:
+        if o.canonical:
             children = children.withColumn("goals", canonical_variables(F.col("goals")))
         if not o.keep_evidence:
             children = children.withColumn("steps", F.array().cast(f"array<{STEP}>"))
         children = children.dropDuplicates(["qid", "goals", "steps"])
+        for hook in o.state_hooks:
+            children = hook(children)
         children = ordered(children, "qid", o.most_states, ["goals", "steps"])
+        if o.most_frontier is not None:
+            children = children.orderBy("qid", "goals", "steps").limit(o.most_frontier)
         now = Materialized(children, f"depth-{depth}").df
         done = F.size("goals") == 0
         complete = F.forall("steps", lambda s: all_ground(s["body"]) & (s["head"]["a0"] >= 0) & (s["head"]["a1"] >= 0))
@@ -195,9 +227,11 @@ def proof_depth(kb: KnowledgeBase, queries: DataFrame, most: int, prune_facts: b
     """Per query the number of steps of its shortest proof, -1 if there is none within ``most``.
 
     States carry no proofs and are distinct by their goals up to names of variables, within a
-    depth and across depths; queries that are proved leave the search.
+    depth and across depths; queries that are proved leave the search. Across depths goals are
+    known by their hash, so what is kept of earlier depths is two numbers a state.
     """
     o = Options(depth=1, prune_facts=prune_facts, keep_evidence=False)
+    kb = replace(kb, facts=materialize(kb.facts, "facts"))
     states = Materialized(initial(queries), "states").df
     seen, found = None, None
     for depth in range(most):
@@ -205,13 +239,14 @@ def proof_depth(kb: KnowledgeBase, queries: DataFrame, most: int, prune_facts: b
         if prune_facts:
             children = filters.prune_facts(filters.numbered(children, "children"), kb.facts, excluded="excluded").drop("_n")
         children = children.withColumn("goals", canonical_variables(F.col("goals"))).dropDuplicates(["qid", "goals"])
+        children = children.withColumn("_g", F.xxhash64("goals"))
         if seen is not None:
-            children = children.join(seen, ["qid", "goals"], "left_anti")
+            children = children.join(seen, ["qid", "_g"], "left_anti")
         now = Materialized(children, f"depth-{depth}").df
         proved = now.where(F.size("goals") == 0).select("qid").distinct().withColumn("depth", F.lit(depth + 1))
         found = proved if found is None else found.unionByName(proved.join(found.select("qid"), "qid", "left_anti"))
-        states = now.where(F.size("goals") > 0).join(found.select("qid"), "qid", "left_anti")
-        seen = now.select("qid", "goals") if seen is None else seen.unionByName(now.select("qid", "goals"))
+        states = now.where(F.size("goals") > 0).join(proved.select("qid"), "qid", "left_anti").drop("_g")
+        seen = now.select("qid", "_g") if seen is None else seen.unionByName(now.select("qid", "_g"))
         if states.isEmpty():
             break
     return queries.select("qid").distinct().join(found, "qid", "left").select("qid", F.coalesce("depth", F.lit(-1)).alias("depth"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hornspark.functions.terms import body_flat, show
+from hornspark.plans.materialize import materialize
 
 
 def evidence_flat(groundings: DataFrame) -> DataFrame:
@@ -22,19 +23,17 @@ def rule_groundings(groundings: DataFrame) -> DataFrame:
 def atom_table(instances: DataFrame) -> DataFrame:
     """All atoms of rule applications, numbered from 0 in the order of (pred, s, o).
 
-    Numbers come from ranks within a predicate and subject plus the counts before, so no
-    task orders more than one subject's atoms. Counts per (pred, s) are summed within a
-    predicate; that sum runs over distinct subjects of one predicate.
+    Atoms are ranked within a range partition and shifted by the counts of those before it, so
+    no task orders more than one partition, however many atoms a predicate has.
     """
     head = instances.select("pred", "s", "o")
     body = instances.select(F.explode("body").alias("a")).select(F.col("a.pred").alias("pred"), F.col("a.a0").alias("s"), F.col("a.a1").alias("o"))
-    atoms = head.unionByName(body).distinct()
-    per_subject = atoms.groupBy("pred", "s").agg(F.count("*").alias("n"))
-    per_pred = per_subject.groupBy("pred").agg(F.sum("n").alias("total"))
-    before_pred = per_pred.select("pred", (F.sum("total").over(Window.orderBy("pred")) - F.col("total")).alias("base"))  # predicates are few
-    before = per_subject.select("pred", "s", (F.sum("n").over(Window.partitionBy("pred").orderBy("s")) - F.col("n")).alias("ahead"))
-    rank = F.row_number().over(Window.partitionBy("pred", "s").orderBy("o")) - 1
-    return atoms.withColumn("rank", rank).join(before, ["pred", "s"]).join(F.broadcast(before_pred), "pred").select((F.col("base") + F.col("ahead") + F.col("rank")).cast("bigint").alias("atom_id"), "pred", "s", "o")
+    atoms = head.unionByName(body).distinct().repartitionByRange("pred", "s", "o").withColumn("part", F.spark_partition_id())
+    ranged = materialize(atoms, "ranged-atoms")
+    sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))  # one row per partition
+    base = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
+    rank = F.row_number().over(Window.partitionBy("part").orderBy("pred", "s", "o")) - 1
+    return ranged.withColumn("rank", rank).join(F.broadcast(base), "part").select((F.col("base") + F.col("rank")).cast("bigint").alias("atom_id"), "pred", "s", "o")
 
 
 def edges(instances: DataFrame, atoms: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hornspark.functions.terms import ATOM, STEP
 from hornspark.operators.joins import body_of, chain, head_of, value
 from hornspark.plans.kb import KnowledgeBase
 from hornspark.plans.materialize import Materialized, materialize
@@ -24,11 +25,12 @@ def only(source: DataFrame, predicates: set[int]) -> DataFrame:
     return source.where(F.col("pred").isin(sorted(predicates)))
 
 
-def apply_rules(kb: KnowledgeBase, known: DataFrame, delta: DataFrame | None = None, fresh: set[int] | None = None) -> DataFrame:
+def apply_rules(kb: KnowledgeBase, known: DataFrame, delta: DataFrame | None = None, fresh: set[int] | None = None, witness: bool = False) -> DataFrame:
     """Heads that follow in one step from ``known``; with ``delta``, from at least one of its atoms.
 
     ``fresh``: the predicates of ``delta``, if they are known; rules that can't meet them are
-    left out of the plan. Each body position reads only its rules' predicates.
+    left out of the plan. Each body position reads only its rules' predicates. With ``witness``
+    each head has the least (rule_id, body) that gives it, as column ``w``.
     """
     parts = []
     for shape, group in by_shape(kb.rules).items():
@@ -38,15 +40,21 @@ def apply_rules(kb: KnowledgeBase, known: DataFrame, delta: DataFrame | None = N
                 continue
             rules = shape_table(kb.spark, shape, some, kb.heads)
             sources = [only(delta if j == k else known, {r.body[j].pred for r, _ in some}) for j in range(len(shape.body))]
-            parts.append(chain(rules, shape, sources, shape.order(k)).select(*head_of(shape)))
+            own = [F.struct("rule_id", body_of(shape).alias("body")).alias("w")] if witness else []
+            parts.append(chain(rules, shape, sources, shape.order(k), semi=not witness).select(*head_of(shape), *own))
     if not parts:
-        return known.select(*KEY).limit(0)
-    return reduce(DataFrame.unionByName, parts).distinct()
+        return known.select(*KEY, *([F.lit(None).cast(f"struct<rule_id:int,body:array<{ATOM}>>").alias("w")] if witness else [])).limit(0)
+    found = reduce(DataFrame.unionByName, parts)
+    return found.groupBy(*KEY).agg(F.min("w").alias("w")) if witness else found.distinct()
 
 
-def forward_chain(kb: KnowledgeBase, depth: int | None = None, most_new: int | None = None) -> DataFrame:
+def forward_chain(kb: KnowledgeBase, depth: int | None = None, most_new: int | None = None, witness: bool = False) -> DataFrame:
     """Derived atoms (pred, s, o) with the ``step`` of their first derivation.
 
+    With ``witness`` also ``w``, the first (rule_id, body) that proves the atom from atoms of
+    earlier steps: an atom that is new in a round has no proof without one of the round before,
+    so the round's own join has them all.
+
     The rounds go on to the fixpoint. With a ``depth`` there are at most so many, and a warning
     says if the last one still had new atoms, so that the closure may be incomplete.
 
@@ -62,10 +70,10 @@ def forward_chain(kb: KnowledgeBase, depth: int | None = None, most_new: int | N
         if step and step % MERGE_ROUNDS == 0:
             found = materialize(found, f"found-{step}")
         known = facts if found is None else facts.unionByName(found.where("not is_base").select(*KEY))
-        new = apply_rules(kb, known, delta, fresh)
-        if found is not None:
-            new = new.join(found, KEY, "left_anti")
-        new = new.join(base, KEY, "left").select(*KEY, F.lit(step).alias("step"), F.coalesce("is_base", F.lit(False)).alias("is_base"))
+        new = apply_rules(kb, known, delta, fresh, witness)
+        if found is not None:  # only predicates that rules derive can be known already
+            new = new.join(found.select(*KEY), KEY, "left_anti")
+        new = new.join(base, KEY, "left").select(*KEY, F.lit(step).alias("step"), F.coalesce("is_base", F.lit(False)).alias("is_base"), *(["w"] if witness else []))
         rows = Materialized(new, f"delta-{step}")
         counts = rows.df.groupBy("pred").agg(F.count("*").alias("n"), F.count_if(~F.col("is_base")).alias("new")).collect()  # one row per predicate
         n = sum(r["n"] for r in counts)
@@ -80,39 +88,30 @@ def forward_chain(kb: KnowledgeBase, depth: int | None = None, most_new: int | N
         if fresh:
             warnings.warn(f"forward chaining ended after {depth} rounds, the last of which had new atoms", stacklevel=2)
     if found is None:
-        return kb.spark.createDataFrame([], "pred int, s bigint, o bigint, step int, is_base boolean")
+        return kb.spark.createDataFrame([], "pred int, s bigint, o bigint, step int, is_base boolean" + (f", w struct<rule_id:int,body:array<{ATOM}>>" if witness else ""))
     return found
 
 
-def instances(kb: KnowledgeBase, goals: DataFrame, source: DataFrame) -> DataFrame:
-    """Ground rule instances whose head is a goal (pred, s, o) and whose body is in ``source``."""
-    parts = []
-    for shape, group in by_shape(kb.rules).items():
-        rules = shape_table(kb.spark, shape, group, kb.heads)
-        sources = [only(source, {r.body[i].pred for r, _ in group}) for i in range(len(shape.body))]
-        full = chain(rules, shape, sources, shape.order(None), semi=False)
-        parts.append(full.select("rule_id", *head_of(shape), body_of(shape).alias("body")))
-    return reduce(DataFrame.unionByName, parts).join(goals.select(*KEY), KEY, "left_semi")
-
-
-def witnesses(kb: KnowledgeBase, closure: DataFrame) -> DataFrame:
-    """For each derived atom the first (rule_id, body) that proves it from atoms of earlier steps.
+def witnesses(kb: KnowledgeBase, closure: DataFrame | None = None) -> DataFrame:
+    """For each derived atom (of ``closure``, if it is given) the first (rule_id, body) that proves it from atoms of earlier steps.
 
     Steps of the body are smaller than the atom's own, so following witnesses always ends in
-    facts. The least is taken by a pre-aggregated minimum.
+    facts. A base fact that a rule derives again has one too.
     """
-    derived = closure.where("not is_base").select(*KEY, "step")
-    known = kb.facts.withColumn("step", F.lit(-1)).unionByName(derived)
-    parts = []
-    for shape, group in by_shape(kb.rules).items():
-        rules = shape_table(kb.spark, shape, group, kb.heads)
-        sources = [only(known, {r.body[i].pred for r, _ in group}).withColumnRenamed("step", f"t{i}") for i in range(len(shape.body))]
-        full = chain(rules, shape, sources, shape.order(None), semi=False)
-        latest = F.greatest(*[F.col(f"t{i}") for i in range(len(shape.body))]) if len(shape.body) > 1 else F.col("t0")
-        parts.append(full.select("rule_id", *head_of(shape), body_of(shape).alias("body"), latest.alias("latest")))
-    found = reduce(DataFrame.unionByName, parts).join(closure.select(*KEY, "step"), KEY)
-    best = found.where("latest < step").groupBy(*KEY).agg(F.min(F.struct("rule_id", "body")).alias("w"))
-    return best.select(*KEY, "w.rule_id", "w.body")
+    found = forward_chain(kb, witness=True).select(*KEY, "w.rule_id", "w.body")
+    return found if closure is None else found.join(closure.select(*KEY), KEY, "left_semi")
+
+
+def inject_witnesses(groundings: DataFrame, queries: DataFrame, proofs: DataFrame) -> DataFrame:
+    """``groundings`` (qid, gid, steps, depth) in which an empty proof of a ground query (qid, pred, a0, a1),
+    a match with a known atom, becomes one step with the atom's witness, if it has one."""
+    w = proofs.select(F.col("pred").alias("_p"), F.col("s").alias("_s"), F.col("o").alias("_o"), "rule_id", "body")
+    q = queries.select("qid", "pred", "a0", "a1")
+    on = (F.col("pred") == F.col("_p")) & (F.col("a0") == F.col("_s")) & (F.col("a1") == F.col("_o"))
+    step = F.struct(F.lit(0).alias("depth"), F.col("rule_id"), F.struct("pred", "a0", "a1").alias("head"), F.col("body")).cast(STEP)
+    have = q.join(w, on).groupBy("qid").agg(F.min(F.array(step)).alias("_w"))  # repeated queries are one
+    rows = groundings.join(have, "qid", "left")
+    return rows.withColumn("steps", F.when(F.size("steps") == 0, F.coalesce("_w", "steps")).otherwise(F.col("steps"))).drop("_w")
 
 
-__all__ = ["apply_rules", "forward_chain", "instances", "value", "witnesses"]
+__all__ = ["apply_rules", "forward_chain", "inject_witnesses", "value", "witnesses"]

@@ -89,21 +89,87 @@ def top_k(scores: DataFrame, k: int, ties: tuple = ("gid",), by: str = "qid") ->
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def top_k_children(children: DataFrame, score: Score, k: int, atom: str = "new") -> DataFrame:
-    """A hook: the k children of each query whose first new atom scores best; open atoms score 0."""
-    first = F.element_at(F.col(atom), 1)
-    rows = children.withColumn("_c", F.monotonically_increasing_id()).withColumn("pred", first["pred"]).withColumn("s", first["a0"]).withColumn("o", first["a1"])
-    closed = score(rows.where("s >= 0 and o >= 0").select("pred", "s", "o").distinct()).select("pred", "s", "o", "score")
-    rows = rows.join(closed, ["pred", "s", "o"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+def _first_scores(rows: DataFrame, atom: Column, score: Score, mode: str = "ground_only", partial: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """``rows`` with ``score`` of their ``atom``; null where the mode scores no such atom.
+
+    ``partial``: best scores (pred, s, best) over objects and (pred, o, best) over subjects.
+    """
+    rows = rows.withColumn("_p", atom["pred"]).withColumn("_s", atom["a0"]).withColumn("_o", atom["a1"])
+    parts = F.lit(None).cast("double")
+    if mode in ("ground_only", "both"):
+        ground = rows.where("_s >= 0 and _o >= 0").select(F.col("_p").alias("pred"), F.col("_s").alias("s"), F.col("_o").alias("o")).distinct()
+        own = score(ground).select(F.col("pred").alias("_p"), F.col("s").alias("_s"), F.col("o").alias("_o"), F.col("score").alias("_full"))
+        rows = rows.join(own, ["_p", "_s", "_o"], "left")
+        parts = F.coalesce(parts, F.when(F.expr("_s >= 0 and _o >= 0"), F.coalesce("_full", F.lit(0.0))))
+    if mode in ("partial_only", "both") and partial is not None:
+        tails = partial[0].select(F.col("pred").alias("_p"), F.col("s").alias("_s"), F.col("best").alias("_tail"))
+        heads = partial[1].select(F.col("pred").alias("_p"), F.col("o").alias("_o"), F.col("best").alias("_head"))
+        rows = rows.join(tails, ["_p", "_s"], "left").join(heads, ["_p", "_o"], "left")
+        parts = F.coalesce(parts, F.when(F.expr("_s >= 0 and _o < 0"), F.coalesce("_tail", F.lit(0.0))), F.when(F.expr("_s < 0 and _o >= 0"), F.coalesce("_head", F.lit(0.0))))
+    return rows.withColumn("score", parts)
+
+
+def top_k_children(children: DataFrame, score: Score, k: int, atom: str = "new", open_score: float = 0.0) -> DataFrame:
+    """A rule hook (``atom`` new: the first of the new body) or a fact hook (``fact``): each query's k children
+    of the best score. Atoms that aren't ground have ``open_score``; ties are in the order of goals and proofs."""
+    column = F.col(atom) if atom == "fact" else F.element_at(F.col(atom), 1)
+    rows = _first_scores(children, column, score).withColumn("score", F.coalesce("score", F.lit(open_score)))
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "goals", "steps")
     return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).select(*children.columns)
 
 
+def top_k_steps(groundings: DataFrame, score: Score, k: int, mode: str = "ground_only", partial: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """A step hook: each query's k collected groundings (qid, steps, ...) by the first atom of their last body.
+
+    ``mode``: ``ground_only`` scores ground atoms, ``partial_only`` those with one variable by the
+    best of their completions (see ``_first_scores``), ``both`` both; others stay whatever the cap.
+    """
+    if mode not in ("ground_only", "partial_only", "both"):
+        raise ValueError(f"unknown mode {mode!r}")
+    last = F.when(F.size("steps") > 0, F.element_at("steps", -1)["body"])
+    rows = _first_scores(groundings, F.when(F.size(last) > 0, F.element_at(last, 1)), score, mode, partial)
+    w = Window.partitionBy("qid", F.col("score").isNull()).orderBy(F.desc("score"), "steps")
+    return rows.withColumn("_r", F.row_number().over(w)).where(F.col("score").isNull() | (F.col("_r") <= k)).select(*groundings.columns)
+
+
 def partial_scores(atoms: DataFrame, score: Score) -> DataFrame:
     """For (pred, s, -) the best score over the objects of candidate atoms (pred, s, o)."""
     return score(atoms).groupBy("pred", "s").agg(F.max("score").alias("best"))
 
 
+def atom_features(atoms: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``atoms`` (pred, s, o) with ``x``, the vectors of subject and object end to end; null if one has none."""
+    v = vectors.select("entity", "e")
+    out = atoms.join(v.select(F.col("entity").alias("s"), F.col("e").alias("_es")), "s", "left").join(v.select(F.col("entity").alias("o"), F.col("e").alias("_eo")), "o", "left")
+    return out.withColumn("x", F.concat("_es", "_eo")).drop("_es", "_eo")
+
+
+class Neural:
+    """The output (before a sigmoid) of a small network over an atom's concatenated vectors; 0 without them."""
+
+    def __init__(self, vectors: DataFrame, weights: list[np.ndarray], biases: list[np.ndarray]):
+        self.vectors, self.weights, self.biases = vectors, weights, biases
+
+    def __call__(self, atoms: DataFrame) -> DataFrame:
+        rows = atom_features(atoms, self.vectors).withColumn("_no", F.col("x").isNull())
+        scored = attention(rows.withColumn("x", F.coalesce("x", F.array_repeat(F.lit(0.0), len(self.weights[0])))), self.weights, self.biases)
+        return scored.withColumn("score", F.when(F.col("_no"), 0.0).otherwise(F.col("score"))).drop("x", "_no")
+
+
+def attend(groundings: DataFrame, vectors: DataFrame, weights: list[np.ndarray], biases: list[np.ndarray], k: int) -> DataFrame:
+    """Each query's k best groundings (qid, gid) by a network over the mean of their body atoms' vectors, with
+    ``attention``, the softmax of its output over the query's groundings."""
+    atoms = body_atoms(groundings).where("pred is not null")
+    x = atom_features(atoms.select("pred", "s", "o").distinct(), vectors).where("x is not null")
+    parts = atoms.join(x, ["pred", "s", "o"]).select("qid", "gid", F.posexplode("x").alias("i", "v")).groupBy("qid", "gid", "i").agg(F.avg("v").alias("v"))
+    means = parts.groupBy("qid", "gid").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda e: e["v"]).alias("x"))  # as long as two vectors
+    scored = attention(means, weights, biases).select("qid", "gid", "score")
+    most = scored.groupBy("qid").agg(F.max("score").alias("_m"))
+    rows = scored.join(most, "qid").withColumn("_e", F.exp(F.col("score") - F.col("_m")))
+    total = rows.groupBy("qid").agg(F.sum("_e").alias("_t"))
+    return top_k(rows.join(total, "qid").withColumn("attention", F.col("_e") / F.col("_t")).drop("_m", "_e", "_t"), k)
+
+
 def sample(groundings: DataFrame, k: int, seed: int = 0, train: bool = True) -> DataFrame:
     """k groundings of each query: in a seeded hash order for training, the first by number otherwise."""
     order = [F.xxhash64(F.lit(seed), F.col("qid"), F.col("gid")), F.col("gid")] if train else [F.col("gid")]

@@ -174,11 +174,6 @@ def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
     return local_frame(spark, rows, f"rule_id int, hp int, h0 bigint, h1 bigint, body array<{ATOM}>, weight double")
 
 
-def variables_per_rule(rules: list[Rule]) -> int:
-    """A bound on variable numbers of a rule, with room for those of a query."""
-    return 2 + max((-min(t for a in (r.head, *r.body) for t in (a.a0, a.a1, 0)) for r in rules), default=0)
-
-
 def reachable(rules: list[Rule], predicates: set[int]) -> list[Rule]:
     """Rules that a backward search from goals of these predicates can use."""
     wanted, todo = set(), list(predicates)

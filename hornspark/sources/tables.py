@@ -34,18 +34,25 @@ def entity(kind: str, key: str) -> Column:
     return F.lit(TAGS[kind] * 10**12) + F.col(key).cast("bigint")
 
 
+#: Turns that one conversation may have. Turns are the last kind of entity, so any number of conversations fits.
+TURNS = 10**6
+
+
+def turn(number: Column) -> Column:
+    """The entity of a turn of ``conv_id``."""
+    return F.lit(TAGS["turn"] * 10**12) + F.col("conv_id") * TURNS + number
+
+
 def facts(spark: SparkSession, sf_dir: str, only: tuple[str, ...] | None = None) -> DataFrame:
     """Facts (pred, s, o) of the tables, without duplicates; ``only`` some predicates."""
 
     def t(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-    def turn(key: Column) -> Column:
-        return F.lit(TAGS["turn"] * 10**12) + key
-
     def next_turn() -> DataFrame:
-        c = t("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("k")).distinct()
-        return c.join(c.select((F.col("k") - 1).alias("k")), "k").select(turn(F.col("k")).alias("s"), turn(F.col("k") + 1).alias("o"))
+        c = t("conversations").select("conv_id", "turn").distinct()
+        after = c.select("conv_id", (F.col("turn") - 1).alias("turn"))
+        return c.join(after, ["conv_id", "turn"]).select(turn(F.col("turn")).alias("s"), turn(F.col("turn") + 1).alias("o"))
 
     makers = {
         "c_nation": lambda: t("customer").select(entity("customer", "c_custkey").alias("s"), entity("nation", "c_nationkey").alias("o")),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,16 +26,16 @@ def ground_stream(queries: DataFrame, ground: Callable[[DataFrame], DataFrame],
     return queries.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def extend_closure(kb: KnowledgeBase, known: DataFrame, new_facts: DataFrame, depth: int = 10) -> DataFrame:
+def extend_closure(kb: KnowledgeBase, known: DataFrame, new_facts: DataFrame, depth: int | None = None) -> DataFrame:
     """Atoms that follow once ``new_facts`` join ``known`` (facts and closure, already closed).
 
     Only what has a new atom in its body is evaluated: the rounds of the fixpoint start with the
-    new facts as the delta.
+    new facts as the delta, and go on to the end unless a ``depth`` bounds them.
     """
     delta = Materialized(new_facts.select(*KEY).distinct().join(known.select(*KEY), KEY, "left_anti"), "new-facts").df
     known = known.select(*KEY).unionByName(delta)
     found = delta.withColumn("step", F.lit(-1))
-    for step in range(depth):
+    for step in count() if depth is None else range(depth):
         rows = Materialized(apply_rules(kb, known, delta).join(known, KEY, "left_anti"), f"extend-{step}").df
         if rows.isEmpty():
             break

@@ -302,3 +302,33 @@ def test_closures_go_on_to_the_fixpoint_and_a_bound_is_reported(spark):
     assert {(r["s"], r["o"], r["step"]) for r in c} == {(i, j, j - i - 1) for i in range(14) for j in range(i + 1, 14)}
     with pytest.warns(UserWarning, match="ended after 2 rounds"):
         assert {r["step"] for r in forward.forward_chain(kb, depth=2).collect()} == {0, 1}
+
+
+@pytest.mark.parametrize("v", [-1, -3, -6, -7, -8, -50])
+def test_rules_are_renamed_apart_from_any_variable(spark, v):
+    kb = base(spark, [(1, 10, 11), (2, 11, 12), (1, 20, 20)], [((3, X, Z), [(1, X, Y), (2, Y, Z)])])
+    goals = spark.createDataFrame([(0, [(3, 10, -1), (1, v if v != -1 else -2, 20)])], "qid bigint, goals array<struct<pred:int,a0:bigint,a1:bigint>>")
+    found, _ = ground_queries(kb, goals, Options(depth=4))
+    assert counts(found) == {0: 1}
+    early, left = ground_queries(kb, goals, Options(depth=1))
+    again, _ = ground_queries(kb, left, Options(depth=3), first=1)
+    assert early.count() == 0 and [tuple(r) for r in export.evidence_flat(again).collect()] == [tuple(r) for r in export.evidence_flat(found).collect()]
+
+
+def test_step_filter_modes(spark):
+    score = lambda atoms: atoms.withColumn("score", F.col("o").cast("double"))
+    step = "array<struct<depth:int,rule_id:int,head:struct<pred:int,a0:bigint,a1:bigint>,body:array<struct<pred:int,a0:bigint,a1:bigint>>>>"
+    rows = [(0, [(0, 0, (9, 1, 1), [(1, 1, o)])]) for o in (1, 2, 3)] + [(0, [(0, 0, (9, 1, 1), [(1, 5, -1)])]), (0, [(0, 0, (9, 1, 1), [(1, -1, -2)])]), (0, [])]
+    df = spark.createDataFrame(rows, f"qid bigint, steps {step}")
+    partial = (spark.createDataFrame([(1, 5, 2.5)], "pred int, s bigint, best double"), spark.createDataFrame([], "pred int, o bigint, best double"))
+    kept = lambda mode: sorted((b["a0"], b["a1"]) for r in scoring.top_k_steps(df, score, 2, mode, partial).collect() for s in r["steps"] for b in s["body"])
+    assert kept("ground_only") == [(-1, -2), (1, 2), (1, 3), (5, -1)]
+    assert kept("partial_only") == [(-1, -2), (1, 1), (1, 2), (1, 3), (5, -1)]
+    assert kept("both") == [(-1, -2), (1, 3), (5, -1)]
+    with pytest.raises(ValueError):
+        scoring.top_k_steps(df, score, 2, "none")
+
+
+def test_canonical_names_need_states_without_proofs():
+    with pytest.raises(ValueError):
+        Options(canonical=True)
