@@ -652,7 +652,7 @@ def rounded(spark, sf_dir, kb: KnowledgeBase):
 
 DOT_SQL = SUPPLIER_SQL + f""", m AS (SELECT count(*) AS n FROM embeddings), vec AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 dot AS MATERIALIZED (SELECT proof.*, round(list_dot_product(x.v, y.v), 6) AS one, round(list_dot_product(y.v, z.v), 6) AS two FROM proof, m JOIN vec x ON x.vec_id = s % {E} % n JOIN vec y ON y.vec_id = ord % {E} % n JOIN vec z ON z.vec_id = o % {E} % n),
-best_order AS (SELECT DISTINCT qid, ord FROM (SELECT qid, ord, dense_rank() OVER (PARTITION BY qid ORDER BY one DESC, ord) AS r FROM dot) WHERE r <= 2)"""
+best_order AS (SELECT qid, ord FROM (SELECT s - {E} AS qid, p.o AS ord, row_number() OVER (PARTITION BY s ORDER BY round(list_dot_product(x.v, y.v), 6) DESC, p.o) AS r FROM placed p, m JOIN vec x ON x.vec_id = s % {E} % n JOIN vec y ON y.vec_id = p.o % {E} % n) WHERE r <= 2)"""
 
 
 @register("kge_fact_filter", DOT_SQL + " SELECT qid, body FROM (SELECT qid, body, row_number() OVER (PARTITION BY qid ORDER BY two DESC, o, ord) AS r FROM dot JOIN best_order USING (qid, ord)) WHERE r <= 2")
