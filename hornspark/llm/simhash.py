@@ -256,8 +256,8 @@ SIMILAR_RADIUS = 24
 #: 3 in a million at 0.8.
 BANDS, BAND_ROWS = 24, 4
 BAND_COLUMNS = [f"b{k}" for k in range(BANDS)]
-#: Bytes of texts in one tree of the second round.
-TREE_BYTES = 32 << 20
+#: Documents, and bytes of their texts, in one tree of the second round, which verifies as it searches.
+TREE_TEXTS, TREE_BYTES = 512, 32 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -287,6 +287,14 @@ def shingle_set(text: str | None) -> np.ndarray:
     return s[np.flatnonzero(np.diff(s, prepend=~s[:1]))]
 
 
+def similar_sets(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of SIMILAR at least."""
+    if not len(x) or not len(y):
+        return len(x) == len(y)
+    both = np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x)
+    return bool(both >= SIMILAR * (len(x) + len(y) - both) - 1e-9)
+
+
 def bands_of(u: np.ndarray) -> np.ndarray:
     """The shard keys of a set of hashes: one for each band, from its least hashes."""
     least = np.full(len(PERMUTATIONS), 2**64 - 1, np.uint64)
@@ -331,8 +339,7 @@ def forest(rows: np.ndarray, texts: list | None = None) -> tuple[list, list]:
         for z in (x, y):
             if z not in sets:
                 sets[z] = shingle_set(texts[z])
-        both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-        return both >= SIMILAR * (len(sets[x]) + len(sets[y]) - both) - 1e-9
+        return similar_sets(sets[x], sets[y])
 
     a, b = [], []
     for node, near in BKTree(sim[tree]).search(sim[asked], SIMILAR_RADIUS):
@@ -378,8 +385,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 if a != before:
                     before, x = a, shingle_set(texts[0][k].as_py())
                 y = shingle_set(texts[1][k].as_py())
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both >= SIMILAR * (len(x) + len(y) - both) - 1e-9)
+                good.append(similar_sets(x, y))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     both = pairs.join(sets.select(F.col("fp").alias("b"), F.col("text").alias("y")), "b").join(sets.select(F.col("fp").alias("a"), F.col("text").alias("x")), "a")
@@ -407,7 +413,7 @@ def similar_links(nodes: DataFrame, texts: DataFrame, tree_nodes: int = TREE_NOD
     again = materialize(keyed.join(failed, "key", "left_semi"), "again")
     own = materialize(texts_of(again), "texts")
     sized = again.join(own.select("fp", F.octet_length("text").cast("bigint").alias("bytes")), "fp").select("key", "fp", "n", "sim", "bytes")
-    return good.unionByName(materialize(candidates(sized, tree_nodes, own).select("a", "b").distinct(), "more"))
+    return good.unionByName(materialize(candidates(sized, min(tree_nodes, TREE_TEXTS), own).select("a", "b").distinct(), "more"))
 
 
 def similar_documents(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
