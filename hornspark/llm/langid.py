@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hornspark.llm.batches import map_texts
+from hornspark.plans.materialize import materialize
 
 UNKNOWN = "und"
 #: Bounds of the training sample: documents of a language (about), and words of a document, in
@@ -27,6 +28,8 @@ UNKNOWN = "und"
 DOCS_PER_LANG, WORDS_PER_DOC, PASSAGE = 150, 320, 40
 #: Hashed features, and weights at most: with over 64 languages there are fewer features.
 DIMENSIONS, WEIGHTS = 1 << 17, 1 << 23
+#: Values of ``lang`` up to which their rates are broadcast.
+BROADCAST_LANGS = 1 << 16
 #: Letters of a chain position. A longer run, as in scripts without spaces, is cut into several.
 RUN = 32
 LEXICON = 200
@@ -266,7 +269,9 @@ def training_rows(df: DataFrame, text_col: str, lang_col: str, id_col: str, docs
     that repeat id and text count once. Every language is sampled.
     """
     may = df.where(~held_out(id_col) & F.col(f"`{lang_col}`").isNotNull()).select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{id_col}`").cast("string").alias("id"))
-    counts = may.groupBy("lang").agg((F.lit((1 << 30) * docs_per_lang) / F.count("*")).alias("rate"))  # one row per language
+    counts = materialize(may.groupBy("lang").agg((F.lit((1 << 30) * docs_per_lang) / F.count("*")).alias("rate")), "languages")
+    # one row per language: broadcast, so that the texts stay where they are, unless there are very many
+    counts = F.broadcast(counts) if counts.count() <= BROADCAST_LANGS else counts
     picked = may.join(counts, "lang").where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) <= F.col("rate")).dropDuplicates(["id", "text", "lang"]).select("lang", "text")
 
     def passages(batches):
