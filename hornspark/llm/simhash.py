@@ -295,6 +295,27 @@ def similar_sets(x: np.ndarray, y: np.ndarray) -> bool:
     return bool(both >= SIMILAR * (len(x) + len(y) - both) - 1e-9)
 
 
+class ShingleSets:
+    """The sets of one task, with shingles numbered, so that one set is held against many at once."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.ends = np.cumsum([0, *map(len, sets)]).tolist()
+        known, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        self.ids = ids.astype(np.int32)
+        self.own = np.zeros(len(known), np.int32)
+
+    def similar(self, one: int, others: np.ndarray) -> np.ndarray:
+        """For each of ``others`` whether its Jaccard similarity to ``one`` is SIMILAR at least."""
+        mine, *rest = (self.ids[self.ends[k] : self.ends[k + 1]] for k in (one, *others.tolist()))
+        n = np.array(list(map(len, rest)))
+        ends = np.cumsum(n)
+        self.own[mine] = 1
+        shared = np.r_[0, np.cumsum(self.own[np.concatenate(rest)])]
+        self.own[mine] = 0
+        both = shared[ends] - shared[ends - n]
+        return both >= SIMILAR * (n + len(mine) - both) - 1e-9
+
+
 def bands_of(u: np.ndarray) -> np.ndarray:
     """The shard keys of a set of hashes: one for each band, from its least hashes."""
     least = np.full(len(PERMUTATIONS), 2**64 - 1, np.uint64)
@@ -333,26 +354,20 @@ def forest(rows: np.ndarray, texts: list | None = None) -> tuple[list, list]:
     tree, asked = (at, at) if alone else (at[rows[:, 3] == rows[0, 1]], at[rows[:, 3] == rows[0, 2]])
     label = at.copy()
     n, sim = rows[:, 5], np.ascontiguousarray(rows[:, 6]).view(np.uint64)
-    sets: dict[int, np.ndarray] = {}
-
-    def similar(x: int, y: int) -> bool:
-        for z in (x, y):
-            if z not in sets:
-                sets[z] = shingle_set(texts[z])
-        return similar_sets(sets[x], sets[y])
-
+    sets = None if texts is None else ShingleSets([shingle_set(t) for t in texts])
     a, b = [], []
     for node, near in BKTree(sim[tree]).search(sim[asked], SIMILAR_RADIUS):
         node, near = tree[node], asked[near]
         near = near[label[near] != label[node]]
         near = near[np.minimum(n[near], n[node]) >= SIMILAR * np.maximum(n[near], n[node]) - 1e-6]
+        if sets is not None and len(near):
+            near = near[sets.similar(node, near)]
         while len(near):
-            other, near = near[0], near[1:]
-            if texts is None or similar(node, other):
-                a.append(rows[node, 4])
-                b.append(rows[other, 4])
-                label[label == label[other]] = label[node]
-                near = near[label[near] != label[node]]
+            other = near[0]
+            a.append(rows[node, 4])
+            b.append(rows[other, 4])
+            label[label == label[other]] = label[node]
+            near = near[label[near] != label[node]]
     return a, b
 
 

@@ -466,3 +466,20 @@ def test_near_misses_are_verified_in_their_shards():
     similar = {frozenset((i, j)) for i in range(5) for j in range(i) if len(set(sets[i]) & set(sets[j])) >= 0.8 * len(set(sets[i]) | set(sets[j]))}
     assert {frozenset(x) for x in zip(a, b, strict=True)} == similar and len(similar) == 1
     assert len(simhash.forest(rows)[0]) > 1
+
+
+def test_one_set_against_many_equals_pairs():
+    """Sets held against many at once, empty ones and repeats among them, give what pair by pair gives."""
+    r = random.Random(4)
+    words = [f"w{k}" for k in range(12)]
+    texts = ["", None, *(" ".join(r.choices(words[: r.choice((2, 12))], k=r.randrange(1, 40))) for _ in range(60))]
+    texts += [f"{t} end" for t in texts[2:20]] + texts[2:10]
+    sets = [simhash.shingle_set(t) for t in texts]
+    held = simhash.ShingleSets(sets)
+    found = 0
+    for one in range(len(sets)):
+        others = np.delete(np.arange(len(sets)), one)
+        similar = held.similar(one, others).tolist()
+        assert similar == [simhash.similar_sets(sets[one], sets[k]) for k in others]
+        found += sum(similar)
+    assert found > 50
