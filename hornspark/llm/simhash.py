@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from hornspark.llm.batches import map_texts
 from hornspark.llm.components import components
-from hornspark.plans.materialize import materialize
+from hornspark.plans.materialize import Materialized, materialize
 
 WORDS, SEED, BITS = 3, 42, 64
 #: Fingerprints in one BK-tree; a larger shard is dealt over several trees, each searched by all.
@@ -131,19 +131,35 @@ def block_keys(radius: int) -> list[tuple[int, list[tuple[int, int]]]]:
     return [(k, list(pair)) for k, pair in enumerate(combinations(ranges, 2))]
 
 
-def dealt(keyed: DataFrame, keys: list[str], tree_nodes: int = TREE_NODES, texts: DataFrame | None = None) -> DataFrame:
+class Scratch:
+    """Written tables of one computation, deleted together once its result is written too."""
+
+    def __init__(self):
+        self.tables: list[Materialized] = []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(Materialized(df, name))
+        return self.tables[-1].df
+
+    def drop(self) -> None:
+        for t in self.tables:
+            t.drop()
+        self.tables = []
+
+
+def dealt(keyed: DataFrame, keys: list[str], tree_nodes: int = TREE_NODES, more: DataFrame | None = None, write: Callable = materialize) -> DataFrame:
     """Rows of ``keyed`` (``keys``, ``fp``, ...) whose shard has another row, as tasks (``keys``, i, j).
 
     Shards are counted before any row moves, so most rows never do, and a large shard is no
     task of its own: one of over ``tree_nodes`` rows is dealt over several trees, and every
-    pair i, j of these is a task; ``own`` is the row's tree. With ``texts`` (fp, text) the rows
-    get them, and trees hold TREE_BYTES of a column ``bytes``.
+    pair i, j of these is a task; ``own`` is the row's tree. Trees hold TREE_BYTES of a column
+    ``bytes``, if there is one. Rows that go on get the columns of ``more`` by ``fp``.
     """
     size = F.count("*") / F.lit(tree_nodes)
-    if texts is not None:
+    if "bytes" in keyed.columns:
         size = F.greatest(size, F.sum("bytes") / F.lit(TREE_BYTES))
     counts = keyed.groupBy(*keys).agg(F.count("*").alias("__n"), F.ceil(size).cast("int").alias("__parts"))
-    shared = materialize(counts.where("__n > 1").drop("__n"), "shared")
+    shared = write(counts.where("__n > 1").drop("__n"), "shared")
     own = F.pmod(F.xxhash64("fp"), F.col("__parts")).cast("int")
     rest = [c for c in keyed.columns if c not in keys]
     rows = (
@@ -151,8 +167,8 @@ def dealt(keyed: DataFrame, keys: list[str], tree_nodes: int = TREE_NODES, texts
         .select(*keys, *rest, own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)).alias("__other"))
         .select(*keys, F.least("own", "__other").alias("i"), F.greatest("own", "__other").alias("j"), "own", *rest)
     )
-    if texts is not None:
-        rows = rows.join(texts, "fp")
+    if more is not None:
+        rows = rows.join(more, "fp")
     return rows.repartition(*keys, "i", "j").sortWithinPartitions(*keys, "i", "j", "fp")
 
 
@@ -232,17 +248,17 @@ def near_duplicates(df: DataFrame, radius: int = 2, text_col: str = "text", id_c
     return labelled(rows, nodes, links(nodes, radius), id_col)
 
 
-def labelled(rows: DataFrame, nodes: DataFrame, edges: DataFrame, id_col: str) -> DataFrame:
+def labelled(rows: DataFrame, nodes: DataFrame, edges: DataFrame, id_col: str, write: Callable = materialize) -> DataFrame:
     """The result of ``near_duplicates`` from rows (id, fp), nodes (fp, least) and edges of nodes."""
     found = components(edges)
     named = found.join(nodes, found["node"] == nodes["fp"]).select("fp", "root", "least")
-    named = materialize(named, "named")  # linked fingerprints only
+    named = write(named, "named")  # linked fingerprints only
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of_linked = named.join(least, "root").select("fp", "root", "component_id")
     labels = nodes.join(of_linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
     # written out, so that the join below has its own exchange on either side and a fingerprint
     # with a third of all rows can be split at run time
-    labels = materialize(labels, "labels")
+    labels = write(labels, "labels")
     return rows.join(labels, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "root")
 
 
@@ -256,6 +272,11 @@ SIMILAR_RADIUS = 24
 #: 3 in a million at 0.8.
 BANDS, BAND_ROWS = 24, 4
 BAND_COLUMNS = [f"b{k}" for k in range(BANDS)]
+#: The lowest bytes of the least hashes, eight to a column. Two sets of similarity 0.8 agree in 77 of
+#: the 96 on average, and in fewer than SAME_LEAST, nearly five standard deviations less, in some
+#: 3 of a million cases.
+SAME_COLUMNS = [f"m{k}" for k in range(BANDS * BAND_ROWS // 8)]
+SAME_LEAST = 58
 #: Documents, and bytes of their texts, in one tree of the second round, which verifies as it searches.
 TREE_TEXTS, TREE_BYTES = 512, 32 << 20
 
@@ -316,37 +337,39 @@ class ShingleSets:
         return both >= SIMILAR * (n + len(mine) - both) - 1e-9
 
 
-def bands_of(u: np.ndarray) -> np.ndarray:
-    """The shard keys of a set of hashes: one for each band, from its least hashes."""
+def bands_of(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shard keys of a set of hashes, one for each band from its least hashes, and these hashes' lowest bytes."""
     least = np.full(len(PERMUTATIONS), 2**64 - 1, np.uint64)
     for lo in range(0, len(u), 1024):
         np.minimum(least, (u[lo : lo + 1024] * PERMUTATIONS[:, None]).min(axis=1), out=least)
     key = np.arange(BANDS, dtype=np.uint64)
     for column in least.reshape(BANDS, BAND_ROWS).T:
         key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + column)
-    return key
+    return key, (mixed(least) & np.uint64(255)).astype(np.uint8).view(np.uint64)
 
 
 def sketches(df: DataFrame, text_col: str = "text", keep: tuple = ("doc_id",), prefix: str = "") -> DataFrame:
-    """``keep`` columns, ``fp`` (digest of the set of shingles), ``n`` (its size), ``sim`` (its SimHash) and the shard keys."""
+    """``keep`` columns, ``fp`` (digest of the set of shingles), ``n`` (its size), ``sim`` (its SimHash), the shard keys and SAME_COLUMNS."""
+    names = ("fp", "n", "sim", *BAND_COLUMNS, *SAME_COLUMNS)
 
     def f(texts):
-        out = np.zeros((len(texts), 3 + BANDS), np.uint64)
+        out = np.zeros((len(texts), len(names)), np.uint64)
         for i, t in enumerate(texts):
             u = shingle_set(t)
             if len(u):
                 out[i, 0], out[i, 1], out[i, 2] = xxhash.xxh64_intdigest(u.tobytes(), SEED), len(u), simhash_of(u.astype(">u8"))
-            out[i, 3:] = bands_of(u)
-        return {c: pa.array(out[:, k].copy().view(np.int64)) for k, c in enumerate(("fp", "n", "sim", *BAND_COLUMNS))}
+            out[i, 3:] = np.concatenate(bands_of(u))
+        return {c: pa.array(out[:, k].copy().view(np.int64)) for k, c in enumerate(names)}
 
-    return map_texts(df, lambda: f, {c: "bigint" for c in ("fp", "n", "sim", *BAND_COLUMNS)}, text_col, list(keep), prefix=prefix)
+    return map_texts(df, lambda: f, dict.fromkeys(names, "bigint"), text_col, list(keep), prefix=prefix)
 
 
-def forest(rows: np.ndarray, texts: list | None = None) -> tuple[list, list]:
-    """A spanning forest of the similar pairs of one task (rows: key, i, j, own, fp, n, sim).
+def forest(rows: np.ndarray, texts: list | None = None) -> tuple[list, list, list]:
+    """A spanning forest of the similar pairs of one task (rows: key, i, j, own, fp, n, sim, SAME_COLUMNS),
+    and for each pair the digest of its tree's members.
 
-    Candidates are fingerprints within the radius of a BK-tree's node, of sets whose sizes allow
-    the similarity. With ``texts`` each is verified before it counts as a link. Pairs that the
+    Candidates are fingerprints within the radius of a BK-tree's node, of sets whose sizes and
+    least hashes allow the similarity. With ``texts`` each is verified before it counts as a link. Pairs that the
     links found so far connect are not looked at again.
     """
     at = np.arange(len(rows))
@@ -354,36 +377,47 @@ def forest(rows: np.ndarray, texts: list | None = None) -> tuple[list, list]:
     tree, asked = (at, at) if alone else (at[rows[:, 3] == rows[0, 1]], at[rows[:, 3] == rows[0, 2]])
     label = at.copy()
     n, sim = rows[:, 5], np.ascontiguousarray(rows[:, 6]).view(np.uint64)
+    same = np.ascontiguousarray(rows[:, 7:]).view(np.uint8)
     sets = None if texts is None else ShingleSets([shingle_set(t) for t in texts])
-    a, b = [], []
+    a, b, at_node = [], [], []
     for node, near in BKTree(sim[tree]).search(sim[asked], SIMILAR_RADIUS):
         node, near = tree[node], asked[near]
         near = near[label[near] != label[node]]
         near = near[np.minimum(n[near], n[node]) >= SIMILAR * np.maximum(n[near], n[node]) - 1e-6]
+        near = near[(same[near] == same[node]).sum(axis=1) >= SAME_LEAST]
         if sets is not None and len(near):
             near = near[sets.similar(node, near)]
         while len(near):
             other = near[0]
             a.append(rows[node, 4])
             b.append(rows[other, 4])
+            at_node.append(node)
             label[label == label[other]] = label[node]
             near = near[label[near] != label[node]]
-    return a, b
+    if not a:
+        return [], [], []
+    order = np.lexsort((rows[:, 4], label))
+    cuts = np.flatnonzero(np.diff(label[order])) + 1
+    digest = {int(label[m[0]]): xxhash.xxh64_intdigest(rows[m, 4].tobytes(), SEED) for m in np.split(order, cuts) if len(m) > 1}
+    groups = np.array([digest[int(x)] for x in label[at_node]], np.uint64).view(np.int64)
+    return groups.tolist(), a, b
 
 
-def candidates(keyed: DataFrame, tree_nodes: int = TREE_NODES, texts: DataFrame | None = None) -> DataFrame:
-    """Pairs ``a``, ``b`` with their shard's ``key`` that connect those of ``keyed`` (key, fp, n, sim) that may be similar.
+def candidates(keyed: DataFrame, nodes: DataFrame, tree_nodes: int = TREE_NODES, write: Callable = materialize) -> DataFrame:
+    """Pairs ``a``, ``b`` that connect those of ``keyed`` (key, fp) that may be similar.
 
-    With ``texts`` (fp, text) of all of them, and their ``bytes`` in ``keyed``, the pairs are
-    verified, and connect those that are similar.
+    ``nodes`` has n, sim and SAME_COLUMNS of each fp. ``key`` of a pair is the digest of the
+    members of its tree of pairs: shards with equal members have equal ones. If the nodes have
+    a ``text`` (and ``keyed`` its ``bytes``), the pairs are verified, and connect those that are similar.
     """
-    text = texts is not None
-    tasks = dealt(keyed, ["key"], tree_nodes, texts).select("key", "i", "j", "own", "fp", "n", "sim", *(["text"] if text else []))
+    text = "text" in nodes.columns
+    columns = ["n", "sim", *SAME_COLUMNS, *(["text"] if text else [])]
+    tasks = dealt(keyed, ["key"], tree_nodes, nodes.select("fp", *columns), write).select("key", "i", "j", "own", "fp", *columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, found in shards(batches, 3, text):
-            a, b = forest(rows, found if text else None)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([rows[0, 0]] * len(a), map(min, a, b), map(max, a, b))], names=["key", "a", "b"])
+            key, a, b = forest(rows, found if text else None)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (key, map(min, a, b), map(max, a, b))], names=["key", "a", "b"])
 
     return tasks.mapInArrow(run, "key bigint, a bigint, b bigint")
 
@@ -407,42 +441,50 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def similar_links(nodes: DataFrame, texts: DataFrame, tree_nodes: int = TREE_NODES) -> DataFrame:
-    """Edges ``a``, ``b`` that connect the ``nodes`` (fp, n, sim, shard keys) whose ``texts`` (fp, text) are similar.
+def similar_links(nodes: DataFrame, texts: DataFrame, tree_nodes: int = TREE_NODES, write: Callable = materialize) -> DataFrame:
+    """Edges ``a``, ``b`` that connect the ``nodes`` (of ``sketches``, distinct by fp) whose ``texts`` (fp, text) are similar.
 
     The first round takes a spanning forest of the candidates of each shard, so a large group of
-    near copies gives no square of pairs, and verifies its edges. Shards in which an edge fails
-    are searched once more, now with their texts: each pair is verified where it is found.
+    near copies gives no square of pairs, and verifies its edges. The members of a tree in which
+    an edge fails are searched once more, now with their texts: each pair is verified where it is
+    found. Trees of several shards with the same members are searched once, and those of two
+    members, whose only pair is known, not at all.
     """
-    keyed = nodes.select(F.explode(F.array(*BAND_COLUMNS)).alias("key"), "fp", "n", "sim")
 
     def texts_of(ends: DataFrame) -> DataFrame:
         return texts.join(ends.select("fp").distinct(), "fp", "left_semi").dropDuplicates(["fp"])
 
-    tried = materialize(candidates(keyed, tree_nodes), "tried")
+    keyed = nodes.select(F.explode(F.array(*BAND_COLUMNS)).alias("key"), "fp")
+    tried = write(candidates(keyed, nodes, tree_nodes, write).distinct(), "tried")
     pairs = tried.select("a", "b").distinct()
-    good = materialize(verified(pairs, materialize(texts_of(tried.select(F.explode(F.array("a", "b")).alias("fp"))), "texts")), "verified")
-    failed = materialize(tried.join(good, ["a", "b"], "left_anti").select("key").distinct(), "failed")
-    if failed.isEmpty():
+    ends = Materialized(texts_of(tried.select(F.explode(F.array("a", "b")).alias("fp"))), "texts")
+    good = write(verified(pairs, ends.df), "verified")
+    open_ = tried.join(good.withColumn("ok", F.lit(True)), ["a", "b"], "left").groupBy("key").agg(F.count("*").alias("n"), F.count("ok").alias("n_ok"))
+    again = write(tried.join(open_.where("n > 1 and n_ok < n").select("key"), "key", "left_semi").select("key", F.explode(F.array("a", "b")).alias("fp")).distinct(), "again")
+    if again.isEmpty():
+        ends.drop()
         return good
-    again = materialize(keyed.join(failed, "key", "left_semi"), "again")
-    own = materialize(texts_of(again), "texts")
-    sized = again.join(own.select("fp", F.octet_length("text").cast("bigint").alias("bytes")), "fp").select("key", "fp", "n", "sim", "bytes")
-    return good.unionByName(materialize(candidates(sized, min(tree_nodes, TREE_TEXTS), own).select("a", "b").distinct(), "more"))
+    # the members of a tree are ends of its pairs, so their texts are there
+    own = ends.df.join(again.select("fp").distinct(), "fp", "left_semi").join(nodes.select("fp", "n", "sim", *SAME_COLUMNS), "fp")
+    sized = again.join(ends.df.select("fp", F.octet_length("text").cast("bigint").alias("bytes")), "fp")
+    more = write(candidates(sized, own, min(tree_nodes, TREE_TEXTS), write).select("a", "b").distinct(), "more")
+    ends.drop()
+    return good.unionByName(more)
 
 
-def similar_documents(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def similar_documents(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", write: Callable = materialize) -> DataFrame:
     """As ``near_duplicates``, but links are pairs of documents whose sets of shingles of five
     words have a Jaccard similarity of 0.8 at least; ``fingerprint`` and ``root`` are of the digests of the sets.
 
     Equal sets are one node. Candidates share a shard and have close SimHashes, found by the
     shard's BK-trees; all are verified over the whole texts. A pair of similarity 0.8 is missed
-    about once in some thousands, one of 0.85 or more hardly ever.
+    about once in some thousands, one of 0.85 or more hardly ever. ``write`` writes the
+    intermediate tables; the result reads some of them.
     """
-    rows = materialize(sketches(df, text_col, (id_col, text_col)).withColumnsRenamed({id_col: "id", text_col: "text"}), "sketches")
-    nodes = materialize(rows.groupBy("fp").agg(F.min("id").alias("least"), *[F.first(c).alias(c) for c in ("n", "sim", *BAND_COLUMNS)]), "nodes")
-    edges = similar_links(nodes.drop("least"), rows.select("fp", F.col("text").cast("string").alias("text")))
-    return labelled(rows.select("id", "fp"), nodes.select("fp", "least"), edges, id_col)
+    rows = write(sketches(df, text_col, (id_col, text_col)).withColumnsRenamed({id_col: "id", text_col: "text"}), "sketches")
+    nodes = write(rows.groupBy("fp").agg(F.min("id").alias("least"), *[F.first(c).alias(c) for c in ("n", "sim", *BAND_COLUMNS, *SAME_COLUMNS)]), "nodes")
+    edges = similar_links(nodes.drop("least"), rows.select("fp", F.col("text").cast("string").alias("text")), write=write)
+    return labelled(rows.select("id", "fp"), nodes.select("fp", "least"), edges, id_col, write)
 
 
 def one_of_each(df: DataFrame, radius: int = 2, text_col: str = "text", id_col: str = "doc_id", similar: bool = False) -> DataFrame:
@@ -452,7 +494,9 @@ def one_of_each(df: DataFrame, radius: int = 2, text_col: str = "text", id_col:
     Rows that repeat an id are one document, of which any one row stays. A row without an id
     stays only if no row of its component has one, and then one row of the component does.
     """
-    found = materialize(similar_documents(df, text_col, id_col) if similar else near_duplicates(df, radius, text_col, id_col), "duplicates")
+    written = Scratch()
+    found = materialize(similar_documents(df, text_col, id_col, written) if similar else near_duplicates(df, radius, text_col, id_col), "duplicates")
+    written.drop()
     key = F.col(f"`{id_col}`")
     keep = found.where(key == F.col("component_id")).groupBy(key.alias("__id")).agg(F.count("*").alias("n"))
     drop = materialize(found.where(key.isNotNull()).select(key.alias("__id")).distinct().join(keep, "__id", "left_anti"), "drop")

@@ -461,11 +461,16 @@ def test_near_misses_are_verified_in_their_shards():
     texts.append(texts[2] + " tail")
     r.shuffle(texts)
     sets = [simhash.shingle_set(t) for t in texts]
-    rows = np.array([[1, 0, 0, 0, i, len(u), int(np.uint64(simhash.simhash_of(u.astype(">u8"))).view(np.int64))] for i, u in enumerate(sets)])
-    a, b = simhash.forest(rows, texts)
+    rows = np.array([[1, 0, 0, 0, i, len(u), int(np.uint64(simhash.simhash_of(u.astype(">u8"))).view(np.int64)), *simhash.bands_of(u)[1].view(np.int64)] for i, u in enumerate(sets)])
+    _, a, b = simhash.forest(rows, texts)
     similar = {frozenset((i, j)) for i in range(5) for j in range(i) if len(set(sets[i]) & set(sets[j])) >= 0.8 * len(set(sets[i]) | set(sets[j]))}
     assert {frozenset(x) for x in zip(a, b, strict=True)} == similar and len(similar) == 1
-    assert len(simhash.forest(rows)[0]) > 1
+    key, a, b = simhash.forest(rows)
+    assert len(a) > 1
+    # another shard with the same members names the same trees
+    again = rows[::-1].copy()
+    again[:, 0] = 2
+    assert set(simhash.forest(again)[0]) == set(key)
 
 
 def test_one_set_against_many_equals_pairs():
