@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hornspark.functions.terms import atom, body_flat, canonical_set, canonical_variables, show
-from hornspark.operators import analysis, backward, enumeration, export, filters, forward, lookups, scoring
+from hornspark.operators import analysis, backward, enumeration, export, filters, forward, lookups, magic, scoring, tabling, weighted
 from hornspark.operators.backward import Options, ground_queries
 from hornspark.plans.kb import KnowledgeBase
 from hornspark.plans.materialize import materialize, shared_dir
@@ -182,6 +183,92 @@ def closure_minus_base(spark, sf_dir):
     return forward.forward_chain(kb).where("not is_base").select("pred", "s", "o")
 
 
+FIRST_TURN_SQL = f", first AS (SELECT conv_id, {7 * E} + conv_id * {TURNS} + min(turn) AS x FROM turn GROUP BY conv_id)"
+
+
+def first_turns(spark, sf_dir):
+    """Goals follows(x, V) for the first turn of each conversation."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy("conv_id").agg(F.min("turn").alias("turn"))
+    return q(c.select("conv_id", turn(F.col("turn")).alias("x")), P["follows"], F.col("x"), var(1), "conv_id")
+
+
+@register("magic_follows", FIRST_TURN_SQL + " SELECT conv_id AS qid, 15 AS pred, s, o FROM first JOIN follows ON s = x")
+def magic_follows(spark, sf_dir):
+    """All turns after the first of each conversation: only the closure from there on is derived."""
+    return magic.answers(knowledge_base(spark, sf_dir, ("follows",)), first_turns(spark, sf_dir))
+
+
+def local_goals(spark, sf_dir):
+    """local_buy(c, V) for the customers in nations of region 0, and local_buy(V, s) for the suppliers there."""
+    home = spark.read.parquet(f"{sf_dir}/nation.parquet").where("n_regionkey = 0").select(F.col("n_nationkey").alias("k"))
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").join(F.broadcast(home), F.col("c_nationkey") == F.col("k")).select(entity("customer", "c_custkey").alias("x"))  # 25 nations
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").join(F.broadcast(home), F.col("s_nationkey") == F.col("k")).select(entity("supplier", "s_suppkey").alias("x"))
+    return q(c, P["local_buy"], F.col("x"), var(1), "x").unionByName(q(s, P["local_buy"], var(1), F.col("x"), "x"))
+
+
+LOCAL_GOALS_SQL = "SELECT l.s AS qid, 14 AS pred, l.s, l.o FROM local_buy l JOIN c_nation c ON c.s = l.s JOIN nation ON c.o = 3000000000000 + n_nationkey WHERE n_regionkey = 0 UNION ALL SELECT l.o, 14, l.s, l.o FROM local_buy l JOIN s_nation c ON c.s = l.o JOIN nation ON c.o = 3000000000000 + n_nationkey WHERE n_regionkey = 0"
+
+
+@register("magic_local_buy", LOCAL_GOALS_SQL)
+def magic_local_buy(spark, sf_dir):
+    """Bindings pass from local_buy to bought_from, from either side."""
+    return magic.answers(knowledge_base(spark, sf_dir, ("bought_from", "local_buy")), local_goals(spark, sf_dir))
+
+
+@register("magic_rewrite", "SELECT a.pred, count(*) AS n FROM (SELECT 14 AS pred, s, o FROM local_buy UNION ALL SELECT 13, s, o FROM bought_from) a JOIN c_nation c ON c.s = a.s JOIN nation ON c.o = 3000000000000 + n_nationkey WHERE n_regionkey = 0 GROUP BY a.pred")
+def magic_rewrite(spark, sf_dir):
+    """How many atoms of each predicate are derived for customers of region 0: those of other customers aren't."""
+    goals = local_goals(spark, sf_dir).where(f"a0 >= {E}")
+    derived, program = magic.magic_chain(knowledge_base(spark, sf_dir, ("bought_from", "local_buy")), goals)
+    names = F.create_map(*[F.lit(x) for a, n in program.answers.items() for x in (n, a[0])])
+    return derived.select(names[F.col("pred")].alias("pred")).where("pred is not null").groupBy("pred").agg(F.count("*").alias("n"))
+
+
+def turn_goals(spark, sf_dir, kb):
+    """Goals follows(x, V) for all turns x that have a next one or are one."""
+    x = kb.facts.select(F.explode(F.array("s", "o")).alias("x")).distinct()
+    return q(x, P["follows"], F.col("x"), var(1), "x")
+
+
+@register("tabled_follows", "SELECT s AS qid, 15 AS pred, s, o FROM follows")
+def tabled_follows(spark, sf_dir):
+    """The recursive rules from every turn, without a bound on the depth."""
+    kb = knowledge_base(spark, sf_dir, ("follows",))
+    return tabling.answers(kb, turn_goals(spark, sf_dir, kb))
+
+
+#: in_region made symmetric and transitive: rules whose goals come back to themselves.
+NEAR = ["near(X,Y) :- in_region(X,Y)", "near(Y,X) :- near(X,Y)", "near(X,Z) :- near(X,Y), near(Y,Z)"]
+NEAR_SQL = ", place AS (SELECT s AS e, o AS r FROM in_region UNION SELECT o, o FROM in_region)"
+
+
+def near_base(spark, sf_dir, weights: tuple[float, ...] = (1.0, 1.0, 1.0)):
+    names = P | {"near": 20}
+    program = [encode_rule(parse_rule(line, "x"), i + 1, names, {}) for i, line in enumerate(NEAR)]
+    return KnowledgeBase(facts(spark, sf_dir, ("in_region",)), [replace(r, weight=w) for r, w in zip(program, weights, strict=True)], names)
+
+
+@register("tabled_cyclic", NEAR_SQL + " SELECT a.e AS qid, 20 AS pred, a.e AS s, b.e AS o FROM in_region i JOIN place a ON a.e = i.s JOIN place b ON a.r = b.r")
+def tabled_cyclic(spark, sf_dir):
+    """near(n, V) for every nation, though near is symmetric, transitive and recursive from the left."""
+    kb = near_base(spark, sf_dir)
+    return tabling.answers(kb, q(kb.facts, 20, F.col("s"), var(1), "s"))
+
+
+@register("weighted_closure", f"""
+, fact AS (SELECT s, o, 1 - (s % 7) / 10 AS w FROM next_turn), walk AS (SELECT s, o, 0.9 * w AS w FROM fact UNION ALL SELECT f.s, h.o, 0.8 * f.w * h.w FROM fact f JOIN walk h ON h.s = f.o),
+spot AS (SELECT s AS n, o AS r, 1 - (s % 5) / 10 AS w FROM in_region), region_best AS (SELECT r, max(w) AS w FROM spot GROUP BY r),
+near AS (SELECT n AS s, r AS o, w FROM spot UNION ALL SELECT r, n, 0.5 * w FROM spot UNION ALL SELECT r, r, 0.45 * w * w FROM region_best UNION ALL SELECT a.n, b.n, 0.45 * a.w * b.w FROM spot a JOIN spot b ON a.r = b.r)
+SELECT 15 AS pred, s, o, round(max(w), 9) AS w FROM walk GROUP BY s, o UNION ALL SELECT 20, s, o, round(w, 9) FROM near""")
+def weighted_closure(spark, sf_dir):
+    """Best products of weights: along turns, and around the cycles of near."""
+    turns = knowledge_base(spark, sf_dir, ("follows",))
+    turns = replace(turns, rules=[replace(r, weight=w) for r, w in zip(turns.rules, (0.9, 0.8), strict=True)])
+    near = near_base(spark, sf_dir, (1.0, 0.5, 0.9))
+    parts = [weighted.weighted_closure(kb, kb.facts.withColumn("w", 1 - F.col("s") % m / 10)) for kb, m in ((turns, 7), (near, 5))]
+    return parts[0].unionByName(parts[1]).select("pred", "s", "o", F.round("w", 9).alias("w"))
+
+
 @register("witness", f"""
 SELECT 11 AS pred, c.s, r.o, CASE WHEN c.s < {2 * E} THEN 1 ELSE 2 END AS rule_id, CASE WHEN c.s < {2 * E} THEN {sql_atom(1, 'c.s', 'c.o')} ELSE {sql_atom(2, 'c.s', 'c.o')} END || ';' || {sql_atom(3, 'r.s', 'r.o')} AS body
 FROM (SELECT * FROM c_nation UNION ALL SELECT * FROM s_nation) c JOIN in_region r ON r.s = c.o
