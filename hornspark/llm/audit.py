@@ -45,7 +45,7 @@ def cells(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Counts of documents (part, mask, n, good, toxic) by the filters that they fail.
 
     A null text is empty, a null part the empty string. E fails for a text that a smaller id has
-    too; a null id is neither smaller nor larger than another. Labels of one id that differ count
+    too; a null id is neither smaller nor larger than another and has no labels. Labels of one id that differ count
     as good or toxic if one of them does.
 
     Rows are aggregated before each shuffle. All copies of a text but those of its smallest id
