@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +18,7 @@ from hornspark.plans.materialize import materialize, shared_dir
 from hornspark.plans.rules import parse_rule, reachable, encode_rule, rule_table
 from hornspark.plans.spec import Engine
 from hornspark.sources.tables import PREDICATES as P
-from hornspark.sources.tables import TURNS, entity, facts, knowledge_base, rules, turn
+from hornspark.sources.tables import TURNS, domains, entity, facts, knowledge_base, rules, turn
 from hornspark.sources.text import Dataset, parse_triples, write_depths
 from hornspark.streaming.ground import extend_closure, ground_stream
 
@@ -54,6 +56,25 @@ derived AS (
 """
 
 
+#: The definitions by name; each is one line, or a bracket over several.
+PARTS = {m[1]: m[0].rstrip(",\n") for m in re.finditer(r"^(\w+) AS \((?:.*\)|\n(?:  .*\n)+\)),?$", FACTS, re.M)}
+
+
+def prelude(sql: str) -> str:
+    """The definitions that a query uses, directly or through others, in their order."""
+    used, todo = set(), [sql]
+    while todo:
+        text = todo.pop()
+        for name in PARTS.keys() - used:
+            if re.search(rf"\b{name}\b", text):
+                used.add(name)
+                todo.append(PARTS[name])
+    head = ", ".join(PARTS[n] for n in PARTS if n in used)
+    if not head:
+        return "WITH RECURSIVE " + sql.lstrip(" ,\n") if sql.lstrip().startswith(",") else sql
+    return f"WITH RECURSIVE {head} {sql}"
+
+
 def sql_atom(pred: int, s: str, o: str) -> str:
     return f"'{pred}(' || {s} || ',' || {o} || ')'"
 
@@ -62,7 +83,7 @@ def register(name: str, sql: str | None = None):
     def add(f):
         QUERIES[name] = f
         if sql is not None:
-            SQL[name] = f"WITH RECURSIVE {FACTS} {sql}"
+            SQL[name] = prelude(sql)
         return f
 
     return add
@@ -450,6 +471,48 @@ def enum_full(spark, sf_dir):
     return found.select("rule_id", "s", "o", show(F.col("body")).alias("body"))
 
 
+TYPED_SQL = f"""
+SELECT 2 AS rule_id, s.s, r.o, {sql_atom(2, 's.s', 'n.s')} || ';' || {sql_atom(3, 'n.s', 'r.o')} AS body FROM s_nation s, in_region n, (SELECT DISTINCT o FROM in_region) r
+UNION ALL SELECT 8, a.s, b.s, {sql_atom(3, 'a.s', 'r.o')} || ';' || {sql_atom(3, 'b.s', 'r.o')} FROM in_region a, in_region b, (SELECT DISTINCT o FROM in_region) r
+UNION ALL SELECT 5, l.s, l.o, {sql_atom(13, 'l.s', 'l.o')} || ';' || {sql_atom(1, 'l.s', 'n.s')} || ';' || {sql_atom(2, 'l.o', 'n.s')} FROM local_buy l, in_region n"""
+
+
+@register("enum_full_typed", TYPED_SQL)
+def enum_full_typed(spark, sf_dir):
+    """All well-typed instances of three rules: nations stand for nations, regions for regions.
+
+    Goals: every supplier with every region, every pair of nations, and the pairs of local_buy.
+    """
+    kb = knowledge_base(spark, sf_dir, ("in_region_of", "same_region", "bought_from", "local_buy"))
+    at = facts(spark, sf_dir, ("in_region",))
+    n, r = at.select(F.col("s").alias("n")), at.select(F.col("o").alias("r")).distinct()  # 25 nations, 5 regions
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(entity("supplier", "s_suppkey").alias("s"))
+    local = knowledge_base(spark, sf_dir, ("bought_from", "local_buy"))
+    goals = [
+        s.join(F.broadcast(r), F.lit(True)).select(F.lit(P["in_region_of"]).alias("pred"), "s", F.col("r").alias("o")),
+        n.join(F.broadcast(n.withColumnRenamed("n", "m")), F.lit(True)).select(F.lit(P["same_region"]).alias("pred"), F.col("n").alias("s"), F.col("m").alias("o")),
+        forward.forward_chain(local).where(F.col("pred") == P["local_buy"]).select("pred", "s", "o"),
+    ]
+    found = enumeration.enumerate_groundings(kb, reduce(DataFrame.unionByName, goals), 1, None, None, domains(kb))
+    return found.where("rule_id in (2, 5, 8)").select("rule_id", "s", "o", show(F.col("body")).alias("body"))
+
+
+def pair_queries(spark, sf_dir):
+    """The goals of bought_pairs as queries; their number tells customer and supplier."""
+    pairs_ = materialize(bought_pairs(spark, sf_dir), "pairs")
+    return pairs_.select(((F.col("s") - E) * 10**6 + F.col("o") - 2 * E).alias("qid"), "pred", F.col("s").alias("a0"), F.col("o").alias("a1"))
+
+
+@register("enum_evidence", f"""SELECT qid, '5,4' AS rules, body FROM (
+  SELECT (l.s - {E}) * 1000000 + l.o - {2 * E} AS qid, row_number() OVER (PARTITION BY l.s, l.o ORDER BY p.o) AS r,
+    {sql_atom(13, 'l.s', 'l.o')} || ';' || {sql_atom(1, 'l.s', 'c.o')} || ';' || {sql_atom(2, 'l.o', 'c.o')} || ';' || {sql_atom(4, 'p.s', 'p.o')} || ';' || {sql_atom(6, 'h.s', 'h.o')} AS body
+  FROM local_buy l JOIN c_nation c ON c.s = l.s JOIN placed p ON p.s = l.s JOIN shipped_by h ON h.s = p.o AND h.o = l.o) WHERE r <= 2""")
+def enum_evidence(spark, sf_dir):
+    """local_buy(c, s) by enumeration: each query's two smallest proofs, through its first two orders."""
+    engine = Engine("enum.w1.d2", knowledge_base(spark, sf_dir, ("bought_from", "local_buy")))
+    return export.evidence_flat(engine.evidence(pair_queries(spark, sf_dir), 2)).select("qid", "rules", "body")
+
+
 # filters
 
 
@@ -526,6 +589,13 @@ def witness_injection(spark, sf_dir):
     return export.evidence_flat(forward.inject_witnesses(found, queries, proofs)).select("rules", "body")
 
 
+@register("engine_global", f"SELECT '6' AS rules, {sql_atom(8, 's', 'o')} AS body FROM follows WHERE n = 0 UNION ALL SELECT '7', {sql_atom(8, 'f.s', 't.o')} || ';' || {sql_atom(15, 't.o', 'f.o')} FROM follows f JOIN next_turn t ON t.s = f.s WHERE n > 0")
+def engine_global(spark, sf_dir):
+    """An engine over the closure: each ground query is an atom of it and gets its witness."""
+    kb, queries = follow_queries(spark, sf_dir)
+    return export.evidence_flat(Engine("sld.fp_global.d1", kb).ground(queries)).select("rules", "body")
+
+
 # export, statistics, analysis
 
 
@@ -671,10 +741,9 @@ def vectors(spark, sf_dir, kb: KnowledgeBase):
     return kb.entities().withColumn("vec_id", F.col("entity") % E % n).join(e.select("vec_id", F.col("embedding").cast("array<double>").alias("e")), "vec_id").select("entity", "e")
 
 
-SCORE_SQL = SUPPLIER_SQL + f""", m AS (SELECT count(*) AS n FROM embeddings), ent AS (SELECT DISTINCT unnest([p.s, p.ord, p.o]) AS e FROM proof p),
-vec AS MATERIALIZED (SELECT e, CAST(embedding AS DOUBLE[]) AS v FROM ent, m JOIN embeddings ON vec_id = e % {E} % n),
-atom_score AS MATERIALIZED (SELECT a.s, a.o, 1 / (1 + exp(-list_dot_product(x.v, y.v))) AS p FROM (SELECT s, ord AS o FROM proof UNION SELECT ord, o FROM proof) a JOIN vec x ON x.e = a.s JOIN vec y ON y.e = a.o),
-scored AS (SELECT qid, body, least(a.p, b.p) AS low, a.p * b.p AS product, b.p AS soft FROM proof JOIN atom_score a ON a.s = proof.s AND a.o = ord JOIN atom_score b ON b.s = ord AND b.o = proof.o)"""
+SCORE_SQL = SUPPLIER_SQL + f""", vec AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), m AS MATERIALIZED (SELECT count(*) AS n FROM vec),
+atom_score AS MATERIALIZED (SELECT a.s, a.o, 1 / (1 + exp(-list_dot_product(x.v, y.v))) AS p FROM (SELECT s, o FROM placed UNION ALL SELECT s, o FROM shipped_by) a, m JOIN vec x ON x.vec_id = a.s % {E} % n JOIN vec y ON y.vec_id = a.o % {E} % n),
+scored AS MATERIALIZED (SELECT qid, body, least(a.p, b.p) AS low, a.p * b.p AS product, b.p AS soft FROM proof JOIN atom_score a ON a.s = proof.s AND a.o = ord JOIN atom_score b ON b.s = ord AND b.o = proof.o)"""
 
 
 def scored(spark, sf_dir, how: str, known: DataFrame | None = None):
@@ -684,20 +753,29 @@ def scored(spark, sf_dir, how: str, known: DataFrame | None = None):
     return s.join(found.select("gid", show(F.flatten(F.transform("steps", lambda x: x["body"]))).alias("body")), "gid")
 
 
-@register("score_min", SCORE_SQL + " SELECT qid, body, round(low, 6) AS score FROM scored")
+PROOF_SQL = "CAST('0x' || substr(md5(body), 1, 15) AS BIGINT) AS proof"
+
+
+def by_proof(rows: DataFrame) -> DataFrame:
+    """Scores by query and a number for the proof's text."""
+    proof = F.conv(F.substring(F.md5(F.col("body").cast("binary")), 1, 15), 16, 10).cast("bigint")
+    return rows.select("qid", proof.alias("proof"), F.round("score", 6).alias("score"))
+
+
+@register("score_min", SCORE_SQL + f" SELECT qid, {PROOF_SQL}, round(low, 6) AS score FROM scored")
 def score_min(spark, sf_dir):
-    return scored(spark, sf_dir, "min").select("qid", "body", F.round("score", 6).alias("score"))
+    return by_proof(scored(spark, sf_dir, "min"))
 
 
-@register("score_product", SCORE_SQL + " SELECT qid, body, round(product, 6) AS score FROM scored")
+@register("score_product", SCORE_SQL + f" SELECT qid, {PROOF_SQL}, round(product, 6) AS score FROM scored")
 def score_product(spark, sf_dir):
-    return scored(spark, sf_dir, "product").select("qid", "body", F.round("score", 6).alias("score"))
+    return by_proof(scored(spark, sf_dir, "product"))
 
 
-@register("score_soft_known", SCORE_SQL + " SELECT qid, body, round(soft, 6) AS score FROM scored")
+@register("score_soft_known", SCORE_SQL + f" SELECT qid, {PROOF_SQL}, round(soft, 6) AS score FROM scored")
 def score_soft_known(spark, sf_dir):
     """Soft provability: atoms that are known, here placed(c, o), count as 1, others by their score."""
-    return scored(spark, sf_dir, "product", facts(spark, sf_dir, ("placed",))).select("qid", "body", F.round("score", 6).alias("score"))
+    return by_proof(scored(spark, sf_dir, "product", facts(spark, sf_dir, ("placed",))))
 
 
 NEURAL_SQL = f""", m AS (SELECT count(*) AS n FROM embeddings), total AS MATERIALIZED (SELECT vec_id, list_sum(CAST(embedding AS DOUBLE[])) AS t FROM embeddings),

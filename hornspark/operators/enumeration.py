@@ -7,6 +7,10 @@ instance comes from exactly one choice. Unproved atoms are the goals of the next
 
 from __future__ import annotations
 
+import math
+import warnings
+from collections.abc import Sequence
+from dataclasses import dataclass, field
 from functools import reduce
 from itertools import combinations
 
@@ -17,30 +21,103 @@ from hornspark.operators.filters import prune_instances
 from hornspark.operators.joins import body_of, extend, value
 from hornspark.plans.kb import KnowledgeBase
 from hornspark.plans.materialize import Materialized, materialize
-from hornspark.plans.rules import Shape, by_shape, shape_table
+from hornspark.plans.rules import Rule, Shape, by_shape, local_frame, shape_table
 
 KEY = ["pred", "s", "o"]
+#: Candidates up to which they are broadcast; more are cut into pieces of this size.
+BROADCAST_MEMBERS = 100_000
+#: Parts into which rows are dealt where candidates aren't broadcast; each piece goes to every part.
+PARTS = 64
+#: The candidates of a variable whose arguments have no domain.
+ANY = "*"
 
 
-def step(kb: KnowledgeBase, goals: DataFrame, width: int | None, domain: DataFrame | None = None, skipped: list | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class Domains:
+    """``members`` (domain, entity), and of each predicate the domains of its arguments (None: any entity).
+
+    A variable's candidates are the entities that are in the domains of all arguments where its
+    rule has it.
+    """
+
+    members: DataFrame
+    arguments: dict[int, tuple[str | None, str | None]] = field(default_factory=dict)
+
+    @staticmethod
+    def of(domain: DataFrame) -> Domains:
+        """One domain (entity) for all."""
+        return Domains(domain.select(F.lit(ANY).alias("domain"), "entity"))
+
+    def names(self, rule: Rule, shape: Shape, slot: int) -> str:
+        """The domains of a variable of a rule, joined by ``&``."""
+        atoms = [(rule.head.pred, shape.head), *zip((b.pred for b in rule.body), shape.body, strict=True)]
+        found = {self.arguments.get(p, (None, None))[i] for p, slots in atoms for i, v in enumerate(slots) if v == slot} - {None}
+        return "&".join(sorted(found)) or ANY
+
+    def candidates(self, names: set[str]) -> DataFrame:
+        """(names, entity): the entities that are in all of the domains."""
+        every = self.members.select("domain", "entity").distinct()
+        parts = []
+        for n in sorted(names):
+            if n == ANY:
+                own = every.select("entity").distinct()
+            else:
+                wanted = n.split("&")
+                own = every.where(F.col("domain").isin(wanted)).groupBy("entity").count().where(F.col("count") == len(wanted)).select("entity")
+            parts.append(own.select(F.lit(n).alias("_names"), "entity"))
+        return reduce(DataFrame.unionByName, parts)
+
+    def _named(self, now: DataFrame, shape: Shape, group: Sequence[tuple[Rule, list[int]]], slot: int) -> tuple[DataFrame, set[str]]:
+        names = {r.rule_id: self.names(r, shape, slot) for r, _ in group}
+        return now.join(F.broadcast(local_frame(now.sparkSession, sorted(names.items()), "rule_id int, _names string")), "rule_id"), set(names.values())
+
+    def check(self, now: DataFrame, shape: Shape, group: Sequence[tuple[Rule, list[int]]], slot: int) -> DataFrame:
+        """Rows whose binding of a variable is among its candidates."""
+        rows, names = self._named(now, shape, group, slot)
+        if names == {ANY}:
+            return now
+        found = self.candidates(names - {ANY}).withColumnRenamed("entity", "_e")
+        kept = rows.where(F.col("_names") != ANY).join(found.withColumnRenamed("_names", "_d"), (F.col("_names") == F.col("_d")) & (F.col(value(slot)) == F.col("_e")), "left_semi")
+        return kept.unionByName(rows.where(F.col("_names") == ANY)).drop("_names")
+
+    def bind(self, now: DataFrame, shape: Shape, group: Sequence[tuple[Rule, list[int]]], slot: int) -> DataFrame:
+        """Each row with each candidate of a variable.
+
+        The result has rows times candidates, whatever the plan. Few candidates are broadcast.
+        More are cut into pieces: a row meets each piece in the part that it was dealt to.
+        """
+        rows, names = self._named(now, shape, group, slot)
+        found = materialize(self.candidates(names).withColumnRenamed("entity", value(slot)), "candidates")
+        n = found.count()
+        if n <= BROADCAST_MEMBERS:
+            return rows.join(F.broadcast(found), "_names").drop("_names")
+        pieces = math.ceil(n / BROADCAST_MEMBERS)
+        cells = found.withColumn("_piece", F.pmod(F.xxhash64(value(slot)), F.lit(pieces))).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        dealt = rows.withColumn("_part", F.pmod(F.xxhash64(*now.columns), F.lit(PARTS)).cast("int")).withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(pieces - 1).cast("bigint"))))
+        return dealt.join(cells, ["_names", "_part", "_piece"]).drop("_names", "_part", "_piece")
+
+
+def step(kb: KnowledgeBase, goals: DataFrame, width: int | None, domain: DataFrame | Domains | None = None, skipped: list | None = None) -> DataFrame:
     """Instances (rule_id, pred, s, o, body, unknown) for ground goals (pred, s, o).
 
     ``unknown`` has the body atoms that aren't facts, at most ``width`` (None: any number); each
     of them has a predicate that heads a rule (unless the width is None), and no body atom is
-    the goal itself. A variable that only unproved atoms hold ranges over ``domain`` (entity);
-    without one, such choices are left out and their rules noted in ``skipped``.
+    the goal itself. A variable that only unproved atoms hold ranges over ``domain``: a table
+    (entity) of all, or ``Domains``, which the other variables have to fit too. Without one,
+    such choices are left out and their rules noted in ``skipped``.
     """
     parts = []
+    domain = Domains.of(domain) if isinstance(domain, DataFrame) else domain
     g = goals.select(F.col("pred").alias("gp"), F.col("s").alias("gs"), F.col("o").alias("go"))
     for shape, group in by_shape(kb.rules).items():
         rules = F.broadcast(shape_table(kb.spark, shape, group, kb.heads))
         m = len(shape.body)
         for size in range(m + 1 if width is None else min(width, m) + 1):
             for chosen in combinations(range(m), size):
-                now = _choice(kb, rules, shape, g, chosen, width, domain)
+                now = _choice(kb, rules, shape, group, g, chosen, width, domain)
                 if now is None:
                     if skipped is not None:
-                        skipped += [r.rule_id for r, _ in group]
+                        skipped += [r.rule_id for r, _ in group if width is None or all(r.body[i].pred in kb.heads for i in chosen)]
                     continue
                 parts.append(now)
     if not parts:
@@ -48,7 +125,7 @@ def step(kb: KnowledgeBase, goals: DataFrame, width: int | None, domain: DataFra
     return reduce(DataFrame.unionByName, parts)
 
 
-def _choice(kb: KnowledgeBase, rules: DataFrame, shape: Shape, goals: DataFrame, chosen: tuple[int, ...], width: int | None, domain: DataFrame | None) -> DataFrame | None:
+def _choice(kb: KnowledgeBase, rules: DataFrame, shape: Shape, group: list, goals: DataFrame, chosen: tuple[int, ...], width: int | None, domain: Domains | None) -> DataFrame | None:
     now = goals.join(rules, F.col("gp") == F.col("hp"))
     bound: set[int] = set()
     for slot, col in zip(shape.head, ("gs", "go"), strict=True):
@@ -63,11 +140,14 @@ def _choice(kb: KnowledgeBase, rules: DataFrame, shape: Shape, goals: DataFrame,
     rest = tuple(i for i in range(len(shape.body)) if i not in chosen)
     for i in shape.order(None, frozenset(bound), rest):
         now = extend(now, shape, i, kb.facts, bound)
+    if domain is not None:
+        for v in sorted(bound):
+            now = domain.check(now, shape, group, v)
     free = {v for i in chosen for v in shape.body[i] if v >= 0} - bound
     if free and domain is None:
         return None
     for v in sorted(free):
-        now = now.crossJoin(domain.select(F.col("entity").alias(value(v))))
+        now = domain.bind(now, shape, group, v)
     body = body_of(shape)
     for i in chosen:
         a, b = shape.body[i]
@@ -79,26 +159,30 @@ def _choice(kb: KnowledgeBase, rules: DataFrame, shape: Shape, goals: DataFrame,
     return now.select("rule_id", F.col("gp").alias("pred"), F.col("gs").alias("s"), F.col("go").alias("o"), body.alias("body"), unknown.alias("unknown"))
 
 
-def enumerate_groundings(kb: KnowledgeBase, queries: DataFrame, depth: int = 1, width: int | None = 1, last_width: int | None = 0, domain: DataFrame | None = None, most_domain: int = 100_000) -> DataFrame:
+def enumerate_groundings(kb: KnowledgeBase, queries: DataFrame, depth: int = 1, width: int | None = 1, last_width: int | None = 0, domain: DataFrame | Domains | None = None, skipped: list | None = None) -> DataFrame:
     """Distinct instances (rule_id, pred, s, o, body, depth) of rules that a batch of ground queries needs.
 
     Goals are shared by the batch: a goal is expanded once, at the depth where it first appears.
-    ``last_width`` holds at the last depth (0: only facts). ``domain`` is refused if it has over
-    ``most_domain`` entities, since unproved atoms may range over all of it.
+    ``last_width`` holds at the last depth (0: only facts). Variables that only unproved atoms hold
+    range over ``domain`` (see ``step``); without one, a warning names the rules of which choices
+    are left out, and ``skipped`` gets them.
     """
-    if domain is not None and domain.count() > most_domain:
-        raise ValueError(f"the domain has more than {most_domain} entities")
+    left_out: list[int] = []
     goals = materialize(queries.select(*KEY).distinct(), "goals")
     seen, found = goals, None
     for d in range(depth):
         w = last_width if d == depth - 1 else width
-        now = Materialized(step(kb, goals, w, domain), f"enum-{d}").df
+        now = Materialized(step(kb, goals, w, domain, left_out), f"enum-{d}").df
         part = now.select("rule_id", *KEY, "body", F.lit(d).alias("depth"))
         found = part if found is None else found.unionByName(part)
         if d < depth - 1:
             fresh = now.select(F.explode("unknown").alias("a")).select(F.col("a.pred").alias("pred"), F.col("a.a0").alias("s"), F.col("a.a1").alias("o")).distinct()
             goals = materialize(fresh.join(seen, KEY, "left_anti"), "goals")
             seen = seen.unionByName(goals)
+    if left_out:
+        warnings.warn(f"without a domain, choices of the rules {sorted(set(left_out))} are left out", stacklevel=2)
+        if skipped is not None:
+            skipped += sorted(set(left_out))
     return found
 
 

@@ -111,10 +111,11 @@ def _first_scores(rows: DataFrame, atom: Column, score: Score, mode: str = "grou
 
 def top_k_children(children: DataFrame, score: Score, k: int, atom: str = "new", open_score: float = 0.0) -> DataFrame:
     """A rule hook (``atom`` new: the first of the new body) or a fact hook (``fact``): each query's k children
-    of the best score. Atoms that aren't ground have ``open_score``; ties are in the order of goals and proofs."""
+    of the best score. Atoms that aren't ground have ``open_score``; ties are in the order of the last rules, then of goals and proofs."""
     column = F.col(atom) if atom == "fact" else F.element_at(F.col(atom), 1)
     rows = _first_scores(children, column, score).withColumn("score", F.coalesce("score", F.lit(open_score)))
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), "goals", "steps")
+    last = [F.try_element_at("steps", F.lit(-1))["rule_id"]] if atom == "new" else []
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), *last, "goals", "steps")
     return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).select(*children.columns)
 
 

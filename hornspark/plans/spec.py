@@ -7,11 +7,12 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hornspark.operators import enumeration, filters
+from hornspark.operators import enumeration, filters, proofs
 from hornspark.operators.backward import Options, ground_queries
 from hornspark.operators.export import rule_groundings
-from hornspark.operators.forward import forward_chain
+from hornspark.operators.forward import KEY, forward_chain, inject_witnesses
 from hornspark.plans.kb import KnowledgeBase
+from hornspark.plans.materialize import materialize
 
 RESOLUTIONS = ("sld", "rtf", "enum")
 #: Names of terminal filters, with two older ones.
@@ -58,24 +59,36 @@ def parse_spec(text: str) -> Spec:
 
 
 class Engine:
-    """Grounds batches of queries over one knowledge base as a specification says."""
+    """Grounds batches of queries over one knowledge base as a specification says.
 
-    def __init__(self, spec: str | Spec, kb: KnowledgeBase, fc_depth: int = 10, options: Options | None = None, grounding_hooks: list | None = None):
+    With ``fp_global`` the closure is derived once, to the fixpoint unless ``fc_depth`` bounds its
+    rounds (then a warning says if it is incomplete), and its atoms count as facts; a query that
+    is such an atom has its witness as proof. ``domains`` are those of enum; ``skipped`` has the
+    rules of which it left out choices for want of one.
+    """
+
+    def __init__(self, spec: str | Spec, kb: KnowledgeBase, fc_depth: int | None = None, options: Options | None = None, grounding_hooks: list | None = None, domains: enumeration.Domains | None = None):
         self.spec = parse_spec(spec) if isinstance(spec, str) else spec
         self.kb = kb
         self.hooks = grounding_hooks or []
+        self.domains = domains
+        self.skipped: list[int] = []
         base = options or Options()
         self.options = replace(base, resolution=self.spec.resolution, depth=self.spec.depth, width=self.spec.width, prune_dead=self.spec.prune_dead)
+        self.witnesses: DataFrame | None = None
         if self.spec.filter == "fp_global":
-            self.kb = kb.with_closure(forward_chain(kb, fc_depth).where("not is_base"))
+            closure = materialize(forward_chain(kb, fc_depth, witness=True), "closure")
+            self.witnesses = closure.select(*KEY, "w.rule_id", "w.body")
+            self.kb = kb.with_closure(closure.where("not is_base"))
 
     def ground(self, queries: DataFrame) -> DataFrame:
         """Groundings (gid, qid, steps, depth) of sld and rtf; instances (rule_id, pred, s, o, body, depth) of enum."""
         if self.spec.resolution == "enum":
             q = queries.where(F.coalesce("active", F.lit(True))) if "active" in queries.columns else queries
             q = q.select("pred", F.col("a0").alias("s"), F.col("a1").alias("o"))
-            domain = self.kb.entities() if self.spec.full else None
-            found = enumeration.enumerate_groundings(self.kb, q, self.spec.depth, self.spec.width, None if self.spec.full else 0, domain)
+            domain = self.domains or (self.kb.entities() if self.spec.full else None)
+            self.skipped = []
+            found = enumeration.enumerate_groundings(self.kb, q, self.spec.depth, self.spec.width, None if self.spec.full else 0, domain, self.skipped)
             if self.spec.filter != "none":
                 found = enumeration.sound(self.kb, found)
         else:
@@ -83,11 +96,22 @@ class Engine:
             if self.spec.filter == "fp_batch":
                 found = filters.fp_batch(found, self.kb.facts)
             elif self.spec.filter == "fp_global":
-                found = filters.fp_global(found, self.kb.known())
+                found = inject_witnesses(filters.fp_global(found, self.kb.known()), queries, self.witnesses)
         for hook in self.hooks:
             found = hook(found)
         return found
 
+    def evidence(self, queries: DataFrame, k: int) -> DataFrame:
+        """Groundings (gid, qid, steps, depth) of a batch of queries whatever the resolution.
+
+        Those of enum are unfolded from the shared instances: the ``k`` smallest of each query,
+        within the depth of the enumeration.
+        """
+        found = self.ground(queries)
+        if self.spec.resolution != "enum":
+            return found
+        return proofs.evidence(queries, found, self.kb.facts, k, self.spec.depth)
+
     def rule_groundings(self, queries: DataFrame) -> DataFrame:
         found = self.ground(queries)
         return found.select("rule_id", "pred", "s", "o", F.array_sort("body").alias("body")).distinct() if self.spec.resolution == "enum" else rule_groundings(found)

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hornspark.operators.enumeration import Domains
 from hornspark.plans.kb import KnowledgeBase
 from hornspark.plans.rules import Rule, encode_rule, parse_rule
 
@@ -16,6 +17,13 @@ PREDICATES = {
     "c_nation": 1, "s_nation": 2, "in_region": 3, "placed": 4, "has_part": 5, "shipped_by": 6, "supplies": 7, "next_turn": 8,
     "in_region_of": 11, "bought": 12, "bought_from": 13, "local_buy": 14, "follows": 15, "same_region": 16, "sold_to": 17, "african": 18,
 }
+#: The kinds of the arguments of each predicate.
+ARGUMENTS = {
+    "c_nation": ("customer", "nation"), "s_nation": ("supplier", "nation"), "in_region": ("nation", "region"), "placed": ("customer", "order"),
+    "has_part": ("order", "part"), "shipped_by": ("order", "supplier"), "supplies": ("supplier", "part"), "next_turn": ("turn", "turn"),
+    "in_region_of": (None, "region"), "bought": ("customer", "part"), "bought_from": ("customer", "supplier"), "local_buy": ("customer", "supplier"),
+    "follows": ("turn", "turn"), "same_region": ("nation", "nation"), "sold_to": ("supplier", "customer"), "african": ("nation", "nation"),
+}
 PROGRAM = [
     "in_region_of(X,Z) :- c_nation(X,W), in_region(W,Z)",
     "in_region_of(X,Z) :- s_nation(X,W), in_region(W,Z)",
@@ -68,6 +76,13 @@ def facts(spark: SparkSession, sf_dir: str, only: tuple[str, ...] | None = None)
     return reduce(DataFrame.unionByName, parts).dropna().distinct()
 
 
+def domains(kb: KnowledgeBase) -> Domains:
+    """The seven kinds of entities as domains of the predicates' arguments."""
+    kind = F.create_map(*[F.lit(x) for k, t in TAGS.items() for x in (t, k)])
+    members = kb.entities().select(kind[F.expr(f"cast(entity div {10**12} as int)")].alias("domain"), "entity")
+    return Domains(members, {PREDICATES[p]: a for p, a in ARGUMENTS.items()})
+
+
 def rules(heads: tuple[str, ...] | None = None) -> list[Rule]:
     """The program, or its rules for some head predicates; ids are positions in the program."""
     constants = {"region_0": TAGS["region"] * 10**12}

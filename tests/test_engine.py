@@ -204,10 +204,67 @@ def test_enumeration_widths(spark):
     assert shown(enumeration.sound(kb, two)) == {(0, 1, 2, "1(1,2)"), (1, 1, 3, "1(1,2);2(2,3)"), (0, 2, 3, "1(2,3)")}
 
 
-def test_a_large_domain_is_refused(spark):
-    kb = base(spark, *ANCESTOR)
-    with pytest.raises(ValueError):
-        enumeration.enumerate_groundings(kb, kb.facts, 1, None, None, kb.entities(), most_domain=2)
+@pytest.mark.parametrize("most", [1, 100_000])
+def test_domains_of_any_size(spark, monkeypatch, most):
+    monkeypatch.setattr(enumeration, "BROADCAST_MEMBERS", most)
+    kb = base(spark, *GRAND)
+    goals = spark.createDataFrame([(2, 1, 3), (2, 5, 1)], "pred int, s bigint, o bigint")
+    shown = lambda df: sorted((r["s"], r["o"], r["b"]) for r in df.select("s", "o", show(F.col("body")).alias("b")).collect())
+    full = [(s, o, f"1({s},{y});1({y},{o})") for s, o in ((1, 3), (5, 1)) for y in (1, 2, 3, 5, 6)]
+    assert shown(enumeration.enumerate_groundings(kb, goals, 1, None, None, kb.entities())) == full
+    # people 1 to 3 and things 5 and 6: predicate 1 takes a person and anything, predicate 2 a person and a person
+    members = spark.createDataFrame([("person", i) for i in (1, 2, 3)] + [("thing", 5), ("thing", 6), ("blue", 2), ("blue", 6)], "domain string, entity bigint")
+    typed = enumeration.Domains(members, {1: ("person", None), 2: ("person", "person")})
+    assert shown(enumeration.enumerate_groundings(kb, goals, 1, None, None, typed)) == [x for x in full[:5] if int(x[2][4]) < 4]
+    both = enumeration.Domains(members, {1: ("person", "blue")})
+    assert shown(enumeration.enumerate_groundings(kb, spark.createDataFrame([(2, 1, 2)], goals.schema), 1, None, None, both)) == [(1, 2, "1(1,2);1(2,2)")]
+
+
+def test_choices_left_out_are_reported(spark):
+    kb = base(spark, [(1, 1, 2)], [((2, X, Z), [(2, X, Y), (2, Y, Z)]), ((2, X, Y), [(1, X, Y)])])
+    engine = Engine("enum.w2.d2", kb)
+    with pytest.warns(UserWarning, match="left out"):
+        engine.ground(ask(spark, (2, 1, 2)))
+    assert engine.skipped == [0]
+
+
+@pytest.mark.parametrize("n", [1, 4])
+def test_evidence_of_enumeration_is_that_of_resolution(spark, n):
+    facts = [(1, i, i + 1) for i in range(n)] + [(1, 0, 2), (3, 1, 2), (3, 0, 1)]
+    rules = [*ANCESTOR[1], ((2, X, Y), [(3, X, Y)]), ((4, X, Z), [(2, X, Y), (1, Y, Z)])]
+    kb, q = base(spark, facts, rules), ask(spark, (4, 0, n), (2, 0, n), (1, 0, 1), (2, n, 0), (4, 0, 3))
+    shown = lambda df: sorted(tuple(r) for r in export.evidence_flat(df).select("qid", "rules", "body").collect())
+    want = shown(ground_queries(kb, q, Options(depth=3 * n + 4))[0])
+    assert len(want) == len(set(want)) and want
+    assert shown(Engine("enum.w1.d" + str(n + 2), kb).evidence(q, 1000)) == want
+    # the k smallest are the first of all by number of steps
+    few = shown(Engine("enum.w1.d" + str(n + 2), kb).evidence(q, 2))
+    for i in range(5):
+        sizes = sorted(len(r[1].split(",")) if r[1] else 0 for r in want if r[0] == i)
+        assert sorted(len(r[1].split(",")) if r[1] else 0 for r in few if r[0] == i) == sizes[:2]
+
+
+def test_smallest_proofs_on_a_cycle(spark):
+    kb = base(spark, [(1, 1, 2)], [((2, X, Y), [(3, X, Y)]), ((3, X, Y), [(2, X, Y)]), ((3, X, Y), [(1, X, Y)])])
+    found = Engine("enum.w1.d9", kb).evidence(ask(spark, (2, 1, 2)), 3)
+    assert sorted(r["n"] for r in found.select(F.size("steps").alias("n")).collect()) == [2, 4, 6]
+    assert [r["depth"] for r in found.orderBy("depth").collect()] == [2, 4, 6]
+
+
+def test_a_closure_of_any_depth_and_its_witnesses(spark):
+    kb = base(spark, [(1, 1, 2)], [((i + 1, X, Y), [(i, X, Y)]) for i in range(1, 16)])
+    q = ask(spark, (16, 1, 2), (16, 2, 1), (1, 1, 2))
+    found = Engine("sld.fp_global.d1", kb).ground(q)
+    assert {r["qid"]: r["body"] for r in export.evidence_flat(found).collect()} == {0: "15(1,2)", 2: ""}
+    with pytest.warns(UserWarning):
+        assert counts(Engine("sld.fp_global.d1", kb, fc_depth=10).ground(q)) == {2: 1}
+
+
+def test_ties_of_rule_children_go_to_the_first_rule(spark):
+    kb = base(spark, [(1, 1, 2)], [((2, X, Y), [(1, X, Y)]), ((2, X, Y), [(1, X, Z), (2, Z, Y)])])
+    zero = lambda atoms: atoms.withColumn("score", F.lit(0.0))
+    left = ground_queries(kb, ask(spark, (2, 1, 2), (2, 5, 6)), Options(depth=1, rule_hooks=[lambda c: scoring.top_k_children(c, zero, 1)]))[1]
+    assert {(r["qid"], r["rule"]) for r in left.select("qid", F.element_at("steps", 1)["rule_id"].alias("rule")).collect()} == {(0, 0), (1, 0)}
 
 
 def test_engines_from_specifications(spark):
