@@ -7,11 +7,11 @@ from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hornspark.functions.terms import atom, body_flat, canonical_set, canonical_variables, show
-from hornspark.operators import analysis, backward, enumeration, export, filters, forward, lookups, magic, scoring, tabling, weighted
+from hornspark.operators import analysis, backward, constraints, doubling, enumeration, export, filters, forward, inner_products, lookups, magic, scoring, tabling, weighted
 from hornspark.operators.backward import Options, ground_queries
 from hornspark.plans.kb import KnowledgeBase
 from hornspark.plans.materialize import materialize, shared_dir
@@ -20,7 +20,7 @@ from hornspark.plans.spec import Engine
 from hornspark.sources.tables import PREDICATES as P
 from hornspark.sources.tables import TURNS, domains, entity, facts, knowledge_base, rules, turn
 from hornspark.sources.text import Dataset, parse_triples, write_depths
-from hornspark.streaming.ground import extend_closure, ground_stream
+from hornspark.streaming.ground import ClosureStream, extend_closure, ground_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -89,6 +89,11 @@ def register(name: str, sql: str | None = None):
     return add
 
 
+def number_of(text: Column) -> Column:
+    """The first 60 bits of a text's MD5."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("bigint")
+
+
 def q(rows: DataFrame, pred: int, a0, a1, qid="qid") -> DataFrame:
     """Query rows from key columns."""
     return rows.select(F.col(qid).cast("bigint").alias("qid"), F.lit(pred).alias("pred"), a0.cast("bigint").alias("a0"), a1.cast("bigint").alias("a1"))
@@ -290,6 +295,32 @@ def weighted_closure(spark, sf_dir):
     return parts[0].unionByName(parts[1]).select("pred", "s", "o", F.round("w", 9).alias("w"))
 
 
+HOME = ["african(N,N) :- local_buy(C,S), c_nation(C,N)", "in_region(N,R) :- same_region(N,M), in_region(M,R)"]
+
+
+@register("violations", f"SELECT 1 AS rule_id, 18 AS pred, c.o AS s, c.o, {sql_atom(14, 'l.s', 'l.o')} || ';' || {sql_atom(1, 'c.s', 'c.o')} AS body FROM local_buy l JOIN c_nation c ON c.s = l.s JOIN in_region r ON r.s = c.o WHERE r.o <> {4 * E}")
+def violations(spark, sf_dir):
+    """Only customers in region 0 may buy in their nation: those elsewhere who do. A second rule always holds."""
+    kb = knowledge_base(spark, sf_dir, ("bought_from", "local_buy", "african", "same_region"))
+    hard = [encode_rule(parse_rule(line, "x"), i + 1, P, {}) for i, line in enumerate(HOME)]
+    return constraints.violations(kb, hard).select("rule_id", "pred", "s", "o", show(F.col("body")).alias("body"))
+
+
+@register("blame", f"""SELECT 3 AS pred, s, o FROM in_region JOIN (SELECT o AS n, count(*) AS k FROM c_nation GROUP BY o) ON n = s WHERE k > 1 AND o = {4 * E}
+UNION ALL SELECT 1, min(c.s), c.o FROM c_nation c JOIN in_region r ON r.s = c.o WHERE r.o = {4 * E} GROUP BY c.o HAVING count(*) = 1""")
+def blame(spark, sf_dir):
+    """No customer may be in a nation of region 0: to blame are those nations' regions, or where a nation has one customer, that."""
+    kb = knowledge_base(spark, sf_dir, ("african",), ("c_nation", "in_region"))
+    hard = [encode_rule(parse_rule("false(C,N) :- c_nation(C,N), african(N,N)", "x"), 1, P | {"false": 99}, {})]
+    return constraints.blamed(kb, hard)
+
+
+@register("follows_doubling", "SELECT * FROM derived WHERE pred = 15")
+def follows_doubling(spark, sf_dir):
+    """The recursive closure in as many rounds as the longest path has binary digits."""
+    return doubling.forward_chain_doubling(knowledge_base(spark, sf_dir, ("follows",))).select("pred", "s", "o", "step")
+
+
 @register("witness", f"""
 SELECT 11 AS pred, c.s, r.o, CASE WHEN c.s < {2 * E} THEN 1 ELSE 2 END AS rule_id, CASE WHEN c.s < {2 * E} THEN {sql_atom(1, 'c.s', 'c.o')} ELSE {sql_atom(2, 'c.s', 'c.o')} END || ';' || {sql_atom(3, 'r.s', 'r.o')} AS body
 FROM (SELECT * FROM c_nation UNION ALL SELECT * FROM s_nation) c JOIN in_region r ON r.s = c.o
@@ -471,10 +502,10 @@ def enum_full(spark, sf_dir):
     return found.select("rule_id", "s", "o", show(F.col("body")).alias("body"))
 
 
-TYPED_SQL = f"""
-SELECT 2 AS rule_id, s.s, r.o, {sql_atom(2, 's.s', 'n.s')} || ';' || {sql_atom(3, 'n.s', 'r.o')} AS body FROM s_nation s, in_region n, (SELECT DISTINCT o FROM in_region) r
+TYPED_SQL = f""", inst AS (SELECT 2 AS rule_id, s.s, r.o, {sql_atom(2, 's.s', 'n.s')} || ';' || {sql_atom(3, 'n.s', 'r.o')} AS body FROM s_nation s, in_region n, (SELECT DISTINCT o FROM in_region) r
 UNION ALL SELECT 8, a.s, b.s, {sql_atom(3, 'a.s', 'r.o')} || ';' || {sql_atom(3, 'b.s', 'r.o')} FROM in_region a, in_region b, (SELECT DISTINCT o FROM in_region) r
-UNION ALL SELECT 5, l.s, l.o, {sql_atom(13, 'l.s', 'l.o')} || ';' || {sql_atom(1, 'l.s', 'n.s')} || ';' || {sql_atom(2, 'l.o', 'n.s')} FROM local_buy l, in_region n"""
+UNION ALL SELECT 5, l.s, l.o, {sql_atom(13, 'l.s', 'l.o')} || ';' || {sql_atom(1, 'l.s', 'n.s')} || ';' || {sql_atom(2, 'l.o', 'n.s')} FROM local_buy l, in_region n)
+SELECT rule_id, s, o, CAST('0x' || substr(md5(body), 1, 15) AS BIGINT) AS proof FROM inst"""
 
 
 @register("enum_full_typed", TYPED_SQL)
@@ -494,7 +525,7 @@ def enum_full_typed(spark, sf_dir):
         forward.forward_chain(local).where(F.col("pred") == P["local_buy"]).select("pred", "s", "o"),
     ]
     found = enumeration.enumerate_groundings(kb, reduce(DataFrame.unionByName, goals), 1, None, None, domains(kb))
-    return found.where("rule_id in (2, 5, 8)").select("rule_id", "s", "o", show(F.col("body")).alias("body"))
+    return found.select("rule_id", "s", "o", number_of(show(F.col("body"))).alias("proof"))
 
 
 def pair_queries(spark, sf_dir):
@@ -758,8 +789,7 @@ PROOF_SQL = "CAST('0x' || substr(md5(body), 1, 15) AS BIGINT) AS proof"
 
 def by_proof(rows: DataFrame) -> DataFrame:
     """Scores by query and a number for the proof's text."""
-    proof = F.conv(F.substring(F.md5(F.col("body").cast("binary")), 1, 15), 16, 10).cast("bigint")
-    return rows.select("qid", proof.alias("proof"), F.round("score", 6).alias("score"))
+    return rows.select("qid", number_of(F.col("body")).alias("proof"), F.round("score", 6).alias("score"))
 
 
 @register("score_min", SCORE_SQL + f" SELECT qid, {PROOF_SQL}, round(low, 6) AS score FROM scored")
@@ -866,6 +896,16 @@ def partial_scores(spark, sf_dir):
     return scoring.partial_scores(kb.facts, scoring.DistMult(vectors(spark, sf_dir, kb))).select("s", F.round("best", 6).alias("best"))
 
 
+@register("partial_scores_all", f""", ent AS (SELECT DISTINCT unnest([s, o]) AS e FROM placed), m AS (SELECT count(*) AS n FROM embeddings),
+vec AS MATERIALIZED (SELECT DISTINCT e % {E} % n AS i, CAST(embedding AS DOUBLE[]) AS v FROM ent, m JOIN embeddings ON vec_id = e % {E} % n),
+best AS (SELECT a.i, max(list_dot_product(a.v, b.v)) AS x FROM vec a, vec b GROUP BY a.i)
+SELECT DISTINCT 4 AS pred, s, round(x, 6) AS best FROM placed, m JOIN best ON i = s % {E} % n""")
+def partial_scores_all(spark, sf_dir):
+    """placed(c, V) for each customer with orders: the best score over all customers and orders as V."""
+    kb = knowledge_base(spark, sf_dir, ("bought_from",), ("placed",))
+    return inner_products.best_objects(kb.facts, vectors(spark, sf_dir, kb)).select("pred", "s", F.round("best", 6).alias("best"))
+
+
 @register("sample_eval", SUPPLIER_SQL + " SELECT qid, body FROM (SELECT qid, body, row_number() OVER (PARTITION BY qid ORDER BY body) AS r FROM proof) WHERE r <= 2")
 def sample_eval(spark, sf_dir):
     """The first two groundings of each query, by their text."""
@@ -946,3 +986,18 @@ def stream_ground(spark, sf_dir):
 
     ground_stream(goals, ground, f"{at}/out", f"{at}/state").awaitTermination()
     return spark.read.schema("qid bigint, o bigint").parquet(f"{at}/out/*")
+
+
+@register("stream_closure", "SELECT 8 AS pred, s, o FROM next_turn UNION ALL SELECT 15, s, o FROM follows")
+def stream_closure(spark, sf_dir):
+    """next_turn arrives in three micro-batches; each extends the closure by what its facts add."""
+    import uuid
+
+    kb = knowledge_base(spark, sf_dir, ("follows",))
+    at = f"{shared_dir(spark).rstrip('/')}/facts-stream-{uuid.uuid4().hex}"
+    for i in range(3):
+        kb.facts.where(F.col("s") % 3 == i).coalesce(1).write.mode("append").parquet(f"{at}/in")
+    source = spark.readStream.schema(kb.facts.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    stream = ClosureStream(kb, f"{at}/closure")
+    stream.start(source, f"{at}/state").awaitTermination()
+    return stream.snapshot().select("pred", "s", "o")

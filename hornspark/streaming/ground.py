@@ -42,3 +42,47 @@ def extend_closure(kb: KnowledgeBase, known: DataFrame, new_facts: DataFrame, de
         known, delta = known.unionByName(rows), rows
         found = found.unionByName(rows.withColumn("step", F.lit(step)))
     return found
+
+
+class ClosureStream:
+    """A closure that grows with a stream of facts, in numbered parts below a shared ``folder``.
+
+    Part n has the new facts of micro-batch n and what follows from them and the parts before; it
+    counts once it is committed, which is the last thing that a batch does. A batch that is
+    repeated before that writes its part anew from the same earlier parts; one that is repeated
+    later finds its commit and changes nothing. So each fact is worked on once, whatever fails.
+    """
+
+    SCHEMA = "pred int, s bigint, o bigint, step int"
+
+    def __init__(self, kb: KnowledgeBase, folder: str):
+        self.kb, self.folder, self.spark = kb, folder.rstrip("/"), kb.spark
+        self._jvm = self.spark.sparkContext._jvm
+
+    def _path(self, *names: str):
+        at = self._jvm.org.apache.hadoop.fs.Path("/".join([self.folder, *names]))
+        return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def committed(self) -> list[int]:
+        """Numbers of the batches that count."""
+        at, fs = self._path("commits")
+        return sorted(int(f.getPath().getName()) for f in fs.listStatus(at)) if fs.exists(at) else []
+
+    def snapshot(self, number: int | None = None) -> DataFrame:
+        """Facts and derived atoms (pred, s, o, step; -1 for facts) of the committed parts, up to batch ``number``."""
+        parts = [f"{self.folder}/part={n}" for n in self.committed() if number is None or n <= number]
+        return self.spark.read.schema(self.SCHEMA).parquet(*parts) if parts else self.spark.createDataFrame([], self.SCHEMA)
+
+    def batch(self, rows: DataFrame, number: int) -> None:
+        """Takes in the facts (pred, s, o) of a micro-batch."""
+        if number in self.committed():
+            return
+        clean = rows.select(F.col("pred").cast("int").alias("pred"), F.col("s").cast("bigint").alias("s"), F.col("o").cast("bigint").alias("o")).dropna()
+        new = extend_closure(self.kb, self.snapshot(number - 1), clean)
+        new.select(*KEY, F.col("step").cast("int").alias("step")).write.mode("overwrite").parquet(f"{self.folder}/part={number}")
+        at, fs = self._path("commits", str(number))
+        fs.create(at, True).close()
+
+    def start(self, facts: DataFrame, checkpoint: str) -> StreamingQuery:
+        """Takes in all facts that a stream has by now, then ends; the next start goes on from there."""
+        return facts.writeStream.foreachBatch(self.batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
