@@ -15,8 +15,9 @@ from hornspark.operators import analysis, backward, constraints, doubling, enume
 from hornspark.operators.backward import Options, ground_queries
 from hornspark.plans.kb import KnowledgeBase
 from hornspark.plans.materialize import materialize, shared_dir
-from hornspark.plans.rules import parse_rule, reachable, encode_rule, rule_table
+from hornspark.plans.rules import encode_rule, local_frame, parse_rule, reachable, rule_table
 from hornspark.plans.spec import Engine
+from hornspark.plans.statistics import join_order
 from hornspark.sources.tables import PREDICATES as P
 from hornspark.sources.tables import TURNS, domains, entity, facts, knowledge_base, rules, turn
 from hornspark.sources.text import Dataset, parse_triples, write_depths
@@ -122,11 +123,30 @@ def facts_by_predicate(spark, sf_dir):
 
 
 @register("fan_out", """, f1 AS (SELECT pred, s, count(*) AS n FROM facts GROUP BY pred, s), f2 AS (SELECT pred, o, count(*) AS n FROM facts GROUP BY pred, o)
-SELECT a.pred, a.most_objects, b.most_subjects FROM (SELECT pred, max(n) AS most_objects FROM f1 GROUP BY pred) a JOIN (SELECT pred, max(n) AS most_subjects FROM f2 GROUP BY pred) b USING (pred)""")
+SELECT a.pred, a.most_objects, b.most_subjects, 2 AS most_rules, 3 AS most_body_atoms FROM (SELECT pred, max(n) AS most_objects FROM f1 GROUP BY pred) a JOIN (SELECT pred, max(n) AS most_subjects FROM f2 GROUP BY pred) b USING (pred)""")
 def fan_out(spark, sf_dir):
     return knowledge_base(spark, sf_dir).fan_out()
 
 
+@register("join_orders", """, size AS (SELECT pred, count(*) AS n, count(DISTINCT s) AS ns, count(DISTINCT o) AS no FROM facts GROUP BY pred),
+link(rule_id, p, q) AS (VALUES (1, 1, 3), (2, 2, 3), (3, 4, 5), (4, 4, 6)),
+cost AS (SELECT rule_id, a.n + a.n * b.n / greatest(a.no, b.ns) AS forwards, b.n + a.n * b.n / greatest(a.no, b.ns) AS backwards FROM link JOIN size a ON a.pred = p JOIN size b ON b.pred = q)
+SELECT rule_id, CASE WHEN forwards <= backwards THEN '0,1' ELSE '1,0' END AS joins, round(least(forwards, backwards), 3) AS n_rows FROM cost
+UNION ALL SELECT 8, '0,1', round(n + n * n / no, 3) FROM size WHERE pred = 3""")
+def join_orders(spark, sf_dir):
+    """The order in which statistics join the bodies of rules over facts, and the rows that it expects."""
+    kb = knowledge_base(spark, sf_dir, ("in_region_of", "bought", "bought_from", "same_region")).with_statistics()
+    rows = [(r.rule_id, *join_order(r, kb.statistics)) for r in kb.rules]
+    return local_frame(spark, [(i, ",".join(map(str, order)), round(n, 3)) for i, order, n in rows], "rule_id int, joins string, n_rows double")
+
+
+@register("fc_statistics", "SELECT pred, s, o, step FROM derived WHERE pred IN (11, 12, 13, 14, 16)")
+def fc_statistics(spark, sf_dir):
+    """A closure whose joins follow the statistics."""
+    kb = knowledge_base(spark, sf_dir, ("in_region_of", "bought", "bought_from", "local_buy", "same_region")).with_statistics()
+    return forward.forward_chain(kb).select("pred", "s", "o", "step")
+
+
 @register("fact_lookup_bb", f"""SELECT DISTINCT f.s AS fs, f.o AS fo FROM (SELECT {2 * E} + l_suppkey AS s, {6 * E} + l_partkey + 1 AS o FROM lineitem) g JOIN supplies f ON f.s = g.s AND f.o = g.o""")
 def fact_lookup_bb(spark, sf_dir):
     line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(entity("supplier", "l_suppkey").alias("x"), (entity("part", "l_partkey") + 1).alias("y")).distinct()
@@ -935,6 +955,15 @@ def canonical_sets(spark, sf_dir):
     return one.unionByName(other).select(canonical_set(F.col("goals")).alias("goals")).distinct().select(show(F.col("goals")).alias("goals"))
 
 
+@register("canonical_symmetric", f"SELECT DISTINCT {sql_atom(4, 's', '-1')} || ';' || {sql_atom(4, 's', '-2')} || ';' || {sql_atom(5, '-1', '-3')} || ';' || {sql_atom(5, '-2', '-4')} AS goals FROM c_nation")
+def canonical_symmetric(spark, sf_dir):
+    """Two orders with a part each: atoms that are alike but for variables, in two orders and namings, are one state."""
+    c = customers(spark, sf_dir)
+    forms = [[(4, "c", -5), (4, "c", -2), (5, -2, -9), (5, -5, -1)], [(5, -3, -4), (4, "c", -3), (5, -1, -2), (4, "c", -1)]]
+    own = [c.select(F.array(*[atom(F.lit(p), F.col(a) if a == "c" else F.lit(a), F.lit(b)) for p, a, b in form]).alias("goals")) for form in forms]
+    return own[0].unionByName(own[1]).select(canonical_set(F.col("goals")).alias("goals")).distinct().select(show(F.col("goals")).alias("goals"))
+
+
 @register("sample_counts", SUPPLIER_SQL + " SELECT qid, least(count(*), 2) AS n FROM proof GROUP BY qid")
 def sample_counts(spark, sf_dir):
     """A seeded sample of two groundings of each query."""

@@ -14,6 +14,7 @@ from hornspark.operators.joins import body_of, chain, head_of, value
 from hornspark.plans.kb import KnowledgeBase
 from hornspark.plans.materialize import Materialized, materialize
 from hornspark.plans.rules import by_shape, shape_table
+from hornspark.plans.statistics import join_order
 
 KEY = ["pred", "s", "o"]
 #: Rounds after which the atoms found so far are written out as one table, so that plans stay short.
@@ -30,18 +31,21 @@ def apply_rules(kb: KnowledgeBase, known: DataFrame, delta: DataFrame | None = N
 
     ``fresh``: the predicates of ``delta``, if they are known; rules that can't meet them are
     left out of the plan. Each body position reads only its rules' predicates. With ``witness``
-    each head has the least (rule_id, body) that gives it, as column ``w``.
+    each head has the least (rule_id, body) that gives it, as column ``w``. Rules of one shape
+    share a plan; if the knowledge base has statistics, those of one shape and join order do.
     """
     parts = []
     for shape, group in by_shape(kb.rules).items():
         for k in range(len(shape.body)) if delta is not None else [None]:
             some = [x for x in group if k is None or fresh is None or x[0].body[k].pred in fresh]
-            if not some:
-                continue
-            rules = shape_table(kb.spark, shape, some, kb.heads)
-            sources = [only(delta if j == k else known, {r.body[j].pred for r, _ in some}) for j in range(len(shape.body))]
-            own = [F.struct("rule_id", body_of(shape).alias("body")).alias("w")] if witness else []
-            parts.append(chain(rules, shape, sources, shape.order(k), semi=not witness).select(*head_of(shape), *own))
+            orders: dict[tuple[int, ...], list] = {}
+            for x in some:
+                orders.setdefault(tuple(shape.order(k) if kb.statistics is None else join_order(x[0], kb.statistics, k)[0]), []).append(x)
+            for order, same in orders.items():
+                rules = shape_table(kb.spark, shape, same, kb.heads)
+                sources = [only(delta if j == k else known, {r.body[j].pred for r, _ in same}) for j in range(len(shape.body))]
+                own = [F.struct("rule_id", body_of(shape).alias("body")).alias("w")] if witness else []
+                parts.append(chain(rules, shape, sources, list(order), semi=not witness).select(*head_of(shape), *own))
     if not parts:
         return known.select(*KEY, *([F.lit(None).cast(f"struct<rule_id:int,body:array<{ATOM}>>").alias("w")] if witness else [])).limit(0)
     found = reduce(DataFrame.unionByName, parts)

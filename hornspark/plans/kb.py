@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hornspark.plans.rules import Rule, reachable, rule_table
+from hornspark.plans.statistics import Statistics
 
 
 @dataclass(frozen=True)
@@ -18,6 +20,7 @@ class KnowledgeBase:
     rules: list[Rule]
     predicates: dict[str, int] = field(default_factory=dict)
     closure: DataFrame | None = None
+    statistics: Statistics | None = None
 
     @staticmethod
     def of(facts: DataFrame, rules: list[Rule], predicates: dict[str, int] | None = None) -> KnowledgeBase:
@@ -57,8 +60,18 @@ class KnowledgeBase:
     def entities(self) -> DataFrame:
         return self.facts.select(F.explode(F.array("s", "o")).alias("entity")).distinct()
 
+    def with_statistics(self) -> KnowledgeBase:
+        """A knowledge base whose rules are joined in the order that the facts' sizes suggest."""
+        return replace(self, statistics=Statistics.of(self.facts))
+
+    @property
+    def most_rules(self) -> int:
+        """The most rules that one predicate heads."""
+        return max(Counter(r.head.pred for r in self.rules).values())
+
     def fan_out(self) -> DataFrame:
-        """The most facts that a predicate has for one subject, and for one object."""
+        """The most facts that a predicate has for one subject, and for one object; of the program the most
+        rules of one head and the most body atoms of one rule, the same in each row."""
         by_s = self.facts.groupBy("pred", "s").count().groupBy("pred").agg(F.max("count").alias("most_objects"))
         by_o = self.facts.groupBy("pred", "o").count().groupBy("pred").agg(F.max("count").alias("most_subjects"))
-        return by_s.join(by_o, "pred")
+        return by_s.join(by_o, "pred").withColumns({"most_rules": F.lit(self.most_rules), "most_body_atoms": F.lit(self.most_body_atoms)})
