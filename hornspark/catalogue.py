@@ -20,7 +20,7 @@ from hornspark.plans.spec import Engine
 from hornspark.plans.statistics import join_order
 from hornspark.sources.tables import PREDICATES as P
 from hornspark.sources.tables import TURNS, domains, entity, facts, knowledge_base, rules, turn
-from hornspark.sources.text import Dataset, parse_triples, write_depths
+from hornspark.sources.text import Dataset, parse_triples, read_domains, write_depths
 from hornspark.streaming.ground import ClosureStream, extend_closure, ground_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,15 +178,36 @@ def fact_membership(spark, sf_dir):
     return lookups.contains(rows, facts(spark, sf_dir, ("c_nation",))).select("c_custkey", "known")
 
 
-@register("rule_lookup", "SELECT * FROM (VALUES (11, 1, 2), (11, 2, 2), (12, 3, 2), (13, 4, 2), (14, 5, 3), (15, 6, 1), (15, 7, 2), (16, 8, 2), (17, 9, 1), (18, 10, 1)) t(pred, rule_id, n_body)")
+def mixed_goals(spark, sf_dir):
+    """Goals of three predicates: bought_from(c, V), local_buy(V, s) and follows(x, V), one for each customer, supplier and conversation."""
+    c = q(customers(spark, sf_dir), P["bought_from"], F.col("c"), var(1), "c_custkey")
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    return c.unionByName(q(s.select("s_suppkey", entity("supplier", "s_suppkey").alias("x")), P["local_buy"], var(1), F.col("x"), "s_suppkey")).unionByName(first_turns(spark, sf_dir))
+
+
+MIXED_SQL = "goals AS (SELECT 13 AS pred, c_custkey AS qid FROM customer UNION ALL SELECT 14, s_suppkey FROM supplier UNION ALL SELECT DISTINCT 15, conv_id FROM conversations)"
+
+
+@register("rule_lookup", f", {MIXED_SQL} SELECT pred, qid, unnest(CASE pred WHEN 13 THEN [4] WHEN 14 THEN [5] ELSE [6, 7] END) AS rule_id FROM goals")
 def rule_lookup(spark, sf_dir):
-    goals = spark.createDataFrame([(p,) for p in sorted(P.values())], "pred int")
-    return lookups.rules_for(goals, rule_table(spark, rules())).select("pred", "rule_id", F.size("body").alias("n_body"))
+    """Each goal with the rules whose head has its predicate."""
+    return lookups.rules_for(mixed_goals(spark, sf_dir), rule_table(spark, rules())).select("pred", "qid", "rule_id")
 
 
-@register("reachable_rules", "SELECT * FROM (VALUES (4), (5)) t(rule_id)")
+@register("reachable_rules", "SELECT pred, count(*) AS n FROM derived WHERE pred IN (13, 14, 15) GROUP BY pred")
 def reachable_rules(spark, sf_dir):
-    return rule_table(spark, reachable(rules(), {P["local_buy"]})).select("rule_id")
+    """The closure by those rules only that a table's goals can reach."""
+    kb = knowledge_base(spark, sf_dir)
+    wanted = {p for p, _, _ in lookups.kinds(mixed_goals(spark, sf_dir))}
+    return forward.forward_chain(kb.relevant_to(wanted)).groupBy("pred").agg(F.count("*").alias("n"))
+
+
+@register("fc_repeated_variable", "SELECT 21 AS pred, s, o, 1 AS step FROM in_region UNION ALL SELECT 16, s, o, 0 FROM same_region")
+def fc_repeated_variable(spark, sf_dir):
+    """hub(N, R) for what is in its own region: a body atom with one variable twice."""
+    names = P | {"hub": 21}
+    program = [*rules(("same_region",)), encode_rule(parse_rule("hub(N,R) :- same_region(N,N), in_region(N,R)", "x"), 30, names, {})]
+    return forward.forward_chain(KnowledgeBase(facts(spark, sf_dir, ("in_region",)), program, names)).select("pred", "s", "o", "step")
 
 
 # forward chaining
@@ -452,6 +473,45 @@ def cap_batch(spark, sf_dir):
     return ground_queries(kb, queries, Options(depth=1, most_frontier=25))[1].select("qid")
 
 
+@register("cap_states", "SELECT s, o FROM (SELECT s, o, row_number() OVER (PARTITION BY s ORDER BY o) AS r FROM placed) WHERE r <= 3")
+def cap_states(spark, sf_dir):
+    """bought_from(c, V) after two steps, of whose states each query keeps three: those of the first orders."""
+    kb = knowledge_base(spark, sf_dir, ("bought_from",))
+    left = ground_queries(kb, q(customers(spark, sf_dir), P["bought_from"], F.col("c"), var(1), "c_custkey"), Options(depth=2, most_states=3))[1]
+    return left.select((F.col("qid") + E).alias("s"), F.element_at("goals", 1)["a0"].alias("o"))
+
+
+@register("cap_groundings", "SELECT s, o FROM (SELECT s, o, row_number() OVER (PARTITION BY s ORDER BY o) AS r FROM placed) WHERE r <= 2")
+def cap_groundings(spark, sf_dir):
+    """The first two groundings of each query."""
+    kb, queries = owned(spark, sf_dir)
+    return backward.answers(ground_queries(kb, queries, Options(depth=2, most_groundings=2))[0]).select("s", "o")
+
+
+@register("hook_states", "SELECT s, o FROM placed WHERE o % 2 = 0")
+def hook_states(spark, sf_dir):
+    """A state hook: of the states without goals those of even orders."""
+    kb, queries = owned(spark, sf_dir)
+    even = F.col("steps")[0]["head"]["a1"] % 2 == 0
+    return backward.answers(ground_queries(kb, queries, Options(depth=2, state_hooks=[lambda c: c.where((F.size("goals") > 0) | even)]))[0]).select("s", "o")
+
+
+@register("hook_groundings", f"SELECT s, max(o) AS o FROM placed GROUP BY s")
+def hook_groundings(spark, sf_dir):
+    """Grounding hooks of an engine, one after the other: the last order of each customer."""
+    kb, queries = owned(spark, sf_dir)
+    last = lambda g: g.groupBy("qid").agg(F.max(F.col("steps")[0]["head"]["a1"]).alias("o"))
+    engine = Engine("sld.d2", kb, grounding_hooks=[lambda g: g.where(F.size("steps") == 1), last])
+    return engine.ground(queries).select((F.col("qid") + E).alias("s"), "o")
+
+
+@register("sld_canonical", LOCAL_PROOF_SQL)
+def sld_canonical(spark, sf_dir):
+    """The proofs of sld_conjunction with variables renamed at each step, in goals and proofs together."""
+    kb = knowledge_base(spark, sf_dir, ("bought_from",), ("placed", "shipped_by", "s_nation"))
+    return export.evidence_flat(ground_queries(kb, odd_conjunction(spark, sf_dir), Options(depth=4, canonical=True))[0]).select("qid", "body")
+
+
 @register("sld_prune_facts", f"SELECT c.s - {E} AS qid, 1 AS depth FROM c_nation c")
 def sld_prune_facts(spark, sf_dir):
     """in_region_of(c, the region of c) for every customer: a rule, one fact, and a fact for free."""
@@ -593,6 +653,14 @@ def filter_prune_facts(spark, sf_dir):
     return filters.prune_facts(filters.numbered(placed.withColumn("goals", goals)), f).select("o", show(F.col("goals")).alias("goals"))
 
 
+@register("filter_true_pred", f"SELECT p.o, {sql_atom(6, 'p.o', '-1')} AS goals FROM placed p")
+def filter_true_pred(spark, sf_dir):
+    """Goals of a predicate that always holds vanish besides the facts."""
+    placed = facts(spark, sf_dir, ("placed",))
+    goals = F.array(atom(F.lit(P["placed"]), F.col("s"), F.col("o")), atom(F.lit(P["african"]), F.col("o"), F.col("o")), atom(F.lit(P["shipped_by"]), F.col("o"), var(1)))
+    return filters.prune_facts(filters.numbered(placed.select("s", "o", goals.alias("goals"))), placed, true_pred=P["african"]).select("o", show(F.col("goals")).alias("goals"))
+
+
 @register("filter_closure_step", f"SELECT s, o FROM in_region_of WHERE s < {2 * E}")
 def filter_closure_step(spark, sf_dir):
     kb = knowledge_base(spark, sf_dir, ("in_region_of",))
@@ -849,6 +917,29 @@ def score_attention(spark, sf_dir):
     return all_.join(found.select("gid", show(body_flat(F.col("steps"))).alias("body")), "gid").select("qid", "body", F.round("attention", 6).alias("attention"))
 
 
+#: A network with a hidden layer of three, whose weights go through a few values.
+HIDDEN = [[((7 * i + 3 * j) % 5 - 2) / 10 for j in range(3)] for i in range(128)]
+NETWORK = ([HIDDEN, [[1.0], [-2.0], [0.5]]], [[0.1, -0.2, 0.3], [0.05]])
+
+
+def network_sql(x: str) -> str:
+    unit = [f"greatest(0, list_dot_product({x}, {[row[j] for row in HIDDEN]}::DOUBLE[]) + {NETWORK[1][0][j]})" for j in range(3)]
+    return " + ".join(f"{NETWORK[0][1][j][0]} * {u}" for j, u in enumerate(unit)) + f" + {NETWORK[1][1][0]}"
+
+
+ATTEND_SQL = f""", m AS (SELECT count(*) AS n FROM embeddings), e AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+mean AS (SELECT qid, body, list_transform(list_zip(a.v || b.v, b.v || c.v), lambda p: (p[1] + p[2]) / 2) AS x FROM proof, m JOIN e a ON a.vec_id = s % {E} % n JOIN e b ON b.vec_id = ord % {E} % n JOIN e c ON c.vec_id = o % {E} % n),
+score AS MATERIALIZED (SELECT qid, body, {network_sql('x')} AS y FROM mean), soft AS (SELECT qid, body, y, exp(y - max(y) OVER (PARTITION BY qid)) AS z FROM score)"""
+
+
+@register("attention_top", SUPPLIER_SQL + ATTEND_SQL + f" SELECT qid, {PROOF_SQL}, round(a, 6) AS attention FROM (SELECT qid, body, z / sum(z) OVER (PARTITION BY qid) AS a, row_number() OVER (PARTITION BY qid ORDER BY round(y, 9) DESC, body) AS r FROM soft) WHERE r <= 2")
+def attention_top(spark, sf_dir):
+    """The two groundings of each query that a network with a hidden layer likes best, with their shares of the attention."""
+    found = supplier_groundings(spark, sf_dir).withColumn("gid", show(body_flat(F.col("steps"))))
+    top = scoring.attend(found, vectors(spark, sf_dir, knowledge_base(spark, sf_dir, ("bought_from",))), *NETWORK, 2, digits=9)
+    return top.select("qid", number_of(F.col("gid")).alias("proof"), F.round("attention", 6).alias("attention"))
+
+
 PLACED_VEC_SQL = f""", m AS (SELECT count(*) AS n FROM embeddings), vec AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"""
 
 
@@ -970,6 +1061,12 @@ def sample_counts(spark, sf_dir):
     return scoring.sample(supplier_groundings(spark, sf_dir), 2, seed=5).groupBy("qid").agg(F.count("*").alias("n"))
 
 
+@register("sample_rows", SUPPLIER_SQL + " SELECT qid, body FROM (SELECT qid, body, row_number() OVER (PARTITION BY qid ORDER BY md5('5|' || qid || '|' || body), body) AS r FROM proof) WHERE r <= 2")
+def sample_rows(spark, sf_dir):
+    """The very rows of a seeded sample, by the groundings' text."""
+    return scoring.sample(export.evidence_flat(supplier_groundings(spark, sf_dir)), 2, seed=5, key="body").select("qid", "body")
+
+
 @register("closure_extension", f"SELECT 8 AS pred, s, o FROM next_turn WHERE s % 2 = 1 UNION ALL SELECT 15, s, o FROM follows WHERE NOT (n = 0 AND s % 2 = 0)")
 def closure_extension(spark, sf_dir):
     """The closure over the steps from even turns, extended by those from odd ones."""
@@ -999,6 +1096,36 @@ def text_closure(spark, sf_dir):
     return d.decode(forward.forward_chain(d.kb)).select("atom")
 
 
+def dataset_folder(spark, sf_dir) -> str:
+    """A dataset as files: facts, rules, test queries (each customer with its region) and domains."""
+    import uuid
+
+    at = f"{shared_dir(spark).rstrip('/')}/dataset-{uuid.uuid4().hex}"
+    c, n = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "nation"))
+    customer_lines(spark, sf_dir).write.text(f"{at}/facts.txt")
+    spark.range(1).select(F.lit("r0:0.5:c_nation(X,W), in_region(W,Z) -> in_region_of(X,Z)").alias("value")).write.text(f"{at}/rules.txt")
+    asked = c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
+    asked.select(F.concat(F.lit("in_region_of(c"), "c_custkey", F.lit(",r"), "n_regionkey", F.lit(")")).alias("value")).write.text(f"{at}/test.txt")
+    region = n.select(F.concat(F.lit("region r"), "n_regionkey").alias("value")).distinct()
+    region.unionByName(n.select(F.concat(F.lit("nation n"), "n_nationkey").alias("value"))).write.text(f"{at}/domain2constants.txt")
+    return at
+
+
+@register("dataset_queries", "SELECT 'in_region_of(c' || c_custkey || ',r' || n_regionkey || ')' AS atom, true AS proved FROM customer JOIN nation ON n_nationkey = c_nationkey")
+def dataset_queries(spark, sf_dir):
+    """A folder read as a knowledge base, its test queries grounded, and these as text with whether they are proved."""
+    d = Dataset.read(spark, dataset_folder(spark, sf_dir))
+    asked = d.queries("test")
+    found = ground_queries(d.kb, asked, Options(depth=3))[0].select("qid").distinct().withColumn("proved", F.lit(True))
+    rows = asked.join(found, "qid", "left").select("pred", F.col("a0").alias("s"), F.col("a1").alias("o"), F.coalesce("proved", F.lit(False)).alias("proved"))
+    return d.decode(rows).select("atom", "proved")
+
+
+@register("dataset_domains", "SELECT 'nation' AS domain, 'n' || n_nationkey AS entity FROM nation UNION ALL SELECT DISTINCT 'region', 'r' || n_regionkey FROM nation")
+def dataset_domains(spark, sf_dir):
+    return read_domains(spark, f"{dataset_folder(spark, sf_dir)}/domain2constants.txt")
+
+
 @register("stream_ground", f"SELECT s - {E} AS qid, o FROM in_region_of WHERE s < {2 * E}")
 def stream_ground(spark, sf_dir):
     """Customers arrive as a stream of queries; each micro-batch is grounded and written."""

@@ -31,7 +31,8 @@ class Options:
     (no goals left) or ``grounded`` (only ground goals left; such states also go on).
     Caps are off; with one, states are kept in a total order and the rest is dropped:
     ``most_facts`` of a query's fact children at a depth, ``most_states`` of a query,
-    ``most_frontier`` of the whole batch, ``most_groundings`` of a query.
+    ``most_frontier`` of the whole batch, ``most_groundings`` of a query. ``canonical``: the
+    variables of a state are named by first appearance, in its goals, then in its proof.
 
     Hooks run in this order at each depth: ``rule_hooks`` on rule children (with their new body
     ``new``), ``fact_hooks`` on fact children (with the matched atom ``fact``), ``state_hooks``
@@ -55,10 +56,6 @@ class Options:
     state_hooks: list[Hook] = field(default_factory=list)
     step_hooks: list[Callable[[DataFrame, int], DataFrame]] = field(default_factory=list)
 
-    def __post_init__(self):
-        if self.canonical and self.keep_evidence:
-            raise ValueError("canonical names of variables need keep_evidence=False: proofs share the goals' variables")
-
 
 def initial(queries: DataFrame) -> DataFrame:
     """States from ``queries`` (qid, and either pred, a0, a1 or goals; maybe active, excluded, steps).
@@ -190,7 +187,7 @@ def ground_queries(kb: KnowledgeBase, queries: DataFrame, o: Options | None = No
         if o.prune_facts:
             children = filters.prune_facts(filters.numbered(children, "children"), kb.facts, excluded="excluded").drop("_n")
         if o.canonical:
-            children = children.withColumn("goals", canonical_variables(F.col("goals")))
+            children = canonical_states(children)
         if not o.keep_evidence:
             children = children.withColumn("steps", F.array().cast(f"array<{STEP}>"))
         children = children.dropDuplicates(["qid", "goals", "steps"])
@@ -217,6 +214,19 @@ def ground_queries(kb: KnowledgeBase, queries: DataFrame, o: Options | None = No
     return filters.numbered(best, "groundings").withColumnRenamed("_n", "gid"), states
 
 
+def canonical_states(states: DataFrame) -> DataFrame:
+    """States whose goals and proofs are renamed together, to -1, -2, ... by first appearance, goals first."""
+    atoms = F.concat("goals", F.flatten(F.transform("steps", lambda s: F.concat(F.array(s["head"]), s["body"]))))
+    names = F.array_distinct(F.filter(F.flatten(F.transform(atoms, lambda a: F.array(a["a0"], a["a1"]))), lambda t: t < 0))
+
+    def new(a: Column) -> Column:
+        term = lambda t: F.when(t < 0, -F.array_position(F.col("_names"), t)).otherwise(t)
+        return atom(a["pred"], term(a["a0"]), term(a["a1"]))
+
+    steps = F.transform("steps", lambda s: F.struct(s["depth"].alias("depth"), s["rule_id"].alias("rule_id"), new(s["head"]).alias("head"), F.transform(s["body"], new).alias("body")))
+    return states.withColumn("_names", names).withColumns({"goals": F.transform("goals", new), "steps": steps.cast(f"array<{STEP}>")}).drop("_names")
+
+
 def answers(groundings: DataFrame) -> DataFrame:
     """Ground answers (qid, pred, s, o) of groundings with at least one rule: the first head."""
     head = F.element_at("steps", 1)["head"]

@@ -157,9 +157,9 @@ class Neural:
         return scored.withColumn("score", F.when(F.col("_no"), 0.0).otherwise(F.col("score"))).drop("x", "_no")
 
 
-def attend(groundings: DataFrame, vectors: DataFrame, weights: list[np.ndarray], biases: list[np.ndarray], k: int) -> DataFrame:
+def attend(groundings: DataFrame, vectors: DataFrame, weights: list[np.ndarray], biases: list[np.ndarray], k: int, digits: int | None = None) -> DataFrame:
     """Each query's k best groundings (qid, gid) by a network over the mean of their body atoms' vectors, with
-    ``attention``, the softmax of its output over the query's groundings."""
+    ``attention``, the softmax of its output over the query's groundings. Scores alike to so many ``digits`` are ties, in the order of gid."""
     atoms = body_atoms(groundings).where("pred is not null")
     x = atom_features(atoms.select("pred", "s", "o").distinct(), vectors).where("x is not null")
     parts = atoms.join(x, ["pred", "s", "o"]).select("qid", "gid", F.posexplode("x").alias("i", "v")).groupBy("qid", "gid", "i").agg(F.avg("v").alias("v"))
@@ -168,12 +168,17 @@ def attend(groundings: DataFrame, vectors: DataFrame, weights: list[np.ndarray],
     most = scored.groupBy("qid").agg(F.max("score").alias("_m"))
     rows = scored.join(most, "qid").withColumn("_e", F.exp(F.col("score") - F.col("_m")))
     total = rows.groupBy("qid").agg(F.sum("_e").alias("_t"))
-    return top_k(rows.join(total, "qid").withColumn("attention", F.col("_e") / F.col("_t")).drop("_m", "_e", "_t"), k)
+    shares = rows.join(total, "qid").withColumn("attention", F.col("_e") / F.col("_t")).drop("_m", "_e", "_t")
+    return top_k(shares if digits is None else shares.withColumn("score", F.round("score", digits)), k)
 
 
-def sample(groundings: DataFrame, k: int, seed: int = 0, train: bool = True) -> DataFrame:
-    """k groundings of each query: in a seeded hash order for training, the first by number otherwise."""
-    order = [F.xxhash64(F.lit(seed), F.col("qid"), F.col("gid")), F.col("gid")] if train else [F.col("gid")]
+def sample(groundings: DataFrame, k: int, seed: int = 0, train: bool = True, key: str = "gid") -> DataFrame:
+    """k groundings of each query: for training in the order of the MD5 of seed, query and ``key``, otherwise the first by ``key``.
+
+    Numbers of groundings depend on how a run was dealt out; with a key that doesn't, such as
+    their text, the sample doesn't either.
+    """
+    order = [F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("qid").cast("string"), F.col(key).cast("string")).cast("binary")), F.col(key)] if train else [F.col(key)]
     return groundings.withColumn("_r", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).where(F.col("_r") <= k).drop("_r")
 
 

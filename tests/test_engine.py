@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from hornspark.functions.terms import atom, canonical_variables, show
+from hornspark.functions.terms import ATOM, STEP, atom, canonical_variables, show
 from hornspark.functions.unify import Unifier
 from hornspark.operators import backward, enumeration, export, filters, forward, lookups, scoring
 from hornspark.operators.backward import Options, ground_queries
@@ -386,6 +386,12 @@ def test_step_filter_modes(spark):
         scoring.top_k_steps(df, score, 2, "none")
 
 
-def test_canonical_names_need_states_without_proofs():
-    with pytest.raises(ValueError):
-        Options(canonical=True)
+def test_canonical_names_reach_goals_and_proofs(spark):
+    kb = base(spark, [(1, 1, 2), (1, 2, 3), (1, 2, 4)], ANCESTOR[1])
+    q = ask(spark, (2, 1, -7), (2, -3, -9))
+    shown = lambda df: sorted(tuple(r) for r in export.evidence_flat(df).select("qid", "rules", "body").collect())
+    plain, renamed = (ground_queries(kb, q, Options(depth=4, canonical=c)) for c in (False, True))
+    assert shown(plain[0]) == shown(renamed[0])
+    one = spark.createDataFrame([([(1, -8, 5), (2, -3, -8)], [(0, 0, (3, -3, -6), [(1, -6, 4)])])], f"goals array<{ATOM}>, steps array<{STEP}>")
+    r = backward.canonical_states(one).select(show(F.col("goals")).alias("g"), show(F.array(F.col("steps")[0]["head"])).alias("h"), show(F.col("steps")[0]["body"]).alias("b")).first()
+    assert tuple(r) == ("1(-1,5);2(-2,-1)", "3(-2,-3)", "1(-3,4)")
