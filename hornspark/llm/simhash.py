@@ -349,16 +349,16 @@ def bands_of(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(df: DataFrame, text_col: str = "text", keep: tuple = ("doc_id",), prefix: str = "") -> DataFrame:
-    """``keep`` columns, ``fp`` (digest of the set of shingles), ``n`` (its size), ``sim`` (its SimHash), the shard keys and SAME_COLUMNS."""
-    names = ("fp", "n", "sim", *BAND_COLUMNS, *SAME_COLUMNS)
+    """``keep`` columns, ``fp`` and ``fp2`` (128 bits of digest of the set of shingles), ``n`` (its size), ``sim`` (its SimHash), the shard keys and SAME_COLUMNS."""
+    names = ("fp", "fp2", "n", "sim", *BAND_COLUMNS, *SAME_COLUMNS)
 
     def f(texts):
         out = np.zeros((len(texts), len(names)), np.uint64)
         for i, t in enumerate(texts):
             u = shingle_set(t)
             if len(u):
-                out[i, 0], out[i, 1], out[i, 2] = xxhash.xxh64_intdigest(u.tobytes(), SEED), len(u), simhash_of(u.astype(">u8"))
-            out[i, 3:] = np.concatenate(bands_of(u))
+                out[i, :4] = xxhash.xxh64_intdigest(u.tobytes(), SEED), xxhash.xxh3_64_intdigest(u.tobytes(), SEED), len(u), simhash_of(u.astype(">u8"))
+            out[i, 4:] = np.concatenate(bands_of(u))
         return {c: pa.array(out[:, k].copy().view(np.int64)) for k, c in enumerate(names)}
 
     return map_texts(df, lambda: f, dict.fromkeys(names, "bigint"), text_col, list(keep), prefix=prefix)
@@ -441,8 +441,10 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def similar_links(nodes: DataFrame, texts: DataFrame, tree_nodes: int = TREE_NODES, write: Callable = materialize) -> DataFrame:
-    """Edges ``a``, ``b`` that connect the ``nodes`` (of ``sketches``, distinct by fp) whose ``texts`` (fp, text) are similar.
+def similar_links(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], tree_nodes: int = TREE_NODES, write: Callable = materialize) -> DataFrame:
+    """Edges ``a``, ``b`` that connect the ``nodes`` (of ``sketches``, distinct by fp) whose texts are similar.
+
+    ``texts`` gives (fp, text), one row for each fp of a table.
 
     The first round takes a spanning forest of the candidates of each shard, so a large group of
     near copies gives no square of pairs, and verifies its edges. The members of a tree in which
@@ -451,13 +453,10 @@ def similar_links(nodes: DataFrame, texts: DataFrame, tree_nodes: int = TREE_NOD
     members, whose only pair is known, not at all.
     """
 
-    def texts_of(ends: DataFrame) -> DataFrame:
-        return texts.join(ends.select("fp").distinct(), "fp", "left_semi").dropDuplicates(["fp"])
-
     keyed = nodes.select(F.explode(F.array(*BAND_COLUMNS)).alias("key"), "fp")
     tried = write(candidates(keyed, nodes, tree_nodes, write).distinct(), "tried")
     pairs = tried.select("a", "b").distinct()
-    ends = Materialized(texts_of(tried.select(F.explode(F.array("a", "b")).alias("fp"))), "texts")
+    ends = Materialized(texts(tried.select(F.explode(F.array("a", "b")).alias("fp")).distinct()), "texts")
     good = write(verified(pairs, ends.df), "verified")
     open_ = tried.join(good.withColumn("ok", F.lit(True)), ["a", "b"], "left").groupBy("key").agg(F.count("*").alias("n"), F.count("ok").alias("n_ok"))
     again = write(tried.join(open_.where("n > 1 and n_ok < n").select("key"), "key", "left_semi").select("key", F.explode(F.array("a", "b")).alias("fp")).distinct(), "again")
@@ -476,17 +475,43 @@ def similar_documents(df: DataFrame, text_col: str = "text", id_col: str = "doc_
     """As ``near_duplicates``, but links are pairs of documents whose sets of shingles of five
     words have a Jaccard similarity of 0.8 at least; ``fingerprint`` and ``root`` are of the digests of the sets.
 
-    Equal sets are one node. Candidates share a shard and have close SimHashes, found by the
+    Equal sets, by 128 bits of digest, are one node. Texts aren't written again but for those of candidates. Candidates share a shard and have close SimHashes, found by the
     shard's BK-trees; all are verified over the whole texts. A pair of similarity 0.8 is missed
     about once in some thousands, one of 0.85 or more hardly ever. ``write`` writes the
     intermediate tables; the result reads some of them.
     """
-    rows = write(sketches(df, text_col, (id_col, text_col)).withColumnsRenamed({id_col: "id", text_col: "text"}), "sketches")
-    nodes = write(rows.groupBy("fp").agg(F.min("id").alias("least"), *[F.first(c).alias(c) for c in ("n", "sim", *BAND_COLUMNS, *SAME_COLUMNS)]), "nodes")
-    edges = similar_links(nodes.drop("least"), rows.select("fp", F.col("text").cast("string").alias("text")), write=write)
+    text = F.col(f"`{text_col}`").cast("string")
+    marked = df.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.xxhash64(F.col(f"`{id_col}`"), text).alias("mark"))
+    rows, nodes = apart(write(sketches(marked, "text", ("id", "mark")), "sketches"), write)
+
+    def texts(ends: DataFrame) -> DataFrame:
+        """Texts by the id and the mark of one document of each set; repeated rows are one."""
+        wanted = nodes.join(ends, "fp", "left_semi").select("fp", F.col("one.mark").alias("mark"), F.col("one.id").alias("_id"))
+        return marked.join(wanted, "mark").where(F.col("id").eqNullSafe(F.col("_id"))).select("mark", "fp", "text").dropDuplicates(["mark", "fp"]).select("fp", "text")
+
+    edges = similar_links(nodes.drop("least", "one"), texts, write=write)
     return labelled(rows.select("id", "fp"), nodes.select("fp", "least"), edges, id_col, write)
 
 
+def apart(rows: DataFrame, write: Callable = materialize) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``sketches`` (with id and mark) and their nodes, one for each set: unlike sets never share an ``fp``.
+
+    Where sets of different ``fp2`` have one ``fp``, all but the first get another, made of both.
+    """
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        firsts = [F.first(c).alias(c) for c in ("n", "sim", *BAND_COLUMNS, *SAME_COLUMNS)]
+        return write(rows.groupBy("fp").agg(F.min("id").alias("least"), F.min(F.struct("id", "mark")).alias("one"), F.min("fp2").alias("lo"), F.max("fp2").alias("hi"), *firsts), "nodes")
+
+    nodes = grouped(rows)
+    clashes = nodes.where("lo <> hi").select("fp", "lo")
+    if not clashes.isEmpty():
+        other = F.when(F.col("fp2") != F.col("lo"), F.xxhash64("fp", "fp2")).otherwise(F.col("fp"))
+        rows = write(rows.join(clashes, "fp", "left").withColumn("fp", other).drop("lo"), "sketches")
+        nodes = grouped(rows)
+    return rows, nodes.drop("lo", "hi")
+
+
 def one_of_each(df: DataFrame, radius: int = 2, text_col: str = "text", id_col: str = "doc_id", similar: bool = False) -> DataFrame:
     """The rows of ``df`` that stand for their near-duplicate component: those with its smallest id.
 

@@ -445,7 +445,7 @@ def test_split_shards_give_the_same_groups(spark):
     ids = {r["fp"]: r["doc_id"] for r in rows.collect()}
     expected = least_of_similar(texts)
     for tree_nodes in (1 << 14, 3):
-        edges = simhash.similar_links(rows.drop("doc_id", "text"), rows.select("fp", "text"), tree_nodes)
+        edges = simhash.similar_links(rows.drop("doc_id", "text"), lambda ends: rows.select("fp", "text").join(ends, "fp", "left_semi"), tree_nodes)
         root = {r["node"]: r["root"] for r in components(edges).collect()}
         groups = defaultdict(set)
         for fp, i in ids.items():
@@ -453,6 +453,26 @@ def test_split_shards_give_the_same_groups(spark):
         assert all(len(g) == 1 for g in groups.values()) and len(groups) == len({expected[i] for i in ids.values()})
 
 
+def test_recall_of_similar_documents(spark):
+    """Every document whose id 20 divides against all: pairs of an exact Jaccard similarity of 0.8 are in one component."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = docs.collect()
+    sets = {r["doc_id"]: set(simhash.shingle_set(r["text"]).tolist()) for r in rows}
+    group = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs).collect()}
+    pairs = [(a, b) for a in sets if a % 20 == 0 and sets[a] for b in sets if a != b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9]
+    assert pairs and sum(group[a] == group[b] for a, b in pairs) >= 0.99 * len(pairs)
+
+
+def test_sets_that_share_half_of_their_digest_stay_apart(spark):
+    texts = ["one two three", "one two three", "four five six", "seven eight nine", None]
+    rows = simhash.sketches(spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "id long, text string, mark long"), keep=("id", "mark"))
+    clashing = rows.withColumn("fp", F.when(F.col("id") < 3, 7).otherwise(F.col("fp")).cast("bigint")).cache()
+    found, nodes = simhash.apart(clashing)
+    fp = {r["id"]: r["fp"] for r in found.collect()}
+    assert fp[0] == fp[1] and len(set(fp.values())) == 4 and 7 in (fp[0], fp[2])
+    assert {(r["least"], r["one"]["mark"]) for r in nodes.collect()} == {(0, 0), (2, 2), (3, 3), (4, 4)}
+
+
 def test_near_misses_are_verified_in_their_shards():
     """Texts just below the similarity are candidates but no links; the one link among them is found."""
     r = random.Random(3)
