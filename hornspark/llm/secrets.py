@@ -31,13 +31,16 @@ _CANDIDATE = re.compile(r"[A-Za-z0-9+/_~.-]{%d,}={0,2}" % SHORTEST)
 # fixed values: names of secrets
 _NAMES = "secret token password passwd pwd passphrase key auth credential credentials bearer basic".split()
 _CUED = "|".join(sorted((f(w) for w in _NAMES for f in (str.lower, str.title, str.upper)), reverse=True))
-#: Values after = or : in quotes, passwords in URLs, and values after a name with or without = or :.
+_SET = r"\s{0,4}(?::=|=>|[=:])\s{0,4}"
+#: Values after = or : in quotes, passwords in URLs, values after a name with or without = or :, and
+#: values with blanks in quotes after a name.
 _ASSIGNED = [
     re.compile(p.replace("%d", str(SHORTEST_ASSIGNED)))
     for p in (
         r"""[=:]\s{0,4}(?:"([^"\s]{%d,})"|'([^'\s]{%d,})')""",
-        r"""://[^\s/:@"']{0,64}:([^\s/@"']{%d,})@""",
-        rf"""(?:{_CUED})["']?(?:\s{{0,4}}(?::=|=>|[=:])\s{{0,4}}|\s)["']?([^\s"'<>]{{%d,}})""",
+        r"""://[^\s/:@"']*+:([^\s/@"']{%d,}+)@""",
+        rf"""(?:{_CUED})["']?(?:{_SET}|\s)["']?([^\s"'<>]{{%d,}})""",
+        rf"""(?:{_CUED})["']?{_SET}(?:"((?:[^"\\\r\n]|\\.){{%d,}}+)"|'((?:[^'\\\r\n]|\\.){{%d,}}+)')""",
     )
 ]
 _TRAILING = ".,;:)]}"
@@ -45,6 +48,8 @@ _WORDS = re.compile(r"[A-Za-z]+")
 # fixed values: cue words, common words of identifiers, token prefixes
 GOOD_CUES = frozenset("token secret key apikey api password passwd pwd auth bearer credential credentials private access authorization client signing webhook".split())
 BAD_CUES = frozenset("sha sha1 sha256 md5 commit hash checksum digest integrity uuid guid id version revision example sample placeholder dummy public fingerprint etag blob tree image file path url href class".split())
+PROMPTS = frozenset("enter please choose invalid wrong forgot forgotten required expired missing must should incorrect reset change changed your here failed optional unknown used type".split())
+FUNCTION_WORDS = frozenset("a an the and or for with that this from have not are is was were be been will would can could of to in on at by it its if as no your you we our they their what when which how than then".split())
 DICTIONARY = (
     "the and for with that this from have not are was were been will would there their what about which when make like time just know take people into year your good some could them other than then look only come over think also back after work first well even want because these give most "
     "user name data file path test example config server client http https www com org html json xml image images static assets content page index main app src lib module package version release build docker node python java script style error warning info debug default value type list map string number object array function class method public private return import export table column query update delete insert select create read write open close start stop service account payment order product customer address street country language english session request response header body"
@@ -75,7 +80,9 @@ def candidates(text: str) -> list[tuple[int, int]]:
 
     Runs of SHORTEST characters of one alphabet with a letter, but for plain words (all lower
     case, all upper case, or a title); and whatever is assigned to a name, in quotes or after a
-    cue word, or is the password of a URL, from SHORTEST_ASSIGNED characters on.
+    cue word, or is the password of a URL, from SHORTEST_ASSIGNED characters on. A value in quotes
+    after a cue word is one candidate to its closing quote, blanks included. Of candidates that
+    overlap the first one stays, of those with one start the longest.
     """
     found = []
     for pattern in _ASSIGNED:
@@ -86,7 +93,7 @@ def candidates(text: str) -> list[tuple[int, int]]:
             if hi - lo >= SHORTEST_ASSIGNED:
                 found.append((lo, hi))
     out: list[tuple[int, int]] = []
-    for lo, hi in sorted(found):
+    for lo, hi in sorted(found, key=lambda x: (x[0], -x[1])):
         if not out or lo >= out[-1][1]:
             out.append((lo, hi))
     at = 0
@@ -114,6 +121,7 @@ def features(text: str, lo: int, hi: int, path: str) -> list[float]:
     before, after = text[max(0, lo - 48) : lo], text[hi : hi + 24]
     left = [w.lower() for w in _WORDS.findall(before)][-4:]
     right = [w.lower() for w in _WORDS.findall(after)][:2]
+    inside = [w.lower() for w in _WORDS.findall(s)] if " " in s else []
     near = before.rstrip(" \"'`")[-1:]
     return [
         n,
@@ -141,6 +149,11 @@ def features(text: str, lo: int, hi: int, path: str) -> list[float]:
         "://" in before[-12:] or before.endswith(("/", "@", "#")),
         bool(_SAFE_PATH.search(path)),
         bool(_CODE_PATH.search(path)),
+        s.count(" "),
+        sum(w in FUNCTION_WORDS for w in inside) / max(1, len(inside)),
+        sum(w in PROMPTS or w in GOOD_CUES for w in inside),
+        " " in s and s[0].isupper(),
+        s[-1] in ".:?!",
     ]
 
 
@@ -184,13 +197,30 @@ class Maker:
             "-".join(r.choice(DICTIONARY) for _ in range(r.randint(4, 6))),
         ])
 
+    def phrase(self) -> str:
+        """Words drawn by chance, as a pass phrase has them."""
+        r = self.r
+        n = r.randint(3, 7)
+        made = ["".join(r.choice(["an", "er", "ou", "ti", "on", "re", "ka", "lo", "mi", "st"]) for _ in range(r.randint(2, 4))) for _ in range(n)]
+        words = [r.choice([m, m, w]) for m, w in zip(made, r.sample([w for w in DICTIONARY if w not in FUNCTION_WORDS], n), strict=True)]
+        words = [w.title() for w in words] if r.random() < 0.25 else words
+        return " ".join(words) + (r.choice([" ", ""]) + self.chars(string.digits, r.randint(1, 3)) if r.random() < 0.25 else "")
+
+    def prompt(self) -> str:
+        """A sentence about a secret, as forms and messages have it."""
+        r = self.r
+        first = r.choice([*sorted(PROMPTS), "the", "a", "this", "no", "at least", "use", "set", "see", "how to", "stored in"])
+        rest = [r.choice([r.choice(sorted(FUNCTION_WORDS)), r.choice(DICTIONARY), r.choice(sorted(PROMPTS)), r.choice(sorted(GOOD_CUES)), self.words(1)]) for _ in range(r.randint(1, 8))]
+        out = " ".join([first, *rest])
+        return (out[:1].upper() + out[1:] if r.random() < 0.6 else out) + r.choice(["", "", ".", ":", "?", "!", "..."])
+
     def finding(self) -> tuple[str, int, int, str, bool]:
         r = self.r
         hexes, mixed = "0123456789abcdef", string.ascii_letters + string.digits
         secret = r.random() < 0.5
         paths = ["config/prod.env", "deploy.yaml", "app/settings.py", "notes", "", "docs/readme.md", "index.html", "app/main.py", "feed"]
         if secret:
-            kind = r.randrange(8)
+            kind = r.randrange(9)
             s = [
                 lambda: self.chars(hexes, r.choice([32, 40, 40, 40, 48, 64])),
                 lambda: self.chars(mixed, r.choice([20, 24, 32, 40])),
@@ -200,19 +230,22 @@ class Maker:
                 self.password,
                 self.password,
                 lambda: self.chars(mixed, r.randint(10, 24)) if r.random() < 0.5 else self.password().replace("@", "_").replace("/", "_"),
+                self.phrase,
             ][kind]()
             s = s.upper() if kind == 0 and r.random() < 0.2 else s
             cue = r.choice(["token", "api_key", "secret", "password", "auth_token", "access key", "client_secret", "TOKEN", "Bearer", "key"])
             if kind == 2 and r.random() < 0.3:
                 cue = self.words(1)
-            if kind in (5, 6):
+            if kind in (5, 6, 8):
                 cue = r.choice(["password", "db_password", "PASSWORD", "passwd", "pwd", "secret", "passphrase", "admin_password"])
             before = cue + r.choice([' = "', ": ", "=", " ", ' := "', "='"] if kind < 5 else [' = "', ": ", "=", ' := "', "='", '": "'])
+            if kind == 8:
+                before = cue + r.choice([' = "', "='", '": "', ': "', '="'])
             if kind == 7:
                 before = r.choice(["postgres", "mysql", "amqp", "redis", "https", "mongodb"]) + "://" + r.choice(["admin", "root", "app", "user", ""]) + ":"
             path = r.choice(paths)
         else:
-            kind = r.randrange(12)
+            kind = r.randrange(13)
             camel = "".join(w.title() for w in self.words(4).split() if w.isascii())
             s = [
                 lambda: self.chars(hexes, r.choice([32, 40, 64])),
@@ -227,11 +260,15 @@ class Maker:
                 lambda: r.choice(["/", "-", "_", "."]).join(r.choice(DICTIONARY) for _ in range(r.randint(4, 6))),
                 lambda: r.choice([r.choice(DICTIONARY) * 2, r.choice(DICTIONARY) + "-" + r.choice(DICTIONARY), f"{r.randint(0, 9)}.{r.randint(0, 20)}.{r.randint(0, 20)}-beta", "#" + self.chars(hexes, 6), "os.environ", "required", "process.env." + self.chars(string.ascii_uppercase, 6), "${" + r.choice(DICTIONARY).upper() + "_KEY}", "********", "<redacted>", "undefined", "application/json", f"{r.randint(10, 99)}:{r.randint(10, 59)}:{r.randint(10, 59)}"]),
                 lambda: "".join(r.choice(["an", "the", "er", "ou", "ti", "on", "re", "ung"]) for _ in range(r.randint(3, 8))),
+                self.prompt,
             ][kind]()
             s = s if kind >= 10 or len(s) >= SHORTEST else s + "-" + self.chars(string.digits, SHORTEST)
             if kind in (0, 8):
                 cue, path = r.choice(["commit", "sha256", "md5", "checksum", "integrity", "etag", "hash", "blob", "revision"]), r.choice(["yarn.lock", "feed", "package-lock.json", "", "tests/data.txt"])
                 before = cue + r.choice([": ", " ", "=", ' = "', ":"])
+            elif kind == 12:
+                before = r.choice(["password", "token", "secret", "key", "auth", "passwd", "credentials", "passphrase"]) + r.choice([' = "', '": "', "='", ': "'])
+                path = r.choice([*paths, "locale/en.json"])
             elif kind == 10:
                 before = r.choice(["name", "password", "token", "color", "version", "type", "secret", "key", "title", "time"]) + r.choice([' = "', ": ", "=", '": "', "='"])
                 path = r.choice([*paths, "tests/test_x.py"])

@@ -312,6 +312,28 @@ def test_short_passwords_and_urls_are_found():
     assert found("the key thing is that tokens count and a secret ingredient matters") == []
 
 
+def test_pass_phrases_are_found_whole():
+    r, model = random.Random(4), secrets.train()
+    nouns = "correct horse battery staple velvet anchor pickle thunder marble copper lantern walrus cactus orbit pepper saddle canyon ribbon turtle magnet".split()
+    found = lambda t: [t[a:b] for (a, b), q in zip(*(x[0] for x in model([t], [""])), strict=True) if q >= 0.5]
+    right = 0
+    for _ in range(100):
+        x = " ".join(r.sample(nouns, r.randint(4, 6)))
+        right += found("set " + r.choice([f'password = "{x}"', f"passphrase: '{x}'", f'"secret": "{x}"']) + " here") == [x]
+    assert right >= 90
+    prompts = ["Please enter your password", "The token is invalid or has expired.", "Forgot your password?", "must be at least eight characters long", "your secret key goes here", "Choose a new password for the account"]
+    assert sum(found(f'"password": "{x}",') != [] for x in prompts) == 0
+    # quotes of the other kind and escaped ones do not end a value; a line does
+    assert secrets.candidates('password = "a \'b\' c \\" d"')[0] == (12, 24)
+    assert secrets.candidates('password = "open end\n') == []
+
+
+def test_the_user_of_a_url_may_be_long():
+    text = "see postgres://" + "u" * 300 + ":Xk29vQm1Lp7z@host/db"
+    assert [text[a:b] for a, b in secrets.candidates(text)][-1] == "Xk29vQm1Lp7z"
+    assert secrets.candidates("://a:" * 40_000) == []  # linear in unmatched beginnings
+
+
 def test_the_forest_is_the_mean_of_its_trees():
     model, maker = secrets.train(), secrets.Maker(8)
     rows = []
