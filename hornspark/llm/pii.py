@@ -25,8 +25,10 @@ BASE = ("email", "ip", "card", "phone")
 ADDED = ("obfuscated_email", "local_phone", "iban", "national_id")
 KINDS = BASE + ADDED
 #: Tokens of digit groups and their separators that an entity may have, and characters around a place that
-#: may hold one: more than any entity has on one side of it, with its cue words.
+#: may hold one: more than any such entity has on one side of it, with its cue words.
 LONGEST, REACH = 14, 120
+#: Tokens that an address in words may have (a token is a word of any length or a sign).
+LONGEST_WRITTEN = 64
 
 # fixed values of the contract
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -80,15 +82,18 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return [(BASE[k], lo, hi) for lo, k, hi in sorted(out)]
 
 
-_TRIGGER = re.compile(r"[0-9]{2,}|[\[({ ][dD][oO][tT][\])} ]")
+_TRIGGER = re.compile(r"[0-9]{2,}")
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 _CUES = {
     "phone": frozenset("tel phone call fax mobile cell telephone telefon handy rufnummer teléfono telefono móvil llame téléphone portable appelez whatsapp sms ring dial".split()),
     "iban": frozenset("iban account konto kontonummer cuenta compte bank transfer überweisung bic wire".split()),
     "id": frozenset("ssn social security id passport tax national nif dni steuer identification nss insee".split()),
     "mail": frozenset("mail email e contact write reach kontakt contacto courriel correo".split()),
+    "number": frozenset("order invoice ticket ref reference case batch serial part item tracking parcel article bestellung rechnung pedido factura facture commande".split()),
 }
-_OBFUSCATED = re.compile(r"(?<![\w.+-])[\w.+-]{1,64} ?(?:[\[({] ?at ?[\])}]| at ) ?[\w-]{1,64}(?: ?(?:[\[({] ?dot ?[\])}]| dot ) ?[\w-]{1,64}){1,4}(?![\w-])", re.I)
+_AT = re.compile(r" ?[\[({] ?at ?[\])}] ?| at |@", re.I)
+_DOMAIN_IN_WORDS = re.compile(r"[\w-]++(?:(?: ?[\[({] ?dot ?[\])}] ?| dot |\.)[\w-]++)+", re.I)
+_LOCAL_IN_WORDS = re.compile(r"[\w.+-]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?")
 _DATE = re.compile(r"[0-9]{1,4}[-./][0-9]{1,2}[-./][0-9]{1,4}(?: [0-9]{1,2}:?[0-9]{0,2})?")
 _GROUPS = re.compile(r"[0-9]+")
@@ -99,6 +104,26 @@ def iban_ok(s: str) -> bool:
     return bool(15 <= len(s) <= 34 and s.isascii() and s.isalnum()) and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def written_addresses(text: str, start: int = 0, end: int | None = None) -> list[tuple[int, int]]:
+    """Spans that may be an address with its "at" or a "dot" in words, by start.
+
+    Sought from the "at" to both sides, as pattern addresses are; parts have any length.
+    """
+    out = []
+    end = len(text) if end is None else end
+    done = start
+    for at in _AT.finditer(text, start, end):
+        if at.start() < done or not (m := _DOMAIN_IN_WORDS.match(text, at.end(), end)) or at[0] == "@" and "dot" not in m[0].lower():
+            continue
+        lo = at.start()
+        while lo > done and _LOCAL_IN_WORDS.match(text, lo - 1):
+            lo -= 1
+        if lo < at.start():
+            out.append((lo, m.end()))
+            done = m.end()
+    return out
+
+
 @dataclass
 class Island:
     """Tokens (start, end, pattern kind or None) of a stretch of text."""
@@ -111,7 +136,7 @@ class Island:
 
         They are parts of a run of digit groups that stand one character apart (7 to 13
         digits in LONGEST tokens at most, anywhere in a run of any length), IBAN-like runs,
-        and addresses in words.
+        and addresses in words of LONGEST_WRITTEN tokens at most.
         """
         out = []
         text, tokens = self.text, self.tokens
@@ -139,11 +164,11 @@ class Island:
         if tokens:
             first = {t[0]: k for k, t in enumerate(tokens)}
             last = {t[1]: k + 1 for k, t in enumerate(tokens)}
-            for pattern in (_OBFUSCATED, _IBAN):
-                for m in pattern.finditer(text, tokens[0][0], tokens[-1][1]):
-                    lo, hi = first.get(m.start(), -1), last.get(m.end(), -1)
-                    if 0 <= lo < hi and not any(t[2] for t in tokens[lo:hi]) and hi - lo <= 2 * LONGEST:
-                        out.append((lo, hi))
+            lo, hi = tokens[0][0], tokens[-1][1]
+            for a, b in written_addresses(text, lo, hi) + [m.span() for m in _IBAN.finditer(text, lo, hi)]:
+                lo, hi = first.get(a, -1), last.get(b, -1)
+                if 0 <= lo < hi <= lo + LONGEST_WRITTEN and not any(t[2] for t in tokens[lo:hi]):
+                    out.append((lo, hi))
         return sorted(set(out))
 
     def features(self, i: int, j: int) -> list[int]:
@@ -153,6 +178,7 @@ class Island:
         n = len(_digits(s))
         groups = [len(g) for g in _GROUPS.findall(s)]
         letters = sum(c.isalpha() for c in s)
+        written = letters and _AT.search(s)
         left = [self.text[a:b].lower() for a, b, _ in self.tokens[max(0, i - 4) : i]]
         before, after = self.text[lo - 1 : lo], self.text[hi : hi + 1]
         beyond = self.text[hi + 1 : hi + 2]
@@ -172,7 +198,8 @@ class Island:
             groups == [3, 3, 4],
             groups == [3, 2, 4],
             len(groups) >= 4 and all(g == 2 for g in groups[1:]) and groups[0] <= 3,
-            len(groups) == 2 or len(groups) == 3 and groups != [3, 3, 4] and groups != [3, 2, 4],
+            len(groups) == 2,
+            len(groups) == 3 and groups != [3, 3, 4] and groups != [3, 2, 4],
             s.count("-") == len(groups) - 1 > 0,
             s.count(".") == len(groups) - 1 > 0,
             s.count(" ") == len(groups) - 1 > 0,
@@ -180,7 +207,9 @@ class Island:
             ("(" in s) != (")" in s),
             "/" in s or ":" in s or "," in s,
             "\n" in s or "  " in s,
-            bool(_OBFUSCATED.fullmatch(s)),
+            bool(written),
+            bool(written) and written[0] == " at ",
+            bool(written) and "dot" not in s[written.end() :].lower(),
             bool(_IBAN.fullmatch(s)) and iban_ok(s),
             bool(_IBAN.fullmatch(s)) and not iban_ok(s),
             bool(_DATE.fullmatch(s)),
@@ -193,11 +222,14 @@ class Island:
             s.startswith("0"),
             before.isspace() and self.text[max(0, lo - 2) : lo - 1].isdigit(),
             after.isspace() and beyond.isdigit(),
+            len(groups) == 1 and any(w in _CUES["id"] for w in left),
+            any(w in _CUES["number"] for w in left),
+            bool(written) and any(w in _CUES["mail"] for w in left),
         ]
         return [k for k, f in enumerate(flags) if f]
 
 
-FEATURES = 36
+FEATURES = 42
 
 
 @dataclass
@@ -243,7 +275,7 @@ class Model:
 
 def islands(text: str, base: list[tuple[str, int, int]]) -> list[Island]:
     """Stretches of text around each place that may hold an entity of the field."""
-    at = [m.span() for m in _TRIGGER.finditer(text)]
+    at = sorted([m.span() for m in _TRIGGER.finditer(text)] + written_addresses(text))
     if not at:
         return []
     covered, at_kept, k = sorted((lo, hi, kind) for kind, lo, hi in base), [], 0
@@ -301,25 +333,28 @@ class Maker:
     def entity(self, kind: str) -> str:
         r, d = self.r, self.d
         if kind == "obfuscated_email":
-            at, dot = r.choice([(" at ", " dot "), (" [at] ", " [dot] "), ("(at)", "(dot)"), ("[at]", "[dot]"), (" (at) ", " (dot) ")])
-            return f"{self.words(1)}{r.choice(['', '.x', d(2)])}{at}{self.words(1)}{dot}{r.choice(['com', 'org', 'de', 'net'])}"
+            at, dot = r.choice([(" at ", " dot "), (" [at] ", " [dot] "), ("(at)", "(dot)"), ("[at]", "[dot]"), (" (at) ", " (dot) "), (" at ", "."), ("(at)", "."), (" [at] ", "."), ("@", " dot "), ("@", "[dot]")])
+            local = "".join(self.words(1) for _ in range(8)) if r.random() < 0.1 else self.words(1)
+            return f"{local}{r.choice(['', '.x', d(2)])}{at}{self.words(1)}{dot}{r.choice(['com', 'org', 'de', 'net'])}"
         if kind == "local_phone":
             a, b, c = str(r.randint(2, 9)) + d(2), str(r.randint(2, 9)) + d(2), d(4)
-            return r.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"0{r.randint(1, 7)} {d(2)} {d(2)} {d(2)} {d(2)}", f"0{d(2)} {d(7)}", f"0{d(3)}-{d(6)}"])
+            return r.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"0{r.randint(1, 7)} {d(2)} {d(2)} {d(2)} {d(2)}", f"0{d(2)} {d(7)}", f"0{d(3)}-{d(6)}", f"0{d(2)} {d(4)} {d(4)}", f"0{d(3)} {d(3)} {d(4)}"])
         if kind == "iban":
             body = d(18)
             land = r.choice(["DE", "FR", "ES", "NL"])
             check = 98 - int(body + "".join(str(int(c, 36)) for c in land) + "00") % 97
             s = f"{land}{check:02d}{body}"
             return s if r.random() < 0.5 else " ".join(s[i : i + 4] for i in range(0, len(s), 4))
-        return f"{r.choice('12345678')}{d(2)}-{r.choice('123456789')}{d(1)}-{r.choice('123456789')}{d(3)}"
+        gap = r.choice(["-", "-", "-", " ", ""])
+        return f"{r.choice('12345678')}{d(2)}{gap}{r.choice('123456789')}{d(1)}{gap}{r.choice('123456789')}{d(3)}"
 
     def other(self) -> str:
         r, d = self.r, self.d
         return r.choice([
             d(16), d(8), d(10), f"20{d(2)}-0{r.randint(1, 9)}-{r.randint(10, 28)}", f"{d(2)}.{d(2)}.19{d(2)}", f"{d(3)}.{d(3)}", f"token = \"{''.join(r.choice('0123456789abcdef') for _ in range(40))}\"",
             f"{d(1)},{d(3)},{d(3)}", f"{d(4)}-{d(4)}-{d(4)}-{d(4)}", f"ISBN 978-{d(1)}-{d(3)}-{d(5)}-{d(1)}", f"{d(2)}:{d(2)}:{d(2)}", f"v{d(1)}.{d(2)}.{d(4)}", f"{d(5)} {d(4)} {d(3)}", f"#{d(9)}", f"{d(4)}/{d(4)}", f"DE{d(20)}",
-            f"{self.words(1)} at {self.words(1)}", f"{self.words(2)} dot {self.words(1)}", f"{d(3)} {d(3)} {d(2)} {d(5)}", f"19{d(2)}-20{d(2)}", f"{d(3)}-{d(3)}-{d(3)}-{d(3)}", f"{d(7)}", f"EUR {d(4)},{d(2)}", f"{d(3)}-{d(2)}-{d(4)}-{d(2)}", f"0x{d(12)}", f"{d(2)} {d(2)} {d(2)}",
+            f"{self.words(1)} at {self.words(1)}", f"{self.words(1)} at {self.words(1)}.{r.choice(['com', 'org', 'de', 'net'])}", f"{r.choice(['see', 'look', 'available', 'visit', 'found'])} at {self.words(1)}.{r.choice(['com', 'org', 'de', 'net'])}",
+            f"{r.choice(sorted(_CUES['number']))} {d(3)}-{d(2)}-{d(5)}", f"{r.choice(sorted(_CUES['number']))} {d(9)}", f"{d(3)}-{d(2)}-{d(5)}", f"{d(2)}-{d(4)}-{d(4)}", f"{d(9)}", f"{d(4)}-{d(3)}-{d(3)}", f"{self.words(2)} dot {self.words(1)}", f"{d(3)} {d(3)} {d(2)} {d(5)}", f"19{d(2)}-20{d(2)}", f"{d(3)}-{d(3)}-{d(3)}-{d(3)}", f"{d(7)}", f"EUR {d(4)},{d(2)}", f"{d(3)}-{d(2)}-{d(4)}-{d(2)}", f"0x{d(12)}", f"{d(2)} {d(2)} {d(2)}",
         ])
 
     def sentence(self) -> tuple[str, list]:
@@ -329,8 +364,10 @@ class Maker:
             if r.random() < 0.5:
                 kind = r.choice(ADDED)
                 cue = {"obfuscated_email": "mail", "local_phone": "phone", "iban": "iban", "national_id": "id"}[kind]
-                text += " " + (r.choice(sorted(_CUES[cue])) + r.choice([" ", ": ", " is "]) if r.random() < 0.5 else "")
                 s = self.entity(kind)
+                # bare digits are an identity number, and a plain "at" with a plain dot an address, by their cue only
+                bare = kind == "national_id" and "-" not in s or kind == "obfuscated_email" and " at " in s and " dot " not in s
+                text += " " + (r.choice(sorted(_CUES[cue])) + r.choice([" ", ": ", " is "]) if bare or r.random() < 0.5 else "")
                 spans.append((kind, len(text), len(text) + len(s)))
                 text += s
             else:
@@ -349,7 +386,8 @@ class Maker:
             if k:
                 text += gap
             if entities:
-                s = self.entity(kind)
+                while (s := self.entity(kind)).isdigit() or kind == "national_id" and " " in s:
+                    pass
                 spans.append((kind, len(text), len(text) + len(s)))
             else:
                 s = [
@@ -366,7 +404,7 @@ class Maker:
 
 
 @lru_cache(maxsize=2)
-def train(sentences: int = 260, epochs: int = 9, seed: int = 5, lists: int = 120) -> Model:
+def train(sentences: int = 500, epochs: int = 9, seed: int = 5, lists: int = 160) -> Model:
     """Fit the field by its conditional likelihood on made-up sentences; some seconds on the driver."""
     maker = Maker(seed)
     data = []

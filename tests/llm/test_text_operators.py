@@ -269,8 +269,39 @@ def test_personal_data_of_awkward_rows(awkward, none):
     assert pii.find(none, model).count() == 0
 
 
+def added(text):
+    base, found = pii.all_spans(pii.train(), text)
+    return [(kind, text[a:b]) for kind, a, b in found if (kind, a, b) not in base]
+
+
+def test_addresses_partly_in_words_and_of_any_length():
+    r = random.Random(3)
+    name = lambda n: "".join(r.choice("abcdefghijklmnoprstuvw") for _ in range(n))
+    right = tried = 0
+    for form in ("{} at {} dot com", "{}(at){}.org", "{} [at] {}.de", "{}@{} dot net", "{}[at]{}[dot]com", "{} at {}.com"):
+        for n in (5, 9, 70, 200):
+            for _ in range(5):
+                x = form.format(name(n), name(8))
+                right += added(f"some words before; contact: {x} and some words after") == [("obfuscated_email", x)]
+                tried += 1
+    assert right >= 0.95 * tried
+    places = ["the tickets are available at example.com today", "look at report.txt first", "we met at noon. Later at home", "see more at shop.example.org or call", "he stood at point a dot b was far"]
+    assert [t for t in places if added(t)] == []
+
+
+def test_numbers_without_marks_go_by_their_cue():
+    r = random.Random(8)
+    d = lambda n: "".join(r.choice("123456789") for _ in range(n))
+    known = [f"my {cue} {x} is secret" for cue in ("ssn", "ssn:", "social security") for x in (f"{d(3)}-{d(2)}-{d(4)}", d(9)) for _ in range(20)]
+    assert sum([k for k, _ in added(t)] == ["national_id"] for t in known) >= 0.9 * len(known)
+    orders = [f"your {cue} {x} was sent" for cue in ("order", "invoice") for x in (f"{d(3)}-{d(2)}-{d(5)}", d(9)) for _ in range(20)]
+    assert sum(added(t) != [] for t in orders) <= 0.05 * len(orders)
+
+
 def test_hard_texts_take_linear_time():
     model = pii.train()
+    for t in ("a at " * 20_000, "a at a." * 10_000, "a" * 50_000 + " at a dot com", "a@a dot " * 5_000):
+        pii.all_spans(model, t)
     for t in ("1" * 50_000, "a" * 50_000, "+1" + "(" * 50_000, "1." * 20_000, "a@" * 20_000, "12 " * 20_000, "at dot " * 20_000):
         pii.all_spans(model, t)
 
