@@ -11,14 +11,13 @@ from __future__ import annotations
 
 from collections import defaultdict
 from dataclasses import dataclass, replace
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hornspark.operators.forward import KEY, MERGE_ROUNDS, forward_chain, only
 from hornspark.plans.kb import KnowledgeBase
-from hornspark.plans.materialize import Materialized, materialize
+from hornspark.plans.materialize import Parts
 from hornspark.plans.rules import Rule, local_frame, shape_of
 
 
@@ -55,19 +54,21 @@ def chains(rules: list[Rule]) -> list[Chain]:
 
 def double(edges: DataFrame) -> tuple[DataFrame, int]:
     """All (pred, s, o, n) with the ``n`` edges of the shortest path from s to o along edges (pred, s, o), and the rounds."""
-    first = materialize(edges.select(*KEY).distinct().withColumn("n", F.lit(1).cast("bigint")), "paths")
-    found, longest, rounds = [first], first, 0
-    while not longest.isEmpty():
-        known = reduce(DataFrame.unionByName, found)
+    first = edges.select(*KEY).distinct().withColumn("n", F.lit(1).cast("bigint"))
+    found, rounds = Parts("paths", MERGE_ROUNDS), 0
+    longest = found.add(first)
+    if longest is None:
+        return first.limit(0), 0
+    while longest is not None and not longest.isEmpty():
+        known = found.rows
         tail = known.select("pred", F.col("s").alias("_m"), F.col("o").alias("_o"), F.col("n").alias("_n"))
         far = longest.withColumnRenamed("o", "_m").join(tail, ["pred", "_m"]).groupBy("pred", "s", F.col("_o").alias("o")).agg(F.min(F.col("n") + F.col("_n")).alias("n"))
-        new = Materialized(far.join(known.select(*KEY), KEY, "left_anti"), f"paths-{rounds}").df
+        new = found.add(far.join(known.select(*KEY), KEY, "left_anti"))
+        found.sweep()
         rounds += 1
-        found.append(new)
-        longest = new.where(F.col("n") == 2**rounds)
-        if len(found) > MERGE_ROUNDS:
-            found = [materialize(reduce(DataFrame.unionByName, found), "paths")]
-    return reduce(DataFrame.unionByName, found), rounds
+        longest = None if new is None else new.where(F.col("n") == 2**rounds)
+    found.sweep(last=True)
+    return found.rows, rounds
 
 
 def forward_chain_doubling(kb: KnowledgeBase) -> DataFrame:

@@ -21,7 +21,7 @@ from hornspark.functions.terms import ATOM, STEP, canonical_variables, ground
 from hornspark.operators.backward import _bind_to_fact, rule_children
 from hornspark.operators.lookups import kinds, matches
 from hornspark.plans.kb import KnowledgeBase
-from hornspark.plans.materialize import materialize
+from hornspark.plans.materialize import Materialized, Parts
 from hornspark.plans.rules import rule_table
 
 CALL = ["pred", "a0", "a1"]
@@ -91,43 +91,32 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-class _Table:
+class _Table(Parts):
     """A growing set of rows in written parts."""
 
     def __init__(self, name: str, key: list[str]):
-        self.name, self.key, self.parts = name, key, []
-
-    def __bool__(self) -> bool:
-        return bool(self.parts)
-
-    @property
-    def rows(self) -> DataFrame:
-        return _union(self.parts)
+        super().__init__(name, MERGE_ROUNDS)
+        self.key = key
 
     def add(self, rows: DataFrame) -> DataFrame | None:
         """Writes the distinct ``rows`` that aren't there yet and returns them, None if there are none."""
         new = rows.distinct()
-        if self.parts:
-            new = new.join(self.rows.select(*self.key), self.key, "left_anti")
-        new = materialize(new, self.name)
-        if new.isEmpty():
-            return None
-        self.parts.append(new)
-        if len(self.parts) > MERGE_ROUNDS:
-            self.parts = [materialize(self.rows, self.name)]
-        return new
+        return super().add(new.join(self.rows.select(*self.key), self.key, "left_anti") if self else new)
 
 
 def tabled(kb: KnowledgeBase, queries: DataFrame) -> Tables:
     """All calls that a batch of queries (pred, a0, a1) leads to, with all their answers.
 
     Rules whose head has a variable that their body lacks have no ground answers and give none.
+    In the end only the tables of calls and answers are left in the shared folder.
     """
     heads = sorted(kb.heads)
-    facts = materialize(kb.facts, "facts")
+    written = Materialized(kb.facts, "facts")
+    facts, last = written.df, None
     calls, answers, consumers = _Table("calls", CALL), _Table("answers", ANSWER), _Table("consumers", STATE)
     fresh = calls.add(queries.select(*CALL).dropna().select(*variant(*map(F.col, CALL))))
     if fresh is None:
+        written.drop()
         return Tables(queries.select(*CALL).limit(0), queries.select(*CALL, F.col("a0").alias("s"), F.col("a1").alias("o")).limit(0), 0)
     first = F.get("goals", F.lit(0))
     ours = first["pred"].isin(heads)
@@ -153,12 +142,17 @@ def tabled(kb: KnowledgeBase, queries: DataFrame) -> Tables:
             going.append(_resumed(waiting, answers.rows))
         if old is not None and new_answers is not None:
             going.append(_resumed(old, new_answers))
-        if going:
-            states = materialize(_named(_union(going)), "states")
-            states = None if states.isEmpty() else states
-        else:
-            states = None
-        if states is None and fresh is None:
+        now = Materialized(_named(_union(going)), "states") if going else None
+        states = None if now is None or now.df.isEmpty() else now.df
+        ended = states is None and fresh is None
+        if last is not None:  # all that reads the last states is written
+            last.drop()
+        last = now
+        for table in (calls, answers, consumers):
+            table.sweep(last=ended)
+        if ended:
+            for table in (t for t in (now, consumers, written) if t is not None):
+                table.drop()
             return Tables(calls.rows, answers.rows if answers else calls.rows.select(*CALL, F.col("a0").alias("s"), F.col("a1").alias("o")).limit(0), rounds)
     raise AssertionError("unreachable")
 

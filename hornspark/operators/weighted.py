@@ -9,7 +9,6 @@ goes through its own atom can't be better than that atom, and the rounds end on
 from __future__ import annotations
 
 from functools import reduce
-from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 from hornspark.operators.forward import KEY, MERGE_ROUNDS, only
 from hornspark.operators.joins import chain, head_of
 from hornspark.plans.kb import KnowledgeBase
-from hornspark.plans.materialize import Materialized, materialize
+from hornspark.plans.materialize import Materialized, Parts
 from hornspark.plans.rules import by_shape, local_frame, shape_table
 
 
@@ -61,25 +60,22 @@ def weighted_closure(kb: KnowledgeBase, weights: DataFrame | None = None, least:
         rows = rows.join(given, KEY, "left").withColumn("w", F.coalesce("w", F.lit(1.0)))
     else:
         rows = rows.withColumn("w", F.lit(1.0))
-    facts = materialize(rows, "weighted-facts")
-    if weights is not None and not facts.where("w < 0 or w > 1 or isnan(w)").isEmpty():
+    written = Materialized(rows, "weighted-facts")
+    if weights is not None and not written.df.where("w < 0 or w > 1 or isnan(w)").isEmpty():
+        written.drop()
         raise ValueError("facts weigh from 0 to 1")
-    facts = facts.where(F.col("w") > least)
-    found: list[DataFrame] = []
+    facts = written.df.where(F.col("w") > least)
+    found = Parts("improved", MERGE_ROUNDS, _best)
     delta, fresh = None, None
-    for step in count():
-        known = reduce(DataFrame.unionByName, [facts, *found])
+    while True:
+        known = facts.unionByName(found.rows) if found else facts
         new = apply_weighted(kb, known, delta, fresh).where(F.col("w") > least).alias("n")
         old = known.withColumnsRenamed({c: f"_{c}" for c in (*KEY, "w")})
         better = new.join(old, [F.col(f"n.{c}") == F.col(f"_{c}") for c in KEY] + [F.col("_w") >= F.col("n.w")], "left_anti")
-        rows = Materialized(better, f"improved-{step}")
-        fresh = {r["pred"] for r in rows.df.select("pred").distinct().collect()}  # at most the rules' heads
-        if not fresh:
+        delta = found.add(better)
+        found.sweep(last=delta is None)
+        if delta is None:
             break
-        delta = rows.df
-        found.append(delta)
-        if len(found) > MERGE_ROUNDS:
-            found = [materialize(_best(reduce(DataFrame.unionByName, found)), f"improved-up-to-{step}")]
-    if not found:
-        return facts.limit(0)
-    return _best(reduce(DataFrame.unionByName, found))
+        fresh = {r["pred"] for r in delta.select("pred").distinct().collect()}  # at most the rules' heads
+    written.drop()
+    return _best(found.rows) if found else rows.limit(0)

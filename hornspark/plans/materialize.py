@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +41,53 @@ class Materialized:
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+class Parts:
+    """A table that grows by written parts; beyond ``most`` of them they are written as one (through ``merge``).
+
+    A round adds parts, reads them and the last round's, and ends with ``sweep``. Parts that were
+    merged are deleted by the sweep of the round after, when nothing reads them any more.
+    """
+
+    def __init__(self, name: str, most: int, merge: Callable[[DataFrame], DataFrame] | None = None):
+        self.name, self.most, self.merge = name, most, merge or (lambda rows: rows)
+        self.tables: list[Materialized] = []
+        self._merged: list[Materialized] = []
+        self._stale: list[Materialized] = []
+
+    def __bool__(self) -> bool:
+        return bool(self.tables)
+
+    @property
+    def rows(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, [t.df for t in self.tables])
+
+    def add(self, rows: DataFrame) -> DataFrame | None:
+        """Writes ``rows`` as a part and returns it, None if there are none."""
+        new = Materialized(rows, self.name)
+        if new.df.isEmpty():
+            new.drop()
+            return None
+        self.tables.append(new)
+        if len(self.tables) > self.most:
+            self._merged += self.tables
+            self.tables = [Materialized(self.merge(self.rows), self.name)]
+        return new.df
+
+    def sweep(self, last: bool = False) -> None:
+        """Ends a round; after the ``last`` one only ``rows`` is read."""
+        stale = self._stale + self._merged if last else self._stale
+        self._stale, self._merged = ([], []) if last else (self._merged, [])
+        for t in stale:
+            t.drop()
+
+    def drop(self) -> None:
+        """Deletes all parts."""
+        self.sweep(last=True)
+        for t in self.tables:
+            t.drop()
+        self.tables = []
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """``df`` written to the shared folder as Parquet and read again.
 

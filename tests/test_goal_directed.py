@@ -1,12 +1,14 @@
 """Magic sets, tabling and weighted closures against plain Python on small knowledge bases."""
 
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from hornspark.operators import forward, magic, tabling, weighted
+from hornspark.operators import doubling, forward, magic, tabling, weighted
 from hornspark.plans.kb import KnowledgeBase
+from hornspark.plans.materialize import shared_dir
 from hornspark.plans.rules import Atom, Rule
 
 X, Y, Z = -1, -2, -3
@@ -99,6 +101,28 @@ def test_rules_that_only_support_each_other_prove_nothing(spark):
     assert got(tabling.answers(kb, goals)) == got(magic.answers(kb, goals)) == set()
 
 
+def test_tables_of_past_rounds_are_deleted(spark, monkeypatch):
+    """Parts are merged every other round here; what is left in the shared folder is the result's."""
+    for module in (tabling, weighted, doubling):
+        monkeypatch.setattr(module, "MERGE_ROUNDS", 2)
+    facts = [(1, i, i + 1) for i in range(7)]
+    kb = base(spark, facts, RIGHT)
+    closed = {(2, i, j) for i in range(7) for j in range(i + 1, 8)}
+    folder = shared_dir(spark).removeprefix("file:")
+    runs = {
+        "tabling": lambda: tabling.tabled(kb, ask(spark, (2, -1, -2))).answers.where("pred = 2 and a0 = -1 and a1 = -2").select("pred", "s", "o"),
+        "weighted": lambda: weighted.weighted_closure(kb).select("pred", "s", "o"),
+        "doubling": lambda: doubling.double(kb.facts)[0].select(F.lit(2).alias("pred"), "s", "o"),
+    }
+    for name, run in runs.items():
+        before = set(os.listdir(folder))
+        found = run()
+        left = {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before}
+        assert len(set(os.listdir(folder)) - before) <= 4 and left <= {"calls", "answers", "improved", "paths"}, (name, left)
+        assert {tuple(r) for r in found.collect()} == closed, name
+        assert weighted.weighted_closure(base(spark, facts, [((5, X, Y), [(4, X, Y)])])).isEmpty()
+
+
 def test_calls_are_variants_and_made_once(spark):
     kb = base(spark, [(1, i, i + 1) for i in range(6)], RIGHT)
     t = tabling.tabled(kb, ask(spark, (2, 3, -1), (2, 3, -8), (2, 3, -2)))
