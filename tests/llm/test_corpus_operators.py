@@ -1,5 +1,6 @@
 """Shards, languages, containment, near-duplicates, pages and the pipeline, against plain versions."""
 
+import itertools
 import random
 import time
 import zlib
@@ -156,7 +157,64 @@ def test_every_language_is_sampled(spark):
     got = langid.training_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "text", "lang", "doc_id")
     may = {lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 4 != 2}
     assert {lang for lang, _ in got} == may and len(may) > 64
-    assert langid.dimensions_of(len(may)) < langid.DIMENSIONS
+    model = langid.fit(got, sequences=8)
+    assert model.weights.shape == (langid.DIMENSIONS, len(may)) and set(model.labels) == may
+
+
+def made_languages(count, family=5, common=0.6):
+    """Speakers of languages whose words are made of their syllables; those of a family share most words."""
+    def words(seed, n):
+        q = random.Random(seed)
+        first, mid = q.sample("bcdfghjklmnpqrstvwxz", 12), q.sample("aeiouy", 4)
+        parts = [a + b + c for a in first for b in mid for c in ("", *q.sample(first, 3))]
+        return ["".join(q.choices(parts, k=q.choice((1, 2, 2, 3)))) for _ in range(n)]
+
+    say = random.Random(5)
+    shared = {i: words(f"family {i}", 2000) for i in range(-(-count // family))}
+    found = []
+    for i in range(count):
+        own, q = words(f"own {i}", 2000), random.Random(i)
+        vocabulary = [a if q.random() < common else b for a, b in zip(shared[i // family], own, strict=True)]
+        found.append(lambda n, v=vocabulary: say.choices(v, [1 / (j + 1) for j in range(len(v))], k=n))
+    return found
+
+
+def test_seventy_languages_are_told_apart():
+    says = made_languages(70)
+    model = langid.fit([(f"l{i:02}", say(n)) for i, say in enumerate(says) for n in (20, 60, 200) * 15], sequences=40)
+    texts = [(f"l{i:02}", " ".join(say(40))) for i, say in enumerate(says) for _ in range(4)]
+    out = langid.Tagger(model)([t for _, t in texts])
+    assert np.mean([a == b for (a, _), b in zip(texts, out["lang_pred"], strict=True)]) >= 0.97
+
+
+def test_chains_side_by_side_are_exact():
+    r = np.random.default_rng(1)
+    k = langid.FEW + 4
+    model = langid.Model([f"l{i:02}" for i in range(k)], {}, r.normal(size=(langid.DIMENSIONS, k)).astype(np.float32), r.normal(size=(k, k)), r.normal(size=k))
+    words = ["".join(chr(97 + int(x)) for x in r.integers(0, 26, 4)) for _ in range(300)]
+    chains = [[words[int(i)] for i in r.integers(0, 300, n)] for n in (1, 250, 7, 7, 120, 2)] * 15
+    tagger = langid.Tagger(model)
+    rows = np.split(tagger.marginals(chains), np.cumsum([len(c) for c in chains])[:-1])
+    want = np.array([x.mean(axis=0) for x in rows])
+    assert np.allclose(tagger.shares(chains), want)
+    falling = sorted(range(6), key=lambda i: -len(chains[i]))
+    for cells in (1, 700, 5000):  # pieces of a word, some and many; a cache that overflows
+        got = langid.Tagger(model, cache=40).side_by_side([chains[i] for i in falling], cells)
+        assert np.allclose(got, [rows[i].sum(axis=0) for i in falling])
+
+
+def test_expected_counts_of_transitions():
+    r = np.random.default_rng(2)
+    psi, move, begin = r.random((2, 4, 3)) + 0.1, r.random((3, 3)) + 0.1, r.random(3) + 0.1
+    gamma, pairs = langid.expected(psi, move, begin)
+    want = np.zeros((3, 3))
+    for row, found in zip(psi, gamma, strict=True):
+        assert np.allclose(found, brute_marginals(row, np.arange(4) == 0, move, begin))
+        weight = {y: begin[y[0]] * np.prod([row[t, y[t]] for t in range(4)]) * np.prod([move[y[t], y[t + 1]] for t in range(3)]) for y in itertools.product(range(3), repeat=4)}
+        for y, w in weight.items():
+            for t in range(3):
+                want[y[t], y[t + 1]] += w / sum(weight.values())
+    assert np.allclose(pairs, want)
 
 
 def test_pipeline_drops_documents_of_no_language(spark):
