@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hornspark.operators.scoring import dot
+from hornspark.operators.scoring import Keyed, Vectors, dot
 from hornspark.plans.materialize import materialize
 
 #: Vectors of a block, on either side.
@@ -69,14 +69,22 @@ def best_products(queries: DataFrame, vectors: DataFrame, block: int = BLOCK) ->
     return left.select("id", F.lit(0.0).alias("best")).limit(0) if best is None else best
 
 
-def best_objects(goals: DataFrame, vectors: DataFrame, relations: DataFrame | None = None, scale: float = 1.0, subjects: bool = False) -> DataFrame:
+def best_objects(goals: DataFrame, vectors: Vectors, relations: DataFrame | None = None, scale: float = 1.0, subjects: bool = False, entities: DataFrame | None = None) -> DataFrame:
     """For goals (pred, s) the ``best`` bilinear score of (pred, s, o) over all entities o that have a vector.
 
     ``relations`` (pred, w) as in ``scoring.DistMult``; goals whose entity has no vector score 0,
     as there. With ``subjects`` goals are (pred, o) and all subjects are tried: the score is the
-    same from either side.
+    same from either side. ``Keyed`` vectors need the ``entities`` (entity) that there are; those
+    that share a vector are one candidate, and goals that share one are searched once.
     """
     name = "o" if subjects else "s"
+    if isinstance(vectors, Keyed):
+        keys = materialize(entities.select(vectors.key(F.col("entity")).alias("entity")).distinct(), "keys")
+        table = materialize(vectors.table.select(F.col("key").alias("entity"), "e").join(keys, "entity", "left_semi"), "vectors")
+        own = materialize(goals.select("pred", name).distinct(), "goals")
+        shared = own.select("pred", vectors.key(F.col(name)).alias("_key")).distinct()
+        best = best_objects(shared.withColumnRenamed("_key", name), table, relations, scale, subjects).withColumnRenamed(name, "_key")
+        return own.withColumn("_key", vectors.key(F.col(name))).join(best, ["pred", "_key"], "left").select("pred", name, F.coalesce("best", F.lit(0.0)).alias("best"))
     own = materialize(goals.select("pred", name).distinct().withColumn("id", F.monotonically_increasing_id()), "goals")
     rows = own.join(vectors.select(F.col("entity").alias(name), F.col("e").alias("q")), name)
     if relations is not None:
