@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 import warnings
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from itertools import combinations
 
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from hornspark.operators.filters import prune_instances
 from hornspark.operators.joins import body_of, extend, value
 from hornspark.plans.kb import KnowledgeBase
-from hornspark.plans.materialize import Materialized, materialize
+from hornspark.plans.materialize import materialize
 from hornspark.plans.rules import Rule, Shape, by_shape, local_frame, shape_table
 
 KEY = ["pred", "s", "o"]
@@ -76,9 +76,9 @@ class Domains:
         rows, names = self._named(now, shape, group, slot)
         if names == {ANY}:
             return now
-        found = self.candidates(names - {ANY}).withColumnRenamed("entity", "_e")
-        kept = rows.where(F.col("_names") != ANY).join(found.withColumnRenamed("_names", "_d"), (F.col("_names") == F.col("_d")) & (F.col(value(slot)) == F.col("_e")), "left_semi")
-        return kept.unionByName(rows.where(F.col("_names") == ANY)).drop("_names")
+        found = self.candidates(names - {ANY}).select(F.col("_names").alias("_d"), F.col("entity").alias("_e"), F.lit(True).alias("_in"))  # each once, so no row is doubled
+        kept = rows.join(found, (F.col("_names") == F.col("_d")) & (F.col(value(slot)) == F.col("_e")), "left")
+        return kept.where((F.col("_names") == ANY) | F.col("_in")).drop("_names", "_d", "_e", "_in")
 
     def bind(self, now: DataFrame, shape: Shape, group: Sequence[tuple[Rule, list[int]]], slot: int) -> DataFrame:
         """Each row with each candidate of a variable.
@@ -94,11 +94,12 @@ class Domains:
         pieces = math.ceil(n / BROADCAST_MEMBERS)
         cells = found.withColumn("_piece", F.pmod(F.xxhash64(value(slot)), F.lit(pieces))).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
         dealt = rows.withColumn("_part", F.pmod(F.xxhash64(*now.columns), F.lit(PARTS)).cast("int")).withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(pieces - 1).cast("bigint"))))
-        return dealt.join(cells, ["_names", "_part", "_piece"]).drop("_names", "_part", "_piece")
+        # compressed they may look small enough to be broadcast, which they aren't
+        return dealt.join(cells.hint("merge"), ["_names", "_part", "_piece"]).drop("_names", "_part", "_piece")
 
 
 def step(kb: KnowledgeBase, goals: DataFrame, width: int | None, domain: DataFrame | Domains | None = None, skipped: list | None = None) -> DataFrame:
-    """Instances (rule_id, pred, s, o, body, unknown) for ground goals (pred, s, o).
+    """Instances (rule_id, pred, s, o, body, unknown) for ground goals (pred, s, o), written choice by choice so that plans stay short.
 
     ``unknown`` has the body atoms that aren't facts, at most ``width`` (None: any number); each
     of them has a predicate that heads a rule (unless the width is None), and no body atom is
@@ -109,7 +110,8 @@ def step(kb: KnowledgeBase, goals: DataFrame, width: int | None, domain: DataFra
     parts = []
     domain = Domains.of(domain) if isinstance(domain, DataFrame) else domain
     g = goals.select(F.col("pred").alias("gp"), F.col("s").alias("gs"), F.col("o").alias("go"))
-    for shape, group in by_shape(kb.rules).items():
+    asked = {r["gp"] for r in g.select("gp").distinct().collect()}  # at most the predicates; rules without goals need no candidates
+    for shape, group in by_shape([r for r in kb.rules if r.head.pred in asked]).items():
         rules = F.broadcast(shape_table(kb.spark, shape, group, kb.heads))
         m = len(shape.body)
         for size in range(m + 1 if width is None else min(width, m) + 1):
@@ -119,7 +121,7 @@ def step(kb: KnowledgeBase, goals: DataFrame, width: int | None, domain: DataFra
                     if skipped is not None:
                         skipped += [r.rule_id for r, _ in group if width is None or all(r.body[i].pred in kb.heads for i in chosen)]
                     continue
-                parts.append(now)
+                parts.append(materialize(now, "choice"))
     if not parts:
         return kb.spark.createDataFrame([], "rule_id int, pred int, s bigint, o bigint, body array<struct<pred:int,a0:bigint,a1:bigint>>, unknown array<struct<pred:int,a0:bigint,a1:bigint>>")
     return reduce(DataFrame.unionByName, parts)
@@ -168,11 +170,15 @@ def enumerate_groundings(kb: KnowledgeBase, queries: DataFrame, depth: int = 1,
     are left out, and ``skipped`` gets them.
     """
     left_out: list[int] = []
+    kb = replace(kb, facts=materialize(kb.facts, "facts"))
+    domain = Domains.of(domain) if isinstance(domain, DataFrame) else domain
+    if domain is not None:
+        domain = replace(domain, members=materialize(domain.members, "domains"))
     goals = materialize(queries.select(*KEY).distinct(), "goals")
     seen, found = goals, None
     for d in range(depth):
         w = last_width if d == depth - 1 else width
-        now = Materialized(step(kb, goals, w, domain, left_out), f"enum-{d}").df
+        now = step(kb, goals, w, domain, left_out)
         part = now.select("rule_id", *KEY, "body", F.lit(d).alias("depth"))
         found = part if found is None else found.unionByName(part)
         if d < depth - 1:

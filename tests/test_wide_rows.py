@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hornspark import catalogue
 from hornspark.functions.terms import atom
-from hornspark.operators import inner_products, scoring
+from hornspark.operators import enumeration, inner_products, scoring
 from hornspark.operators.backward import Options, ground_queries
 from hornspark.plans.kb import KnowledgeBase
 from hornspark.plans.rules import encode_rule, parse_rule
@@ -83,3 +83,15 @@ def test_states_that_are_reached_twice_are_one(spark):
     assert found.select("gid").distinct().count() == 2
     twice = spark.createDataFrame([(0, 2, 1, -1), (0, 2, 1, -1)], "qid bigint, pred int, a0 bigint, a1 bigint")
     assert ground_queries(kb, twice, Options(depth=2))[0].count() == 2
+
+
+def test_only_rules_with_goals_get_candidates(spark, monkeypatch):
+    asked, own = set(), enumeration.Domains.candidates
+
+    def candidates(self, names):
+        asked.update(names)
+        return own(self, names)
+
+    monkeypatch.setattr(enumeration.Domains, "candidates", candidates)
+    assert catalogue.QUERIES["enum_full_typed"](spark, SMALL).count()
+    assert "nation" in asked and "order" not in asked
