@@ -80,7 +80,7 @@ def best_objects(goals: DataFrame, vectors: Vectors, relations: DataFrame | None
     name = "o" if subjects else "s"
     if isinstance(vectors, Keyed):
         keys = materialize(entities.select(vectors.key(F.col("entity")).alias("entity")).distinct(), "keys")
-        table = materialize(vectors.table.select(F.col("key").alias("entity"), "e").join(keys, "entity", "left_semi"), "vectors")
+        table = materialize(vectors.table.select(F.col("key").alias("entity"), F.col("e").cast("array<double>").alias("e")).join(keys, "entity", "left_semi"), "vectors")
         own = materialize(goals.select("pred", name).distinct(), "goals")
         shared = own.select("pred", vectors.key(F.col(name)).alias("_key")).distinct()
         best = best_objects(shared.withColumnRenamed("_key", name), table, relations, scale, subjects).withColumnRenamed(name, "_key")
