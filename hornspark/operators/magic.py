@@ -5,7 +5,9 @@ from a rule's head along its body, atoms with more bound arguments first. Each a
 has a magic predicate, whose atoms are the bindings that are asked for: a rule fires only for
 those, and the atoms before a body atom say for which bindings that one is asked. The queries'
 constants seed the magic predicates, and the usual fixpoint of the rewritten rules derives the
-answers of all queries of a batch, and little else.
+answers of all queries of a batch, and little else. From one bound end of a transitive closure
+of facts the answers are walked instead, in steps that double, so that rounds do not grow with its
+longest path.
 """
 
 from __future__ import annotations
@@ -17,8 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hornspark.operators.forward import KEY, forward_chain
+from hornspark.operators.doubling import chains
 from hornspark.operators.lookups import kinds, matches
 from hornspark.plans.kb import KnowledgeBase
+from hornspark.plans.materialize import Materialized, Parts
 from hornspark.plans.rules import Atom, Rule, shape_of
 
 #: A predicate with whether its first and its second argument are bound.
@@ -117,20 +121,78 @@ def magic_chain(kb: KnowledgeBase, queries: DataFrame) -> tuple[DataFrame, Progr
     return forward_chain(own), program
 
 
+#: Walks of twice as many edges are made while there are at most so many times as many as edges.
+MOST_WALKS = 2
+
+
+def walked(seeds_: DataFrame, edges: DataFrame) -> DataFrame:
+    """All (x, y) with a path of one edge or more from a seed (x) to y along edges (x, y), in written form.
+
+    A round adds what is a walk of 2^k edges further than the last one's; these walks double
+    with each round, while they don't outgrow the edges (in a tree or a chain they never do).
+    """
+    step = Materialized(edges.select("x", "y").distinct(), "walks")
+    n_edges, doubles = step.df.count(), True
+    found, rounds = Parts("walked", 8), 0
+    last = found.add(seeds_.select("x").distinct().join(step.df, "x").distinct())
+    if last is None:
+        return edges.select("x", "y").limit(0)
+    while last is not None:
+        far = step.df.select(F.col("x").alias("y"), F.col("y").alias("z"))
+        # walks that doubled reach what is new from all that is known, others from the last round's
+        source = found.rows if doubles else last
+        new = source.join(far, "y").select("x", F.col("z").alias("y")).distinct().join(found.rows, ["x", "y"], "left_anti")
+        last = found.add(new)
+        found.sweep()
+        rounds += 1
+        if doubles and last is not None:
+            twice = Materialized(step.df.join(far, "y").select("x", F.col("z").alias("y")).distinct(), "walks")
+            if twice.df.count() > MOST_WALKS * n_edges:
+                twice.drop()
+                doubles = False
+            else:
+                step.drop()
+                step = twice
+    found.sweep(last=True)
+    step.drop()
+    return found.rows
+
+
+def _walked_answers(kb: KnowledgeBase, q: DataFrame, asked: Adorned) -> DataFrame | None:
+    """The answers of queries that bind one argument of a transitive closure of facts; None if they ask for something else."""
+    chain = next((c for c in chains(kb.rules) if c.head == asked[0]), None)
+    if chain is None or asked[1] == asked[2] or not kb.facts.where(F.col("pred") == chain.head).isEmpty():
+        return None
+    bound, free = ("s", "o") if asked[1] else ("o", "s")
+    arg = "a0" if asked[1] else "a1"
+    own = q.where((F.col("pred") == asked[0]) & ((F.col("a0") >= 0) == asked[1]) & ((F.col("a1") >= 0) == asked[2])).select("qid", F.col(arg).alias("x"))
+    edges = kb.facts.where(F.col("pred") == chain.edge).select(F.col(bound).alias("x"), F.col(free).alias("y"))
+    pairs = own.join(walked(own, edges), "x").select("qid", F.lit(chain.head).alias("pred"), F.col("x").alias(bound), F.col("y").alias(free))
+    return pairs.select("qid", "pred", "s", "o")
+
+
 def answers(kb: KnowledgeBase, queries: DataFrame) -> DataFrame:
     """Answers (qid, pred, s, o) of a batch of queries (qid, pred, a0, a1), complete whatever the depth of their proofs.
 
     Facts that a query matches are answers too. Each query is joined with the atoms of its own
     adornment only, on its bound arguments.
     """
-    derived, program = magic_chain(kb, queries)
     q = queries.where(F.coalesce("active", F.lit(True))) if "active" in queries.columns else queries
     q = q.select("qid", "pred", "a0", "a1").dropna()
-    present = kinds(q)
+    present, apart = kinds(q), []
+    for a in sorted(present):
+        own = _walked_answers(kb, q, a)
+        if own is not None:
+            apart.append(own)
+            present = present - {a}
+            q = q.where(~((F.col("pred") == a[0]) & ((F.col("a0") >= 0) == a[1]) & ((F.col("a1") >= 0) == a[2])))
+    if apart and not present:
+        return reduce(DataFrame.unionByName, apart).distinct()
+    derived, program = magic_chain(kb, q)
     given = matches(q, kb.facts, present={a for a in present if a not in program.answers})
     parts = [given.select("qid", "pred", F.col("fs").alias("s"), F.col("fo").alias("o"))]
     for a in present & set(program.answers):
         atoms = derived.where(F.col("pred") == program.answers[a]).select(F.lit(a[0]).alias("pred"), "s", "o")
         found = matches(q.where((F.col("pred") == a[0]) & ((F.col("a0") >= 0) == a[1]) & ((F.col("a1") >= 0) == a[2])), atoms, present={a})
         parts.append(found.select("qid", "pred", F.col("fs").alias("s"), F.col("fo").alias("o")))
-    return reduce(DataFrame.unionByName, parts).distinct()
+    return reduce(DataFrame.unionByName, [*parts, *apart]).distinct()
