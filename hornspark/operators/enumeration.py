@@ -2,7 +2,9 @@
 
 The width bounds how many body atoms of an instance may be unproved. For each choice of the
 unproved atoms the others are joined with the facts and the chosen ones anti-joined, so each
-instance comes from exactly one choice. Unproved atoms are the goals of the next depth.
+instance comes from exactly one choice. Unproved atoms are the goals of the next depth. Where any
+number may be unproved and every variable has a domain, the choices together are the goals times
+the candidates; at the last depth they are made at once, without the facts.
 """
 
 from __future__ import annotations
@@ -17,11 +19,14 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hornspark.functions.terms import ATOM
 from hornspark.operators.filters import prune_instances
+from hornspark.operators.forward import only
 from hornspark.operators.joins import body_of, extend, value
+from hornspark.operators.lookups import FEW
 from hornspark.plans.kb import KnowledgeBase
-from hornspark.plans.materialize import materialize
-from hornspark.plans.rules import Rule, Shape, by_shape, local_frame, shape_table
+from hornspark.plans.materialize import materialize, spread
+from hornspark.plans.rules import Rule, Shape, by_shape, local_frame, shape_of, shape_table
 
 KEY = ["pred", "s", "o"]
 #: Candidates up to which they are broadcast; more are cut into pieces of this size.
@@ -54,6 +59,18 @@ class Domains:
         found = {self.arguments.get(p, (None, None))[i] for p, slots in atoms for i, v in enumerate(slots) if v == slot} - {None}
         return "&".join(sorted(found)) or ANY
 
+    def typed(self, rule: Rule, shape: Shape) -> bool:
+        """Whether each variable that only the body has is in a domain."""
+        return all(self.names(rule, shape, v) != ANY for v in _variables(shape) - set(shape.head))
+
+    def needed_for(self, rules: list[Rule]) -> Domains:
+        """Without the members that these rules don't ask for."""
+        shapes = [(r, shape_of(r)[0]) for r in rules]
+        if not all(self.typed(r, shape) for r, shape in shapes):
+            return self
+        wanted = {n for r, shape in shapes for v in _variables(shape) for n in self.names(r, shape, v).split("&")}
+        return replace(self, members=self.members.where(F.col("domain").isin(sorted(wanted))))
+
     def candidates(self, names: set[str]) -> DataFrame:
         """(names, entity): the entities that are in all of the domains."""
         every = self.members.select("domain", "entity").distinct()
@@ -80,16 +97,18 @@ class Domains:
         kept = rows.join(found, (F.col("_names") == F.col("_d")) & (F.col(value(slot)) == F.col("_e")), "left")
         return kept.where((F.col("_names") == ANY) | F.col("_in")).drop("_names", "_d", "_e", "_in")
 
-    def bind(self, now: DataFrame, shape: Shape, group: Sequence[tuple[Rule, list[int]]], slot: int) -> DataFrame:
+    def bind(self, now: DataFrame, shape: Shape, group: Sequence[tuple[Rule, list[int]]], slot: int, n_rows: int = 0) -> DataFrame:
         """Each row with each candidate of a variable.
 
-        The result has rows times candidates, whatever the plan. Few candidates are broadcast.
+        The result has rows times candidates, whatever the plan. Few candidates are broadcast,
+        and if there are ``n_rows`` at most, these are dealt out by the size of the result.
         More are cut into pieces: a row meets each piece in the part that it was dealt to.
         """
         rows, names = self._named(now, shape, group, slot)
         found = materialize(self.candidates(names).withColumnRenamed("entity", value(slot)), "candidates")
         n = found.count()
         if n <= BROADCAST_MEMBERS:
+            rows = spread(rows, n_rows * n, *now.columns)
             return rows.join(F.broadcast(found), "_names").drop("_names")
         pieces = math.ceil(n / BROADCAST_MEMBERS)
         cells = found.withColumn("_piece", F.pmod(F.xxhash64(value(slot)), F.lit(pieces))).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
@@ -98,37 +117,55 @@ class Domains:
         return dealt.join(cells.hint("merge"), ["_names", "_part", "_piece"]).drop("_names", "_part", "_piece")
 
 
-def step(kb: KnowledgeBase, goals: DataFrame, width: int | None, domain: DataFrame | Domains | None = None, skipped: list | None = None) -> DataFrame:
+def _variables(shape: Shape) -> set[int]:
+    return {v for slots in (shape.head, *shape.body) for v in slots if v >= 0}
+
+
+def step(kb: KnowledgeBase, goals: DataFrame, width: int | None, domain: DataFrame | Domains | None = None, skipped: list | None = None, last: bool = False) -> DataFrame:
     """Instances (rule_id, pred, s, o, body, unknown) for ground goals (pred, s, o), written choice by choice so that plans stay short.
 
     ``unknown`` has the body atoms that aren't facts, at most ``width`` (None: any number); each
     of them has a predicate that heads a rule (unless the width is None), and no body atom is
     the goal itself. A variable that only unproved atoms hold ranges over ``domain``: a table
     (entity) of all, or ``Domains``, which the other variables have to fit too. Without one,
-    such choices are left out and their rules noted in ``skipped``.
+    such choices are left out and their rules noted in ``skipped``. ``last``: ``unknown`` isn't
+    asked for; it is null where telling it would be all that the facts are needed for.
     """
     parts = []
     domain = Domains.of(domain) if isinstance(domain, DataFrame) else domain
     g = goals.select(F.col("pred").alias("gp"), F.col("s").alias("gs"), F.col("o").alias("go"))
-    asked = {r["gp"] for r in g.select("gp").distinct().collect()}  # at most the predicates; rules without goals need no candidates
-    for shape, group in by_shape([r for r in kb.rules if r.head.pred in asked]).items():
-        rules = F.broadcast(shape_table(kb.spark, shape, group, kb.heads))
+    asked = {r["gp"]: r["n"] for r in g.groupBy("gp").agg(F.count("*").alias("n")).collect()}  # at most the predicates; rules without goals need no candidates
+    sizes: dict[int, int] | None = None
+    for shape, every in by_shape([r for r in kb.rules if r.head.pred in asked]).items():
+        whole = [x for x in every if last and width is None and domain is not None and domain.typed(x[0], shape)]
+        if whole:
+            parts.append(_whole(kb, shape, whole, g, sum(asked[r.head.pred] for r, _ in whole), domain))
+        group = [x for x in every if x not in whole]
+        if not group:
+            continue
+        if sizes is None:
+            sizes = {r["pred"]: r["n"] for r in kb.facts.groupBy("pred").agg(F.count("*").alias("n")).collect()}  # one row per predicate
         m = len(shape.body)
         for size in range(m + 1 if width is None else min(width, m) + 1):
             for chosen in combinations(range(m), size):
-                now = _choice(kb, rules, shape, group, g, chosen, width, domain)
-                if now is None:
+                rest = tuple(i for i in range(m) if i not in chosen)
+                own = [(r, c) for r, c in group if width is None or all(r.body[i].pred in kb.heads for i in chosen)]
+                bound = {v for slots in (shape.head, *(shape.body[i] for i in rest)) for v in slots}
+                if domain is None and {v for i in chosen for v in shape.body[i] if v >= 0} - bound:
                     if skipped is not None:
-                        skipped += [r.rule_id for r, _ in group if width is None or all(r.body[i].pred in kb.heads for i in chosen)]
+                        skipped += [r.rule_id for r, _ in own]
                     continue
-                parts.append(materialize(now, "choice"))
+                own = [(r, c) for r, c in own if all(sizes.get(r.body[i].pred) for i in rest)]
+                if own:
+                    parts.append(materialize(_choice(kb, shape, own, g, chosen, rest, domain, sizes), "choice"))
     if not parts:
         return kb.spark.createDataFrame([], "rule_id int, pred int, s bigint, o bigint, body array<struct<pred:int,a0:bigint,a1:bigint>>, unknown array<struct<pred:int,a0:bigint,a1:bigint>>")
     return reduce(DataFrame.unionByName, parts)
 
 
-def _choice(kb: KnowledgeBase, rules: DataFrame, shape: Shape, group: list, goals: DataFrame, chosen: tuple[int, ...], width: int | None, domain: Domains | None) -> DataFrame | None:
-    now = goals.join(rules, F.col("gp") == F.col("hp"))
+def _heads(kb: KnowledgeBase, shape: Shape, group: list, goals: DataFrame) -> tuple[DataFrame, set[int]]:
+    """The goals with the rules for them, and the variables that they bind."""
+    now = goals.join(F.broadcast(shape_table(kb.spark, shape, group, kb.heads)), F.col("gp") == F.col("hp"))
     bound: set[int] = set()
     for slot, col in zip(shape.head, ("gs", "go"), strict=True):
         if slot < 0 or slot in bound:
@@ -136,29 +173,59 @@ def _choice(kb: KnowledgeBase, rules: DataFrame, shape: Shape, group: list, goal
         else:
             now = now.withColumn(value(slot), F.col(col))
             bound.add(slot)
-    if width is not None:
-        for i in chosen:
-            now = now.where(F.col(f"d{i}"))
-    rest = tuple(i for i in range(len(shape.body)) if i not in chosen)
+    return now, bound
+
+
+def _instances(now: DataFrame, shape: Shape, unknown) -> DataFrame:
+    """Rows with all variables bound as instances, without those that have their goal as a body atom."""
+    for i, (a, b) in enumerate(shape.body):
+        now = now.where(~((F.col(f"p{i}") == F.col("gp")) & (F.col(value(a)) == F.col("gs")) & (F.col(value(b)) == F.col("go"))))
+    return now.select("rule_id", F.col("gp").alias("pred"), F.col("gs").alias("s"), F.col("go").alias("o"), body_of(shape).alias("body"), unknown.alias("unknown"))
+
+
+def _whole(kb: KnowledgeBase, shape: Shape, group: list, goals: DataFrame, n_goals: int, domain: Domains) -> DataFrame:
+    """All instances of rules whose variables are in domains, whichever atoms are unproved: the ``n_goals`` goals of the rules times the candidates."""
+    now, bound = _heads(kb, shape, group, goals)
+    for v in sorted(bound):
+        now = domain.check(now, shape, group, v)
+    for v in sorted(_variables(shape) - bound):
+        now, n_goals = domain.bind(now, shape, group, v, n_goals), 0  # dealt out once
+    return _instances(now, shape, F.lit(None).cast(f"array<{ATOM}>"))
+
+
+def _choice(kb: KnowledgeBase, shape: Shape, group: list, goals: DataFrame, chosen: tuple[int, ...], rest: tuple[int, ...], domain: Domains | None, sizes: dict[int, int]) -> DataFrame:
+    """The instances in which just the ``chosen`` atoms are unproved. Each atom meets the facts of its predicates only, of which there are ``sizes``; few are broadcast."""
+
+    def source(i: int) -> DataFrame:
+        preds = {r.body[i].pred for r, _ in group}
+        found = only(kb.facts, preds)
+        return F.broadcast(found) if sum(sizes.get(p, 0) for p in preds) <= FEW else found
+
+    now, bound = _heads(kb, shape, group, goals)
     for i in shape.order(None, frozenset(bound), rest):
-        now = extend(now, shape, i, kb.facts, bound)
+        now = extend(now, shape, i, source(i), bound)
     if domain is not None:
         for v in sorted(bound):
             now = domain.check(now, shape, group, v)
-    free = {v for i in chosen for v in shape.body[i] if v >= 0} - bound
-    if free and domain is None:
-        return None
-    for v in sorted(free):
+    for v in sorted({v for i in chosen for v in shape.body[i] if v >= 0} - bound):
         now = domain.bind(now, shape, group, v)
-    body = body_of(shape)
     for i in chosen:
         a, b = shape.body[i]
-        f = kb.facts.select(F.col("pred").alias("_p"), F.col("s").alias("_s"), F.col("o").alias("_o"))
-        now = now.join(f, (F.col(f"p{i}") == F.col("_p")) & (F.col(value(a)) == F.col("_s")) & (F.col(value(b)) == F.col("_o")), "left_anti")
-    for i, (a, b) in enumerate(shape.body):
-        now = now.where(~((F.col(f"p{i}") == F.col("gp")) & (F.col(value(a)) == F.col("gs")) & (F.col(value(b)) == F.col("go"))))
-    unknown = F.array(*[body[i] for i in chosen]) if chosen else F.slice(body, 1, 0)
-    return now.select("rule_id", F.col("gp").alias("pred"), F.col("gs").alias("s"), F.col("go").alias("o"), body.alias("body"), unknown.alias("unknown"))
+        if any(sizes.get(r.body[i].pred) for r, _ in group):
+            f = source(i).select(F.col("pred").alias("_p"), F.col("s").alias("_s"), F.col("o").alias("_o"))
+            now = now.join(f, (F.col(f"p{i}") == F.col("_p")) & (F.col(value(a)) == F.col("_s")) & (F.col(value(b)) == F.col("_o")), "left_anti")
+    body = body_of(shape)
+    return _instances(now, shape, F.array(*[body[i] for i in chosen]) if chosen else F.slice(body, 1, 0))
+
+
+def _met(rules: list[Rule], predicates: set[int], depth: int) -> list[Rule]:
+    """Rules that goals of these predicates can use in so many steps."""
+    met: set[int] = set()
+    for _ in range(depth):
+        now = [i for i, r in enumerate(rules) if r.head.pred in predicates]
+        met.update(now)
+        predicates = {b.pred for i in now for b in rules[i].body}
+    return [rules[i] for i in sorted(met)]
 
 
 def enumerate_groundings(kb: KnowledgeBase, queries: DataFrame, depth: int = 1, width: int | None = 1, last_width: int | None = 0, domain: DataFrame | Domains | None = None, skipped: list | None = None) -> DataFrame:
@@ -172,13 +239,15 @@ def enumerate_groundings(kb: KnowledgeBase, queries: DataFrame, depth: int = 1,
     left_out: list[int] = []
     kb = replace(kb, facts=materialize(kb.facts, "facts"))
     domain = Domains.of(domain) if isinstance(domain, DataFrame) else domain
+    goals = materialize(queries.select(*KEY).distinct(), "goals")
     if domain is not None:
+        asked = {r["pred"] for r in goals.select("pred").distinct().collect()}  # at most the predicates
+        domain = domain.needed_for(_met(kb.rules, asked, depth))
         domain = replace(domain, members=materialize(domain.members, "domains"))
-    goals = materialize(queries.select(*KEY).distinct(), "goals")
     seen, found = goals, None
     for d in range(depth):
         w = last_width if d == depth - 1 else width
-        now = step(kb, goals, w, domain, left_out)
+        now = step(kb, goals, w, domain, left_out, last=d == depth - 1)
         part = now.select("rule_id", *KEY, "body", F.lit(d).alias("depth"))
         found = part if found is None else found.unionByName(part)
         if d < depth - 1:
